@@ -1,12 +1,16 @@
 """Queries and SQL of the subpackage, by name."""
 
-from millrace.llm import exact_dedup, packing
+from millrace.llm import decontaminate, exact_dedup, packing, warc
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
+    "op4_arc_to_warc": warc.query,
     "op5_best_fit_packing": packing.query,
+    "op9_decontaminate": decontaminate.query,
 }
 
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op4_arc_to_warc": warc.SQL,
+    "op9_decontaminate": decontaminate.SQL,
 }
