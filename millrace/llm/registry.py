@@ -1,11 +1,13 @@
 """Queries and SQL of the subpackage, by name."""
 
-from millrace.llm import decontaminate, exact_dedup, line_dedup, packing, warc
+from millrace.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, toxicity, warc
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
     "op4_arc_to_warc": warc.query,
     "op5_best_fit_packing": packing.query,
+    "op7_toxicity": toxicity.query,
+    "op8_language_id": language_id.query,
     "op9_decontaminate": decontaminate.query,
     "op10_line_dedup": line_dedup.query,
 }
