@@ -1,8 +1,9 @@
 """Queries and SQL of the subpackage, by name."""
 
-from millrace.llm import decontaminate, exact_dedup, language_id, line_dedup, packing, toxicity, warc
+from millrace.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, toxicity, warc
 
 QUERIES = {
+    "op2_jaccard_join": jaccard_join.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_arc_to_warc": warc.query,
     "op5_best_fit_packing": packing.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_jaccard_join": jaccard_join.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_arc_to_warc": warc.SQL,
     "op9_decontaminate": decontaminate.SQL,
