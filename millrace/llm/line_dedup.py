@@ -110,7 +110,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     and an empty text stays empty (one line). Rows that repeat id and text are one document and keep the same text; rows of
     equal id and different text are told apart. A null id orders before all others. An empty table gives no rows. If df has
     columns named lines, removed_lines or removed_chunks, they are replaced."""
-    spark = df.sparkSession
+    spark = df.sparkSession  # joins are merge joins at every size: both sides grow with the documents
     parts = shuffle_width(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     chunks = materialize(rows.filter("text is not null").mapInArrow(chunk_hashes(divisor, long_line), CHUNKS), "chunks")
@@ -118,16 +118,16 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     spread = chunks.groupBy("hash", "length").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
     spread = materialize(spread.select("hash", "length", F.col("first.key").alias("first_key"), F.col("first.pos").alias("first_pos")), "repeated-chunks")
     is_first = (F.col("key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos"))
-    repeats = chunks.join(spread, ["hash", "length"]).select("key", F.struct("pos", "hash", "length", is_first.alias("first")).alias("x"))
+    repeats = chunks.join(spread.hint("merge"), ["hash", "length"]).select("key", F.struct("pos", "hash", "length", is_first.alias("first")).alias("x"))
     repeats = materialize(repeats.groupBy("key").agg(F.collect_set("x").alias("repeats")), "repeats-by-document")  # at most the chunks of one document
     compared = (
-        rows.join(repeats, "key").select("key", "text", "repeats").mapInArrow(repeated_bytes(divisor, long_line), BYTES)
+        rows.join(repeats.hint("merge"), "key").select("key", "text", "repeats").mapInArrow(repeated_bytes(divisor, long_line), BYTES)
         .repartition(parts, "hash", "length").sortWithinPartitions("hash", "length", F.col("first").desc()).select("hash", "length", "first", "text", "members")
         .mapInArrow(agreeing, GONE).select(F.explode("members").alias("m")).groupBy("m.key").agg(F.collect_set("m.pos").alias("gone"))
     )
     compared = materialize(compared, "removed-chunks")
     keyed = df.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    joined = keyed.join(compared.withColumnRenamed("key", "__key"), "__key", "left")
+    joined = keyed.join(compared.withColumnRenamed("key", "__key").hint("merge"), "__key", "left")
     cleaned = remove_chunks(joined, text_col, divisor, long_line)
     return cleaned.drop("__key", "gone")
 
