@@ -92,24 +92,47 @@ def search(index):
     return run
 
 
+def indexes(items: DataFrame, threshold: float, item_col: str, text_col: str, block: int) -> Iterator:
+    """Broadcast indexes of all items, each of about ``block`` shingles at most."""
+    spark = items.sparkSession
+    sets = materialize(items.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(item_sets, ITEMS), "items")
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    blocks = -(-total // block)
+    for b in range(blocks):
+        own = [tuple(r) for r in sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == b).collect()]
+        if own:
+            yield spark.sparkContext.broadcast(Index(own, threshold))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block: int = 1_000_000) -> DataFrame:
     """Pairs (doc_id, item_id, item_shingles, shared) for which the document holds at least ``threshold`` of the item's distinct
     5-word shingles (words lower-cased A-Z, split at white space; an item of fewer words is one shingle of that width).
 
     Null and empty texts, on either side, are in no pair. Rows that repeat an id and text repeat their pairs. ``block`` bounds
     how many shingles of items a pass holds. An empty table on either side gives no pairs."""
-    spark = docs.sparkSession
-    sets = materialize(items.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(item_sets, ITEMS), "items")
-    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    blocks = -(-total // block)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = None
-    for b in range(blocks):
-        own = [tuple(r) for r in sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == b).collect()]
-        if own:
-            found = rows.mapInArrow(search(spark.sparkContext.broadcast(Index(own, threshold))), MATCHES)
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], MATCHES)
+    out = docs.sparkSession.createDataFrame([], MATCHES)
+    for index in indexes(items, threshold, item_col, text_col, block):
+        out = out.unionByName(rows.mapInArrow(search(index), MATCHES))
+    return out
+
+
+def without_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75, item_col: str = "item_id", text_col: str = "text", block: int = 1_000_000) -> DataFrame:
+    """The rows of docs, with all columns, that hold no item by the rule of ``contaminated``; no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def only_clean(index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, at):
+                    words, begin = word_hashes(part.column(at))
+                    yield part.filter(pa.array([next(index.value.matches(words[a:b]), None) is None for a, b in zip(begin, begin[1:], strict=False)], pa.bool_()))
+
+        return run
+
+    for index in indexes(items, threshold, item_col, text_col, block):
+        docs = docs.mapInArrow(only_clean(index), docs.schema)
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def shingles(words: np.ndarray, k: int = K) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about so many bytes of text each (one row at least)."""
     if not batch.num_rows:
         return

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 
 from millrace.llm.hashing import slices
@@ -32,7 +33,6 @@ SCRIPTS = [
     (0x2000, "Latin"), (0x2E80, "Han"), (0x3040, "Kana"), (0x3100, "Han"), (0x3130, "Hangul"), (0x3190, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"),
 ]
 COUNTS = "lang string, kind string, at int, n bigint"
-RESULT = "doc_id bigint, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 
 
 def script(word: str) -> int:
@@ -134,41 +134,42 @@ def label(scores: np.ndarray, penalty: float) -> np.ndarray | int:
     return int(path[0]) if (path == path[0]).all() else path
 
 
-def identify(shared, penalty: float):
+def identified(text: str | None, model: Model, cache: Scores, penalty: float) -> tuple[str, float, list[tuple]]:
+    words = WORD.findall(text.lower()) if text else []
+    if not words or not model.langs:
+        return "und", 0.0, []
+    at = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))  # first, for it may add rows
+    own = cache.rows[at]
+    path = label(own, penalty)
+    if isinstance(path, int):
+        sure = own.mean(0) * min(len(words), 20)
+        return model.langs[path], float(min(1 / np.exp(sure - sure[path]).sum(), 1.0)), [(0, len(text), model.langs[path])]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    weight = np.bincount(path, size, len(model.langs))
+    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist()]
+    where = [m.start() for m in WORD.finditer(text.lower())]
+    ends = [0, *(min(where[c], len(text)) for c in cuts[1:]), len(text)]
+    spans = [(ends[j], ends[j + 1], model.langs[path[c]]) for j, c in enumerate(cuts)]
+    return model.langs[int(weight.argmax())], float(weight.max() / weight.sum()), spans
+
+
+def identify(shared, penalty: float, at: int):
+    """Appends lang_pred, score and spans to the columns, of which number ``at`` is the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         cache = Scores(model)
-        kind = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            for part in slices(batch, "text"):
-                rows = []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = WORD.findall(text.lower()) if text else []
-                    if not words or not model.langs:
-                        rows.append({"doc_id": key, "lang_pred": "und", "score": 0.0, "spans": []})
-                        continue
+            for part in slices(batch, at):
+                found = []
+                for text in part.column(at).to_pylist():
                     if len(cache) > CACHE:
                         cache = Scores(model)
-                    at = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-                    own = cache.rows[at]
-                    path = label(own, penalty)
-                    if isinstance(path, int):
-                        spans, main = [(0, len(text), model.langs[path])], path
-                        share = 1.0
-                    else:
-                        size = np.fromiter(map(len, words), np.int64, len(words))
-                        weight = np.bincount(path, size, len(model.langs))
-                        main, share = int(weight.argmax()), float(weight.max() / weight.sum())
-                        cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist()]
-                        low = text.lower()
-                        where = [m.start() for m in WORD.finditer(low)] if len(low) == len(text) else [m.start() for m in WORD.finditer(text)][: len(words)]
-                        where += [len(text)] * (len(words) - len(where))
-                        ends = [0, *(where[c] for c in cuts[1:]), len(text)]
-                        spans = [(ends[j], ends[j + 1], model.langs[path[c]]) for j, c in enumerate(cuts)]
-                    sure = own.mean(0) * min(len(words), 20)
-                    score = share / float(np.exp(sure - sure[main]).sum()) if share == 1 else share
-                    rows.append({"doc_id": key, "lang_pred": model.langs[main], "score": min(max(score, 0.0), 1.0), "spans": [{"start": a, "end": b, "lang": lang} for a, b, lang in spans]})
-                yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                    found.append(identified(text, model, cache, penalty))
+                spans = pa.array([[{"start": a, "end": b, "lang": lang} for a, b, lang in x[2]] for x in found], span)
+                columns = [*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score", "spans"])
 
     return run
 
@@ -183,15 +184,18 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     return Model(counts.collect())  # at most languages * (BUCKETS + scripts) rows
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """One row per row of df: doc_id, lang_pred, score, spans (characters start to end - 1 and their language).
+def annotate(df: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """df with lang_pred, score and spans (characters start to end - 1 and their language) added; columns of these names that
+    it has are replaced.
 
     lang_pred is the language of most letters; ``und`` with score 0 and no spans if the text is null or has no letter, or if
     nothing was learned. The score is the share of letters in that language if there are several; else its probability against
-    the others over up to 20 average words, so short texts are less sure. Whole texts of any length are read; ties take the language that is
-    first by name. Repeated rows come out repeated, null ids as null; an empty table gives no rows."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(identify(df.sparkSession.sparkContext.broadcast(model), penalty), RESULT)
+    the others over up to 20 average words, so short texts are less sure. Whole texts of any length are read; ties take the
+    language that is first by name. Repeated rows come out repeated, null ids as null; an empty table gives no rows."""
+    rows = df.drop("lang_pred", "score", "spans")
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>").fields])
+    return rows.mapInArrow(identify(shared, penalty, rows.columns.index(text_col)), schema)
 
 
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):
@@ -204,5 +208,5 @@ def trained(df: DataFrame, id_col: str = "doc_id") -> Model:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = predict(docs.select("doc_id", "text"), trained(docs.select("doc_id", "text", "lang")))
+    found = annotate(docs.select("doc_id", "text"), trained(docs.select("doc_id", "text", "lang")))
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
