@@ -1,5 +1,11 @@
 """Every registered query of the library, with the SQL that gives the same rows."""
 
-FLAGSHIP = ""
+from millrace.plans import text
+
+MODULES = (text,)
+FLAGSHIP = "b15_tokens"
 QUERIES: dict = {}
 SQL: dict = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
