@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from millrace.llm.hashing import slices
 
 WORD = re.compile(r"[^\W\d_]+")
-BUCKETS = 1 << 16
+BITS = 16
+BUCKETS = 1 << BITS
+PIECE = 1 << 20
 PENALTY = 12.0
 MOST = 4.0
 TRAIN_ROWS = 5000
-CACHE = 150_000
 #: The first code points of Unicode script ranges and the scripts' names.
 SCRIPTS = [
     (0x0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Devanagari"),
@@ -35,92 +36,156 @@ SCRIPTS = [
 COUNTS = "lang string, kind string, at int, n bigint"
 
 
-def script(word: str) -> int:
-    first = ord(word[0])
-    return next(i for i in range(len(SCRIPTS) - 1, -1, -1) if SCRIPTS[i][0] <= first)
-
-
-def grams(word: str) -> list[int]:
-    from zlib import crc32
-
-    data = f"<{word[:40]}>"
-    return [crc32(data[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in (1, 2, 3) for i in range(len(data) - n + 1)]
-
+class Alphabet:
+    """By code point: is it a letter, and which single code point is its lower case."""
+
+    def __init__(self) -> None:
+        points = [chr(i) for i in range(0x110000)]
+        self.letter = np.zeros(len(points), bool)
+        self.letter[[ord(c) for c in WORD.findall("\n".join(points[:0xD800] + points[0xE000:])) for c in c]] = True
+        self.lower = np.arange(len(points), dtype=np.uint32)
+        for i in np.flatnonzero(self.letter).tolist():
+            low = points[i].lower()
+            if len(low) == 1:
+                self.lower[i] = ord(low)
+
+
+def words_of(points: np.ndarray, breaks: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words; no word goes over a break."""
+    letter = alphabet.letter[points]
+    edge = np.zeros(len(points) + 1, bool)
+    edge[1:-1] = letter[1:] != letter[:-1]
+    edge[0], edge[-1] = letter[0], letter[-1]
+    at = np.flatnonzero(edge)
+    inner = np.unique(breaks[(breaks > 0) & (breaks < len(points))])
+    inner = inner[letter[inner] & letter[inner - 1]]
+    if len(inner):
+        at = np.sort(np.concatenate([at, inner, inner]), kind="stable")
+    return at[0::2], at[1::2]
+
+
+def gram_buckets(points: np.ndarray, start: np.ndarray, end: np.ndarray, alphabet: Alphabet) -> tuple[list[np.ndarray], np.ndarray]:
+    """Buckets of the 1-, 2- and 3-grams that begin at each place of the words, all set between < and >, and where each word
+    begins there; a gram that would leave its word has the spare bucket BUCKETS."""
+    size = end - start
+    first = np.cumsum(size + 2) - (size + 2)
+    text = np.full(int((size + 2).sum()) + 2, ord("<"), np.uint32)
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    text[np.repeat(first + 1, size) + place] = alphabet.lower[points[np.repeat(start, size) + place]]
+    last = first + size + 1
+    text[last] = ord(">")
+    n = len(text) - 2
+    one = text[:n] * np.uint32(0x9E3779B1)
+    two = one ^ (text[1 : n + 1] * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F))
+    three = two ^ (text[2:] * np.uint32(0xC2B2AE3D) + np.uint32(0x165667B1))
+    out = [((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - BITS)).astype(np.int32) for x in (one, two, three)]
+    out[1][last] = out[2][last] = BUCKETS
+    out[2][last - 1] = BUCKETS
+    return out, first
+
+
+def pieces(texts: list[str], alphabet: Alphabet) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(code points, starts and ends of words in them, place of the piece in all texts joined), about PIECE code points at a
+    time, cut where no word is."""
+    whole = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    breaks = np.cumsum([0, *map(len, texts)])
+    at = 0
+    while at < len(whole):
+        end = min(at + PIECE, len(whole))
+        row = int(breaks[np.searchsorted(breaks, end, "right") - 1])
+        if end < len(whole) and row > at:
+            end = row
+        elif end < len(whole):
+            gaps = np.flatnonzero(~alphabet.letter[whole[at:end]])
+            end = at + int(gaps[-1]) + 1 if len(gaps) else end  # a word longer than a piece is cut
+        part = whole[at:end]
+        start, stop = words_of(part, breaks[(breaks >= at) & (breaks <= end)] - at, alphabet)
+        if len(start):
+            yield part, start, stop, at
+        at = end
+
+
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    return np.searchsorted([x for x, _ in SCRIPTS], points, "right") - 1
+
+
+def count_grams(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabet = shared.value
+        counts: dict[str, np.ndarray] = {}
+        scripts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, texts = (batch.column(i).to_pylist() for i in (0, 1))
+            for lang in set(langs):
+                for points, start, end, _ in pieces([t for x, t in zip(langs, texts, strict=True) if x == lang], alphabet):
+                    grams, _ = gram_buckets(points, start, end, alphabet)
+                    own = sum(np.bincount(g, minlength=BUCKETS + 1) for g in grams)[:BUCKETS]
+                    counts[lang] = counts.get(lang, 0) + own
+                    scripts[lang] = scripts.get(lang, 0) + np.bincount(scripts_of(points[start]), minlength=len(SCRIPTS))
+        rows = [(lang, kind, int(at), int(own[at])) for kind, held in (("gram", counts), ("script", scripts)) for lang, own in held.items() for at in np.flatnonzero(own)]
+        if rows:
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "kind", "at", "n"])
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = {}
-    scripts: dict[tuple, int] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for word in WORD.findall(text.lower()):
-                np.add.at(own, grams(word), 1)
-                name = SCRIPTS[script(word)][1]
-                scripts[lang, name] = scripts.get((lang, name), 0) + 1
-    rows = [(lang, "gram", int(at), int(own[at])) for lang, own in counts.items() for at in np.flatnonzero(own)]
-    names = sorted({name for _, name in SCRIPTS})
-    rows += [(lang, "script", names.index(name), n) for (lang, name), n in scripts.items()]
-    if rows:
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "kind", "at", "n"])
+    return run
 
 
 class Model:
     """Log probabilities of n-grams by language, and which scripts each language is written in."""
 
-    def __init__(self, rows: list, least_share: float = 0.01) -> None:
+    def __init__(self, rows: list, alphabet: Alphabet, least_share: float = 0.01) -> None:
         names = sorted({name for _, name in SCRIPTS})
-        self.langs = sorted({r.lang for r in rows})
+        named = np.array([names.index(name) for _, name in SCRIPTS])
+        self.alphabet, self.langs = alphabet, sorted({r.lang for r in rows})
         seen = np.zeros((len(self.langs), BUCKETS))
         written = np.zeros((len(self.langs), len(names)))
         for r in rows:
-            (seen if r.kind == "gram" else written)[self.langs.index(r.lang), r.at] += r.n
-        self.logp = np.log((seen + 0.2) / (seen.sum(1, keepdims=True) + 0.2 * BUCKETS)).T.astype(np.float32).copy()
-        by_name = written >= np.maximum(least_share * written.sum(1, keepdims=True), 1)
-        self.scripts = np.array([by_name[:, names.index(name)] for _, name in SCRIPTS]).reshape(len(SCRIPTS), len(self.langs))
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores of the languages: at most 0, at least -MOST; languages of other scripts have the least. All 0 when none has the script."""
-        able = self.scripts[script(word)]
-        if not able.any():
-            return np.zeros(len(self.langs), np.float32)
-        own = self.logp[grams(word)].sum(0)
-        own = own - own[able].max()
-        return np.where(able, np.maximum(own, -MOST), -MOST).astype(np.float32)
-
-
-class Scores(dict):
-    """Index of each word's row of scores, computed when first met; forgotten when there are too many."""
-
-    def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model, self.rows = model, np.zeros((1024, len(model.langs)), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.model.word(word)
-        self[word] = k
-        return k
+            k = self.langs.index(r.lang)
+            if r.kind == "gram":
+                seen[k, r.at] += r.n
+            else:
+                written[k, named[r.at]] += r.n
+        self.logp = np.zeros((BUCKETS + 1, len(self.langs)), np.float32)  # the spare bucket says nothing
+        self.logp[:BUCKETS] = np.log((seen + 0.2) / (seen.sum(1, keepdims=True) + 0.2 * BUCKETS)).T
+        self.able = (written >= np.maximum(least_share * written.sum(1, keepdims=True), 1)).T[named]
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of all words in order (at most 0, at least -MOST; languages of other scripts have the least; all 0 when no
+        language has the script), the words' places in the texts joined, and their lengths."""
+        out, places, sizes = [], [], []
+        for points, start, end, at in pieces(texts, self.alphabet):
+            grams, first = gram_buckets(points, start, end, self.alphabet)
+            sums = self.logp.take(grams[0], axis=0)
+            sums += self.logp.take(grams[1], axis=0)
+            sums += self.logp.take(grams[2], axis=0)
+            own = np.add.reduceat(sums, first, axis=0)
+            able = self.able[scripts_of(points[start])]
+            own -= np.where(able, own, -np.inf).max(1, keepdims=True, initial=-1e9)
+            own = np.where(able, np.maximum(own, -MOST), -MOST)
+            own[~able.any(1)] = 0
+            out.append(own.astype(np.float32))
+            places.append(start + at)
+            sizes.append(end - start)
+        if not out:
+            return np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(out), np.concatenate(places), np.concatenate(sizes)
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The best language of each word when every switch costs the penalty; ties stay, then take the first language."""
-    n, m = scores.shape
-    back = np.zeros((n, m), np.int32)
-    stay = np.arange(m)
-    best = scores[0].astype(float)
-    for t in range(1, n):
-        top = int(best.argmax())
-        moves = best[top] - penalty > best
-        back[t] = np.where(moves, top, stay)
-        best = np.where(moves, best[top] - penalty, best) + scores[t]
-    path = np.zeros(n, np.int32)
-    path[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    tops, moved, best = [], [], scores[0].tolist()
+    for row in scores[1:].tolist():
+        top = max(best)
+        least = top - penalty
+        tops.append(best.index(top))
+        moved.append([x < least for x in best])
+        best = [(least if x < least else x) + s for x, s in zip(best, row, strict=True)]
+    at = best.index(max(best))
+    path = [at]
+    for top, moves in zip(reversed(tops), reversed(moved), strict=True):
+        at = top if moves[at] else at
+        path.append(at)
+    return np.array(path[::-1])
 
 
 def label(scores: np.ndarray, penalty: float) -> np.ndarray | int:
@@ -134,22 +199,17 @@ def label(scores: np.ndarray, penalty: float) -> np.ndarray | int:
     return int(path[0]) if (path == path[0]).all() else path
 
 
-def identified(text: str | None, model: Model, cache: Scores, penalty: float) -> tuple[str, float, list[tuple]]:
-    words = WORD.findall(text.lower()) if text else []
-    if not words or not model.langs:
+def identified(own: np.ndarray, place: np.ndarray, size: np.ndarray, length: int, model: Model, penalty: float) -> tuple[str, float, list[dict]]:
+    if not len(own) or not model.langs:
         return "und", 0.0, []
-    at = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))  # first, for it may add rows
-    own = cache.rows[at]
     path = label(own, penalty)
     if isinstance(path, int):
-        sure = own.mean(0) * min(len(words), 20)
-        return model.langs[path], float(min(1 / np.exp(sure - sure[path]).sum(), 1.0)), [(0, len(text), model.langs[path])]
-    size = np.fromiter(map(len, words), np.int64, len(words))
+        sure = own.mean(0) * min(len(own), 20)
+        return model.langs[path], float(min(1 / np.exp(sure - sure[path]).sum(), 1.0)), [{"start": 0, "end": length, "lang": model.langs[path]}]
     weight = np.bincount(path, size, len(model.langs))
     cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist()]
-    where = [m.start() for m in WORD.finditer(text.lower())]
-    ends = [0, *(min(where[c], len(text)) for c in cuts[1:]), len(text)]
-    spans = [(ends[j], ends[j + 1], model.langs[path[c]]) for j, c in enumerate(cuts)]
+    ends = [0, *(int(place[c]) for c in cuts[1:]), length]
+    spans = [{"start": ends[j], "end": ends[j + 1], "lang": model.langs[path[c]]} for j, c in enumerate(cuts)]
     return model.langs[int(weight.argmax())], float(weight.max() / weight.sum()), spans
 
 
@@ -158,17 +218,15 @@ def identify(shared, penalty: float, at: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        cache = Scores(model)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            for part in slices(batch, at):
-                found = []
-                for text in part.column(at).to_pylist():
-                    if len(cache) > CACHE:
-                        cache = Scores(model)
-                    found.append(identified(text, model, cache, penalty))
-                spans = pa.array([[{"start": a, "end": b, "lang": lang} for a, b, lang in x[2]] for x in found], span)
-                columns = [*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans]
+            for part in slices(batch, at, PIECE):
+                texts = [x or "" for x in part.column(at).to_pylist()]
+                scores, place, size = model.scores(texts)
+                begin = np.cumsum([0, *map(len, texts)])
+                word = np.searchsorted(place, begin)
+                found = [identified(scores[a:b], place[a:b] - begin[i], size[a:b], len(texts[i]), model, penalty) for i, (a, b) in enumerate(zip(word, word[1:], strict=False))]
+                columns = [*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], span)]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score", "spans"])
 
     return run
@@ -180,8 +238,9 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     n = known.select("doc_id").count()
     if n > train_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * train_rows / n)))
-    counts = known.select("lang", "text").mapInArrow(count_grams, COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
-    return Model(counts.collect())  # at most languages * (BUCKETS + scripts) rows
+    alphabet = Alphabet()
+    counts = known.select("lang", "text").mapInArrow(count_grams(labelled.sparkSession.sparkContext.broadcast(alphabet)), COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
+    return Model(counts.collect(), alphabet)  # at most languages * (BUCKETS + scripts) rows
 
 
 def annotate(df: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
