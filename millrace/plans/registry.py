@@ -1,9 +1,9 @@
 """Every registered query of the library, with the SQL that gives the same rows."""
 
-from millrace.plans import text
+from millrace.plans import retrieval, text
 
-MODULES = (text,)
-FLAGSHIP = "b15_tokens"
+MODULES = (text, retrieval)
+FLAGSHIP = "d4_search"
 QUERIES: dict = {}
 SQL: dict = {}
 for module in MODULES:
