@@ -1,8 +1,8 @@
 """Every registered query of the library, with the SQL that gives the same rows."""
 
-from millrace.plans import retrieval, text
+from millrace.plans import graph, retrieval, text
 
-MODULES = (text, retrieval)
+MODULES = (text, retrieval, graph)
 FLAGSHIP = "d4_search"
 QUERIES: dict = {}
 SQL: dict = {}
