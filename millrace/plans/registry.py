@@ -1,8 +1,8 @@
 """Every registered query of the library, with the SQL that gives the same rows."""
 
-from millrace.plans import graph, retrieval, text
+from millrace.plans import graph, library, retrieval, text
 
-MODULES = (text, retrieval, graph)
+MODULES = (text, retrieval, graph, library)
 FLAGSHIP = "d4_search"
 QUERIES: dict = {}
 SQL: dict = {}
