@@ -1,8 +1,8 @@
 """Every registered query of the library, with the SQL that gives the same rows."""
 
-from millrace.plans import graph, library, retrieval, text
+from millrace.plans import graph, library, measures, retrieval, text
 
-MODULES = (text, retrieval, graph, library)
+MODULES = (text, retrieval, graph, library, measures)
 FLAGSHIP = "d4_search"
 QUERIES: dict = {}
 SQL: dict = {}

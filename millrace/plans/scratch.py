@@ -1,0 +1,13 @@
+"""Folders for what streams write, in the place that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-")
+    return f"{shared.rstrip('/')}/millrace-streams/{name}-{uuid.uuid4().hex}"
