@@ -33,7 +33,7 @@ FIRST_DATE = datetime(2004, 1, 1, tzinfo=timezone.utc)
 MARK = "#page-id="
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORDS = "record_id string, page_id bigint, url string, date string, content_type string, http binary, payload binary, payload_sha256 string"
-READ = "record_id string, record_type string, page_id bigint, url string, date string, payload_bytes bigint, payload_digest string, refers_to string, payload binary"
+READ = "record_id string, record_type string, page_id bigint, url string, date string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
 
 def sha1_base32(data: bytes) -> str:
