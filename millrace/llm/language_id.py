@@ -193,7 +193,9 @@ def label(scores: np.ndarray, penalty: float) -> np.ndarray | int:
     top = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, top : top + 1], axis=0, dtype=np.float64)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, gain.shape[1])), gain[:-1]]), axis=0)
-    if (gain - low).max() <= penalty:
+    # a run inside the text costs a switch for each of its languages; languages that cover the whole text cost one switch less
+    ends = max(gain.max(), 0.0) + max((gain[-1] - low).max(), 0.0)
+    if (gain - low).max() <= penalty and ends <= penalty:
         return top
     path = viterbi(scores, penalty)
     return int(path[0]) if (path == path[0]).all() else path

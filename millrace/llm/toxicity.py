@@ -25,7 +25,7 @@ TRAIN_ROWS = 20_000
 VOCABULARY = 2000
 THRESHOLD = 0.7
 SWAPS = 3
-PENALTY = 1.0
+PENALTY = 20.0
 #: Terms that name groups, which are swapped with one another (English, German, French, Spanish).
 IDENTITY_TERMS = """
 women men woman man girls boys muslim muslims christian christians jewish jews hindu hindus buddhist buddhists atheist atheists
