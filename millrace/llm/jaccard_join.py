@@ -30,6 +30,8 @@ from millrace.llm.scratch import materialize, shuffle_width
 BITS = 48
 LAST = 65535
 COMMON = 50_000
+SLOTS = 8
+DEAL = 1_000_000
 FIRST = "row_key bigint, doc_id bigint, node bigint, n bigint, shingle bigint, held bigint"
 DEALT = "part int, common boolean, nodes binary, packed binary"
 BACK = "bucket int, nodes binary, packed binary"
@@ -94,7 +96,7 @@ def deal(parts: int, shared):
                 for lo, hi in zip(cuts, cuts[1:], strict=False):
                     used, local = np.unique(a[lo:hi], return_inverse=True)
                     packed = (v[lo:hi] << np.uint64(16)) | local.astype(np.uint64)
-                    rows.append((int(part[lo]), flag, nodes[used].tobytes(), packed.view(np.uint8).reshape(-1, 8).T.tobytes()))
+                    rows.append((int(part[lo]), flag, planes(nodes[used]), planes(packed)))
                 if rows:
                     kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "common", "nodes", "packed"])
@@ -105,7 +107,7 @@ def deal(parts: int, shared):
                 if len(own) and node not in held:
                     held[node] = own
                     size += len(own)
-                if size > 4_000_000 or len(held) >= 65_000:
+                if size > DEAL or len(held) >= 65_000:
                     yield from out(held)
                     held, size = {}, 0
             if held:
@@ -114,8 +116,33 @@ def deal(parts: int, shared):
     return run
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+def planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second bytes and so on, which compresses where high bytes agree."""
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def unpack(blob: bytes, kind=np.uint64) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.frombuffer(blob, np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel()
+
+
+def shared_entries(value: np.ndarray, at: np.ndarray, slot: int) -> np.ndarray:
+    """Of the shingles in one of SLOTS slots, those that two nodes or more hold."""
+    chosen = (value >> np.uint64(BITS - 8)) % np.uint64(SLOTS) == slot
+    value, at = value[chosen], at[chosen]
+    order = np.lexsort((at, value))
+    value, at = value[order], at[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1])
+    value, at = value[new], at[new]
+    first = np.ones(len(value), bool)
+    first[1:] = value[1:] != value[:-1]
+    df = np.diff(np.append(np.flatnonzero(first), len(value)))
+    df = np.repeat(df, df)
+    many = df > 1
+    entries = np.empty(int(many.sum()), _BACK)
+    entries["shingle"], entries["at"], entries["df"] = value[many], at[many], np.minimum(df[many], LAST - 1)
+    return entries
 
 
 def count_parts(buckets: int):
@@ -134,7 +161,7 @@ def count_parts(buckets: int):
                 own = entries[lo:hi].copy()
                 used, local = np.unique(own["at"], return_inverse=True)
                 own["at"] = local
-                rows.append((int(bucket[lo]), nodes[used].tobytes(), own.tobytes()))
+                rows.append((int(bucket[lo]), planes(nodes[used]), planes(own)))
             if rows:
                 kinds = [pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "nodes", "packed"])
@@ -142,29 +169,19 @@ def count_parts(buckets: int):
         def finish() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            sizes = [len(nodes) for nodes, _ in held]
             values = [unpack(packed) for _, packed in held]
-            nodes = np.concatenate([nodes for nodes, _ in held])
-            shift = np.repeat(np.cumsum([0, *sizes[:-1]]), [len(v) for v in values])
-            value = np.concatenate(values)
-            nodes, same = np.unique(nodes, return_inverse=True)  # a node may have come from many batches
-            at = same[(value & np.uint64(LAST)).astype(np.int64) + shift]
-            value >>= np.uint64(16)
-            order = np.lexsort((at, value))
-            value, at = value[order], at[order]
-            new = np.concatenate([[True], (value[1:] != value[:-1]) | (at[1:] != at[:-1])])
-            value, at = value[new], at[new]
-            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            df = np.diff(np.append(first, len(value)))
-            df = np.repeat(df, df)
-            many = df > 1
-            entries = np.empty(int(many.sum()), _BACK)
-            entries["shingle"], entries["at"], entries["df"] = value[many], at[many], np.minimum(df[many], LAST - 1)
+            shift = np.cumsum([0, *(len(nodes) for nodes, _ in held)], dtype=np.int32)
+            nodes, same = np.unique(np.concatenate([nodes for nodes, _ in held]), return_inverse=True)  # a node may have come from many batches
+            at = np.concatenate([same[(v & np.uint64(LAST)).astype(np.int32) + base] for v, base in zip(values, shift, strict=False)]).astype(np.int32)
+            value = np.concatenate(values) >> np.uint64(16)
+            values.clear()
+            held.clear()
+            entries = np.concatenate([shared_entries(value, at, slot) for slot in range(SLOTS)])
             yield from back(nodes, entries)
 
         for batch in batches:
             for part, common, nodes, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                nodes = np.frombuffer(nodes, _NODE)
+                nodes = unpack(nodes, _NODE)
                 if common:
                     v = unpack(packed)
                     entries = np.empty(len(v), _BACK)
@@ -228,7 +245,7 @@ def gather_nodes(percent: int):
                 if bucket != now:
                     yield from finish()
                     now, held = bucket, []
-                held.append((np.frombuffer(nodes, _NODE), np.frombuffer(packed, _BACK)))
+                held.append((unpack(nodes, _NODE), unpack(packed, _BACK)))
         yield from finish()
 
     return run
@@ -300,27 +317,24 @@ def node_links(df: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
     rows = first.filter("n is not null").select("row_key", "doc_id", "node", "n")
     common = first.filter("n is null").groupBy("shingle").agg(F.sum("held").alias("held")).orderBy(F.desc("held"), "shingle").limit(COMMON)
     common = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in common.collect()], np.int64).view(np.uint64)))  # at most COMMON
-    parts = 4 * width
-    dealt = df.mapInArrow(deal(parts, common), DEALT).repartition(width, "part").sortWithinPartitions("part")
-    back = dealt.mapInArrow(count_parts(parts), BACK).repartition(width, "bucket").sortWithinPartitions("bucket")
+    parts = width
+    dealt = df.mapInArrow(deal(parts, common), DEALT).repartitionById(width, "part").sortWithinPartitions("part")
+    back = dealt.mapInArrow(count_parts(width), BACK).repartitionById(width, "bucket").sortWithinPartitions("bucket")
     sets = materialize(back.mapInArrow(gather_nodes(percent), SETS), "sets")
     prefix = sets.mapInArrow(prefixes(percent), "shingle bigint, node bigint, n bigint, pos bigint, own bigint")
     prefix = materialize(prefix, "prefixes")
     near = lambda a, b: (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
-    def filtered(pairs: DataFrame) -> DataFrame:
-        """Each pair once, if the first shingle that both hold leaves enough behind it."""
-        need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
-        once = pairs.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.min("px").alias("px"), F.min("py").alias("py"))
-        return once.filter(F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= need).select("x", "y")
+    def enough(nx: str, px: str, ny: str, py: str):
+        """The positional filter. A pair's first common shingle leaves the most behind it, so a pair that could link passes there,
+        and one that could not passes nowhere: rows can be judged one by one, inside the join."""
+        need = F.ceil(percent * (F.col(nx) + F.col(ny)) / (100 + percent))
+        return F.least(F.col(nx) - F.col(px), F.col(ny) - F.col(py)) >= need
 
     centre = F.min(F.struct((F.col("own") / F.col("n")).alias("alone"), "node", "n", "pos")).alias("c")
     centres = materialize(prefix.groupBy("shingle").agg(centre, F.count("*").alias("nodes")).filter("nodes > 1").select("shingle", F.col("c.node").alias("cx"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cp")), "centres")
-    star = prefix.join(centres, "shingle").filter((F.col("node") != F.col("cx")) & near("n", "cn"))
-    flip = F.col("node") < F.col("cx")
-    pick = lambda a, b, name: F.when(flip, F.col(a)).otherwise(F.col(b)).alias(name)
-    star = star.select(pick("node", "cx", "x"), pick("cx", "node", "y"), pick("n", "cn", "nx"), pick("cn", "n", "ny"), pick("pos", "cp", "px"), pick("cp", "pos", "py"))
-    star_pairs = materialize(filtered(star), "star-pairs")
+    star = prefix.join(centres, (prefix["shingle"] == centres["shingle"]) & (F.col("node") != F.col("cx")) & near("n", "cn") & enough("n", "pos", "cn", "cp"))
+    star_pairs = materialize(star.select(F.least("node", "cx").alias("x"), F.greatest("node", "cx").alias("y")).distinct(), "star-pairs")
     star_links = materialize(links_among(star_pairs, sets, percent), "star-links")
     known = components(star_links)
 
@@ -329,9 +343,9 @@ def node_links(df: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
     mixed = materialize(placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("shingle"), "mixed")
     open_ = materialize(placed.join(mixed, "shingle").select("shingle", "node", "n", "pos", "component"), "open-prefixes")
     other = open_.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"))
-    rest = open_.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx")).join(other, "shingle")
-    rest = rest.filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near("nx", "ny"))
-    rest = filtered(rest.select("x", "y", "nx", "ny", "px", "py")).join(star_pairs, ["x", "y"], "left_anti")
+    rest = open_.select(F.col("shingle").alias("s"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
+    rest = rest.join(other, (F.col("s") == F.col("shingle")) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near("nx", "ny") & enough("nx", "px", "ny", "py"))
+    rest = rest.select("x", "y").distinct().join(star_pairs, ["x", "y"], "left_anti")
     more = materialize(links_among(materialize(rest, "rest-pairs"), sets, percent), "rest-links")
     links = star_links.unionByName(more)
     return rows, (known if more.isEmpty() else components(links)), links
