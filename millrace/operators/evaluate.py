@@ -95,3 +95,24 @@ def execution_accuracy(columns: Column, rows: Column, true_columns: Column, true
         + F.when(F.sort_array(F.array_distinct(columns)) == F.sort_array(F.array_distinct(true_columns)), 0.2).otherwise(0.0)
         + 0.5 * F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(cells, true_cells)) / union)
     )
+
+
+def hallucination(results: DataFrame) -> DataFrame:
+    """results: (claims, hallucinated, unverifiable) of each judged answer (null: not judged). Rates over answers and over claims."""
+    n, claims = F.count("claims"), F.sum("claims")
+    return results.agg(
+        n.alias("judged"), F.when(n > 0, F.count_if(F.col("hallucinated") > 0) / n).alias("hallucination_rate"),
+        F.when(claims > 0, F.sum("hallucinated") / claims).alias("hallucination_score"), F.when(claims > 0, F.sum("unverifiable") / claims).alias("unverifiable_score"),
+    )
+
+
+def seeds_of_samples(chunks: DataFrame, docs: int = 10) -> DataFrame:
+    """chunks: (doc_id, idx, chunk_id, text). Material for new samples of the first documents: the first five chunk ids, and the
+    first 20 texts that are not blank among the first 50, joined and cut at 6000 characters."""
+    from pyspark.sql import Window
+
+    chosen = chunks.select("doc_id").distinct().orderBy("doc_id").limit(docs)
+    rows = chunks.join(F.broadcast(chosen), "doc_id").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))).filter("rn <= 50")
+    ids = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("rn", "chunk_id"))), 1, 5), lambda x: x["chunk_id"])
+    texts = F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.trim("text") != "", F.struct("rn", "text")))), 1, 20), lambda x: x["text"])
+    return rows.groupBy("doc_id").agg(ids.alias("ground_truth_ids"), F.substring(F.array_join(texts, "\n"), 1, 6000).alias("prompt"))

@@ -140,3 +140,23 @@ def migrate(entities_: DataFrame, relations: DataFrame) -> DataFrame:
     s, o = entity_key(F.coalesce("ts", F.lit("Unknown")), F.col("subject")), entity_key(F.coalesce("to", F.lit("Unknown")), F.col("object"))
     links = typed_.select(F.lit("FACT").alias("evidence_type"), s.alias("subject_key"), predicate_key(F.coalesce("predicate", F.lit("RELATES_TO"))).alias("predicate"), o.alias("object_key"), F.lit(0.85).alias("confidence"))
     return own.unionByName(links, allowMissingColumns=True).withColumn("chunk_hash", F.lit("migrated"))
+
+
+def overview(evidence: DataFrame, most: int = 500) -> DataFrame:
+    """The first facts by key with the names of both ends; ``most`` bounds what a view shows."""
+    names = entities(evidence).select("entity_key", "name")
+    linked = facts(evidence).join(names.toDF("subject_key", "subject"), "subject_key").join(names.toDF("object_key", "object"), "object_key")
+    return linked.orderBy("fact_key").limit(most).select("fact_key", "subject", "predicate", "object", "support_count")
+
+
+def upsert_records(index: DataFrame, new: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """An index with new records in place of those of equal keys and without the keys of gone."""
+    keys = new.select(key).unionByName(gone.select(key)).distinct()
+    return index.join(keys, key, "left_anti").unionByName(new.select(*index.columns))
+
+
+def extraction_report(responses: DataFrame) -> DataFrame:
+    """One row for a run over all chunks: chunks, evidence rows, affected keys, and chunks that gave none."""
+    rows = typed(parse_items(responses))
+    found = rows.agg(F.count("*").alias("evidence"), F.count_distinct("evidence_type", affected_key(F.col("evidence_type"))).alias("keys"), F.count_distinct("chunk_hash").alias("useful"))
+    return responses.agg(F.count("*").alias("chunks")).crossJoin(found).select("chunks", "evidence", "keys", (F.col("chunks") - F.col("useful")).alias("without"))

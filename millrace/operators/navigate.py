@@ -105,3 +105,22 @@ def graph_context(paths: DataFrame, most: int = 40) -> DataFrame:
     """(query_id, context): the first distinct paths, a line each."""
     lines = paths.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set("path")), 1, most).alias("lines"))
     return lines.select("query_id", F.array_join(F.transform("lines", lambda x: F.concat(F.lit("[Graph] "), x)), "\n").alias("context"))
+
+
+def detail(edges: DataFrame, chunks: DataFrame, entities: DataFrame, most: int = 10) -> DataFrame:
+    """entities: (name). Per entity: its neighbours, and the first chunks that mention it; ``most`` bounds what a page shows."""
+    links = both_ways(edges).select(F.col("a").alias("name"), F.col("b").alias("neighbour")).distinct()
+    around = links.join(entities, "name", "left_semi").groupBy("name").agg(F.sort_array(F.collect_set("neighbour")).alias("neighbours"))
+    said = mentions(chunks, entities).withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("chunk_id"))).filter(F.col("rn") <= most)
+    found = said.groupBy("name").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunks"))
+    return entities.distinct().join(around, "name", "left").join(found, "name", "left")
+
+
+def related(edges: DataFrame, found_entities: DataFrame, found_subjects: DataFrame, mode: str = "hybrid") -> DataFrame:
+    """found_entities: (query_id, name, rank); found_subjects: the same of relations. The first five entities widen by two hops
+    unless the mode is global, the first five subjects by one; gives (query_id, name) of all that are reached or were found."""
+    head = lambda df: df.filter("rank <= 5").select("query_id", F.col("name").alias("seed"))
+    reached = k_hops(edges, head(found_subjects), 1).select("query_id", F.col("target").alias("name"))
+    if mode in ("local", "hybrid"):
+        reached = reached.unionByName(k_hops(edges, head(found_entities), 2).select("query_id", F.col("target").alias("name")))
+    return reached.unionByName(found_entities.select("query_id", "name")).unionByName(found_subjects.select("query_id", "name")).distinct()

@@ -16,7 +16,7 @@ QUERY_TYPES = ["chitchat", "simple_fact", "multi_hop", "comparison", "definition
 def dedup(hits: DataFrame) -> DataFrame:
     """hits: (query_id, rank, chunk_id, text). First of each chunk id (blank ids all stay), then first of each trimmed text."""
     by_id = Window.partitionBy("query_id", "chunk_id").orderBy("rank")
-    once = hits.withColumn("rn", F.row_number().over(by_id)).filter((F.col("rn") == 1) | (F.coalesce("chunk_id", F.lit("")) == ""))
+    once = hits.withColumn("rn", F.row_number().over(by_id)).filter((F.col("rn") == 1) | (F.coalesce(F.col("chunk_id").cast("string"), F.lit("")) == ""))
     by_text = Window.partitionBy("query_id", F.trim("text")).orderBy("rank")
     return once.withColumn("rn", F.row_number().over(by_text)).filter("rn = 1").drop("rn")
 

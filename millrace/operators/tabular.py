@@ -109,3 +109,11 @@ def as_document(df: DataFrame, order: list[str], most: int = 50) -> DataFrame:
 def normal_columns(columns):
     """Column records of the old form (cn, en, type) as (display_name, column_name, data_type)."""
     return F.transform(columns, lambda c: F.struct(F.coalesce(c["display_name"], c["cn"]).alias("display_name"), F.coalesce(c["column_name"], c["en"]).alias("column_name"), F.coalesce(c["data_type"], c["type"], F.lit("TEXT")).alias("data_type")))
+
+
+def chosen_sheet(recalled: DataFrame, answers: DataFrame) -> DataFrame:
+    """recalled: (query_id, sheet_id, score); answers: (query_id, choice). The answer if it was recalled, else the best sheet."""
+    ranked = recalled.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "sheet_id")))
+    named = ranked.join(answers, "query_id", "left").withColumn("asked", F.coalesce(F.col("choice") == F.col("sheet_id"), F.lit(False)))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("asked"), "rank"))
+    return named.withColumn("rn", best).filter("rn = 1").select("query_id", "sheet_id", "asked")
