@@ -2,10 +2,12 @@
 
 Every line has a 64-bit hash; a chunk ends behind a line where a rolling hash over the last two line hashes is divisible by
 ``divisor``, and before and behind every line of ``long_line`` words or more, so that boundaries move with the lines and not
-with their positions. A chunk counts if it has two lines or more or is such a long line. Hashes of chunks (no text) are
-aggregated over the corpus to the first and last place of each; where these differ the chunk repeats. Only the bytes of
-repeated chunks are then compared with those of the first place (the smallest doc_id and position), after equal bytes have
-been combined inside each batch, and copies that agree are removed from every document but that first place.
+with their positions. A chunk counts if it has two lines or more or is such a long line. A short passage may hold no whole
+chunk, so the rolling windows of two lines are looked up as well: a run of lines whose windows all repeat is a repeated
+passage if it has ``long_line`` words or more. Hashes of chunks and windows (no text) are aggregated over the corpus to the
+first and last place of each; where these differ it repeats. Only the bytes of what repeats are then compared with those of
+the first place (the smallest doc_id and position), after equal bytes have been combined inside each batch, and copies that
+agree are removed from every document but that first place.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from millrace.llm.scratch import materialize, shuffle_width
 
 DIVISOR = 2
 LONG_LINE = 50
+WINDOW = 1 << 30  # places from here on are windows, by their first line
 CHUNKS = "doc_id bigint, key bigint, pos int, hash bigint, length int"
 BYTES = "hash bigint, length int, first boolean, text binary, members array<struct<key:bigint,pos:int>>"
 GONE = "members array<struct<key:bigint,pos:int>>"
@@ -50,6 +53,11 @@ def _whole(text: bytes, found: list, j: int) -> bytes:
     return text[found[j][2] : found[j + 1][2] - 1]
 
 
+def windows_of(text: bytes) -> list[bytes]:
+    lines = text.split(b"\n")
+    return [a + b"\n" + b for a, b in zip(lines, lines[1:], strict=False)]
+
+
 def chunk_hashes(divisor: int, long_line: int):
     import xxhash
 
@@ -63,6 +71,8 @@ def chunk_hashes(divisor: int, long_line: int):
                     if counts:
                         own = _whole(text, found, j)
                         rows.append((doc, key, j, xxhash.xxh3_64_intdigest(own) - (1 << 63), len(own)))
+                for i, own in enumerate(windows_of(text)):
+                    rows.append((doc, key, WINDOW + i, xxhash.xxh3_64_intdigest(own, 1) - (1 << 63), len(own)))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "key", "pos", "hash", "length"])
@@ -80,8 +90,18 @@ def repeated_bytes(divisor: int, long_line: int):
             for key, text, repeats in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py() or b""
                 found = chunks_of(text, divisor, long_line)
-                for x in repeats:
-                    groups.setdefault((x["hash"], x["length"], x["first"], _whole(text, found, x["pos"])), []).append({"key": key, "pos": x["pos"]})
+                windows = windows_of(text)
+                inside = set()  # lines of repeated chunks, whose windows need no comparison of their own
+                for x in sorted(repeats, key=lambda x: x["pos"]):
+                    i = x["pos"] - WINDOW
+                    if i < 0:
+                        own = _whole(text, found, x["pos"])
+                        inside.update(() if x["first"] else range(*found[x["pos"]][:2]))
+                    elif not x["first"] and i in inside and i + 1 in inside:
+                        continue
+                    else:
+                        own = windows[i]
+                    groups.setdefault((x["hash"], x["length"], x["first"], own), []).append({"key": key, "pos": x["pos"]})
             rows = [{"hash": h, "length": n, "first": first, "text": text, "members": members} for (h, n, first, text), members in groups.items()]
             for a in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_pylist(rows[a : a + 500], schema=kind)
@@ -103,8 +123,28 @@ def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, schema=batch.select(["members"]).schema)
 
 
+def remaining(text: bytes, gone: set[int], divisor: int, long_line: int) -> tuple[list[bytes], int, int]:
+    """The lines that stay, how many there were, and how many runs of lines went. Lines of repeated chunks go; lines that only
+    repeated windows hold go if their whole run has long_line words or more."""
+    lines = text.split(b"\n")
+    found = chunks_of(text, divisor, long_line)
+    in_chunk = {i for j in gone if j < WINDOW for i in range(*found[j][:2])}
+    marked = in_chunk | {i for j in gone if j >= WINDOW for i in (j - WINDOW, j - WINDOW + 1)}
+    drop: set[int] = set()
+    i = 0
+    while i < len(lines):
+        end = i
+        while end in marked:
+            end += 1
+        run = range(i, end)
+        drop.update(run if sum(len(lines[k].split()) for k in run) >= long_line else in_chunk.intersection(run))
+        i = max(end, i + 1)
+    runs = sum(k in drop and k - 1 not in drop for k in range(len(lines)))
+    return [x for k, x in enumerate(lines) if k not in drop], len(lines), runs
+
+
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
-    """All rows and columns of df, with the text column cleaned, and lines, removed_lines and removed_chunks (int) added.
+    """All rows and columns of df, with the text column cleaned, and lines, removed_lines and removed_chunks (int; runs of lines) added.
 
     Lines are split at newlines. A document of which every chunk is gone has an empty text. Null text stays null (no lines)
     and an empty text stays empty (one line). Rows that repeat id and text are one document and keep the same text; rows of
@@ -144,11 +184,8 @@ def remove_chunks(joined: DataFrame, text_col: str, divisor: int, long_line: int
             if drop is None or not len(drop):
                 rows.append((t, t.count("\n") + 1, 0, 0))
                 continue
-            data = t.encode()
-            found = chunks_of(data, divisor, long_line)
-            drop = {int(x) for x in drop}
-            left = b"\n".join(_whole(data, found, j) for j in range(len(found) - 1) if j not in drop)
-            rows.append((left.decode(), found[-1][0], sum(found[j][1] - found[j][0] for j in drop), len(drop)))
+            left, lines, runs = remaining(t.encode(), {int(x) for x in drop}, divisor, long_line)
+            rows.append((b"\n".join(left).decode(), lines, lines - len(left), runs))
         return pd.DataFrame(rows, columns=["text", "lines", "removed_lines", "removed_chunks"]).astype({"lines": "int32", "removed_lines": "int32", "removed_chunks": "int32"})
 
     others = [c for c in joined.columns if c not in ("lines", "removed_lines", "removed_chunks")]

@@ -4,26 +4,50 @@ from millrace.llm.line_dedup import DIVISOR, LONG_LINE, chunks_of, line_dedup
 
 
 def brute(rows):
-    """Text by row: every counted chunk but the first of its bytes goes; equal (id, text) rows are one document."""
-    places = defaultdict(set)
+    """Text by row: every counted chunk but the first of its bytes goes, and runs of lines in repeated pairs that have LONG_LINE
+    words; equal (id, text) rows are one document."""
+    chunks, pairs = defaultdict(set), defaultdict(set)
     for doc, text in set(rows):
-        data = (text or "").encode()
-        found = chunks_of(data, DIVISOR, LONG_LINE)
+        if text is None:
+            continue
+        data = text.encode()
+        found, lines = chunks_of(data, DIVISOR, LONG_LINE), data.split(b"\n")
         for j, x in enumerate(found[:-1]):
-            if x[3] and text is not None:
-                places[data[x[2] : found[j + 1][2] - 1]].add((doc, text, j))
-    gone = {p for v in places.values() for p in sorted(v, key=lambda p: (p[0], p[2]))[1:]}
+            if x[3]:
+                chunks[data[x[2] : found[j + 1][2] - 1]].add((doc, text, x[0], x[1]))
+        for i in range(len(lines) - 1):
+            pairs[lines[i], lines[i + 1]].add((doc, text, i, i + 2))
+    again = lambda places: {p for v in places.values() for p in sorted(v, key=lambda p: (p[0], p[2]))[1:]}
+    hard, soft = again(chunks), again(pairs)
     out = []
     for doc, text in rows:
         if text is None:
             out.append((doc, None))
             continue
-        data = text.encode()
-        found = chunks_of(data, DIVISOR, LONG_LINE)
-        out.append((doc, b"\n".join(data[x[2] : found[j + 1][2] - 1] for j, x in enumerate(found[:-1]) if (doc, text, j) not in gone).decode()))
+        lines = text.split("\n")
+        whole = [any(p[:2] == (doc, text) and p[2] <= i < p[3] for p in hard) for i in range(len(lines))]
+        some = [w or any(p[:2] == (doc, text) and p[2] <= i < p[3] for p in soft) for i, w in enumerate(whole)]
+        keep = []
+        for i, line in enumerate(lines):
+            a = b = i
+            while some[i] and a > 0 and some[a - 1]:
+                a -= 1
+            while some[i] and b + 1 < len(lines) and some[b + 1]:
+                b += 1
+            if not (whole[i] or some[i] and sum(len(x.split()) for x in lines[a : b + 1]) >= LONG_LINE):
+                keep.append(line)
+        out.append((doc, "\n".join(keep)))
     return out
 
 
+def test_a_short_passage_goes_wherever_it_stands(spark):
+    passage = [" ".join(f"p{k}w{i}" for i in range(18)) for k in range(3)]
+    rows = [(i, "\n".join([f"one {i} {j}" for j in range(i % 4)] + passage + [f"two {i}"])) for i in range(12)]
+    small = [(100 + i, f"mine {i}\nshort line\nother short line\nalso mine {i}") for i in range(1)]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows + small, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and all("p1w3" not in got[i] and f"two {i}" in got[i] for i in range(1, 12)) and got[100] == small[0][1]
+
+
 def test_chunks_cover_the_text_and_move_with_the_lines():
     text = "\n".join(f"line {i} of the text" for i in range(60)).encode()
     found = chunks_of(text, DIVISOR, LONG_LINE)
