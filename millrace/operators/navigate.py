@@ -28,21 +28,22 @@ def k_hops(edges: DataFrame, starts: DataFrame, hops: int = DEFAULT.hops, most:
     """starts: (query_id, seed). Undirected paths of up to ``hops`` facts, none used twice, that end elsewhere than at the seed:
     query_id, seed, target, distance, relations, path; at most ``most`` for each seed by distance, target and path.
 
-    A hop keeps only the first ``most`` paths of a seed, for deeper ones would come behind them; a hop's paths are cut before
-    they are extended only by those that could still be shown."""
+    Shorter paths come first, so a seed that has ``most`` of them goes no further; what a hop extends is fewer than ``most``
+    paths a seed, however large the hubs."""
     links = both_ways(edges)
-    front = starts.distinct().select("query_id", "seed", F.col("seed").alias("target"), F.lit(0).alias("distance"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<string>").alias("used"), F.col("seed").alias("path"))
+    front = starts.distinct().select("query_id", "seed", F.col("seed").alias("target"), F.lit(0).alias("distance"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<string>").alias("used"), F.col("seed").alias("path"), F.lit(0).cast("long").alias("seen"))
     found = None
+    ours = Window.partitionBy("query_id", "seed")
     for _ in range(hops):
-        grown = front.join(links, front["target"] == links["a"]).filter(~F.array_contains("used", F.col("fact_key")))
+        grown = front.filter(F.col("seen") < most).join(links, front["target"] == links["a"]).filter(~F.array_contains("used", F.col("fact_key")))
         front = grown.select(
             "query_id", "seed", F.col("b").alias("target"), (F.col("distance") + 1).alias("distance"), F.concat("relations", F.array("predicate")).alias("relations"),
-            F.concat("used", F.array("fact_key")).alias("used"), F.concat("path", F.lit(" -["), "predicate", F.lit("]-> "), "b").alias("path"),
-        )
+            F.concat("used", F.array("fact_key")).alias("used"), F.concat("path", F.lit(" -["), "predicate", F.lit("]-> "), "b").alias("path"), "seen",
+        ).withColumn("seen", F.col("seen") + F.count(F.when(F.col("seed") != F.col("target"), 1)).over(ours))
         found = front if found is None else found.unionByName(front)
     order = Window.partitionBy("query_id", "seed").orderBy("distance", "target", "path")
     ranked = found.filter(F.col("seed") != F.col("target")).withColumn("place", F.row_number().over(order))
-    return ranked.filter(F.col("place") <= most).drop("used")
+    return ranked.filter(F.col("place") <= most).drop("used", "seen")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, most: int = 10) -> DataFrame:

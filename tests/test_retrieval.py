@@ -69,3 +69,9 @@ def test_rerank_and_encoder_cache(spark):
     cache = spark.createDataFrame([], "key string, vector array<float>")
     first, cache = V.encode_with_cache(texts.select(F.col("chunk_id").alias("id"), "text"), cache, V.hashed_encoder(16))
     assert first.count() == 3 and V.encode_with_cache(texts.select(F.col("chunk_id").alias("id"), "text"), cache, V.hashed_encoder(16))[1].count() == 3
+
+
+def test_rewrites_are_bounded_and_start_with_the_original(spark):
+    rows = [("q", ["a", "q", "b", "c", "d"]), ("q", []), ("q", ["a", "a", " "])]
+    got = [list(r.x) for r in spark.createDataFrame(rows, "o string, g array<string>").coalesce(1).select(R.rewrites(F.col("o"), F.col("g"), 3).alias("x")).collect()]
+    assert got == [["q", "a", "b", "c"], ["q", "q"], ["q", "a"]]
