@@ -186,7 +186,7 @@ def f9_cut(spark, sf_dir):
 
 def f10_trace(spark, sf_dir):
     catalog = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("doc-"), "doc_id", F.lit(".md")).alias("filename"))
-    return R.trace(fused(spark, sf_dir).withColumn("doc_id", F.col("chunk_id")), catalog, DEFAULT.dense_threshold, 20)
+    return R.trace(fused(spark, sf_dir).withColumn("doc_id", F.col("chunk_id")), catalog, DEFAULT.dense_threshold, 20).withColumn("rank", F.col("rank").cast("long"))
 
 
 QUERIES = {f.__name__: f for f in (d1_index, d2_merge, d3_remove, d4_search, d4_filtered, d5_normalised, d6_whitespace, e1_encode, e2_search, e2_filtered, e3_inverted_file, e4_threshold, e5_scope, e6_delete, f2_fusion, f3_multi_query, f4_rewrites, f5_vector_rerank, f6_tfidf_rerank, f7_answer_rerank, f8_two_stage, f9_cut, f10_trace)}
@@ -252,8 +252,8 @@ uu as materialized (select *, w / sqrt(sum(w * w) over (partition by query_id, c
 ss as (select c.query_id, c.chunk_id, sum(c.u * q.u) as score from uu c join uu q on q.query_id = c.query_id and q.term = c.term and q.chunk_id is null where c.chunk_id is not null group by 1, 2),
 rr as (select bm.query_id, bm.chunk_id, coalesce(ss.score, 0) as score from bm left join ss on ss.query_id = bm.query_id and ss.chunk_id = bm.chunk_id)
 select query_id, chunk_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from rr qualify rank <= 5""",
-    "f7_answer_rerank": f"with {dense_sql(6)} select query_id, chunk_id, round(1 - i / 4, 6) as score, i + 1 as rank from de join (values (3, 0), (0, 1), (5, 2), (2, 3)) p(place, i) on place = rank - 1 where i < 3",
-    "f8_two_stage": f"with {dense_sql(6, 'v.vec_id % 2 = 1')} select query_id, chunk_id, round(1 - i / 3, 6) as score, i + 1 as rank from de join (values (1, 0), (0, 1), (4, 2)) p(place, i) on place = rank - 1 where i < 2",
+    "f7_answer_rerank": f"with {dense_sql(6)} select query_id, chunk_id, round(1 - i / 4, 6) as score, (i + 1)::bigint as rank from de join (values (3, 0), (0, 1), (5, 2), (2, 3)) p(place, i) on place = rank - 1 where i < 3",
+    "f8_two_stage": f"with {dense_sql(6, 'v.vec_id % 2 = 1')} select query_id, chunk_id, round(1 - i / 3, 6) as score, (i + 1)::bigint as rank from de join (values (1, 0), (0, 1), (4, 2)) p(place, i) on place = rank - 1 where i < 2",
     "f9_cut": f"with {FUSED}, {RERANKED} {SHOWN} r2 where score >= 0.3",
     "f10_trace": f"""with {FUSED} select query_id, rank, chunk_id, case when chunk_id % 2 = 0 then 'doc-' || chunk_id || '.md' else chunk_id::varchar end as file, round(score / max(score) over (partition by query_id), 4) as normalised,
 round(dense_score, 4) as dense_score, dense_score >= 0.6 as above_threshold, case when has_dense then '0' else '' end as source_queries from fr qualify rank <= 20""",

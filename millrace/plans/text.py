@@ -20,7 +20,7 @@ LINES = r"""
 l as (select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'n': i - 1, 'x': case when (i - 1) % 5 = 2 then repeat('#', (((i - 1) // 5) % 3 + 1)::int) || ' ' || left(x, 20) else x end})) as s from documents),
 h as (select doc_id, s.n as n, s.x as line, length(regexp_extract(s.x, '^(#{1,6})\s+(.+)$', 1)) as lv, regexp_extract(s.x, '^(#{1,6})\s+(.+)$', 2) as head from l),
 g as (select *, (sum((lv > 0)::int) over (partition by doc_id order by n))::int as sec_no from h),
-s0 as (select doc_id, sec_no, max(lv) as level, max(case when lv > 0 then head end) as heading, coalesce(string_agg(case when lv = 0 then line end, chr(10) order by n), '') as text from g group by 1, 2),
+s0 as (select doc_id, sec_no, max(lv)::int as level, max(case when lv > 0 then head end) as heading, coalesce(string_agg(case when lv = 0 then line end, chr(10) order by n), '') as text from g group by 1, 2),
 s1 as (select *, max(case when level = 1 then sec_no end) over w as a1, max(case when level = 2 then sec_no end) over w as a2, max(case when level = 3 then sec_no end) over w as a3 from s0 window w as (partition by doc_id order by sec_no)),
 secs as (select s1.doc_id, s1.sec_no, s1.level, s1.heading, s1.text,
   list_filter([case when s1.level >= 1 then x.heading end, case when s1.level >= 2 and a2 > coalesce(a1, -1) then y.heading end, case when s1.level >= 3 and a3 > greatest(coalesce(a1, -1), coalesce(a2, -1)) then z.heading end], lambda v: v is not null) as heading_path
