@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 K = 5
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 
 

@@ -31,7 +31,7 @@ BITS = 48
 LAST = 65535
 COMMON = 50_000
 SLOTS = 8
-DEAL = 1_000_000
+DEAL = 500_000
 FIRST = "row_key bigint, doc_id bigint, node bigint, n bigint, shingle bigint, held bigint"
 DEALT = "part int, common boolean, nodes binary, packed binary"
 BACK = "bucket int, nodes binary, packed binary"
@@ -56,21 +56,28 @@ def sets_of(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def survey(share: float):
-    """A row per document, and rows (shingle, held) for shingles that at least ``share`` of a batch's nodes hold."""
+    """A row per document, and rows (shingle, held) for shingles that at least ``share`` of some hundreds of neighbouring nodes hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, seen = [], {}
-            for key, doc, node, own in sets_of(batch):
-                rows.append((key, doc, node, len(own), None, None))
-                if len(own):
-                    seen[node] = own
+        def out(rows: list, seen: dict) -> pa.RecordBatch:
             if len(seen) >= 50:
                 values, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
                 often = counts >= max(20, share * len(seen))
                 rows += [(None, None, None, None, int(v), int(c)) for v, c in zip(values[often], counts[often], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["row_key", "doc_id", "node", "n", "shingle", "held"])
+
+        for batch in batches:
+            rows, seen, size = [], {}, 0
+            for key, doc, node, own in sets_of(batch):
+                rows.append((key, doc, node, len(own), None, None))
+                if len(own) and node not in seen:
+                    seen[node] = own
+                    size += len(own)
+                if size > DEAL:
+                    yield out(rows, seen)
+                    rows, seen, size = [], {}, 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["row_key", "doc_id", "node", "n", "shingle", "held"])
+                yield out(rows, seen)
 
     return run
 
@@ -272,9 +279,9 @@ def verify(percent: int):
     """Links among (x, y, nx, ny, rest_x, rest_y): a suffix filter by ranges of hashes, then the shared shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (batch.slice(i, 500) for batch in batches for i in range(0, batch.num_rows, 500)):
             links = []
-            for x, y, nx, ny, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for x, y, nx, ny, a, b in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 need = least_overlap(nx, ny, percent)
                 a, b = unpack48(a), unpack48(b)
                 bound = np.minimum(*(np.bincount((v >> np.uint64(BITS - 4)).astype(np.int64), minlength=16) for v in (a, b))).sum()

@@ -18,11 +18,12 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 
 from millrace.llm.hashing import slices
+from millrace.llm.scratch import small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 16
 BUCKETS = 1 << BITS
-PIECE = 1 << 20
+PIECE = 1 << 18
 PENALTY = 12.0
 MOST = 4.0
 TRAIN_ROWS = 5000
@@ -240,6 +241,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     n = known.select("doc_id").count()
     if n > train_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * train_rows / n)))
+    small_batches(labelled.sparkSession)
     alphabet = Alphabet()
     counts = known.select("lang", "text").mapInArrow(count_grams(labelled.sparkSession.sparkContext.broadcast(alphabet)), COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
     return Model(counts.collect(), alphabet)  # at most languages * (BUCKETS + scripts) rows
@@ -253,6 +255,7 @@ def annotate(df: DataFrame, model: Model, text_col: str = "text", penalty: float
     nothing was learned. The score is the share of letters in that language if there are several; else its probability against
     the others over up to 20 average words, so short texts are less sure. Whole texts of any length are read; ties take the
     language that is first by name. Repeated rows come out repeated, null ids as null; an empty table gives no rows."""
+    small_batches(df.sparkSession)
     rows = df.drop("lang_pred", "score", "spans")
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>").fields])

@@ -8,6 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bound the bytes of an Arrow batch for the session, unless its user has chosen a bound: texts are long, and the default of
+    64 MB, held on both sides and by two tasks of an executor, is much of a small executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, most)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests, one machine)."""
     conf = spark.sparkContext.getConf()
@@ -26,6 +34,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors, and, unlike an eager
     checkpoint, runs the plan a single time."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,6 +17,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from millrace.llm.hashing import slices
+from millrace.llm.scratch import small_batches
 from millrace.llm.tokens import encoder, public_file
 
 LEAF = 256
@@ -153,6 +154,7 @@ def token_counts(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc
     Null text is empty (0 tokens); null edits, or an empty list, change nothing. In an edit a null start is 0, a null end is
     the start, a null replacement is empty; places beyond the text are its end. Repeated rows come out repeated and null ids
     as null; an empty table gives no rows. Special-token strings are ordinary text."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
     return rows.mapInArrow(recount(tokenizer or public_file()), RESULT)
 

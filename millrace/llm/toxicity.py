@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.hashing import slices
 from millrace.llm.language_id import held_out
+from millrace.llm.scratch import small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 TRAIN_ROWS = 20_000
@@ -174,6 +175,7 @@ def sampled(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 def score(df: DataFrame, model: tuple[dict[str, int], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row of df; null and empty texts get the score of a text without known words. Repeated rows and
     null ids come out as they are; an empty table gives no rows."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
