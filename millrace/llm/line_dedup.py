@@ -5,7 +5,7 @@ Every line has a 64-bit hash; a chunk ends behind a line where a rolling hash ov
 with their positions. A chunk counts if it has two lines or more or is such a long line. A short passage may hold no whole
 chunk, so the rolling windows of two lines are looked up as well: a run of lines whose windows all repeat is a repeated
 passage if it has ``long_line`` words or more. Hashes of chunks and windows (no text) are aggregated over the corpus to the
-first and last place of each; where these differ it repeats. Only the bytes of what repeats are then compared with those of
+first place and the number of places of each. Only the bytes of what repeats are then compared with those of
 the first place (the smallest doc_id and position), after equal bytes have been combined inside each batch, and copies that
 agree are removed from every document but that first place.
 """
@@ -155,7 +155,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     chunks = materialize(rows.filter("text is not null").mapInArrow(chunk_hashes(divisor, long_line), CHUNKS), "chunks")
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "key", "pos")
-    spread = chunks.groupBy("hash", "length").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
+    spread = chunks.groupBy("hash", "length").agg(F.min(place).alias("first"), F.count("*").alias("places")).filter("places > 1")
     spread = materialize(spread.select("hash", "length", F.col("first.key").alias("first_key"), F.col("first.pos").alias("first_pos")), "repeated-chunks")
     is_first = (F.col("key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos"))
     repeats = chunks.join(spread.hint("merge"), ["hash", "length"]).select("key", F.struct("pos", "hash", "length", is_first.alias("first")).alias("x"))
