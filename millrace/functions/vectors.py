@@ -53,6 +53,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 40
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def angle(a: Column, b: Column) -> Column:
+    return F.acos(F.least(F.greatest(cosine(a, b), F.lit(-1.0)), F.lit(1.0)))
+
+
+def search_cells(celled: DataFrame, centres: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """The hits of ``top_k`` by an inverted file. celled: (chunk_id, vector, cell); centres: (cell, centre); queries: (query_id,
+    vector), a batch small enough to broadcast. Gives (query_id, chunk_id, score, rank).
+
+    The nearest ``probes`` cells give a query its k-th score so far. By the triangle inequality of angles no vector of a cell is
+    nearer than the centre's angle less the cell's widest; cells that could still reach that score are probed too."""
+    asked = queries.select("query_id", F.col("vector").alias("query_vector"))
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
+
+    def found(probed: DataFrame) -> DataFrame:
+        pairs = celled.join(F.broadcast(probed.select("query_id", "cell").join(asked, "query_id")), "cell")
+        return pairs.select("query_id", "chunk_id", cosine(F.col("query_vector"), F.col("vector")).alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    width = celled.join(F.broadcast(centres), "cell").groupBy("cell").agg(F.max(angle(F.col("vector"), F.col("centre"))).alias("width"))
+    away = asked.crossJoin(F.broadcast(centres.join(width, "cell"))).select("query_id", "cell", "width", angle(F.col("query_vector"), F.col("centre")).alias("away"))
+    placed = away.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("away", "cell")))
+    first = found(placed.filter(F.col("place") <= probes))
+    least = asked.select("query_id").join(first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least")), "query_id", "left")
+    # angles near 0 are exact to about 1e-8, and scores tie when equal to nine places
+    reach = F.cos(F.greatest(F.col("away") - F.col("width") - 1e-6, F.lit(0.0))) + 1e-8 >= F.coalesce("least", F.lit(-2.0))
+    more = placed.filter(F.col("place") > probes).join(least, "query_id").filter(reach)
+    return first.drop("rank").unionByName(found(more).drop("rank")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def hashed_encoder(dim: int = 64):
     """The default encoder: signed hashed counts of words, of length one."""
 

@@ -43,10 +43,12 @@ def a6_import(spark, sf_dir):
 def a8_snapshot(spark, sf_dir):
     """An index written by bucket and read back, with what speaks against using it."""
     from millrace.operators import lexical as L
+    from millrace.plans.scratch import new_folder
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
-    posts = L.postings(docs)
-    return L.index_errors(posts, docs.count() + 1)
+    path = new_folder(spark, "index")
+    A.save_index(L.postings(docs), path)
+    return L.index_errors(A.load_index(spark, path), docs.count() + 1)
 
 
 def a9_scan(spark, sf_dir):

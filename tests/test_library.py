@@ -81,3 +81,13 @@ def test_streams(spark, tmp_path):
     docs = spark.createDataFrame([("d", "# A\nx"), ("e", "# A\nx")], "doc_id string, markdown string")
     jobs.ingest_batches(str(tmp_path / "chunks"))(docs, 0)
     assert spark.read.parquet(str(tmp_path / "chunks/batch=0")).count() == 2
+
+
+def test_snapshot_is_written_and_read_back(spark, tmp_path, monkeypatch):
+    from millrace.plans.library import a8_snapshot
+
+    spark.createDataFrame([(1, "some words"), (2, "more words")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.reason for r in a8_snapshot(spark, str(tmp_path)).collect()] == ["chunks differ"]
+    load, read = A.load_index, []
+    monkeypatch.setattr(A, "load_index", lambda spark, path: read.append(path) or load(spark, path).limit(0))
+    assert [r.reason for r in a8_snapshot(spark, str(tmp_path)).collect()] == ["empty", "chunks differ"] and len(read) == 1

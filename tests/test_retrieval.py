@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pyspark.sql.functions as F
 
 from millrace.functions import vectors as V
@@ -75,3 +76,15 @@ def test_rewrites_are_bounded_and_start_with_the_original(spark):
     rows = [("q", ["a", "q", "b", "c", "d"]), ("q", []), ("q", ["a", "a", " "])]
     got = [list(r.x) for r in spark.createDataFrame(rows, "o string, g array<string>").coalesce(1).select(R.rewrites(F.col("o"), F.col("g"), 3).alias("x")).collect()]
     assert got == [["q", "a", "b", "c"], ["q", "q"], ["q", "a"]]
+
+
+def test_inverted_file_loses_no_hit(spark, tmp_path):
+    from millrace.plans.retrieval import e3_inverted_file
+
+    rnd = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(rnd.normal(size=(700, 24)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    v = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    want = {(r.query_id, r.rank, r.id) for r in V.top_k(v, v.filter("id < 10").select(F.col("id").alias("query_id"), "vector"), 10).collect()}
+    assert {(r.query_id, r.rank, r.chunk_id) for r in e3_inverted_file(spark, str(tmp_path)).collect()} == want and len(want) == 100
