@@ -16,10 +16,11 @@ LEAST_SCORE = 0.2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: those without letters go, and those in which none stands out. The model learns from
-    the labelled documents themselves; lang stays as it was."""
-    found = language_id.annotate(docs.drop("lang_pred", "score", "spans"), language_id.fit(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents whose text has a language: those without letters go, those in which none stands out, and those that no learned
+    language explains (most letters in another script, or n-grams nearer to chance than to labelled text). The model learns
+    from the labelled documents themselves; lang stays as it was."""
+    found = language_id.annotate(docs.drop("lang_pred", "score", "spans"), language_id.fit(docs), evidence=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & F.col("supported")).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,11 +148,18 @@ class Model:
                 written[k, named[r.at]] += r.n
         self.logp = np.zeros((BUCKETS + 1, len(self.langs)), np.float32)  # the spare bucket says nothing
         self.logp[:BUCKETS] = np.log((seen + 0.2) / (seen.sum(1, keepdims=True) + 0.2 * BUCKETS)).T
+        # half way between how well the worst known language tells its own labelled text and chance, and how far grams stray
+        own = self.logp[:BUCKETS].T.astype(np.float64)
+        total = np.maximum(seen.sum(1), 1)
+        mean = (seen * own).sum(1) / total
+        self.level = float((mean.min(initial=0.0) - np.log(BUCKETS)) / 2)
+        self.stray = float(np.sqrt(np.maximum((seen * own**2).sum(1) / total - mean**2, 0)).max(initial=0.0))
         self.able = (written >= np.maximum(least_share * written.sum(1, keepdims=True), 1)).T[named]
 
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str], told: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores of all words in order (at most 0, at least -MOST; languages of other scripts have the least; all 0 when no
-        language has the script), the words' places in the texts joined, and their lengths."""
+        language has the script), the words' places in the texts joined, and their lengths. To ``told`` is added, for each word,
+        the log probability of its n-grams in the likeliest language of its script, or nan if no language has that."""
         out, places, sizes = [], [], []
         for points, start, end, at in pieces(texts, self.alphabet):
             grams, first = gram_buckets(points, start, end, self.alphabet)
@@ -161,7 +168,10 @@ class Model:
             sums += self.logp.take(grams[2], axis=0)
             own = np.add.reduceat(sums, first, axis=0)
             able = self.able[scripts_of(points[start])]
-            own -= np.where(able, own, -np.inf).max(1, keepdims=True, initial=-1e9)
+            best = np.where(able, own, -np.inf).max(1, keepdims=True, initial=-1e9)
+            if told is not None:
+                told.append(np.where(able.any(1), best[:, 0], np.nan))
+            own -= best
             own = np.where(able, np.maximum(own, -MOST), -MOST)
             own[~able.any(1)] = 0
             out.append(own.astype(np.float32))
@@ -216,8 +226,18 @@ def identified(own: np.ndarray, place: np.ndarray, size: np.ndarray, length: int
     return model.langs[int(weight.argmax())], float(weight.max() / weight.sum()), spans
 
 
-def identify(shared, penalty: float, at: int):
-    """Appends lang_pred, score and spans to the columns, of which number ``at`` is the text."""
+def supported(told: np.ndarray, size: np.ndarray, model: Model) -> bool:
+    """Whether the words are of a learned language: at least half of the letters are in a script of one, and the words' n-grams
+    are as likely as the model's level, less three standard errors of a mean of so many."""
+    known = ~np.isnan(told)
+    if not len(told) or 2 * size[known].sum() < size.sum():
+        return False
+    grams = 3 * int((size[known] + 1).sum())  # of size letters and two ends: size + 2, size + 1 and size
+    return bool(told[known].sum() / grams >= model.level - 3 * model.stray / np.sqrt(grams))
+
+
+def identify(shared, penalty: float, at: int, evidence: bool = False):
+    """Appends lang_pred, score and spans to the columns, of which number ``at`` is the text, and supported if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -225,12 +245,18 @@ def identify(shared, penalty: float, at: int):
         for batch in batches:
             for part in slices(batch, at, PIECE):
                 texts = [x or "" for x in part.column(at).to_pylist()]
-                scores, place, size = model.scores(texts)
+                told: list | None = [] if evidence else None
+                scores, place, size = model.scores(texts, told)
                 begin = np.cumsum([0, *map(len, texts)])
                 word = np.searchsorted(place, begin)
                 found = [identified(scores[a:b], place[a:b] - begin[i], size[a:b], len(texts[i]), model, penalty) for i, (a, b) in enumerate(zip(word, word[1:], strict=False))]
                 columns = [*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], span)]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score", "spans"])
+                names = [*part.schema.names, "lang_pred", "score", "spans"]
+                if evidence:
+                    each = np.concatenate(told) if told else np.zeros(0)
+                    columns.append(pa.array([supported(each[a:b], size[a:b], model) for a, b in zip(word, word[1:], strict=False)], pa.bool_()))
+                    names.append("supported")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -247,19 +273,21 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     return Model(counts.collect(), alphabet)  # at most languages * (BUCKETS + scripts) rows
 
 
-def annotate(df: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+def annotate(df: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY, evidence: bool = False) -> DataFrame:
     """df with lang_pred, score and spans (characters start to end - 1 and their language) added; columns of these names that
     it has are replaced.
 
     lang_pred is the language of most letters; ``und`` with score 0 and no spans if the text is null or has no letter, or if
     nothing was learned. The score is the share of letters in that language if there are several; else its probability against
     the others over up to 20 average words, so short texts are less sure. Whole texts of any length are read; ties take the
-    language that is first by name. Repeated rows come out repeated, null ids as null; an empty table gives no rows."""
+    language that is first by name. Repeated rows come out repeated, null ids as null; an empty table gives no rows.
+    With ``evidence`` a column supported is added: whether any learned language explains the text, which the score, a comparison
+    of the languages with each other, does not say."""
     small_batches(df.sparkSession)
-    rows = df.drop("lang_pred", "score", "spans")
+    rows = df.drop("lang_pred", "score", "spans", *(["supported"] if evidence else []))
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>").fields])
-    return rows.mapInArrow(identify(shared, penalty, rows.columns.index(text_col)), schema)
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>" + (", supported boolean" if evidence else "")).fields])
+    return rows.mapInArrow(identify(shared, penalty, rows.columns.index(text_col), evidence), schema)
 
 
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):

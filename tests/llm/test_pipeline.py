@@ -56,3 +56,13 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_order_of_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "packing"] and jaccard_join
+
+
+def test_texts_of_no_learned_language_go(spark):
+    rnd = random.Random(4)
+    words = {"en": ["the", "house", "and", "water", "with", "other"], "fr": ["le", "maison", "et", "avec", "eau", "autre"], "de": ["das", "haus", "und", "wasser", "mit", "andere"], "es": ["la", "casa", "agua", "con", "otro", "pero"]}
+    rows = [(10 * i + j, " ".join(rnd.choice(own) for _ in range(200)), lang) for i, (lang, own) in enumerate(words.items()) for j in range(10)]
+    noise = " ".join("".join(rnd.choice("bcdfghjkqvwxyz") for _ in range(7)) for _ in range(60))
+    rows += [(100, "สวัสดีครับ " * 30, None), (101, "你好世界 " * 30, None), (102, noise, None), (103, "the house " + "สวัสดีครับ " * 30, None), (104, "the house", None), (105, "你好", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {*range(40), 104}
