@@ -31,10 +31,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id. Documents without words are in no group."""
-    groups = jaccard_join.near_duplicates(docs)
-    copies = materialize(groups.filter("doc_id != component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, the one of the smallest id. Documents without words are in no group. Rows
+    of one id and different texts are judged apart; of rows that repeat id and text one stays, as of copies with a null id."""
+    return jaccard_join.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,21 @@ def test_texts_of_no_learned_language_go(spark):
     rows += [(100, "สวัสดีครับ " * 30, None), (101, "你好世界 " * 30, None), (102, noise, None), (103, "the house " + "สวัสดีครับ " * 30, None), (104, "the house", None), (105, "你好", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {*range(40), 104}
+
+
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    rnd = random.Random(6)
+    text = lambda: " ".join(str(rnd.random()) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [
+        (1, a, "x"), (2, near(a), "x"), (2, b, "x"),  # one id, two texts: only the copy goes
+        (3, c, "z"), (3, c, "y"), (3, c, "y"), (4, near(c), "x"),  # repeated rows
+        (None, d, "x"), (None, d, "x"), (None, near(d), "x"), (None, e, "x"), (9, near(e), "x"),  # null ids
+        (5, "", "x"), (5, "", "x"), (None, None, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert len([r for r in got if r[0] is None and r[1] in (d, near(d))]) == 1
+    rest = [r for r in got if not (r[0] is None and r[1])]
+    assert sorted(rest, key=str) == sorted([(1, a, "x"), (2, b, "x"), (3, c, "y"), (9, near(e), "x"), (5, "", "x"), (5, "", "x"), (None, None, "x")], key=str)
