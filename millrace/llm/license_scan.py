@@ -1,7 +1,8 @@
 """Licence scans with DataFrame functions only.
 
-Every text is cut into sentences and lines; those that hold an anchor term become sparse TF-IDF vectors, whose cosine with
-the templates' vectors comes from a join on terms. The inverse document frequencies are those of the template table, which
+Every text is cut into sentences and lines, and so are its lines joined by paragraph and by two and three neighbours, for
+notices are wrapped; pieces that share enough of a template to reach the threshold become sparse TF-IDF vectors, whose cosine
+with the templates' vectors comes from a join on terms. The inverse document frequencies are those of the template table, which
 is small by nature and is the only thing broadcast; words outside it count in the norm with the largest weight. A file with
 no licence of its own takes that of the licence file in its nearest ancestor directory: nearest licences are found once per
 directory by joining its ancestor paths, then joined to files by directory.
@@ -33,6 +34,7 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Proprietary", "All rights reserved."),
 ]
+#: The SQL twin compares only lines with one of these; the job compares all pieces.
 ANCHORS = ["licens", "licenc", "rights reserved", "public domain", "permission is hereby granted", "free software"]
 TERM = "[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 THRESHOLD = 0.6
@@ -53,18 +55,46 @@ def template_weights(spark: SparkSession, templates: list[tuple[str, str]]) -> t
     return idf, weights.join(norms, "template").select("term", "template", "license", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def sentences(text):
+    return F.split(F.regexp_replace(text, r"([.!?])\s+(\p{Lu})", "$1\n$2"), "\n")
+
+
+def pieces_of(text):
+    """Sentences within lines, within two and three neighbouring lines, and within paragraphs of lines joined; the marks that
+    begin the lines of a comment are left out of what is joined."""
+    lines = F.split(F.regexp_replace(text, r"\r?\n[ \t/#*;%-]*", "\n"), "\n")
+    beside = lambda near, k: F.zip_with(near, F.slice(lines, k, F.size(lines)), lambda a, b: F.concat_ws(" ", a, b))
+    two = beside(lines, 2)
+    joined = F.concat(two, beside(two, 3), F.split(F.regexp_replace(F.array_join(lines, "\n"), r"([^\n])\n(?=[^\n])", "$1 "), "\n"))
+    return F.concat(sentences(text), F.flatten(F.transform(joined, sentences)))
+
+
+def able_to_reach(weights: DataFrame, threshold: float):
+    """A test of texts: can a piece of it have the cosine? By Cauchy and Schwarz a piece's cosine is at most the root of the
+    shared terms' squared weights. The terms are found once a text, so they are bound by a lambda."""
+    held: dict[int, dict[str, float]] = {}
+    for r in weights.collect():  # the templates' terms
+        held.setdefault(r.template, {})[r.term] = r.weight**2
+    every = F.array(*map(F.lit, sorted({t for own in held.values() for t in own})))
+    shares = F.array(*(F.create_map(*(F.lit(x) for pair in own.items() for x in pair)) for own in held.values()))
+    mass = lambda own, known: F.aggregate(known, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(own, t), F.lit(0.0)))
+    enough = lambda known: (F.size(known) > 1) & F.exists(shares, lambda own: mass(own, known) >= threshold**2 - 1e-6)
+    return lambda text: F.exists(F.array(F.array_intersect(terms(text), every)), enough)
+
+
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files: (path, text). (path, license, score) of files with a notice; the best score wins, then the first name."""
+    """files: (path, text). (path, license, score) of files with a notice; the best score wins, then the first name. A
+    single shared word (German Mit) is no notice."""
     idf, weights = template_weights(files.sparkSession, templates)
-    held = lambda c: F.array_contains(F.transform(F.array(*map(F.lit, ANCHORS)), lambda a: F.contains(F.lower(c), a)), True)
-    pieces = F.filter(F.split(F.regexp_replace("text", r"([.!?])\s+(\p{Lu})", "$1\n$2"), "\n"), held)
-    found = files.filter(held(F.col("text"))).select("path", F.posexplode(F.array_distinct(pieces)).alias("seg", "piece"))
+    able = able_to_reach(weights, threshold)
+    pieces = F.filter(F.array_distinct(pieces_of(F.col("text"))), able)
+    found = files.filter(able(F.col("text"))).select("path", F.posexplode(pieces).alias("seg", "piece"))
     counts = found.select("path", "seg", F.explode(terms(F.col("piece"))).alias("term")).groupBy("path", "seg", "term").agg(F.count("*").alias("tf"))
     most = F.log(F.lit(1.0 + len(templates))) + 1
     weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", most))
     weighed = weighed.select("path", "seg", "term", "w", F.sqrt(F.sum(F.col("w") * F.col("w")).over(_segment())).alias("norm"))
-    cosine = weighed.join(F.broadcast(weights), "term").groupBy("path", "seg", "template", "license").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("score"))
-    best = cosine.filter(F.round("score", 9) >= threshold).groupBy("path").agg(F.min(F.struct(-F.round("score", 9), "license")).alias("b"))
+    cosine = weighed.join(F.broadcast(weights), "term").groupBy("path", "seg", "template", "license").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("score"), F.count("*").alias("shared"))
+    best = cosine.filter((F.round("score", 9) >= threshold) & (F.col("shared") > 1)).groupBy("path").agg(F.min(F.struct(-F.round("score", 9), "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"))
 
 

@@ -30,3 +30,17 @@ def test_scores_and_inheritance(spark):
     assert got["/a/b/c/z.py"].own_license == "Apache-2.0" and abs(got["/a/b/c/z.py"].score + cosine_of(apache)[0]) < 1e-6 and got["/a/b/c/z.py"].inherited_from is None
     assert (got["/d/e.txt"].license, got["/d/e.txt"].inherited_from) == ("Proprietary", "") and got["top.txt"].license is None
     assert got["/long.txt"].own_license == "MIT" and scan(df.limit(0)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    files = {
+        "/mpl.c": ("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\nint x;", "MPL-2.0"),
+        "/mpl2.c": ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, version 2.0.\n", "MPL-2.0"),
+        "/bsd.go": ("# Use of this source code is governed by a BSD-style\n# license that can be found in the LICENSE file.\n", "BSD-3-Clause"),
+        "/cc0.md": ("This work is dedicated to the public\ndomain under CC0 1.0.\n", "CC0-1.0"),
+        "/narrow.c": (" * This program is free\n * software: you can redistribute\n * it and/or modify it under\n * the terms of the GNU\n * General Public License,\n * version 3.\n", "GPL-3.0"),
+        "/de.txt": ("Das ist alles. Mit. Und mehr.\n", None),
+        "/plain.txt": ("The public house is subject to the terms\nof this file, and you may not use it.\n", None),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
+    assert {r.path: r.own_license for r in scan(df).collect()} == {p: name for p, (_, name) in files.items()}
