@@ -3,11 +3,13 @@
 Every line has a 64-bit hash; a chunk ends behind a line where a rolling hash over the last two line hashes is divisible by
 ``divisor``, and before and behind every line of ``long_line`` words or more, so that boundaries move with the lines and not
 with their positions. A chunk counts if it has two lines or more or is such a long line. A short passage may hold no whole
-chunk, so the rolling windows of two lines are looked up as well: a run of lines whose windows all repeat is a repeated
-passage if it has ``long_line`` words or more. Hashes of chunks and windows (no text) are aggregated over the corpus to the
-first place and the number of places of each. Only the bytes of what repeats are then compared with those of
-the first place (the smallest doc_id and position), after equal bytes have been combined inside each batch, and copies that
-agree are removed from every document but that first place.
+chunk, so the rolling windows of two lines (none of them long) are looked up as well: a run of lines whose chunks and windows
+all repeat is a repeated passage if it has ``long_line`` words or more. Hashes of chunks and windows (no text) are aggregated
+over the corpus to the first place (the smallest doc_id, then position) and the number of places of each. The places then
+join their texts once; equal bytes are combined in the tasks and grouped by their whole bytes, which shows any hash that
+stands for two byte strings; those are told apart by their bytes. Copies go from every place but the first, and no line of a
+first place goes, however many other passages it is part of. (A chunk that is the first with its boundaries, but whose lines
+stand in a row at an earlier place by its windows, is a copy of those.)
 """
 
 from __future__ import annotations
@@ -15,121 +17,139 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 
-from millrace.llm.scratch import materialize, shuffle_width
+from millrace.llm.hashing import slices
+from millrace.llm.scratch import materialize
 
 DIVISOR = 2
 LONG_LINE = 50
 WINDOW = 1 << 30  # places from here on are windows, by their first line
-CHUNKS = "doc_id bigint, key bigint, pos int, hash bigint, length int"
-BYTES = "hash bigint, length int, first boolean, text binary, members array<struct<key:bigint,pos:int>>"
-GONE = "members array<struct<key:bigint,pos:int>>"
+CHUNKS = "doc_id bigint, k1 bigint, k2 bigint, pos int, hash bigint, length int"
+TEXTS = "hash bigint, length int, text binary"
+PLACED = "hash bigint, length int, text binary, doc_id bigint, k1 bigint, k2 bigint, pos int"
+TOLD = "array<struct<pos:int,first:boolean,f1:bigint,f3:int,alone:boolean>>"
+ADDED = ["lines", "removed_lines", "removed_chunks"]
 
 
-def chunks_of(text: bytes, divisor: int, long_line: int) -> list[tuple[int, int, int, bool]]:
-    """(first line, past the last line, start byte, whether it counts) of the chunks; a last entry closes the list."""
-    lines = text.split(b"\n")
-    out, first, at, before, here = [], 0, 0, 0, 0
+def is_long(line: bytes, long_line: int) -> bool:
+    return len(line) >= 2 * long_line - 1 and len(line.split()) >= long_line
+
+
+def chunks_of(lines: list[bytes], divisor: int, long_line: int) -> list[tuple[int, int]]:
+    """(first line, past the last line) of the chunks that count."""
+    out, first, before = [], 0, 0
     for i, line in enumerate(lines):
-        is_long = len(line) >= 2 * long_line - 1 and len(line.split()) >= long_line
-        if is_long and first < i:
-            out.append((first, i, at, i - first > 1))
-            first, at = i, here
+        alone = is_long(line, long_line)
+        if alone:
+            if i - first > 1:
+                out.append((first, i))
+            first = i
         own = int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little")
-        here += len(line) + 1
-        if is_long or (own * 0x9E3779B97F4A7C15 + before * 0xD6E8FEB86659FD93 >> 17) % divisor == 0 or i == len(lines) - 1:
-            out.append((first, i + 1, at, is_long or i > first))
-            first, at = i + 1, here
+        if alone or (own * 0x9E3779B97F4A7C15 + before * 0xD6E8FEB86659FD93 >> 17) % divisor == 0 or i == len(lines) - 1:
+            if alone or i > first:
+                out.append((first, i + 1))
+            first = i + 1
         before = own
-    return out + [(len(lines), len(lines), len(text) + 1, False)]
+    return out
 
 
-def _whole(text: bytes, found: list, j: int) -> bytes:
-    """Bytes of chunk j, without the newline behind it."""
-    return text[found[j][2] : found[j + 1][2] - 1]
-
-
-def windows_of(text: bytes) -> list[bytes]:
+def places_of(text: bytes, divisor: int, long_line: int) -> tuple[list[bytes], dict[int, tuple[int, int]]]:
+    """The lines, and by place the lines (first, past the last) of every chunk and window."""
     lines = text.split(b"\n")
-    return [a + b"\n" + b for a, b in zip(lines, lines[1:], strict=False)]
+    places = dict(enumerate(chunks_of(lines, divisor, long_line)))
+    alone = [is_long(x, long_line) for x in lines]
+    places.update((WINDOW + i, (i, i + 2)) for i in range(len(lines) - 1) if not alone[i] and not alone[i + 1])
+    return lines, places
 
 
-def chunk_hashes(divisor: int, long_line: int):
+def digest(data: bytes, kind: int) -> int:
     import xxhash
 
+    return xxhash.xxh3_64_intdigest(data, kind) - (1 << 63)
+
+
+def _texts(part: pa.RecordBatch, name: str) -> Iterator[bytes]:
+    return (x.as_py() or b"" for x in part.column(name).cast(pa.large_binary()))
+
+
+def place_hashes(divisor: int, long_line: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
         for batch in batches:
-            rows = []
-            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
-                text = text.as_py() or b""
-                found = chunks_of(text, divisor, long_line)
-                for j, (_, _, _, counts) in enumerate(found[:-1]):
-                    if counts:
-                        own = _whole(text, found, j)
-                        rows.append((doc, key, j, xxhash.xxh3_64_intdigest(own) - (1 << 63), len(own)))
-                for i, own in enumerate(windows_of(text)):
-                    rows.append((doc, key, WINDOW + i, xxhash.xxh3_64_intdigest(own, 1) - (1 << 63), len(own)))
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "key", "pos", "hash", "length"])
+            for part in slices(batch, "text"):
+                rows = []
+                for doc, k1, k2, text in zip(*(part.column(i).to_pylist() for i in range(3)), _texts(part, "text"), strict=True):
+                    lines, places = places_of(text, divisor, long_line)
+                    for pos, (a, b) in places.items():
+                        own = b"\n".join(lines[a:b])
+                        rows.append((doc, k1, k2, pos, digest(own, pos >= WINDOW), len(own)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "k1", "k2", "pos", "hash", "length"])
 
     return run
 
 
 def repeated_bytes(divisor: int, long_line: int):
-    """(key, text, repeats: pos, hash, length, first) to the bytes of repeated chunks, equal ones of a batch combined."""
-    kind = pa.schema([("hash", pa.int64()), ("length", pa.int32()), ("first", pa.bool_()), ("text", pa.binary()), ("members", pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())])))])
+    """(text, repeats: pos, hash, length, first) to the distinct (hash, length, bytes) of each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
-            groups: dict[tuple, list] = {}
-            for key, text, repeats in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), strict=True):
-                text = text.as_py() or b""
-                found = chunks_of(text, divisor, long_line)
-                windows = windows_of(text)
-                inside = set()  # lines of repeated chunks, whose windows need no comparison of their own
-                for x in sorted(repeats, key=lambda x: x["pos"]):
-                    i = x["pos"] - WINDOW
-                    if i < 0:
-                        own = _whole(text, found, x["pos"])
-                        inside.update(() if x["first"] else range(*found[x["pos"]][:2]))
-                    elif not x["first"] and i in inside and i + 1 in inside:
-                        continue
-                    else:
-                        own = windows[i]
-                    groups.setdefault((x["hash"], x["length"], x["first"], own), []).append({"key": key, "pos": x["pos"]})
-            rows = [{"hash": h, "length": n, "first": first, "text": text, "members": members} for (h, n, first, text), members in groups.items()]
-            for a in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_pylist(rows[a : a + 500], schema=kind)
+            for part in slices(batch, "text"):
+                found = set()
+                for text, repeats in zip(_texts(part, "text"), part.column("repeats").to_pylist(), strict=True):
+                    lines, places = places_of(text, divisor, long_line)
+                    found.update((x["hash"], x["length"], b"\n".join(lines[slice(*places[x["pos"]])])) for x in repeats)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True)], ["hash", "length", "text"])
 
     return run
 
 
-def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members whose bytes equal those of the first place, which leads its (hash, length)."""
-    now, owner = None, None
-    for batch in batches:
-        out = []
-        for h, n, first, text, members in zip(*(batch.column(x).to_pylist() for x in ("hash", "length", "first", "text", "members")), strict=True):
-            if first:
-                now, owner = (h, n), text
-            elif now == (h, n) and text == owner:
-                out.append({"members": members})
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=batch.select(["members"]).schema)
+def bytes_at(divisor: int, long_line: int):
+    """(doc_id, k1, k2, text, repeats: pos, hash, length) to one row per repeat with its bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = []
+                for doc, k1, k2, text, repeats in zip(*(part.column(i).to_pylist() for i in range(3)), _texts(part, "text"), part.column("repeats").to_pylist(), strict=True):
+                    lines, places = places_of(text, divisor, long_line)
+                    rows += [(x["hash"], x["length"], b"\n".join(lines[slice(*places[x["pos"]])]), doc, k1, k2, x["pos"]) for x in repeats]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["hash", "length", "text", "doc_id", "k1", "k2", "pos"])
 
-def remaining(text: bytes, gone: set[int], divisor: int, long_line: int) -> tuple[list[bytes], int, int]:
-    """The lines that stay, how many there were, and how many runs of lines went. Lines of repeated chunks go; lines that only
-    repeated windows hold go if their whole run has long_line words or more."""
-    lines = text.split(b"\n")
-    found = chunks_of(text, divisor, long_line)
-    in_chunk = {i for j in gone if j < WINDOW for i in range(*found[j][:2])}
-    marked = in_chunk | {i for j in gone if j >= WINDOW for i in (j - WINDOW, j - WINDOW + 1)}
+    return run
+
+
+def copies_and_firsts(places: dict[int, tuple[int, int]], repeats: list[dict], told: list[dict]) -> tuple[list[int], list[int]]:
+    """Which repeated places are copies and which are first places. ``told`` replaces what the hashes say of some places."""
+    at = {x["pos"]: x for x in repeats} | {x["pos"]: x for x in told}
+    copies, firsts = [], []
+    for pos, x in at.items():
+        if x.get("alone"):
+            continue
+        first = x["first"]
+        if first and pos < WINDOW:
+            a, b = places[pos]
+            inside = [at.get(WINDOW + i) for i in range(a, b - 1)]
+            if inside and all(w and not w["first"] for w in inside):
+                first = len({(w["f1"], w["f3"] - w["pos"]) for w in inside}) > 1
+        (firsts if first else copies).append(pos)
+    return copies, firsts
+
+
+def remaining(text: bytes, repeats: list[dict], told: list[dict], divisor: int, long_line: int) -> tuple[list[bytes], int, int]:
+    """The lines that stay, how many there were, and how many runs of lines went. Lines of copied chunks go, and the lines of
+    copied windows if their whole run of copied lines has long_line words or more; lines of first places stay."""
+    lines, places = places_of(text, divisor, long_line)
+    copies, firsts = copies_and_firsts(places, repeats, told)
+    in_chunk = {i for j in copies if j < WINDOW for i in range(*places[j])}
+    marked = in_chunk | {i for j in copies if j >= WINDOW for i in range(*places[j])}
     drop: set[int] = set()
     i = 0
     while i < len(lines):
@@ -139,59 +159,81 @@ def remaining(text: bytes, gone: set[int], divisor: int, long_line: int) -> tupl
         run = range(i, end)
         drop.update(run if sum(len(lines[k].split()) for k in run) >= long_line else in_chunk.intersection(run))
         i = max(end, i + 1)
+    drop.difference_update(i for j in firsts for i in range(*places[j]))
     runs = sum(k in drop and k - 1 not in drop for k in range(len(lines)))
     return [x for k, x in enumerate(lines) if k not in drop], len(lines), runs
 
 
+def without_copies(text_at: int, width: int, divisor: int, long_line: int):
+    """Rows of width columns, then repeats and told (places that share their hash with other bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_at):
+                texts, counts = [], []
+                for text, repeats, told in zip(part.column(text_at).to_pylist(), part.column(width).to_pylist(), part.column(width + 1).to_pylist(), strict=True):
+                    left, n, gone, runs = text, 0 if text is None else text.count("\n") + 1, 0, 0
+                    if text is not None and repeats:
+                        kept, n, runs = remaining(text.encode(), repeats, told or [], divisor, long_line)
+                        left, gone = b"\n".join(kept).decode(), n - len(kept)
+                    texts.append(left)
+                    counts.append((n, gone, runs))
+                columns = list(part.columns[:width])
+                columns[text_at] = pa.array(texts, columns[text_at].type)
+                columns += [pa.array(x, pa.int32()) for x in zip(*counts, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:width], *ADDED])
+
+    return run
+
+
+def by_their_bytes(placed: DataFrame, collided: DataFrame, divisor: int, long_line: int) -> DataFrame:
+    """(k1, k2, told) for places whose (hash, length) stands for several byte strings: the first place of their own bytes, and
+    whether they are alone with these."""
+    own = placed.select("doc_id", "k1", "k2", F.explode("repeats").alias("x")).select("doc_id", "k1", "k2", "x.*")
+    own = own.join(collided, ["hash", "length"], "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "hash", "length")).alias("repeats"))
+    rows = placed.select("doc_id", "k1", "k2", "text").join(own, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "repeats").mapInArrow(bytes_at(divisor, long_line), PLACED).distinct()
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "k1", "k2", "pos")
+    first = rows.groupBy("hash", "length", "text").agg(F.min(place).alias("f"), F.count("*").alias("n"))
+    found = rows.join(first, ["hash", "length", "text"])
+    is_first = (F.col("k1") == F.col("f.k1")) & (F.col("k2") == F.col("f.k2")) & (F.col("pos") == F.col("f.pos"))
+    told = F.struct("pos", is_first.alias("first"), F.col("f.k1").alias("f1"), F.col("f.pos").alias("f3"), (F.col("n") == 1).alias("alone"))
+    return found.groupBy("k1", "k2").agg(F.collect_list(told).alias("told"))
+
+
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
     """All rows and columns of df, with the text column cleaned, and lines, removed_lines and removed_chunks (int; runs of lines) added.
 
-    Lines are split at newlines. A document of which every chunk is gone has an empty text. Null text stays null (no lines)
+    Lines are split at newlines. A document of which every line is gone has an empty text. Null text stays null (no lines)
     and an empty text stays empty (one line). Rows that repeat id and text are one document and keep the same text; rows of
     equal id and different text are told apart. A null id orders before all others. An empty table gives no rows. If df has
-    columns named lines, removed_lines or removed_chunks, they are replaced."""
-    spark = df.sparkSession  # joins are merge joins at every size: both sides grow with the documents
-    parts = shuffle_width(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    chunks = materialize(rows.filter("text is not null").mapInArrow(chunk_hashes(divisor, long_line), CHUNKS), "chunks")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "key", "pos")
-    spread = chunks.groupBy("hash", "length").agg(F.min(place).alias("first"), F.count("*").alias("places")).filter("places > 1")
-    spread = materialize(spread.select("hash", "length", F.col("first.key").alias("first_key"), F.col("first.pos").alias("first_pos")), "repeated-chunks")
-    is_first = (F.col("key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos"))
-    repeats = chunks.join(spread.hint("merge"), ["hash", "length"]).select("key", F.struct("pos", "hash", "length", is_first.alias("first")).alias("x"))
-    repeats = materialize(repeats.groupBy("key").agg(F.collect_set("x").alias("repeats")), "repeats-by-document")  # at most the chunks of one document
-    compared = (
-        rows.join(repeats.hint("merge"), "key").select("key", "text", "repeats").mapInArrow(repeated_bytes(divisor, long_line), BYTES)
-        .repartition(parts, "hash", "length").sortWithinPartitions("hash", "length", F.col("first").desc()).select("hash", "length", "first", "text", "members")
-        .mapInArrow(agreeing, GONE).select(F.explode("members").alias("m")).groupBy("m.key").agg(F.collect_set("m.pos").alias("gone"))
-    )
-    compared = materialize(compared, "removed-chunks")
-    keyed = df.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    joined = keyed.join(compared.withColumnRenamed("key", "__key").hint("merge"), "__key", "left")
-    cleaned = remove_chunks(joined, text_col, divisor, long_line)
-    return cleaned.drop("__key", "gone")
-
-
-def remove_chunks(joined: DataFrame, text_col: str, divisor: int, long_line: int) -> DataFrame:
-    """joined has a nullable array ``gone`` of chunk positions."""
-    @F.pandas_udf("struct<text:string,lines:int,removed_lines:int,removed_chunks:int>")
-    def clean(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, drop in zip(text, gone, strict=True):
-            if t is None:
-                rows.append((None, 0, 0, 0))
-                continue
-            if drop is None or not len(drop):
-                rows.append((t, t.count("\n") + 1, 0, 0))
-                continue
-            left, lines, runs = remaining(t.encode(), {int(x) for x in drop}, divisor, long_line)
-            rows.append((b"\n".join(left).decode(), lines, lines - len(left), runs))
-        return pd.DataFrame(rows, columns=["text", "lines", "removed_lines", "removed_chunks"]).astype({"lines": "int32", "removed_lines": "int32", "removed_chunks": "int32"})
-
-    others = [c for c in joined.columns if c not in ("lines", "removed_lines", "removed_chunks")]
-    out = joined.select(*(F.col(f"`{c}`") for c in others), clean(F.col(text_col), F.col("gone")).alias("__clean"))
-    picked = [F.col("__clean.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in others]
-    return out.select(*picked, "__clean.lines", "__clean.removed_lines", "__clean.removed_chunks")
+    columns named lines, removed_lines or removed_chunks, they are replaced; its other columns may have any names.
+    Documents are told apart by 128 bits of hashes of id and text. The text is shuffled once, to its places."""
+    spark = df.sparkSession  # joins of places are merge joins at every size: both sides grow with the documents
+    df = df.drop(*ADDED)
+    names = df.columns
+    at, width = names.index(text_col), len(names)
+    rows = df.toDF(*(f"c{i}" for i in range(width)))
+    key, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{at}")
+    rows = rows.withColumns({"k1": F.xxhash64(key, text), "k2": F.xxhash64(F.lit(1), text, key), "doc_id": key.cast("long")})
+    places = rows.filter(text.isNotNull()).select("doc_id", "k1", "k2", text.alias("text")).mapInArrow(place_hashes(divisor, long_line), CHUNKS)
+    places = materialize(places, "places")
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "k1", "k2", "pos")
+    repeated = places.groupBy("hash", "length").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    repeated = materialize(repeated.select("hash", "length", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), F.col("first.pos").alias("f3")), "repeated")
+    first = (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & (F.col("pos") == F.col("f3"))
+    repeats = places.join(repeated.hint("merge"), ["hash", "length"]).select("k1", "k2", F.struct("pos", "hash", "length", first.alias("first"), "f1", "f3").alias("x"))
+    repeats = materialize(repeats.groupBy("k1", "k2").agg(F.collect_set("x").alias("repeats")), "repeats")  # at most the places of one document
+    placed = materialize(rows.join(repeats.hint("merge"), ["k1", "k2"], "left"), "placed")
+    with_places = placed.filter(F.col("repeats").isNotNull()).withColumn("text", F.col(f"c{at}"))
+    texts = with_places.select("text", "repeats").mapInArrow(repeated_bytes(divisor, long_line), TEXTS).distinct()
+    collided = materialize(texts.groupBy("hash", "length").agg(F.count("*").alias("n")).filter("n > 1"), "collided")
+    if collided.isEmpty():
+        placed = placed.withColumn("told", F.lit(None).cast(TOLD))
+    else:
+        placed = placed.join(materialize(by_their_bytes(with_places, collided, divisor, long_line), "told"), ["k1", "k2"], "left")
+    columns = [f"c{i}" for i in range(width)]
+    schema = T.StructType([*df.toDF(*columns).schema.fields, *T.StructType.fromDDL(", ".join(f"{x} int" for x in ADDED)).fields])
+    return placed.select(*columns, "repeats", "told").mapInArrow(without_copies(at, width, divisor, long_line), schema).toDF(*names, *ADDED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
