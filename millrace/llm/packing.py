@@ -94,7 +94,7 @@ def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", te
 
     Each document is its token ids and one end id; one longer than the capacity is cut from the back into full pieces, so the
     first may be shorter. Null and empty texts are the end id alone. Repeated ids and rows are packed each by itself; a null
-    id stays null. An empty table gives no rows. Special-token strings inside a text are ordinary text.
+    id stays null. An empty table gives no rows. An added token's string in a text is that token, as tokenizers has it by default.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

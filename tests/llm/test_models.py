@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyspark.sql.functions as F
@@ -86,18 +87,89 @@ def toxic_rows():
 
 def test_classifier_and_counterfactuals(spark):
     df = spark.createDataFrame([(t, x) for _, t, x in toxic_rows()], "text string, toxic int")
-    index, w = X.fit(df)
+    index, w = model = X.fit(df)
     rows = [(1, "you idiot"), (2, "a quiet word1"), (3, "muslim neighbours word3"), (4, None), (5, ""), (1, "you idiot"), (None, "scum"), (6, "word2 " * 50000 + "moron")]
     got = defaultdict(list)
-    for r in X.score(spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double"), (index, w)).collect():
+    for r in X.score(spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double"), model).collect():
         got[r.doc_id].append(r.score)
     assert min(*got[1], *got[None], *got[6]) >= 0.7 > max(*got[2], *got[3], *got[4], *got[5]) and len(got[1]) == 2 and got[4] == got[5]
-    sparse = df.select(F.col("toxic").alias("label"), "text").mapInArrow(X.sparse_rows(spark.sparkContext.broadcast(index)), X.ROWS).collect()
-    terms = [index[t] for t in X.IDENTITY_TERMS]
-    fair, plain = (X.descend(sparse, len(index), terms, penalty=p) for p in (X.PENALTY, 0.0))
-    gap = lambda v: abs(v[index["muslim"]] - v[index["christian"]])
-    assert gap(fair) < 0.5 * gap(plain)
-    assert X.score(spark.createDataFrame([], "doc_id long, text string"), (index, w)).count() == 0
+    plain = X.fit(df, penalty=0.0)
+    logit = lambda m, word: float(np.dot(*(lambda at, value: (m[1][at], value))(*X.features(word, m[0]))))
+    gap = lambda m: abs(logit(m, "muslim") - logit(m, "christian"))
+    assert gap(model) < 0.3 * gap(plain)
+    alarms = lambda m: int((X.mention_scores(m) >= X.THRESHOLD).sum())
+    assert alarms(model) == 0 < alarms(plain)
+    assert X.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_scores_against_plain_python(spark):
+    rnd = random.Random(1)
+    vocabulary = {w: i for i, w in enumerate(["idiot", "idio*", "walk*", "walking", "é"])}
+    w = np.array([2.0, 0.5, -1.0, 3.0, 0.25, -1.5])
+    texts = [" ".join(rnd.choice(["Idiot", "idiots", "walking", "walked", "walk", "É", "x1y"]) for _ in range(rnd.randrange(0, 20))) for _ in range(50)]
+    got = {r.doc_id: r.score for r in X.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (vocabulary, w)).collect()}
+    for i, text in enumerate(texts):
+        words = [x.lower() for x in text.replace("1", " ").split()]
+        counts = [words.count("idiot"), sum(x[:4] == "idio" and len(x) > 4 for x in words), sum(x[:4] == "walk" and len(x) > 4 for x in words), words.count("walking"), words.count("é")]
+        logit = -1.5 + sum(a * np.log(1 + min(n, 5)) for a, n in zip(w, counts))
+        assert abs(got[i] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_vocabulary_against_plain_python(spark):
+    rows = [(t, x) for _, t, x in toxic_rows()]
+    seen = defaultdict(lambda: [0, 0, 0, 0])
+    for text, toxic in rows:
+        words = [w for w in "".join(c if c.isalpha() else " " for c in text).split()]
+        names = [*words, *(f"{w[:k]}*" for w in words for k in (4, 5, 6, 7) if len(w) > k)]
+        for name in set(names):
+            seen[name][1 - toxic] += min(names.count(name), 5)
+            seen[name][3 - toxic] += 1
+    total = [5 * sum(x for _, x in rows), 5 * sum(1 - x for _, x in rows)]
+    seen = {k: v for k, v in seen.items() if v[2] + v[3] >= 3}
+    told = {}
+    for name, (a, b, in_toxic, _) in seen.items():
+        table, n = [[a, b], [total[0] - a, total[1] - b]], sum(total)
+        g = 2 * sum(x * np.log(x * n / (sum(table[i]) * total[j])) for i in (0, 1) for j, x in enumerate(table[i]) if x)
+        if in_toxic >= 2 and g >= np.log(len(seen)):
+            told[name] = g
+    df = spark.createDataFrame(rows, "text string, label int").select("label", "text")
+    assert X.vocabulary_of(df, 9) == sorted(told, key=lambda k: (-round(told[k], 6), k))[:9] and "idiot" in told
+
+
+def test_fit_is_near_the_least_loss():
+    rnd = np.random.default_rng(5)
+    x = rnd.integers(0, 3, (80, 4)).astype(float)
+    y = (x[:, 0] + rnd.random(80) > 1.4).astype(float)
+    change = np.array([[0.0, 0.7, -0.7, 0.0]])
+    rows = [SimpleNamespace(label=int(b), at=np.flatnonzero(a).tolist(), value=a[a > 0].tolist()) for a, b in zip(x, y)]
+
+    def loss(w, penalty):
+        z = x @ w[:-1] + w[-1]
+        return np.mean(np.log1p(np.exp(z)) - y * z) + 5e-5 * w[:-1] @ w[:-1] + penalty * np.mean((change @ w[:-1]) ** 2)
+
+    for penalty in (0.0, 20.0):
+        found = X.descend(rows, [([1, 2], [0.7, -0.7], 3)], 4, penalty)
+        w = np.zeros(5)
+        for _ in range(20_000):  # plain descent along numeric gradients
+            w -= 0.05 * np.array([(loss(w + d, penalty) - loss(w - d, penalty)) / 2e-5 for d in 1e-5 * np.eye(5)])
+        assert loss(found, penalty) < loss(w, penalty) + 2e-3
+    assert abs(found[1] - found[2]) < 0.05
+
+
+def test_swaps_stay_within_language_and_kind():
+    line = {t: set(words.split()) for words in X.IDENTITIES.values() for t in words.split()}
+    assert all(set(other) <= line[t] - {t} and other for t, other in X.SWAP.items())
+    index = {t: i for i, t in enumerate(X.SWAP)}
+    [(at, value), *_] = X.differences("Women and the house", index)
+    assert [list(index)[j] for j in at] == ["women", "men"] and abs(sum(value)) < 1e-6
+    assert list(X.differences("no term here", index)) == []
+
+
+def test_held_out_toxic_documents(spark):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    out = X.query(spark, SMALL).filter("held_out").join(labels, "doc_id")
+    found = out.agg(F.sum("toxic"), F.expr("count_if(toxic = 1 and predicted = 1)"), F.expr("count_if(toxic = 0 and predicted = 1)")).first()
+    assert found[1] >= 0.8 * found[0] and found[2] == 0  # three of the eighteen are junk that holds no toxic word
 
 
 def test_no_toxic_example_gives_low_scores(spark):
