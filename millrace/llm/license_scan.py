@@ -32,10 +32,22 @@ TEMPLATES = [
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Proprietary", "All rights reserved."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind, either express or implied."),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
 ]
-#: The SQL twin compares only lines with one of these; the job compares all pieces.
-ANCHORS = ["licens", "licenc", "rights reserved", "public domain", "permission is hereby granted", "free software"]
 TERM = "[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 THRESHOLD = 0.6
 LICENCE_FILES = ["license", "licence", "copying", "license.txt", "licence.txt", "license.md", "copying.txt"]
@@ -71,25 +83,35 @@ def pieces_of(text):
 
 def able_to_reach(weights: DataFrame, threshold: float):
     """A test of texts: can a piece of it have the cosine? By Cauchy and Schwarz a piece's cosine is at most the root of the
-    shared terms' squared weights. The terms are found once a text, so they are bound by a lambda."""
+    shared terms' squared weights. A template's lightest terms don't reach it all together, so one of its others must be there,
+    which is tested first. The terms are found once a text, so they are bound by a lambda."""
     held: dict[int, dict[str, float]] = {}
     for r in weights.collect():  # the templates' terms
         held.setdefault(r.template, {})[r.term] = r.weight**2
+    heavy = set()
+    for own in held.values():
+        light = 0.0
+        for term, w in sorted(own.items(), key=lambda x: (x[1], x[0])):
+            light += w
+            if light >= threshold**2 - 1e-6:
+                heavy.add(term)
+    heavy = F.array(*map(F.lit, sorted(heavy)))
     every = F.array(*map(F.lit, sorted({t for own in held.values() for t in own})))
     shares = F.array(*(F.create_map(*(F.lit(x) for pair in own.items() for x in pair)) for own in held.values()))
     mass = lambda own, known: F.aggregate(known, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(own, t), F.lit(0.0)))
-    enough = lambda known: (F.size(known) > 1) & F.exists(shares, lambda own: mass(own, known) >= threshold**2 - 1e-6)
+    enough = lambda known: (F.size(known) > 1) & F.arrays_overlap(known, heavy) & F.exists(shares, lambda own: mass(own, known) >= threshold**2 - 1e-6)
     return lambda text: F.exists(F.array(F.array_intersect(terms(text), every)), enough)
 
 
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files: (path, text). (path, license, score) of files with a notice; the best score wins, then the first name. A
-    single shared word (German Mit) is no notice."""
+    single shared word (German Mit) is no notice. A path may have several texts, whose pieces are told apart."""
     idf, weights = template_weights(files.sparkSession, templates)
     able = able_to_reach(weights, threshold)
     pieces = F.filter(F.array_distinct(pieces_of(F.col("text"))), able)
-    found = files.filter(able(F.col("text"))).select("path", F.posexplode(pieces).alias("seg", "piece"))
-    counts = found.select("path", "seg", F.explode(terms(F.col("piece"))).alias("term")).groupBy("path", "seg", "term").agg(F.count("*").alias("tf"))
+    found = files.filter(able(F.col("text"))).select("path", F.explode(pieces).alias("piece")).select("path", F.xxhash64("piece").alias("s1"), F.crc32(F.col("piece").cast("binary")).alias("s2"), "piece")
+    # equal pieces of a path are one here: their counts grow alike, which leaves the cosine as it is
+    counts = found.select("path", F.struct("s1", "s2").alias("seg"), F.explode(terms(F.col("piece"))).alias("term")).groupBy("path", "seg", "term").agg(F.count("*").alias("tf"))
     most = F.log(F.lit(1.0 + len(templates))) + 1
     weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", most))
     weighed = weighed.select("path", "seg", "term", "w", F.sqrt(F.sum(F.col("w") * F.col("w")).over(_segment())).alias("norm"))
@@ -147,7 +169,7 @@ def document_paths(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     files = document_paths(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = scan(files)
-    return files.select("doc_id", "path").join(found, "path").select("doc_id", "path", "own_license", F.round("score", 6).alias("score"), "license", "inherited_from")
+    return files.select("doc_id", "path").join(found, "path", "left").select("doc_id", "path", "own_license", F.round("score", 6).alias("score"), "license", "inherited_from")
 
 
 def _quoted(text: str) -> str:
@@ -163,12 +185,15 @@ tn as (select template, license, term, w / sqrt(sum(w * w) over (partition by te
 f as (select doc_id, text, case when doc_id % 100 = 0 then '/' || doc_id // 100 || '/LICENSE'
                                 when doc_id % 10 = 0 then '/' || doc_id // 100 || '/' || doc_id // 10 || '/LICENSE'
                                 else '/' || doc_id // 100 || '/' || doc_id // 10 || '/' || coalesce(source, 'none') || '/' || doc_id || '.txt' end as path from documents),
-p0 as (select distinct path, unnest(string_split(regexp_replace(text, '([.!?])\s+(\p{{Lu}})', '\1' || chr(10) || '\2', 'g'), chr(10))) as piece from f),
-p as (select *, row_number() over () as seg from p0 where {" or ".join(f"contains(lower(piece), '{a}')" for a in ANCHORS)}),
+li as (select path, text, string_split(regexp_replace(text, '\r?\n[ \t/#*;%-]*', chr(10), 'g'), chr(10)) as l from f where text is not null),
+p0 as (select path, text as x from li union all select path, unnest(list_transform(l, lambda x, i: concat_ws(' ', x, l[i + 1]))) from li union all select path, unnest(list_transform(l, lambda x, i: concat_ws(' ', x, l[i + 1], l[i + 2]))) from li
+       union all select path, unnest(list_transform(regexp_split_to_array(array_to_string(l, chr(10)), '\n\n+'), lambda x: replace(x, chr(10), ' '))) from li),
+p1 as (select distinct path, unnest(string_split(regexp_replace(x, '([.!?])\s+(\p{{Lu}})', '\1' || chr(10) || '\2', 'g'), chr(10))) as piece from p0),
+p as (select *, row_number() over () as seg from p1),
 c as (select path, seg, term, count(*) as tf from (select path, seg, unnest(regexp_extract_all(lower(piece), '{TERM}')) as term from p) group by all),
 w as (select path, seg, term, tf * coalesce(idf, ln({1 + len(TEMPLATES)}.0) + 1) as w from c left join idf using (term)),
 n as (select *, sqrt(sum(w * w) over (partition by path, seg)) as norm from w),
-s as (select path, license, round(sum(w * weight) / min(norm), 9) as score from n join tn using (term) group by path, seg, template, license),
+s as (select path, license, round(sum(w * weight) / min(norm), 9) as score from n join tn using (term) group by path, seg, template, license having count(*) > 1),
 own as (select path, license, score from s where score >= {THRESHOLD} qualify row_number() over (partition by path order by score desc, license) = 1),
 l as (select f.doc_id, f.path, regexp_replace(f.path, '/[^/]*$', '') as dir, own.license, own.score from f left join own on own.path = f.path),
 g as (select dir, min_by(license, path) as given from l where license is not null and lower(regexp_extract(path, '[^/]*$')) in ({", ".join(map(_quoted, LICENCE_FILES))}) group by dir),

@@ -44,3 +44,32 @@ def test_wrapped_notices(spark):
     }
     df = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
     assert {r.path: r.own_license for r in scan(df).collect()} == {p: name for p, (_, name) in files.items()}
+
+
+def test_texts_of_one_path_are_scanned_apart(spark):
+    rows = [("/a/LICENSE", "Released under the MIT License."), ("/a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("/a/LICENSE", "Released under the MIT License."), ("/b/LICENSE", "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.")]
+    got = {r.path: (r.own_license, round(r.score, 9)) for r in scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"/a/LICENSE": ("Apache-2.0", 1.0), "/b/LICENSE": ("Apache-2.0", 1.0)}
+    got = scan(spark.createDataFrame([("/a/LICENSE", "Released under the MIT License."), ("/a/LICENSE", "some Apache notes")], "path string, text string")).first()
+    assert (got.own_license, round(got.score, 9)) == ("MIT", 1.0)
+
+
+def test_files_of_whole_licences(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction, including without limitation the rights.\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
+    bsd = "Copyright 2019 B. Person\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    files = {"/m/LICENSE": (mit, "MIT"), "/b/LICENSE": (bsd, "BSD-2-Clause"), "/i/COPYING": (isc, "ISC"), "/u/LICENSE": ("This is free and unencumbered software released into the public domain.\n", "Unlicense")}
+    df = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
+    assert {r.path: r.own_license for r in scan(df).collect()} == {p: name for p, (_, name) in files.items()}
+
+
+def test_the_bound_loses_no_notice(spark):
+    """Every piece of three to six words of a template, among others: found if and only if its cosine reaches the threshold."""
+    import random
+
+    rnd = random.Random(2)
+    words = sorted({w for _, t in TEMPLATES for w in re.findall(TERM, t.lower())})
+    pieces = [" ".join(rnd.sample(re.findall(TERM, rnd.choice(TEMPLATES)[1].lower()), 3) + rnd.sample(words, rnd.randrange(0, 4))) for _ in range(400)]
+    got = {r.path: r.own_license for r in scan(spark.createDataFrame([(f"/{i}/x", p) for i, p in enumerate(pieces)], "path string, text string")).collect()}
+    best = [cosine_of(p) for p in pieces]
+    assert {f"/{i}/x" for i, b in enumerate(best) if round(-b[0], 9) >= 0.6} == {p for p, name in got.items() if name}
