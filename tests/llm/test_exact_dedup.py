@@ -33,7 +33,7 @@ def test_against_brute_force(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.choice(["", None, "a", "A", "é", "long " * 5000, "hot", "hot", "hot", f"own {i}"])) for i in range(500)] + [(7, "hot"), (7, "hot"), (None, "a"), (None, "only null"), (None, "only null")]
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, owner int, rep string").repartition(9)
-    for trie_bytes in (64 << 20, 10):
-        out = exact_dedup(df, trie_bytes=trie_bytes)
+    for trie_bytes, hot in ((64 << 20, 1000), (10, 1000), (64 << 20, 3), (10, 1)):  # with hot keys from many batches
+        out = exact_dedup(df, trie_bytes=trie_bytes, hot=hot)
         assert sorted((tuple(r) for r in out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=str) == brute(rows)
     assert exact_dedup(df.limit(0)).count() == 0
