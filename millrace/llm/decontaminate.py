@@ -19,7 +19,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from millrace.llm.hashing import K, shingles, slices, word_hashes
-from millrace.llm.scratch import materialize
+from millrace.llm.scratch import materialize, plain, restored, tidied
 
 MATCHES = "doc_id bigint, item_id bigint, item_shingles bigint, shared bigint"
 ITEMS = "item_id bigint, k int, shingles array<bigint>"
@@ -80,8 +80,9 @@ class Index:
 
 
 def search(index):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = index.value
+        found = restored(Index, index.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 words, begin = word_hashes(part.column("text"))
@@ -93,7 +94,8 @@ def search(index):
 
 
 def indexes(items: DataFrame, threshold: float, item_col: str, text_col: str, block: int) -> Iterator:
-    """Broadcast indexes of all items, each of about ``block`` shingles at most."""
+    """Broadcast indexes of all items, each of about ``block`` shingles at most, and whether it is the only one. An index is
+    made when the one before has been used and dropped, so one block at a time is in memory."""
     spark = items.sparkSession
     sets = materialize(items.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(item_sets, ITEMS), "items")
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
@@ -101,7 +103,7 @@ def indexes(items: DataFrame, threshold: float, item_col: str, text_col: str, bl
     for b in range(blocks):
         own = [tuple(r) for r in sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == b).collect()]
         if own:
-            yield spark.sparkContext.broadcast(Index(own, threshold))
+            yield spark.sparkContext.broadcast(plain(Index(own, threshold))), blocks == 1
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", block: int = 1_000_000) -> DataFrame:
@@ -109,29 +111,39 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, id_
     5-word shingles (words lower-cased A-Z, split at white space; an item of fewer words is one shingle of that width).
 
     Null and empty texts, on either side, are in no pair. Rows that repeat an id and text repeat their pairs. ``block`` bounds
-    how many shingles of items a pass holds. An empty table on either side gives no pairs."""
+    how many shingles of items a pass over the documents holds. An empty table on either side gives no pairs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], MATCHES)
-    for index in indexes(items, threshold, item_col, text_col, block):
-        out = out.unionByName(rows.mapInArrow(search(index), MATCHES))
+    for index, only in indexes(items, threshold, item_col, text_col, block):
+        found = rows.mapInArrow(search(index), MATCHES)
+        if not only:
+            found = materialize(found, "contaminated")
+            index.destroy()
+        out = out.unionByName(found)
     return out
 
 
 def without_items(docs: DataFrame, items: DataFrame, threshold: float = 0.75, item_col: str = "item_id", text_col: str = "text", block: int = 1_000_000) -> DataFrame:
-    """The rows of docs, with all columns, that hold no item by the rule of ``contaminated``; no shuffle."""
+    """The rows of docs, with all columns, that hold no item by the rule of ``contaminated``; no shuffle. Column names are
+    not looked at, but for the text's."""
     at = docs.columns.index(text_col)
 
     def only_clean(index):
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = restored(Index, index.value)
             for batch in batches:
                 for part in slices(batch, at):
                     words, begin = word_hashes(part.column(at))
-                    yield part.filter(pa.array([next(index.value.matches(words[a:b]), None) is None for a, b in zip(begin, begin[1:], strict=False)], pa.bool_()))
+                    yield part.filter(pa.array([next(found.matches(words[a:b]), None) is None for a, b in zip(begin, begin[1:], strict=False)], pa.bool_()))
 
         return run
 
-    for index in indexes(items, threshold, item_col, text_col, block):
+    for index, only in indexes(items, threshold, item_col, text_col, block):
         docs = docs.mapInArrow(only_clean(index), docs.schema)
+        if not only:
+            docs = materialize(docs, "clean-of-block")
+            index.destroy()
     return docs
 
 
@@ -144,8 +156,9 @@ SQL = r"""
 with w as (select 0 as item, doc_id as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
            union all
            select 1, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') from benchmark),
-     s as (select distinct item, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from w where len(w) >= 5),
+     k as (select distinct least(5, len(w)) as k from w where item = 1 and len(w) > 0),
+     s as (select distinct item, id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as s from w, k where len(w) >= k and (item = 0 or k = least(5, len(w)))),
      n as (select id, count(*) as n from s where item = 1 group by id),
-     m as (select d.id as doc_id, i.id as item_id, count(*) as shared from s d join s i on d.s = i.s where d.item = 0 and i.item = 1 group by all)
+     m as (select d.id as doc_id, i.id as item_id, count(*) as shared from s d join s i on d.s = i.s and d.k = i.k where d.item = 0 and i.item = 1 group by all)
 select doc_id, item_id, n as item_shingles, shared, round(shared / n, 6) as containment from m join n on n.id = m.item_id where 100 * shared >= 75 * n
 """

@@ -18,7 +18,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 
 from millrace.llm.hashing import slices
-from millrace.llm.scratch import small_batches
+from millrace.llm.scratch import plain, restored, small_batches, tidied
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 16
@@ -111,8 +111,9 @@ def scripts_of(points: np.ndarray) -> np.ndarray:
 
 
 def count_grams(shared):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet = shared.value
+        alphabet = restored(Alphabet, shared.value)
         counts: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -239,8 +240,10 @@ def supported(told: np.ndarray, size: np.ndarray, model: Model) -> bool:
 def identify(shared, penalty: float, at: int, evidence: bool = False):
     """Appends lang_pred, score and spans to the columns, of which number ``at`` is the text, and supported if asked for."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = restored(Model, shared.value)
+        model.alphabet = restored(Alphabet, model.alphabet)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             for part in slices(batch, at, PIECE):
@@ -269,7 +272,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * train_rows / n)))
     small_batches(labelled.sparkSession)
     alphabet = Alphabet()
-    counts = known.select("lang", "text").mapInArrow(count_grams(labelled.sparkSession.sparkContext.broadcast(alphabet)), COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
+    counts = known.select("lang", "text").mapInArrow(count_grams(labelled.sparkSession.sparkContext.broadcast(plain(alphabet))), COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
     return Model(counts.collect(), alphabet)  # at most languages * (BUCKETS + scripts) rows
 
 
@@ -285,7 +288,7 @@ def annotate(df: DataFrame, model: Model, text_col: str = "text", penalty: float
     of the languages with each other, does not say."""
     small_batches(df.sparkSession)
     rows = df.drop("lang_pred", "score", "spans", *(["supported"] if evidence else []))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(plain(model))
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>" + (", supported boolean" if evidence else "")).fields])
     return rows.mapInArrow(identify(shared, penalty, rows.columns.index(text_col), evidence), schema)
 

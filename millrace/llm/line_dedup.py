@@ -23,7 +23,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 
 from millrace.llm.hashing import slices
-from millrace.llm.scratch import materialize
+from millrace.llm.scratch import materialize, tidied
 
 DIVISOR = 2
 LONG_LINE = 50
@@ -77,6 +77,7 @@ def _texts(part: pa.RecordBatch, name: str) -> Iterator[bytes]:
 
 
 def place_hashes(divisor: int, long_line: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
         for batch in batches:
@@ -96,6 +97,7 @@ def place_hashes(divisor: int, long_line: int):
 def repeated_bytes(divisor: int, long_line: int):
     """(text, repeats: pos, hash, length, first) to the distinct (hash, length, bytes) of each slice."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
@@ -113,6 +115,7 @@ def repeated_bytes(divisor: int, long_line: int):
 def bytes_at(divisor: int, long_line: int):
     """(doc_id, k1, k2, text, repeats: pos, hash, length) to one row per repeat with its bytes."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         for batch in batches:
@@ -167,6 +170,7 @@ def remaining(text: bytes, repeats: list[dict], told: list[dict], divisor: int,
 def without_copies(text_at: int, width: int, divisor: int, long_line: int):
     """Rows of width columns, then repeats and told (places that share their hash with other bytes)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_at):

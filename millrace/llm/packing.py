@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 
 from millrace.llm.hashing import slices
-from millrace.llm.scratch import materialize
+from millrace.llm.scratch import materialize, tidied
 from millrace.llm.tokens import encoder, public_file
 
 CAPACITY = 1024
@@ -28,6 +28,7 @@ SLOTS = "length int, lo bigint, hi bigint, each int, first_sequence bigint, firs
 
 
 def cut_pieces(tokenizer: str, capacity: int, end: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from millrace.llm.hashing import slices
-from millrace.llm.scratch import materialize, small_batches
+from millrace.llm.scratch import materialize, small_batches, tidied
 from millrace.llm.tokens import encoder, public_file
 
 LEAF = 256
@@ -153,6 +153,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def plant(tokenizer: str):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
@@ -163,6 +164,7 @@ def plant(tokenizer: str):
 
 
 def change(tokenizer: str):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:

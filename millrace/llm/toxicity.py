@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Row
 
 from millrace.llm.hashing import slices
 from millrace.llm.language_id import held_out
-from millrace.llm.scratch import materialize, small_batches
+from millrace.llm.scratch import materialize, small_batches, tidied
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -121,6 +121,7 @@ def neutral_sentences() -> list[str]:
 
 
 def sparse_rows(shared):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         kind = pa.schema([("label", pa.int32()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
@@ -135,6 +136,7 @@ def sparse_rows(shared):
 
 
 def swap_rows(shared):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         kind = pa.schema([("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
@@ -268,6 +270,7 @@ def score(df: DataFrame, model: tuple[dict[str, int], np.ndarray], id_col: str =
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, w = shared.value
         for batch in batches:
