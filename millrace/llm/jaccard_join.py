@@ -8,15 +8,19 @@
 3. A node orders its shingles rarest first. Those that nobody else holds come first and use up the prefix, which removes most
    nodes; what is left of the prefix is joined on the shingle.
 4. Each prefix shingle first pairs its nodes with one centre (a node of few shingles of its own, such as the original of many
-   copies); links join components, and only nodes that still are in different components are paired with each other. So a
-   large group of near copies costs one pair per member, and no link that could join two components is left out.
+   copies); links join components. While that finds links and many pairs across components are left, further rounds do the
+   same with other centres, each with the nodes that are in other components than it. In the end all nodes that still are in
+   different components are paired with each other. So a large group of near copies costs a few pairs per member, and no link
+   that could join two components is left out.
 5. Pairs pass length, positional and suffix filters and are verified once.
+
+What a task holds at once is bounded by the number of parts, which grows with the shingles counted in the first pass.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +29,17 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from millrace.llm.hashing import shingles, slices, word_hashes
-from millrace.llm.scratch import materialize, shuffle_width
+from millrace.llm.scratch import materialize, shuffle_width, tidied
 
 BITS = 48
 LAST = 65535
 COMMON = 50_000
 SLOTS = 8
 DEAL = 500_000
-FIRST = "row_key bigint, doc_id bigint, node bigint, n bigint, shingle bigint, held bigint"
+PART = 2_000_000
+ROUNDS = 12
+CENTRES = 8
+FIRST = "row_key bigint, doc_id bigint, node bigint, twin bigint, n bigint, shingle bigint, held bigint"
 DEALT = "part int, common boolean, nodes binary, packed binary"
 BACK = "bucket int, nodes binary, packed binary"
 SETS = "node bigint, n bigint, own bigint, rest binary"
@@ -45,31 +52,33 @@ def least_overlap(a, b, percent: int):
     return -((-percent * (a + b)) // (100 + percent))
 
 
-def sets_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(row key, doc id, node, shingles) of each row; the shingles are cut to BITS bits and ascend."""
+def sets_of(batch: pa.RecordBatch, twins: frozenset[int] = frozenset()) -> Iterator[tuple]:
+    """(row key, doc id, node, twin, shingles) of each row; the shingles are cut to BITS bits and ascend. Node and twin are two
+    hashes of the set; for a node in twins, which different sets share, the second one is the node."""
     for part in slices(batch, "text"):
         words, begin = word_hashes(part.column("text"))
         for i, (key, doc) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
             own = np.unique(shingles(words[begin[i] : begin[i + 1]]) >> np.uint64(64 - BITS))
-            node = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-            yield key, doc, node, own
+            node, twin = struct.unpack("<qq", hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+            yield key, doc, twin if node in twins else node, twin, own
 
 
 def survey(share: float):
     """A row per document, and rows (shingle, held) for shingles that at least ``share`` of some hundreds of neighbouring nodes hold."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list, seen: dict) -> pa.RecordBatch:
             if len(seen) >= 50:
                 values, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
                 often = counts >= max(20, share * len(seen))
-                rows += [(None, None, None, None, int(v), int(c)) for v, c in zip(values[often], counts[often], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["row_key", "doc_id", "node", "n", "shingle", "held"])
+                rows += [(None, None, None, None, None, int(v), int(c)) for v, c in zip(values[often], counts[often], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["row_key", "doc_id", "node", "twin", "n", "shingle", "held"])
 
         for batch in batches:
             rows, seen, size = [], {}, 0
-            for key, doc, node, own in sets_of(batch):
-                rows.append((key, doc, node, len(own), None, None))
+            for key, doc, node, twin, own in sets_of(batch):
+                rows.append((key, doc, node, twin, len(own), None, None))
                 if len(own) and node not in seen:
                     seen[node] = own
                     size += len(own)
@@ -83,8 +92,9 @@ def survey(share: float):
 
 
 def deal(parts: int, shared):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
+        common, twins = shared.value
 
         def out(held: dict) -> Iterator[pa.RecordBatch]:
             nodes = np.array([(k, len(v)) for k, v in held.items()], _NODE)
@@ -110,7 +120,7 @@ def deal(parts: int, shared):
 
         for batch in batches:
             held, size = {}, 0
-            for _, _, node, own in sets_of(batch):
+            for _, _, node, _, own in sets_of(batch, twins):
                 if len(own) and node not in held:
                     held[node] = own
                     size += len(own)
@@ -155,6 +165,7 @@ def shared_entries(value: np.ndarray, at: np.ndarray, slot: int) -> np.ndarray:
 def count_parts(buckets: int):
     """Rows sorted by part: of every shingle of a part that two nodes or more hold, (node, shingle, nodes) dealt by node."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
@@ -221,6 +232,7 @@ def unpack48(blob: bytes) -> np.ndarray:
 def gather_nodes(percent: int):
     """Rows sorted by bucket: nodes whose prefix reaches shared shingles, with these in rare-first order."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
@@ -259,6 +271,7 @@ def gather_nodes(percent: int):
 
 
 def prefixes(percent: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shingle, node, size, place, alone = [], [], [], [], []
@@ -278,6 +291,7 @@ def prefixes(percent: int):
 def verify(percent: int):
     """Links among (x, y, nx, ny, rest_x, rest_y): a suffix filter by ranges of hashes, then the shared shingles."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (batch.slice(i, 500) for batch in batches for i in range(0, batch.num_rows, 500)):
             links = []
@@ -316,46 +330,84 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def near(a: str, b: str, percent: int):
+    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+
+
+def enough(nx: str, px: str, ny: str, py: str, percent: int):
+    """The positional filter. A pair's first common shingle leaves the most behind it, so a pair that could link passes there,
+    and one that could not passes nowhere: rows can be judged one by one, inside the join."""
+    need = F.ceil(percent * (F.col(nx) + F.col(ny)) / (100 + percent))
+    return F.least(F.col(nx) - F.col(px), F.col(ny) - F.col(py)) >= need
+
+
+def star(rows: DataFrame, orders: list, percent: int) -> DataFrame:
+    """rows: (shingle, node, n, pos, component). Distinct pairs (x, y) of each shingle's first node by every one of ``orders``
+    and its nodes in other components."""
+    centres = [F.min(F.struct(order.alias("o"), "node", "n", "pos", "component")) for order in orders]
+    found = rows.groupBy("shingle").agg(F.array_distinct(F.transform(F.array(*centres), lambda c: F.struct(*(c[x].alias(x) for x in ("node", "n", "pos", "component"))))).alias("c"), F.count("*").alias("nodes"))
+    found = found.filter("nodes > 1").select(F.col("shingle").alias("s"), F.explode("c").alias("c"))
+    found = materialize(found.select("s", F.col("c.node").alias("cx"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cp"), F.col("c.component").alias("cc")), "centres")
+    found = rows.join(found, (F.col("shingle") == F.col("s")) & (F.col("component") != F.col("cc")) & near("n", "cn", percent) & enough("n", "pos", "cn", "cp", percent))
+    return found.select(F.least("node", "cx").alias("x"), F.greatest("node", "cx").alias("y")).distinct()
+
+
+def open_rows(rows: DataFrame) -> DataFrame:
+    """Those of shingles whose nodes are in several components."""
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("shingle")
+    return materialize(rows.join(mixed, "shingle").select("shingle", "node", "n", "pos", "own", "component"), "open-prefixes")
+
+
+def pairs_across(rows: DataFrame, percent: int) -> tuple[int, int]:
+    """About how many pairs of one shingle and different components would pass the positional filter, were all sets equally
+    large, and of how many rows. This decides only how the pairs are looked for."""
+    able = rows.filter(F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent))
+    each = able.groupBy("shingle", "component").agg(F.count("*").cast("double").alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    found = each.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
+    return int(found[1] or 0), int(found[0] or 0)
+
+
 def node_links(df: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """df: (row_key, doc_id, text). Gives (row_key, doc_id, node, n), and (node, component) of nodes in a link, and the links."""
     spark = df.sparkSession
-    width = shuffle_width(spark)
     first = materialize(df.mapInArrow(survey(0.005), FIRST), "survey")
-    rows = first.filter("n is not null").select("row_key", "doc_id", "node", "n")
+    rows = first.filter("n is not null").select("row_key", "doc_id", "node", "twin", "n")
+    twins = rows.groupBy("node").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).filter("a != b").select("node")
+    twins = frozenset(r.node for r in twins.collect())  # chance alone makes them: some tens among 10**11 sets
+    rows = rows.select("row_key", "doc_id", F.when(F.col("node").isin(*twins), F.col("twin")).otherwise(F.col("node")).alias("node") if twins else "node", "n")
+    width = max(shuffle_width(spark), -(-(rows.agg(F.sum("n")).first()[0] or 0) // PART))
     common = first.filter("n is null").groupBy("shingle").agg(F.sum("held").alias("held")).orderBy(F.desc("held"), "shingle").limit(COMMON)
-    common = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in common.collect()], np.int64).view(np.uint64)))  # at most COMMON
-    parts = width
-    dealt = df.mapInArrow(deal(parts, common), DEALT).repartitionById(width, "part").sortWithinPartitions("part")
+    common = np.sort(np.array([r.shingle for r in common.collect()], np.int64).view(np.uint64))  # at most COMMON
+    dealt = df.mapInArrow(deal(width, spark.sparkContext.broadcast((common, twins))), DEALT).repartitionById(width, "part").sortWithinPartitions("part")
     back = dealt.mapInArrow(count_parts(width), BACK).repartitionById(width, "bucket").sortWithinPartitions("bucket")
     sets = materialize(back.mapInArrow(gather_nodes(percent), SETS), "sets")
     prefix = sets.mapInArrow(prefixes(percent), "shingle bigint, node bigint, n bigint, pos bigint, own bigint")
     prefix = materialize(prefix, "prefixes")
-    near = lambda a, b: (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
-
-    def enough(nx: str, px: str, ny: str, py: str):
-        """The positional filter. A pair's first common shingle leaves the most behind it, so a pair that could link passes there,
-        and one that could not passes nowhere: rows can be judged one by one, inside the join."""
-        need = F.ceil(percent * (F.col(nx) + F.col(ny)) / (100 + percent))
-        return F.least(F.col(nx) - F.col(px), F.col(ny) - F.col(py)) >= need
-
-    centre = F.min(F.struct((F.col("own") / F.col("n")).alias("alone"), "node", "n", "pos")).alias("c")
-    centres = materialize(prefix.groupBy("shingle").agg(centre, F.count("*").alias("nodes")).filter("nodes > 1").select("shingle", F.col("c.node").alias("cx"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cp")), "centres")
-    star = prefix.join(centres, (prefix["shingle"] == centres["shingle"]) & (F.col("node") != F.col("cx")) & near("n", "cn") & enough("n", "pos", "cn", "cp"))
-    star_pairs = materialize(star.select(F.least("node", "cx").alias("x"), F.greatest("node", "cx").alias("y")).distinct(), "star-pairs")
-    star_links = materialize(links_among(star_pairs, sets, percent), "star-links")
-    known = components(star_links)
-
-    placed = prefix.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialize(placed, "placed-prefixes")
-    mixed = materialize(placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("shingle"), "mixed")
-    open_ = materialize(placed.join(mixed, "shingle").select("shingle", "node", "n", "pos", "component"), "open-prefixes")
-    other = open_.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"))
-    rest = open_.select(F.col("shingle").alias("s"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
-    rest = rest.join(other, (F.col("s") == F.col("shingle")) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near("nx", "ny") & enough("nx", "px", "ny", "py"))
-    rest = rest.select("x", "y").distinct().join(star_pairs, ["x", "y"], "left_anti")
+
+    left, known, links, tried = prefix.withColumn("component", F.col("node")), None, None, None
+    for k in range(ROUNDS):
+        alone = F.col("own") / F.col("n")
+        chance = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(1 << 20)) / float(1 << 20)
+        pairs = star(left, [alone] if k == 0 else [(alone + 0.01) * (0.2 + chance(CENTRES * k + j)) for j in range(CENTRES)], percent)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "star-pairs")
+        found = materialize(links_among(pairs, sets, percent), "star-links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        n_found, n_pairs = found.count(), pairs.count()
+        if known is None or n_found:
+            known = components(links)
+            placed = prefix.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            left = open_rows(placed)
+        across, held = pairs_across(left, percent)
+        if 10 * n_found <= n_pairs or across <= 2 * held:
+            break
+
+    one = left.select(F.col("shingle").alias("s"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
+    other = left.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"))
+    rest = one.join(other, (F.col("s") == F.col("shingle")) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near("nx", "ny", percent) & enough("nx", "px", "ny", "py", percent))
+    rest = rest.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti")
     more = materialize(links_among(materialize(rest, "rest-pairs"), sets, percent), "rest-links")
-    links = star_links.unionByName(more)
-    return rows, (known if more.isEmpty() else components(links)), links
+    return rows, (known if more.isEmpty() else components(links.unionByName(more))), links.unionByName(more)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -365,7 +417,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is one shingle). Null, empty and blank texts have no shingles, link with nothing and are their own component. Rows that
     repeat an id are rows of their own; all rows of equal sets are in one component. A null id is never the smallest; a
     component of null ids alone has a null component_id. An empty table gives no rows. Shingles are compared by 48 bits of
-    their hashes and sets by 64 bits."""
+    their hashes and sets by 128 bits."""
     rows = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found, known, _ = node_links(rows, percent)
     nodes = found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
