@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from millrace.sources.scratch import stored
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -18,67 +21,120 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, by score and then the smaller id."""
+    if scores.shape[1] <= k:
+        return scores, ids
+    keep = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(scores, keep, 1).min(1, keepdims=True)
+    for i in np.flatnonzero((scores >= least).sum(1) > k):  # ties at the cut
+        keep[i] = np.lexsort((ids[i], -scores[i]))[:k]
+    return np.take_along_axis(scores, keep, 1), np.take_along_axis(ids, keep, 1)
+
+
+def _unit(vectors) -> np.ndarray:
+    v = np.array(list(vectors), float)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def block_search(shared, k: int, step: int = 1024):
+    """shared: (query ids, unit query vectors, and None or for each cell the places of the queries that probe it)."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q, probed = shared.value
+        best, found = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            batch = batch[batch["vector"].notna()]
+            for _, part in batch.groupby("cell") if probed is not None else [(0, batch)]:
+                own = slice(None) if probed is None else probed.get(int(part["cell"].iloc[0]), np.zeros(0, int))
+                for at in range(0, len(part), step):
+                    rows = part.iloc[at : at + step]
+                    scores = np.full((len(ids), len(rows)), -np.inf)
+                    scores[own] = np.round(q[own] @ _unit(rows["vector"]).T, 9) + 0.0
+                    best, found = best_of(np.hstack([best, scores]), np.hstack([found, np.broadcast_to(rows["id"].to_numpy(), scores.shape)]), k)
+        hit = np.isfinite(best)
+        if hit.any():
+            yield pd.DataFrame({"query_id": np.repeat(ids, hit.sum(1)), "id": found[hit], "score": best[hit]})
+
+    return search
+
+
+def query_blocks(queries: DataFrame, most: int) -> Iterator[list]:
+    """Rows of (query_id, vector) without null vectors, at most about ``most`` at a time."""
+    blocks = max(1, -(-queries.count() // most))
+    for b in range(blocks):
+        own = queries.filter(F.col("vector").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
+        if own:
+            yield own
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 4096) -> DataFrame:
-    """Exact cosine search. vectors: (id, vector); queries: (query_id, vector). Gives (query_id, id, score, rank).
+    """Exact cosine search. vectors: (id, vector); queries: (query_id, vector). Gives (query_id, id, score, rank); scores are
+    rounded to nine places, ties go to the smaller id.
 
-    Queries go to the tasks in blocks of at most ``most_queries``; each task keeps its k best per query of every batch, so what
-    is shuffled is k rows per query and batch. Vectors of null or zero length score nothing."""
+    Queries go to the tasks in blocks of about ``most_queries``, one after another, each written before the next is sent; a task
+    keeps k rows per query, which is what is shuffled. Null vectors score nothing, those of length zero score 0."""
     spark = vectors.sparkSession
+    rows, out = vectors.select("id", "vector"), []
     n = queries.count()
-    blocks = max(1, -(-n // most_queries))
-    found = None
-    for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector").collect()
-        if not own:
-            continue
-        matrix = np.array([r.vector for r in own], float)
-        shared = spark.sparkContext.broadcast(([r.query_id for r in own], matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for batch in batches:
-                batch = batch[batch["vector"].notna()]
-                if not len(batch):
-                    continue
-                v = np.array(batch["vector"].tolist(), float)
-                scores = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, keep.shape[1]), "id": batch["id"].to_numpy()[keep.ravel()], "score": np.take_along_axis(scores, keep, 1).ravel()})
-
-        part = vectors.select("id", "vector").mapInPandas(search, "query_id bigint, id bigint, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id bigint, id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    for own in query_blocks(queries.select("query_id", "vector"), most_queries):
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in own]), _unit(r.vector for r in own), None))
+        found = rows.mapInPandas(block_search(shared, k), "query_id bigint, id bigint, score double")
+        if n > most_queries:
+            found = stored(ranked(found, k), "hits")
+            shared.unpersist()
+        out.append(found)
+    if not out:
+        return ranked(spark.createDataFrame([], "query_id bigint, id bigint, score double"), k)
+    return ranked(functools.reduce(DataFrame.unionByName, out), k)
 
 
-def angle(a: Column, b: Column) -> Column:
-    return F.acos(F.least(F.greatest(cosine(a, b), F.lit(-1.0)), F.lit(1.0)))
+def widths(celled: DataFrame, centres: np.ndarray) -> dict[int, float]:
+    """By cell, the largest angle of its vectors with its centre."""
+    unit = _unit(centres)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                angles = np.arccos(np.clip((_unit(batch["vector"]) * unit[batch["cell"].to_numpy()]).sum(1), -1, 1))
+                yield pd.DataFrame({"cell": batch["cell"], "width": angles}).groupby("cell", as_index=False).max()
 
-def search_cells(celled: DataFrame, centres: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """The hits of ``top_k`` by an inverted file. celled: (chunk_id, vector, cell); centres: (cell, centre); queries: (query_id,
-    vector), a batch small enough to broadcast. Gives (query_id, chunk_id, score, rank).
+    return {r.cell: r.width for r in celled.select("cell", "vector").mapInPandas(run, "cell int, width double").groupBy("cell").agg(F.max("width").alias("width")).collect()}  # a row per cell
 
-    The nearest ``probes`` cells give a query its k-th score so far. By the triangle inequality of angles no vector of a cell is
-    nearer than the centre's angle less the cell's widest; cells that could still reach that score are probed too."""
-    asked = queries.select("query_id", F.col("vector").alias("query_vector"))
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
 
-    def found(probed: DataFrame) -> DataFrame:
-        pairs = celled.join(F.broadcast(probed.select("query_id", "cell").join(asked, "query_id")), "cell")
-        return pairs.select("query_id", "chunk_id", cosine(F.col("query_vector"), F.col("vector")).alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+def search_cells(celled: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, most_queries: int = 4096) -> DataFrame:
+    """The hits of ``top_k`` by an inverted file. celled: (id, vector, cell), without null vectors; centres: a row per cell;
+    queries: (query_id, vector). Gives (query_id, id, score, rank).
 
-    width = celled.join(F.broadcast(centres), "cell").groupBy("cell").agg(F.max(angle(F.col("vector"), F.col("centre"))).alias("width"))
-    away = asked.crossJoin(F.broadcast(centres.join(width, "cell"))).select("query_id", "cell", "width", angle(F.col("query_vector"), F.col("centre")).alias("away"))
-    placed = away.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("away", "cell")))
-    first = found(placed.filter(F.col("place") <= probes))
-    least = asked.select("query_id").join(first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least")), "query_id", "left")
-    # angles near 0 are exact to about 1e-8, and scores tie when equal to nine places
-    reach = F.cos(F.greatest(F.col("away") - F.col("width") - 1e-6, F.lit(0.0))) + 1e-8 >= F.coalesce("least", F.lit(-2.0))
-    more = placed.filter(F.col("place") > probes).join(least, "query_id").filter(reach)
-    return first.drop("rank").unionByName(found(more).drop("rank")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    The nearest ``probes`` cells give a query its k-th score so far. By the triangle inequality of angles no vector of a cell is
+    nearer than the centre's angle less the cell's widest; cells that could still reach that score are probed too."""
+    spark, width, out = celled.sparkSession, widths(celled, centres), []
+    wide = np.array([width.get(c, -np.inf) for c in range(len(centres))])
+    schema = "query_id bigint, id bigint, score double"
+    for own in query_blocks(queries.select("query_id", "vector"), most_queries):
+        ids, q = np.array([r.query_id for r in own]), _unit(r.vector for r in own)
+        away = np.arccos(np.clip(q @ _unit(centres).T, -1, 1))
+        near = np.zeros(away.shape, bool)
+        np.put_along_axis(near, np.argsort(away, axis=1, kind="stable")[:, :probes], True, 1)
+
+        def probe(mask: np.ndarray, ids=ids, q=q) -> DataFrame:
+            shared = spark.sparkContext.broadcast((ids, q, {c: np.flatnonzero(mask[:, c]) for c in range(mask.shape[1]) if mask[:, c].any()}))
+            cells = np.flatnonzero(mask.any(0)).tolist()
+            return stored(ranked(celled.filter(F.col("cell").isin(cells)).select("id", "vector", "cell").mapInPandas(block_search(shared, k), schema), k), "probed")
+
+        first = probe(near)
+        least = {r.query_id: r.score for r in first.filter(F.col("rank") == k).select("query_id", "score").collect()}  # a row per query of the block
+        reach = np.array([least.get(x, -2.0) for x in ids.tolist()])[:, None]
+        # angles near 0 are exact to about 1e-8, and scores tie when equal to nine places
+        more = ~near & (np.cos(np.maximum(away - wide - 1e-6, 0.0)) + 1e-8 >= reach) & np.isfinite(wide)
+        found = first.drop("rank")
+        out.append(found.unionByName(probe(more).drop("rank")) if more.any() else found)
+    return ranked(functools.reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema), k)
 
 
 def hashed_encoder(dim: int = 64):
@@ -100,10 +156,12 @@ def hashed_encoder(dim: int = 64):
     return encode
 
 
-def encode_with_cache(texts: DataFrame, cache: DataFrame, encoder, model: str = "hashed-64", most: int = 8192) -> tuple[DataFrame, DataFrame]:
+def encode_with_cache(texts: DataFrame, cache: DataFrame, encoder, model: str = "hashed-64", most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """texts: (id, text). Encodes each distinct text that the cache (key, vector) lacks once; gives (id, key, vector) and the new
-    cache. Texts are cut at ``most`` characters, which is the encoder's input limit and part of the key."""
-    keyed = texts.select("id", F.substring("text", 1, most).alias("text")).withColumn("key", F.sha2(F.concat_ws("\x1f", F.lit(model), F.lit(str(most)), "text"), 256))
+    cache. ``most`` is the input limit of an encoder that has one, in characters, and part of the key; the default one reads
+    whole texts."""
+    text = F.substring("text", 1, most) if most else F.col("text")
+    keyed = texts.select("id", text.alias("text")).withColumn("key", F.sha2(F.concat_ws("\x1f", F.lit(model), F.lit(str(most or "")), "text"), 256))
     missing = keyed.dropDuplicates(["key"]).join(cache, "key", "left_anti").select("key", encoder(F.col("text")).alias("vector"))
     full = cache.select("key", "vector").unionByName(missing)
     return keyed.select("id", "key").join(full, "key"), full

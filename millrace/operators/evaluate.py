@@ -106,6 +106,27 @@ def hallucination(results: DataFrame) -> DataFrame:
     )
 
 
+def sql_report(rows: DataFrame) -> DataFrame:
+    """Samples with their results, a row each: query_type, recalled_sheet_ids, true_sheet_ids, selected_sheet_id, true_sheet_id,
+    predicted_sql, true_sql, predicted_result and true_result (columns, rows), processing_time_ms, sql_error. One row over those
+    of type sql_query: counts, errors, means over the samples that have a truth, and timings; no row without such samples."""
+    own = rows.filter("query_type = 'sql_query'")
+    given = lambda truth, score: F.avg(F.when(truth, score))
+    sheets = F.coalesce(F.size("true_sheet_ids"), F.lit(0)) > 0
+    recalls = [given(sheets, recall(F.col("recalled_sheet_ids"), F.col("true_sheet_ids"), k)).alias(f"sheet_recall_at_{k}") for k in (1, 3, 5)]
+    chosen = F.coalesce(F.col("selected_sheet_id") == F.col("true_sheet_id"), F.lit(False)).cast("double")
+    result = execution_accuracy(F.col("predicted_result.columns"), F.col("predicted_result.rows"), F.col("true_result.columns"), F.col("true_result.rows"))
+    took = F.when(F.col("processing_time_ms") > 0, F.col("processing_time_ms"))
+    ends = F.percentile(took, F.array(F.lit(0.5), F.lit(0.95)))
+    return own.agg(
+        F.count("*").alias("sql_num_samples"), F.count_if("sql_error").alias("sql_error_count"), *recalls,
+        given(F.coalesce(F.col("true_sheet_id"), F.lit("")) != "", chosen).alias("table_selection_accuracy"),
+        given(F.coalesce(F.col("true_sql"), F.lit("")) != "", sql_equal(F.col("predicted_sql"), F.col("true_sql"))).alias("sql_correctness"),
+        given(F.col("true_result").isNotNull(), F.coalesce(result, F.lit(0.0))).alias("execution_accuracy"),
+        F.avg(took).alias("sql_timing_mean_ms"), ends[0].alias("sql_timing_p50_ms"), ends[1].alias("sql_timing_p95_ms"),
+    ).filter("sql_num_samples > 0")
+
+
 def seeds_of_samples(chunks: DataFrame, docs: int = 10) -> DataFrame:
     """chunks: (doc_id, idx, chunk_id, text). Material for new samples of the first documents: the first five chunk ids, and the
     first 20 texts that are not blank among the first 50, joined and cut at 6000 characters."""

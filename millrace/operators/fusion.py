@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from millrace.functions.vectors import cosine
 from millrace.operators.text import tokens
 from millrace.params import DEFAULT, Params
+from millrace.sources.scratch import stored
 
 
 def fetch_size(k: int, params: Params = DEFAULT) -> int:
@@ -53,7 +54,7 @@ def rerank_by_tfidf(candidates: DataFrame, queries: DataFrame, k: int, params: P
     two letters or more, ln((1 + n) / (1 + df)) + 1, unit length."""
     texts = candidates.select("query_id", "chunk_id", "text").unionByName(queries.join(candidates.select("query_id").distinct(), "query_id").select("query_id", F.lit(None).cast("bigint").alias("chunk_id"), F.col("query").alias("text")))
     words = F.filter(tokens(F.col("text"), params), lambda w: F.length(w) > 1)
-    tf = texts.select("query_id", "chunk_id", F.explode(words).alias("term")).groupBy("query_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    tf = stored(texts.select("query_id", "chunk_id", F.explode(words).alias("term")).groupBy("query_id", "chunk_id", "term").agg(F.count("*").alias("tf")), "candidate-terms")
     n = texts.groupBy("query_id").agg(F.count("*").alias("n"))
     df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     weighed = tf.join(df, ["query_id", "term"]).join(n, "query_id").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from millrace.params import DEFAULT, Params
+from millrace.params import DEFAULT
+from millrace.sources.scratch import stored
 
 #: Relations worth following to widen a search.
 WHITELIST = ["ACQUIRED", "RELATED_TO_TECH", "USED_IN", "AFFECTS", "PART_OF", "DEPENDS_ON", "DEVELOPS", "PROVIDES_TECHNOLOGY_FOR", "COMPETES_WITH", "INTEGRATED_INTO", "POWERS", "SUPPORTS"]
@@ -20,17 +22,29 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def seeds(names: DataFrame, terms: DataFrame) -> DataFrame:
-    """names: (name); terms: (query_id, term). Names that contain the term, in any case. Terms are the small side."""
-    return names.join(F.broadcast(terms), F.contains(F.lower("name"), F.lower("term"))).select("query_id", F.col("name").alias("seed"))
+    """names: (name); terms: (query_id, term). (query_id, seed): names that contain the term, in any case. Null and empty terms
+    find nothing."""
+    lower = terms.select("query_id", F.lower("term").alias("needle"))
+    found = contained(names.select(F.col("name").alias("key"), F.lower("name").alias("text")), lower.select("needle"))
+    return found.join(lower, "needle").select("query_id", F.col("key").alias("seed"))
+
+
+def first_links(links: DataFrame, most: int) -> DataFrame:
+    """Of every node, enough links for the first ``most`` paths by target and path that go on from it: its first targets, one
+    more than that for the seed, which is no target, and of each the first links. Both limits apply before the shuffle."""
+    to = Window.partitionBy("a", "b").orderBy(F.concat("predicate", F.lit("]")), "fact_key")
+    few = links.withColumn("rn", F.row_number().over(to)).filter(F.col("rn") <= most + 4).drop("rn")
+    targets = few.select("a", "b").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("rn") <= most + 1).drop("rn")
+    return few.join(targets, ["a", "b"])
 
 
 def k_hops(edges: DataFrame, starts: DataFrame, hops: int = DEFAULT.hops, most: int = DEFAULT.paths_per_seed) -> DataFrame:
     """starts: (query_id, seed). Undirected paths of up to ``hops`` facts, none used twice, that end elsewhere than at the seed:
     query_id, seed, target, distance, relations, path; at most ``most`` for each seed by distance, target and path.
 
-    Shorter paths come first, so a seed that has ``most`` of them goes no further; what a hop extends is fewer than ``most``
-    paths a seed, however large the hubs."""
-    links = both_ways(edges)
+    Shorter paths come first, so a seed that has ``most`` of them goes no further, and a hop follows only those links of a node
+    that can be among the first ``most``: what is joined is bounded for each seed, however large the hubs."""
+    links = stored(first_links(both_ways(edges), most), "links")
     front = starts.distinct().select("query_id", "seed", F.col("seed").alias("target"), F.lit(0).alias("distance"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<string>").alias("used"), F.col("seed").alias("path"), F.lit(0).cast("long").alias("seen"))
     found = None
     ours = Window.partitionBy("query_id", "seed")
@@ -47,19 +61,25 @@ def k_hops(edges: DataFrame, starts: DataFrame, hops: int = DEFAULT.hops, most:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, most: int = 10) -> DataFrame:
-    """pairs: (query_id, source, goal). The shortest undirected paths up to ``depth`` facts, at most ``most`` for each pair."""
-    links = both_ways(edges)
-    front = pairs.select("query_id", "source", "goal", F.col("source").alias("at"), F.array("source").alias("nodes"), F.array().cast("array<string>").alias("relations"))
-    done = None
-    for _ in range(depth):
-        grown = front.join(links, front["at"] == links["a"]).filter(~F.array_contains("nodes", F.col("b")))
-        front = grown.select("query_id", "source", "goal", F.col("b").alias("at"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("relations", F.array("predicate")).alias("relations"))
-        hit = front.filter("at = goal")
+    """pairs: (query_id, source, goal). The shortest undirected paths up to ``depth`` facts, at most ``most`` for each pair, by
+    path and relations.
+
+    Breadth first: each round keeps a node once per query, with its ``most`` first paths from the source, which are enough, for
+    what follows a node is the same behind each of them. A query ends when it has reached its goal."""
+    links = both_ways(edges).select("a", "predicate", "b")
+    front = stored(pairs.select("query_id", "goal", F.col("source").alias("at"), F.col("source").alias("path"), F.lit("").alias("relations")).distinct(), "front")
+    seen = front.select("query_id", "at").distinct()
+    done, order = None, Window.partitionBy("query_id", "at").orderBy("path", "relations")
+    for k in range(depth):
+        grown = front.join(links, front["at"] == links["a"]).join(seen.withColumnRenamed("at", "b"), ["query_id", "b"], "left_anti")
+        grown = grown.select("query_id", "goal", F.col("b").alias("at"), F.concat("path", F.lit(" > "), "b").alias("path"), F.concat_ws(",", F.nullif("relations", F.lit("")), "predicate").alias("relations"))
+        grown = stored(grown.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place"), "front")
+        hit = grown.filter("at = goal").select("query_id", "path", F.lit(k + 1).alias("distance"), "relations")
         done = hit if done is None else done.unionByName(hit)
-        front = front.filter("at <> goal")
-    sized = done.withColumn("distance", F.size("relations")).withColumn("path", F.array_join("nodes", " > "))
-    best = sized.withColumn("least", F.min("distance").over(Window.partitionBy("query_id"))).filter("distance = least")
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("path"))).filter(F.col("place") <= most).select("query_id", "path", "distance", F.array_join("relations", ",").alias("relations"))
+        seen = seen.unionByName(grown.select("query_id", "at").distinct())
+        front = grown.join(hit.select("query_id").distinct(), "query_id", "left_anti").select(*grown.columns)
+    best = Window.partitionBy("query_id").orderBy("path", "relations")
+    return done.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most).select("query_id", "path", "distance", "relations")
 
 
 def relevant(paths: DataFrame, whitelist: list[str] = WHITELIST) -> DataFrame:
@@ -68,14 +88,15 @@ def relevant(paths: DataFrame, whitelist: list[str] = WHITELIST) -> DataFrame:
     return flagged.withColumn("some", F.max("listed").over(Window.partitionBy("query_id"))).filter("listed or not some").drop("listed", "some")
 
 
-def mentions(chunks: DataFrame, names: DataFrame, most_names: int = 100_000) -> DataFrame:
-    """chunks: (chunk_id, text); names: (name). (chunk_id, name) where the text holds the name. Names go to the tasks in blocks of
-    at most ``most_names``, each compiled to one automaton."""
-    spark = chunks.sparkSession
-    blocks = max(1, -(-names.count() // most_names))
-    found = None
+def contained(texts: DataFrame, needles: DataFrame, most: int = 100_000) -> DataFrame:
+    """texts: (key, text); needles: (needle). (key, needle) where the text holds the needle, once per row of texts. Null and
+    empty needles are nowhere. Needles go to the tasks in blocks of about ``most``, each compiled to one automaton and written
+    before the next is sent."""
+    spark, kind = texts.sparkSession, texts.schema["key"].dataType.simpleString()
+    wanted = stored(needles.filter("needle <> ''").select("needle").distinct(), "needles")
+    blocks, out = max(1, -(-wanted.count() // most)), []
     for b in range(blocks):
-        own = [r.name for r in names.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).select("name").distinct().collect() if r.name]
+        own = [r.needle for r in wanted.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).collect()]
         if not own:
             continue
         shared = spark.sparkContext.broadcast(own)
@@ -84,16 +105,25 @@ def mentions(chunks: DataFrame, names: DataFrame, most_names: int = 100_000) ->
             import ahocorasick
 
             automaton = ahocorasick.Automaton()
-            for name in shared.value:
-                automaton.add_word(name, name)
+            for needle in shared.value:
+                automaton.add_word(needle, needle)
             automaton.make_automaton()
             for batch in batches:
-                rows = [(key, name) for key, text in zip(batch["chunk_id"], batch["text"], strict=True) if text for name in {hit for _, hit in automaton.iter(text)}]
-                yield pd.DataFrame(rows, columns=["chunk_id", "name"])
+                rows = [(key, needle) for key, text in zip(batch["key"], batch["text"], strict=True) if text for needle in {hit for _, hit in automaton.iter(text)}]
+                yield pd.DataFrame(rows, columns=["key", "needle"])
 
-        part = chunks.select("chunk_id", "text").mapInPandas(scan, "chunk_id bigint, name string")
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], "chunk_id bigint, name string")
+        part = texts.select("key", "text").mapInPandas(scan, f"key {kind}, needle string")
+        if blocks > 1:
+            part = stored(part, "contained")
+            shared.unpersist()
+        out.append(part)
+    return functools.reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"key {kind}, needle string")
+
+
+def mentions(chunks: DataFrame, names: DataFrame, most_names: int = 100_000) -> DataFrame:
+    """chunks: (chunk_id, text); names: (name). (chunk_id, name) where the text holds the name."""
+    found = contained(chunks.select(F.col("chunk_id").alias("key"), "text"), names.select(F.col("name").alias("needle")), most_names)
+    return found.select(F.col("key").alias("chunk_id"), F.col("needle").alias("name"))
 
 
 def enriched_query(queries: DataFrame, related: DataFrame, most: int = 15) -> DataFrame:
@@ -125,3 +155,15 @@ def related(edges: DataFrame, found_entities: DataFrame, found_subjects: DataFra
     if mode in ("local", "hybrid"):
         reached = reached.unionByName(k_hops(edges, head(found_entities), 2).select("query_id", F.col("target").alias("name")))
     return reached.unionByName(found_entities.select("query_id", "name")).unionByName(found_subjects.select("query_id", "name")).distinct()
+
+
+def with_fallback(records: DataFrame, queries: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """queries: (query_id, query); starts: (query_id, seed). When there are no entity records to search, the queries for plain
+    retrieval: (query_id, query, path), seeds first widened to their related names where a query has any. With records the
+    queries come back as they are."""
+    if not records.isEmpty():
+        return queries.select("query_id", "query", F.lit("entity_index").alias("path"))
+    paths = relevant(k_hops(edges, starts).dropDuplicates(["query_id", "path"]))
+    found = paths.select("query_id", F.col("target").alias("name")).unionByName(starts.select("query_id", F.col("seed").alias("name"))).distinct()
+    seeded = starts.select("query_id", F.lit(True).alias("seeded")).distinct()
+    return enriched_query(queries, found).join(seeded, "query_id", "left").select("query_id", F.trim("query").alias("query"), F.when(F.col("seeded"), "fallback_graph").otherwise("fallback_plain").alias("path"))

@@ -62,6 +62,33 @@ def load_typed(df: DataFrame, mapping: dict[str, str], types: dict[str, str]) ->
     return df.dropna(how="all").select(*(value(c).try_cast(spark_type.get(types.get(c), "string")).alias(new) for c, new in mapping.items()))
 
 
+def filled_rows(cells: DataFrame) -> DataFrame:
+    """cells: (sheet_id, row_no, cells array<string>). Without rows of nulls alone; a sheet of which nothing is left is gone."""
+    return cells.filter(F.exists("cells", lambda c: c.isNotNull()))
+
+
+def sample_rows(cells: DataFrame, most: int = 5) -> DataFrame:
+    """(sheet_id, sample): the first filled rows of each sheet in order."""
+    order = Window.partitionBy("sheet_id").orderBy("row_no", "cells")
+    first = filled_rows(cells).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
+    return first.groupBy("sheet_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "cells"))), lambda x: x["cells"]).alias("sample"))
+
+
+def list_sheets(sheets: DataFrame, doc_ids: DataFrame | None = None) -> DataFrame:
+    """sheets: (doc_id, sheet_index, created_at, ...). Those of the documents (doc_id) by index with their place, or all of them,
+    the newest first."""
+    if doc_ids is None:
+        return sheets.orderBy(F.desc("created_at"), "doc_id", "sheet_index")
+    own = sheets.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet_index")))
+
+
+def delete_sheets(sheets: DataFrame, doc_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sheets that stay, and how many of each document go."""
+    ids = doc_ids.select("doc_id").distinct()
+    return sheets.join(ids, "doc_id", "left_anti"), sheets.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("deleted"))
+
+
 def describe(profiles: DataFrame) -> DataFrame:
     """One row: a Markdown list of the columns."""
     line = F.concat(F.lit("- "), "column", F.lit(" ("), "data_type", F.lit(")"), F.coalesce(F.concat(F.lit(": "), F.array_join("enum", ", ")), F.lit("")))

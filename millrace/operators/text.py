@@ -12,7 +12,9 @@ from pyspark.sql.types import StringType
 
 from millrace.functions.splitter import splitter
 from millrace.params import DEFAULT, Params
+from millrace.sources.scratch import stored
 
+#: Markdown headings, and the form of article numbers.
 HEADING = r"^(#{1,6})\s+(.+)$"
 ARTICLE = "第[零一二三四五六七八九十百千万0-9]+条"
 
@@ -113,7 +115,7 @@ def markdown_tables(docs: DataFrame, keep_empty: bool = False) -> DataFrame:
     cells = cells if keep_empty else F.filter(cells, lambda c: c != "")
     body = F.sort_array(F.collect_list(F.when(piped & ~rule, F.struct("n", cells.alias("cells")))))
     runs = lines.groupBy("doc_id", "run").agg(F.max("starts").alias("table"), F.min("n").alias("ord"), body.alias("body")).filter("table")
-    headers, rows = F.col("body")[0]["cells"], F.transform(F.slice("body", 2, 1_000_000), lambda x: x["cells"])
+    headers, rows = F.col("body")[0]["cells"], F.transform(F.slice("body", F.lit(2), F.size("body")), lambda x: x["cells"])
     return runs.select("doc_id", "ord", headers.alias("headers"), rows.alias("rows"), F.size(rows).alias("num_rows"), F.size(headers).alias("num_cols"))
 
 
@@ -173,7 +175,7 @@ def first_by_prefix(rows: DataFrame, order: list[str], chars: int = 500) -> Data
 def keywords(docs: DataFrame, most: int = 5, params: Params = DEFAULT) -> DataFrame:
     """(doc_id, tags): the words of the largest tf * idf of each document with 20 characters or more, ties by word."""
     docs = docs.filter(F.length(F.trim("text")) >= 20)
-    tf = docs.select("doc_id", F.explode(tokens(F.col("text"), params)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = stored(docs.select("doc_id", F.explode(tokens(F.col("text"), params)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "term-counts")
     idf = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     scored = tf.join(idf, "term").crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))

@@ -149,7 +149,7 @@ bi as materialized (select s || '|' || p || '|' || o as f, s as a, p, o as b fro
 
 def starts(spark, sf_dir):
     names = edges(spark, sf_dir).select(F.col("subject").alias("name")).distinct()
-    terms = table(spark, sf_dir, "nation").filter("n_nationkey < 6").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("ation_"), "n_nationkey").alias("term"))
+    terms = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("ation_"), "n_nationkey").alias("term"))
     return N.seeds(names, terms)
 
 
@@ -193,11 +193,17 @@ def h8_enriched_hits(spark, sf_dir):
     return hits.join(context, "query_id", "left").select("query_id", F.md5(F.coalesce("context", F.lit(""))).alias("context_md5"))
 
 
-def i1_index_search(spark, sf_dir):
+def record_vectors(spark, sf_dir):
+    """Entity records with their vectors; ids are the keys' numbers, those of parts behind those of suppliers."""
     records = E.entity_records(evidence(spark, sf_dir))
-    coded = records.select(F.xxhash64("entity_key").alias("id"), V.hashed_encoder()(F.col("text")).alias("vector"))
-    asked = table(spark, sf_dir, "supplier").filter("s_suppkey < 5").select(F.col("s_suppkey").alias("query_id"), V.hashed_encoder()(F.concat(F.lit("S"), "s_suppkey", F.lit(": Supplier"))).alias("vector"))
-    return V.top_k(coded, asked, 10).select("query_id", "rank", F.round("score", 6).alias("score"))
+    number = F.regexp_extract("entity_key", r"(\d+)$", 1).cast("long")
+    return records.select((number * 2 + F.col("entity_key").startswith("part").cast("long")).alias("id"), V.hashed_encoder()(F.col("text")).alias("vector"))
+
+
+def i1_index_search(spark, sf_dir):
+    """Suppliers whose number is divisible by 100 ask for their own record and what is like it."""
+    asked = table(spark, sf_dir, "supplier").filter("s_suppkey % 100 = 0").select(F.col("s_suppkey").cast("long").alias("query_id"), V.hashed_encoder()(F.concat(F.lit("S"), "s_suppkey", F.lit(": Supplier"))).alias("vector"))
+    return V.top_k(record_vectors(spark, sf_dir), asked, 10).select("query_id", F.col("id").alias("record"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def i3_enriched_query(spark, sf_dir):
@@ -212,7 +218,7 @@ def i5_graph_context(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (g1_parsed, g2_typed, g3_keys, g4_affected, g5_deactivated, g6_support, g7_applied, g8_tasks, g9_primary, g10_candidates, g11_entity_index, g12_relation_index, g14_stats, g16_entities, g17_purge, g18_by_type, g19_migrated, g20_consistency, h1_seeds, h2_hops, h3_shortest, h4_expanded, h5_relevant, h7_mentions, h8_enriched_hits, i1_index_search, i3_enriched_query, i5_graph_context)}
 
 HOPS = EDGES + """,
-st as (select n_nationkey::bigint as query_id, s as seed from nation, (select distinct s from ed) where n_nationkey < 6 and contains(lower(s), 'ation_' || n_nationkey)),
+st as (select n_nationkey::bigint as query_id, s as seed from nation, (select distinct s from ed) where contains(lower(s), 'ation_' || n_nationkey)),
 h1 as (select query_id, seed, b as target, 1 as distance, p as relations, f as used, seed || ' -[' || p || ']-> ' || b as path from st join bi on a = seed),
 h2 as (select query_id, seed, b, 2, relations || ',' || p, used, path || ' -[' || p || ']-> ' || b from h1 join bi on a = target where f <> used),
 hp as materialized (select * exclude (used) from (select * from h1 union all select * from h2) where seed <> target qualify row_number() over (partition by query_id, seed order by distance, target, path) <= 50)"""

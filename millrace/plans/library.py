@@ -3,8 +3,10 @@
 import pyspark.sql.functions as F
 
 from millrace.operators import catalog as C
+from millrace.operators import lexical as L
 from millrace.operators import post as P
 from millrace.operators import tabular as K
+from millrace.plans.scratch import new_folder, spread
 from millrace.plans.text import table
 from millrace.sources import io as A
 
@@ -20,6 +22,14 @@ def catalog(spark, sf_dir):
 CAT = "ca as (select doc_id, 'doc' || doc_id || case when doc_id % 3 = 0 then '.MD' else '.txt' end as filename, '/' || lang || '/' || source as folder, [lang, source] as tags, case when doc_id % 5 = 0 then 'failed' else 'done' end as status, doc_id % 1000 as age, text from documents)"
 
 
+def a1_corpus(spark, sf_dir):
+    """The documents' lines, written as text files and read back file by file."""
+    path = new_folder(spark, "corpus")
+    table(spark, sf_dir, "documents").select("source", F.col("text").alias("value")).write.option("maxRecordsPerFile", 500).partitionBy("source").text(path)
+    lines = A.read_corpus(spark, path).select(F.explode(F.split("markdown", "\n")).alias("line")).filter("line <> ''")
+    return lines.groupBy(F.md5("line").alias("line_md5")).agg(F.count("*").alias("lines"))
+
+
 def a2_accepted(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("u"))
     named = p.select("page_id", F.concat("u", F.when(F.col("page_id") % 3 == 0, ".PDF").when(F.col("page_id") % 3 == 1, "").otherwise(".exe")).alias("filename"))
@@ -33,6 +43,29 @@ def a3_upsert(spark, sf_dir):
     return A.upsert(old, new, ["chunk_hash"]).select("chunk_hash", "doc_id")
 
 
+def a4_evidence(spark, sf_dir):
+    """Suppliers as stored evidence; every third comes again in a batch, with new ones behind."""
+    s = table(spark, sf_dir, "supplier")
+    at = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    old = s.selectExpr(
+        "concat('e', s_suppkey) as evidence_id", "'c' as chunk_hash", "'ENTITY' as evidence_type", "concat('supplier:', s_name) as entity_key", "'said' as evidence_text", "cast(0.9 as double) as confidence", "'v1' as extractor_version",
+        "s_suppkey % 2 = 0 as active", "timestamp '2024-01-01 00:00:00' as created_at", "timestamp '2024-01-01 00:00:00' as updated_at",
+    )
+    new = s.filter("s_suppkey % 3 = 0").select(F.concat(F.lit("e"), F.col("s_suppkey") + F.when(F.col("s_suppkey") % 2 == 0, 0).otherwise(1_000_000)).alias("evidence_id"), F.lit("d").alias("chunk_hash"), F.lit("ENTITY").alias("evidence_type"), F.when(F.col("s_suppkey") % 4 == 0, 0.7).alias("confidence"))
+    return A.upsert_evidence(old, new, at).select("evidence_id", "chunk_hash", "entity_key", "evidence_text", "confidence", "extractor_version", "active", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
+def a5_samples(spark, sf_dir):
+    """Items as evaluation samples, written in two sets and read back together."""
+    b = table(spark, sf_dir, "benchmark")
+    none = F.lit(None).cast("string")
+    made = b.select(F.format_string("%03d", "item_id").alias("id"), F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, "sql_query").otherwise("simple_fact").alias("query_type"), none.alias("ground_truth_answer"), F.array(F.lit("a.md")).alias("ground_truth_sources"), F.array(F.col("item_id").cast("string")).alias("ground_truth_ids"))
+    paths = [new_folder(spark, "samples") for _ in range(2)]
+    for kind, path in zip(("simple_fact", "sql_query"), paths, strict=True):
+        A.write_samples(made.filter(F.col("query_type") == kind), path, 7)
+    return A.read_samples(spark, *paths).select("id", F.md5("query").alias("query_md5"), "query_type", "ground_truth_answer", F.array_join("ground_truth_ids", ",").alias("ids"))
+
+
 def a6_import(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     old = b.filter("item_id % 4 = 0").select(F.when(F.col("item_id") % 8 == 0, F.format_string("%03d", F.col("item_id"))).otherwise("x").alias("id"), F.col("text").alias("query"))
@@ -40,15 +73,24 @@ def a6_import(spark, sf_dir):
     return A.import_samples(old, new).select("id", F.md5("query").alias("query_md5"))
 
 
+def a7_reports(spark, sf_dir):
+    """A report file for every source, with metrics that some of them lack, as summary rows."""
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("n_chars").alias("most"))
+    even = F.col("n") % 2 == 0
+    summary = F.struct(F.col("n").alias("total"), F.when(even, F.col("n") / 8).alias("recall_at_5"), F.when(~even, F.col("most") / 4).alias("ndcg_at_5"), F.when(even, F.col("most") / 2).alias("mrr"))
+    path = new_folder(spark, "reports")
+    d.select(F.to_json(F.struct(summary.alias("summary"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return A.read_reports(spark, path).drop("filename")
+
+
 def a8_snapshot(spark, sf_dir):
     """An index written by bucket and read back, with what speaks against using it."""
-    from millrace.operators import lexical as L
-    from millrace.plans.scratch import new_folder
-
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     path = new_folder(spark, "index")
-    A.save_index(L.postings(docs), path)
-    return L.index_errors(A.load_index(spark, path), docs.count() + 1)
+    L.save_index(spread(docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")), path)
+    index, n = L.load_index(spark, path), docs.count()
+    now, later = (L.index_errors(index, k).select(F.lit(kind).alias("against"), "reason") for kind, k in (("these documents", n), ("one more", n + 1)))
+    return now.unionByName(later)
 
 
 def a9_scan(spark, sf_dir):
@@ -56,6 +98,12 @@ def a9_scan(spark, sf_dir):
     return docs.groupBy("source").agg(F.count("*").alias("chunks"), F.bool_or(F.col("n_chars") > 5000).alias("has_long"))
 
 
+def a10_tables(spark, sf_dir):
+    """Tables by name, from the folder or whatever is below it."""
+    found = A.load_tables(spark, sf_dir, ["nation", "region"])
+    return found["nation"].join(found["region"], F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("nations"))
+
+
 def c1_listing(spark, sf_dir):
     return C.listing(catalog(spark, sf_dir), folder="/en", status="done", kind="md", limit=20, offset=5).select("doc_id", "filename", "folder")
 
@@ -82,11 +130,11 @@ def c6_normal(spark, sf_dir):
 
 
 def c7_move(spark, sf_dir):
-    return C.move(catalog(spark, sf_dir), "/en", "/old/en").groupBy("folder").agg(F.count("*").alias("documents"))
+    return C.move(catalog(spark, sf_dir), "/en", "/old/en").select("doc_id", "folder")
 
 
 def c8_delete(spark, sf_dir):
-    return C.delete_folder(catalog(spark, sf_dir), "/en/src1").agg(F.count("*").alias("left"))
+    return C.delete_folder(catalog(spark, sf_dir), "/en/src1").select("doc_id")
 
 
 def c9_tags(spark, sf_dir):
@@ -97,19 +145,19 @@ def c9_tags(spark, sf_dir):
 def c10_cascade(spark, sf_dir):
     gone = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
     left = C.cascade({"documents": catalog(spark, sf_dir).select("doc_id"), "labels": table(spark, sf_dir, "labels").select("doc_id")}, gone)
-    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in left.items()]
-    return counts[0].unionByName(counts[1])
+    rows = [df.select(F.lit(name).alias("name"), "doc_id") for name, df in left.items()]
+    return rows[0].unionByName(rows[1])
 
 
 def c11_reindex(spark, sf_dir):
     docs = catalog(spark, sf_dir)
     chunks = docs.select("doc_id", F.lit("old").alias("state"))
     kept, raised = C.reindex(chunks, chunks.filter("doc_id % 4 = 0").withColumn("state", F.lit("new")), docs)
-    return kept.join(raised.select("doc_id", "doc_version"), "doc_id").groupBy("state", "doc_version").agg(F.count("*").alias("n"))
+    return kept.join(raised.select("doc_id", "doc_version"), "doc_id").select("doc_id", "state", "doc_version")
 
 
 def c12_orphans(spark, sf_dir):
-    return C.orphans(table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 3).alias("doc_id")), table(spark, sf_dir, "documents")).agg(F.count("*").alias("orphans"))
+    return C.orphans(table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 3).alias("doc_id")), table(spark, sf_dir, "documents"))
 
 
 def c13_stats(spark, sf_dir):
@@ -177,6 +225,26 @@ def k1_profile(spark, sf_dir):
     return K.profile(table(spark, sf_dir, "part")).select("column", "data_type", F.round("min", 4).alias("min"), F.round("max", 4).alias("max"), F.round("mean", 4).alias("mean"), F.array_join("enum", ",").alias("enum"), "n_values")
 
 
+def sheets(spark, sf_dir):
+    """Suppliers as sheets of their nation's document."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("sheet_index"), (F.col("s_suppkey") % 7).alias("created_at"))
+
+
+def k4_samples(spark, sf_dir):
+    """Orders as sheets of their lines, of which returned ones are blank rows."""
+    items = table(spark, sf_dir, "lineitem").withColumn("blank", F.col("l_returnflag") == "R")
+    cells = items.select(F.col("l_orderkey").alias("sheet_id"), F.col("l_linenumber").alias("row_no"), F.when(F.col("blank"), F.array(F.lit(None).cast("string"), F.lit(None).cast("string"))).otherwise(F.array(F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("cells"))
+    return K.sample_rows(cells, 2).select("sheet_id", F.array_join(F.transform("sample", lambda r: F.array_join(r, ",")), ";").alias("sample"))
+
+
+def k13_sheets(spark, sf_dir):
+    """Sheets of the first region's nations are listed by index, those of the second's are deleted."""
+    n = table(spark, sf_dir, "nation")
+    own = lambda region: n.filter(F.col("n_regionkey") == region).select(F.col("n_nationkey").alias("doc_id"))
+    left, _ = K.delete_sheets(sheets(spark, sf_dir), own(1))
+    return K.list_sheets(left, own(0)).select("doc_id", "sheet_index", F.col("place").cast("long").alias("place")).unionByName(K.delete_sheets(sheets(spark, sf_dir), own(1))[1].select("doc_id", F.lit(None).cast("bigint").alias("sheet_index"), F.col("deleted").alias("place")))
+
+
 def k5_typed(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("Part Key"), F.when(F.col("p_size") > 40, "nan").otherwise(F.col("p_size").cast("string")).alias("Größe"), F.when(F.col("p_partkey") % 2 == 0, "12x").otherwise(F.col("p_retailprice").cast("string")).alias("3 price"))
     loaded = K.load_typed(p, dict(zip(p.columns, K.clean_headers(p.columns), strict=True)), {"Part Key": "INTEGER", "Größe": "INTEGER", "3 price": "REAL"})
@@ -203,7 +271,7 @@ def k11_document(spark, sf_dir):
     return K.as_document(top, ["s_nationkey"], 10)
 
 
-QUERIES = {f.__name__: f for f in (a2_accepted, a3_upsert, a6_import, a8_snapshot, a9_scan, c1_listing, c2_tagged, c3_folders, c4_tags, c5_scope, c6_normal, c7_move, c8_delete, c9_tags, c10_cascade, c11_reindex, c12_orphans, c13_stats, j1_dedup, j2_adjacent, j3_index, j4_context, j5_citations, j6_insufficient, j8_routes, j9_query_routes, j10_parsed, k1_profile, k5_typed, k6_described, k9_guarded, k10_retries, k11_document)}
+QUERIES = {f.__name__: f for f in (a1_corpus, a2_accepted, a3_upsert, a4_evidence, a5_samples, a6_import, a7_reports, a8_snapshot, a9_scan, a10_tables, c1_listing, c2_tagged, c3_folders, c4_tags, c5_scope, c6_normal, c7_move, c8_delete, c9_tags, c10_cascade, c11_reindex, c12_orphans, c13_stats, j1_dedup, j2_adjacent, j3_index, j4_context, j5_citations, j6_insufficient, j8_routes, j9_query_routes, j10_parsed, k1_profile, k4_samples, k5_typed, k6_described, k9_guarded, k10_retries, k11_document, k13_sheets)}
 
 HITS = "hi as (select conv_id as query_id, turn + 1 as rank, turn // 3 as doc_id, 'd_chunk_' || printf('%04d', turn) as chunk_id, text, turn, 1 / (turn + 1) as score from conversations)"
 
@@ -218,10 +286,17 @@ def profile_sql(columns: list[tuple[str, str]], name: str) -> str:
 
 
 SQL = {
+    "a1_corpus": "select md5(line) as line_md5, count(*) as lines from (select unnest(string_split(text, chr(10))) as line from documents) where line <> '' group by 1",
+    "a4_evidence": "with o as (select 'e' || s_suppkey as evidence_id, 'c' as chunk_hash, 'supplier:' || s_name as entity_key, 'said' as evidence_text, 0.9::double as confidence, 'v1' as extractor_version, s_suppkey % 2 = 0 as active, '2024-01-01' as created from supplier), n as (select 'e' || (s_suppkey + case when s_suppkey % 2 = 0 then 0 else 1000000 end) as evidence_id, 'd' as chunk_hash, null::varchar as entity_key, '' as evidence_text, case when s_suppkey % 4 = 0 then 0.7 else 0.5 end::double as confidence, '' as extractor_version, true as active, '2024-01-02' as created from supplier where s_suppkey % 3 = 0) select * from n union all select * from o where evidence_id not in (select evidence_id from n)",
+    "a5_samples": "select printf('%03d', item_id) as id, md5(text) as query_md5, case when item_id % 2 = 0 then 'sql_query' else 'simple_fact' end as query_type, null::varchar as ground_truth_answer, item_id::varchar as ids from benchmark",
+    "a7_reports": "with d as (select count(*) as n, max(n_chars) as m from documents group by source) select n as total, case when n % 2 = 0 then n / 8 else 0 end::double as recall_at_5, case when n % 2 <> 0 then m / 4 end::double as ndcg_at_5, case when n % 2 = 0 then m / 2 else 0 end::double as mrr, null::double as hallucination_rate from d",
+    "a10_tables": "select r_name, count(*) as nations from nation join region on n_regionkey = r_regionkey group by 1",
+    "k4_samples": "select l_orderkey as sheet_id, string_agg(l_partkey || ',' || l_linenumber, ';' order by l_linenumber, l_partkey::varchar) as sample from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey::varchar) as rn from lineitem where l_returnflag <> 'R') where rn <= 2 group by 1",
+    "k13_sheets": "select s_nationkey as doc_id, s_suppkey as sheet_index, row_number() over (partition by s_nationkey order by s_suppkey) as place from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 0 union all select s_nationkey, null, count(*) from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1 group by 1",
     "a2_accepted": "select page_id, 'pdf' as extension from pages where page_id % 3 = 0",
     "a3_upsert": "with o as (select sha256(text) as h, min(doc_id) as d from documents where doc_id % 3 <> 0 group by 1), n as (select sha256(text) as h, max(doc_id) as d from documents where doc_id % 2 = 0 group by 1) select coalesce(n.h, o.h) as chunk_hash, coalesce(n.d, o.d) as doc_id from o full join n on o.h = n.h",
     "a6_import": "with o as (select case when item_id % 8 = 0 then printf('%03d', item_id) else 'x' end as id, text from benchmark where item_id % 4 = 0), m as (select max(try_cast(id as int)) as m from o) select id, md5(text) as query_md5 from o union all select printf('%03d', m + row_number() over (order by text)), md5(text) from benchmark, m where item_id % 4 = 1",
-    "a8_snapshot": "select 'chunks differ' as reason",
+    "a8_snapshot": "select 'one more' as against, 'chunks differ' as reason",
     "a9_scan": "select source, count(*) as chunks, bool_or(n_chars > 5000) as has_long from documents group by 1",
     "c1_listing": f"with {CAT} select doc_id, filename, folder from ca where folder like '/en/%' and status = 'done' and filename like '%.MD' order by age desc, doc_id limit 20 offset 5",
     "c2_tagged": "select doc_id from documents where lang = 'de' or source = 'src1'",
@@ -229,12 +304,12 @@ SQL = {
     "c4_tags": f"with {CAT} select unnest(tags) as tag, count(*) as documents from ca group by 1",
     "c5_scope": "select label, count(*) as chunks from embeddings where vec_id in (select doc_id from documents where lang = 'fr') group by 1",
     "c6_normal": f"with {CAT} select doc_id, folder from ca",
-    "c7_move": f"with {CAT} select case when folder like '/en/%' then '/old' || folder else folder end as folder, count(*) as documents from ca group by 1",
-    "c8_delete": """select count(*) as "left" from documents where not (lang = 'en' and source = 'src1')""",
+    "c7_move": f"with {CAT} select case when folder like '/en/%' then '/old' || folder else folder end as folder, doc_id from ca",
+    "c8_delete": "select doc_id from documents where not (lang = 'en' and source = 'src1')",
     "c9_tags": "select doc_id, array_to_string(list_filter(case when source = 'src0' then [lang, source] else [lang, source, 'src0'] end, lambda x: x <> 'en'), ',') as tags from documents",
-    "c10_cascade": "select 'documents' as name, count(*) as rows from documents where doc_id not in (select doc_id from labels where quality = 0) union all select 'labels', count(*) from labels where quality <> 0",
-    "c11_reindex": "select case when doc_id % 4 = 0 then 'new' else 'old' end as state, case when doc_id % 4 = 0 then 2 else 1 end as doc_version, count(*) as n from documents group by all",
-    "c12_orphans": "select count(*) as orphans from embeddings where vec_id * 3 not in (select doc_id from documents)",
+    "c10_cascade": "select 'documents' as name, doc_id from documents where doc_id not in (select doc_id from labels where quality = 0) union all select 'labels', doc_id from labels where doc_id not in (select doc_id from labels where quality = 0)",
+    "c11_reindex": "select case when doc_id % 4 = 0 then 'new' else 'old' end as state, case when doc_id % 4 = 0 then 2 else 1 end as doc_version, doc_id from documents",
+    "c12_orphans": "select vec_id * 3 as doc_id from embeddings where vec_id * 3 not in (select doc_id from documents)",
     "c13_stats": "select (select count(*) from documents) as documents, (select sum(n_chars)::bigint from documents) as chars, (select count(*) from embeddings) as vectors, (select count(*) from nation) as entities",
     "j1_dedup": f"with {HITS}, a as (select query_id, rank, chunk_id, text from hi union all select query_id, rank + 200, '', text from hi) select query_id, rank, chunk_id from a qualify row_number() over (partition by query_id, trim(text, ' ') order by rank) = 1",
     "j2_adjacent": f"with {HITS} select query_id, doc_id, string_agg(chunk_id, '+' order by turn) as chunk_id, (sum(length(text)) + 2 * (count(*) - 1))::int as chars, round(max(score), 6) as score from (select *, turn - row_number() over (partition by query_id, doc_id order by turn) as island from hi) group by query_id, doc_id, island",

@@ -3,9 +3,11 @@
 import pyspark.sql.functions as F
 
 from millrace.operators import evaluate as L
+from millrace.operators import navigate as N
 from millrace.operators import usage as M
 from millrace.plans import retrieval as R
 from millrace.plans.text import table
+from millrace.sources.scratch import children
 from millrace.streaming import jobs
 
 
@@ -13,10 +15,11 @@ def samples(spark, sf_dir):
     """Benchmark items with what BM25 finds and the documents that hold them as the truth."""
     found = R.bm25(spark, sf_dir, 10).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    held = docs.join(F.broadcast(items.withColumnRenamed("text", "item")), F.contains("text", "item")).groupBy("item_id").agg(F.sort_array(F.collect_list("doc_id")).alias("truth"))
+    said = N.contained(R.spread(docs.select(F.col("doc_id").alias("key"), "text")), items.select(F.col("text").alias("needle")))
+    held = said.join(items.select("item_id", F.col("text").alias("needle")), "needle").groupBy("item_id").agg(F.sort_array(F.collect_list("key")).alias("truth"))
     whole = items.join(found, items["item_id"] == found["query_id"], "left").join(held, "item_id", "left")
     none = F.array().cast("array<bigint>")
-    return whole.select(F.col("item_id").alias("sample_id"), F.when(F.col("item_id") % 2 == 0, "simple_fact").otherwise("multi_hop").alias("query_type"), F.coalesce("retrieved", none).alias("retrieved"), F.coalesce("truth", none).alias("truth"))
+    return R.stored(whole.select(F.col("item_id").alias("sample_id"), F.when(F.col("item_id") % 2 == 0, "simple_fact").otherwise("multi_hop").alias("query_type"), F.coalesce("retrieved", none).alias("retrieved"), F.coalesce("truth", none).alias("truth")), "samples")
 
 
 def rounded(df, *keep):
@@ -172,7 +175,7 @@ def m8_keys(spark, sf_dir):
 
 def m9_latest(spark, sf_dir):
     e = entries(spark, sf_dir).withColumn("ttl", F.when(F.col("ttl") == 0, 0.0).when(F.col("ttl") < 20, F.lit(None)).otherwise(F.col("ttl") * 3600))
-    return M.latest(e, F.lit(1704844800.0 + 86400 * 20), 86400.0).groupBy().agg(F.count("*").alias("keys"), F.sum(F.col("value").cast("long")).alias("values"))
+    return M.latest(e, F.lit(1704844800.0 + 86400 * 20), 86400.0).select("key", "value")
 
 
 def tasks(spark, sf_dir):
@@ -181,7 +184,7 @@ def tasks(spark, sf_dir):
 
 
 def m10_drain(spark, sf_dir):
-    return M.drain(tasks(spark, sf_dir), F.col("task_id") % 5 == 0).groupBy("status", "retry_count").agg(F.count("*").alias("tasks"))
+    return M.drain(tasks(spark, sf_dir), F.col("task_id") % 5 == 0).select("task_id", "status", "retry_count")
 
 
 def m11_support_stream(spark, sf_dir):
@@ -193,12 +196,25 @@ def m11_support_stream(spark, sf_dir):
     return last.select("affected_type", F.col("affected_key").cast("string").alias("affected_key"), "support_count", "operation")
 
 
+def m13_ingest(spark, sf_dir):
+    """The documents as a stream of files, taken in twice: the second time adds nothing."""
+    docs = table(spark, sf_dir, "documents")
+    folder = R.new_folder(spark, "ingest")
+    for _ in range(2):
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/documents.parque[t]")
+        stream = stream.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("markdown"))
+        first = 1 + max((int(x.removeprefix("batch=")) for x in children(spark, folder)), default=-1)
+        write = jobs.ingest_batches(folder)
+        run_stream(spark, stream, "append", batch=lambda batch, k, first=first: write(batch, first + k))
+    return spark.read.parquet(folder).select("doc_id", "chunk_hash", F.length("text").alias("chars"))
+
+
 def m12_cleanup(spark, sf_dir):
     left = M.without_old(tasks(spark, sf_dir), F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    return left.groupBy("status").agg(F.count("*").alias("tasks"))
+    return left.select("task_id", "status")
 
 
-QUERIES = {f.__name__: f for f in (l1_scores, l5_citations, l6_delta, l7_drop_rate, l8_redundancy, l9_refusals, l10_timing, l11_report, l14_sql, l15_execution, l17_by_type, m1_usage, m2_usage_stream, m3_tokens, m4_quota, m5_daily_stream, m6_live, m7_namespaces, m8_keys, m9_latest, m10_drain, m11_support_stream, m12_cleanup)}
+QUERIES = {f.__name__: f for f in (l1_scores, l5_citations, l6_delta, l7_drop_rate, l8_redundancy, l9_refusals, l10_timing, l11_report, l14_sql, l15_execution, l17_by_type, m1_usage, m2_usage_stream, m3_tokens, m4_quota, m5_daily_stream, m6_live, m7_namespaces, m8_keys, m9_latest, m10_drain, m11_support_stream, m12_cleanup, m13_ingest)}
 
 SCORED = f"""{R.search_sql(10)},
 sa as (select item_id as sample_id, case when item_id % 2 = 0 then 'simple_fact' else 'multi_hop' end as query_type, coalesce((select list(chunk_id order by rank) from bm where query_id = item_id), []) as retrieved,
@@ -246,8 +262,8 @@ SQL = {
     "m6_live": f"with {ENTRIES} select key, value, expires_at - 1704844800 as remaining from n where expires_at > 1704844800 and key like 'click%'",
     "m7_namespaces": f"with {ENTRIES} select case when ttl < 10 then '(no-ns)' else split_part(key, ':', 1) end as namespace, count(*) as entries from n group by 1",
     "m8_keys": "select item_id, 'emb:' || left(sha256(item_id || '␟' || text), 32) as key from benchmark",
-    "m9_latest": f"with {ENTRIES}, s as (select *, case when ttl < 20 then 86400 else ttl * 3600 end as t from n where ttl <> 0), l as (select * from s qualify row_number() over (partition by key order by created_at desc, value desc) = 1) select count(*) as keys, sum(value::bigint)::bigint as values from l where created_at + t > 1704844800 + 86400 * 20",
-    "m10_drain": "with p as (select event_id from events where event_id % 3 <> 0 order by ts, event_id limit 50), t as (select e.event_id, case when e.event_id % 3 = 0 then 'SUCCESS' else 'PENDING' end as s, (e.event_id % 4)::int as r, p.event_id is not null as ran, e.event_id % 5 = 0 as bad from events e left join p on p.event_id = e.event_id), u as (select case when not ran then s when not bad then 'SUCCESS' when r + 1 < 3 then 'PENDING' else 'FAILED' end as status, r + (ran and bad)::int as retry_count from t) select status, retry_count, count(*) as tasks from u group by all",
+    "m9_latest": f"with {ENTRIES}, s as (select *, case when ttl < 20 then 86400 else ttl * 3600 end as t from n where ttl <> 0), l as (select * from s qualify row_number() over (partition by key order by created_at desc, value desc) = 1) select key, value from l where created_at + t > 1704844800 + 86400 * 20",
+    "m10_drain": "with p as (select event_id from events where event_id % 3 <> 0 order by ts, event_id limit 50), t as (select e.event_id, case when e.event_id % 3 = 0 then 'SUCCESS' else 'PENDING' end as s, (e.event_id % 4)::int as r, p.event_id is not null as ran, e.event_id % 5 = 0 as bad from events e left join p on p.event_id = e.event_id), u as (select event_id, case when not ran then s when not bad then 'SUCCESS' when r + 1 < 3 then 'PENDING' else 'FAILED' end as status, r + (ran and bad)::int as retry_count from t) select event_id as task_id, status, retry_count from u",
     "m11_support_stream": f"with {EVENTS}, c as (select event_type as affected_type, user_id::varchar as affected_key, sum(case when k % 2 = 0 then 1 else -1 end)::bigint as support_count from e group by 1, 2) select *, case when support_count > 0 then 'UPSERT' else 'DELETE' end as operation from c",
-    "m12_cleanup": "select case when event_id % 3 = 0 then 'SUCCESS' else 'PENDING' end as status, count(*) as tasks from events where not (event_id % 3 = 0 and ts < timestamp '2024-01-13') group by 1",
+    "m12_cleanup": "select event_id as task_id, case when event_id % 3 = 0 then 'SUCCESS' else 'PENDING' end as status from events where not (event_id % 3 = 0 and ts < timestamp '2024-01-13')",
 }

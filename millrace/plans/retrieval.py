@@ -1,12 +1,14 @@
-"""Queries of lexical and dense retrieval and fusion: documents are chunks, benchmark items are queries, and vectors with
-vec_id < 10 are the queries of the dense side."""
+"""Queries of lexical and dense retrieval and fusion: documents are chunks, benchmark items are queries, and every vector whose
+id is divisible by 100 is a query of the dense side, against all vectors; its number divided by 100 is that of its item."""
 
+import numpy as np
 import pyspark.sql.functions as F
 
 from millrace.functions import vectors as V
 from millrace.operators import fusion as R
 from millrace.operators import lexical as L
 from millrace.params import DEFAULT
+from millrace.plans.scratch import kept_folder, new_folder, spread, stored
 from millrace.plans.text import STOP, TOKENS, table
 
 
@@ -18,36 +20,37 @@ def asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def index(rows):
-    posts, stats = L.postings(rows), L.corpus_stats(rows)
-    return posts, L.term_stats(posts, stats), stats
+def index(spark, sf_dir):
+    """The stored index of all documents; it is built once per session and state of the table."""
+    docs = table(spark, sf_dir, "documents")
+    return L.load_index(spark, kept_folder(docs, "index", lambda path: L.save_index(spread(chunks(spark, sf_dir)), path)))
 
 
-def bm25(spark, sf_dir, k, doc_ids=None, rewritten=False, rows=None, queries=None):
-    rows = chunks(spark, sf_dir) if rows is None else rows
-    posts, terms, stats = index(rows)
-    return L.search(posts, terms, stats, asked(spark, sf_dir) if queries is None else queries, k, doc_ids=doc_ids, rewritten=rewritten)
+def bm25(spark, sf_dir, k, doc_ids=None, rewritten=False):
+    return stored(L.search(index(spark, sf_dir), asked(spark, sf_dir), k, doc_ids=doc_ids, rewritten=rewritten), "bm25")
 
 
 def shown(hits):
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def terms_of(index):
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 def d1_index(spark, sf_dir):
-    _, terms, _ = index(chunks(spark, sf_dir))
-    return terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return terms_of(index(spark, sf_dir))
 
 
 def d2_merge(spark, sf_dir):
+    """Odd thirds are stored, even chunks are added; those stored already are not read again."""
     rows = chunks(spark, sf_dir)
-    whole = L.merged(rows.filter("chunk_id % 3 <> 0"), rows.filter("chunk_id % 2 = 0"))
-    return whole.groupBy(F.col("chunk_id") % 3 == 0).agg(F.count("*").alias("chunks")).toDF("third", "chunks")
+    old = L.save_index(spread(rows.filter("chunk_id % 3 <> 0")), new_folder(spark, "index"))
+    return terms_of(L.added(old, spread(rows.filter("chunk_id % 2 = 0"))))
 
 
 def d3_remove(spark, sf_dir):
-    rows = L.removed(chunks(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 0"))
-    _, terms, _ = index(rows)
-    return terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return terms_of(L.removed(index(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 0")))
 
 
 def d4_search(spark, sf_dir):
@@ -70,18 +73,21 @@ def embedded(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
+def dense_queries(spark, sf_dir):
+    return embedded(spark, sf_dir).filter("id % 100 = 0").select((F.col("id") / 100).cast("long").alias("query_id"), "vector")
+
+
 def dense(spark, sf_dir, k, rows=None):
     rows = embedded(spark, sf_dir) if rows is None else rows
-    own = embedded(spark, sf_dir).filter("id < 10").select(F.col("id").alias("query_id"), "vector")
-    return V.top_k(rows, own, k).withColumnRenamed("id", "chunk_id")
+    return stored(V.top_k(rows, dense_queries(spark, sf_dir), k), "dense").withColumnRenamed("id", "chunk_id")
 
 
 def e1_encode(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     empty = spark.createDataFrame([], "key string, vector array<float>")
     _, cache = V.encode_with_cache(docs.filter("id % 2 = 0"), empty, V.hashed_encoder())
-    found, full = V.encode_with_cache(docs, cache, V.hashed_encoder())
-    return found.groupBy("key").agg(F.count("*").alias("texts"), F.max(F.size("vector")).alias("dim"))
+    found, _ = V.encode_with_cache(docs, cache, V.hashed_encoder())
+    return found.select("id", "key", F.size("vector").alias("dim"), F.round(F.expr("aggregate(vector, 0D, (s, x) -> s + x * x)"), 4).alias("norm"))
 
 
 def e2_search(spark, sf_dir):
@@ -98,18 +104,12 @@ def e3_inverted_file(spark, sf_dir):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    from millrace.plans.scratch import new_folder
-
-    rows = embedded(spark, sf_dir).withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
+    rows = embedded(spark, sf_dir).filter("vector is not null").withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
     n = rows.count()
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1, 20_000 / max(n, 1))))
     model = KMeans(k=max(1, min(128, n // 4)), seed=1, maxIter=5, distanceMeasure="cosine", predictionCol="cell").fit(sample)
-    celled = model.transform(rows).select(F.col("id").alias("chunk_id"), "vector", "cell")
-    path = new_folder(spark, "cells")
-    celled.write.parquet(path)
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    own = embedded(spark, sf_dir).filter("id < 10").select(F.col("id").alias("query_id"), "vector")
-    return shown(V.search_cells(spark.read.schema(celled.schema).parquet(path), centres, own, 10, 16))
+    celled = stored(model.transform(rows).select("id", "vector", "cell"), "cells")
+    return shown(V.search_cells(celled, np.array(model.clusterCenters()), dense_queries(spark, sf_dir), 10, 16).withColumnRenamed("id", "chunk_id"))
 
 
 def e4_threshold(spark, sf_dir):
@@ -124,16 +124,18 @@ def e5_scope(spark, sf_dir):
 
 def e6_delete(spark, sf_dir):
     gone = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"))
-    return embedded(spark, sf_dir).join(gone, "id", "left_anti").groupBy("label").agg(F.count("*").alias("vectors"))
-
-
-def first_queries(spark, sf_dir):
-    return asked(spark, sf_dir).filter("query_id < 10")
+    return embedded(spark, sf_dir).join(gone, "id", "left_anti").select("id", "label")
 
 
 def fused(spark, sf_dir, top=20):
     fetch = R.fetch_size(top)
-    return R.fuse(dense(spark, sf_dir, fetch), bm25(spark, sf_dir, fetch, queries=first_queries(spark, sf_dir)))
+    return stored(R.fuse(dense(spark, sf_dir, fetch), bm25(spark, sf_dir, fetch)), "fused")
+
+
+def with_vectors(spark, sf_dir, hits):
+    """Hits of dense queries with the vectors of both sides."""
+    own = dense_queries(spark, sf_dir).withColumnRenamed("vector", "query_vector")
+    return hits.select("query_id", "chunk_id").join(embedded(spark, sf_dir).select(F.col("id").alias("chunk_id"), "vector"), "chunk_id").join(own, "query_id")
 
 
 def f2_fusion(spark, sf_dir):
@@ -143,7 +145,7 @@ def f2_fusion(spark, sf_dir):
 
 def f3_multi_query(spark, sf_dir):
     both = dense(spark, sf_dir, 20).withColumn("rewrite", F.pmod("query_id", F.lit(2)).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / 2).cast("long"))
-    out = R.fuse(both, bm25(spark, sf_dir, 20, queries=first_queries(spark, sf_dir).filter("query_id < 5"))).filter("rank <= 20")
+    out = R.fuse(both, bm25(spark, sf_dir, 20)).filter("rank <= 20")
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join(F.transform("source_queries", lambda x: x.cast("string")), ",").alias("sources"))
 
 
@@ -154,34 +156,37 @@ def f4_rewrites(spark, sf_dir):
 
 
 def f5_vector_rerank(spark, sf_dir):
-    e = embedded(spark, sf_dir)
-    pairs = fused(spark, sf_dir).filter("rank <= 20").select("query_id", "chunk_id").join(e.select(F.col("id").alias("chunk_id"), "vector"), "chunk_id")
-    pairs = pairs.join(F.broadcast(e.filter("id < 10").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))), "query_id")
+    pairs = with_vectors(spark, sf_dir, fused(spark, sf_dir).filter("rank <= 20"))
     return shown(R.rerank_by_vector(pairs, 10).withColumn("score", F.col("rerank_score")))
 
 
 def f6_tfidf_rerank(spark, sf_dir):
     hits = bm25(spark, sf_dir, 10).select("query_id", "chunk_id").join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
-    return shown(R.rerank_by_tfidf(hits, asked(spark, sf_dir), 5).withColumn("score", F.col("rerank_score")))
+    return shown(R.rerank_by_tfidf(stored(hits, "candidates"), asked(spark, sf_dir), 5).withColumn("score", F.col("rerank_score")))
+
+
+ANSWERS = [[3, 9, 0, 5, -1, 2], [1, 0], [5, 4, 3, 2, 1, 0]]
+
+
+def answers(hits):
+    """Three kinds of responses, by the query's number."""
+    said = F.element_at(F.array(*(F.lit(f"Order: {x}") for x in ANSWERS)), (F.pmod("query_id", F.lit(3)) + 1).cast("int"))
+    return hits.select("query_id").distinct().select("query_id", said.alias("response"))
 
 
 def f7_answer_rerank(spark, sf_dir):
     hits = dense(spark, sf_dir, 6)
-    answers = hits.select("query_id").distinct().select("query_id", F.lit("Order: [3, 9, 0, 5, -1, 2]").alias("response"))
-    return shown(R.rerank_by_answer(hits, answers, 3).withColumn("score", F.col("rerank_score")))
+    return shown(R.rerank_by_answer(hits, answers(hits), 3).withColumn("score", F.col("rerank_score")))
 
 
 def f8_two_stage(spark, sf_dir):
-    e = embedded(spark, sf_dir)
-    pairs = dense(spark, sf_dir, 6, e.filter("id % 2 = 1")).select("query_id", "chunk_id").join(e.select(F.col("id").alias("chunk_id"), "vector"), "chunk_id").join(F.broadcast(e.filter("id < 10").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))), "query_id")
-    first = R.rerank_by_vector(pairs, 1000)
-    answers = first.select("query_id").distinct().select("query_id", F.lit("[1, 0, 4]").alias("response"))
-    return shown(R.rerank_by_answer(first, answers, 2).withColumn("score", F.col("rerank_score")))
+    first = R.rerank_by_vector(with_vectors(spark, sf_dir, fused(spark, sf_dir).filter("rank <= 20")), 10)
+    first = stored(first, "first-stage")
+    return shown(R.rerank_by_answer(first, answers(first), 2).withColumn("score", F.col("rerank_score")))
 
 
 def f9_cut(spark, sf_dir):
-    e = embedded(spark, sf_dir)
-    pairs = fused(spark, sf_dir).filter("rank <= 20").select("query_id", "chunk_id").join(e.select(F.col("id").alias("chunk_id"), "vector"), "chunk_id").join(F.broadcast(e.filter("id < 10").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))), "query_id")
+    pairs = with_vectors(spark, sf_dir, fused(spark, sf_dir).filter("rank <= 20"))
     return shown(R.cut(R.rerank_by_vector(pairs, DEFAULT.rerank_k), DEFAULT.rerank_k, DEFAULT.rerank_threshold).withColumn("score", F.col("rerank_score")))
 
 
@@ -193,53 +198,63 @@ def f10_trace(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (d1_index, d2_merge, d3_remove, d4_search, d4_filtered, d5_normalised, d6_whitespace, e1_encode, e2_search, e2_filtered, e3_inverted_file, e4_threshold, e5_scope, e6_delete, f2_fusion, f3_multi_query, f4_rewrites, f5_vector_rerank, f6_tfidf_rerank, f7_answer_rerank, f8_two_stage, f9_cut, f10_trace)}
 
 
-def index_sql(where: str = "") -> str:
+def index_sql(where: str = "", source: str = "documents") -> str:
     return f"""
-tok as materialized (select doc_id, {TOKENS} as t from documents {where}),
+tok as materialized (select doc_id, {TOKENS} as t from {source} {where}),
 st as (select count(*) as n, avg(len(t)) as al from tok),
 po as materialized (select doc_id, len, term, count(*) as tf from (select doc_id, len(t) as len, unnest(t) as term from tok) group by all),
 ra as (select term, count(*) as df, ln(((select n from st) - count(*) + 0.5) / (count(*) + 0.5)) as raw from po group by term),
 te as materialized (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from ra) else raw end as idf from ra)"""
 
 
-def search_sql(k: int, filter_: str = "true", words: str | None = None, queries: str = "true") -> str:
+def search_sql(k: int, filter_: str = "true", words: str | None = None, source: str = "documents", asked: str = "benchmark") -> str:
     words = words or TOKENS
-    return index_sql() + f""",
-qt as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({words}) as term from benchmark where {queries.replace('query_id', 'item_id')}) group by all),
+    return index_sql(source=source) + f""",
+qt as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({words}) as term from {asked}) group by all),
 sc as (select query_id, doc_id as chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (select al from st)))) as score from po join te using (term) join qt using (term) where {filter_} group by all),
 bm as materialized (select query_id, chunk_id, score, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from sc where score > 0 qualify rank <= {k})"""
 
 
 def dense_sql(k: int, filter_: str = "true", name: str = "de") -> str:
-    return f"""{name} as materialized (select q.vec_id as query_id, v.vec_id as chunk_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score,
+    return f"""{name} as materialized (select q.vec_id // 100 as query_id, v.vec_id as chunk_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score,
 row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) desc, v.vec_id) as rank
-from (select * from embeddings where vec_id < 10) q, (select *, vec_id as doc_id from embeddings) v where {filter_} qualify rank <= {k})"""
+from (select * from embeddings where vec_id % 100 = 0) q, (select *, vec_id as doc_id from embeddings) v where {filter_} qualify rank <= {k})"""
 
 
-FUSED = f"""{search_sql(60, queries='query_id < 10')}, {dense_sql(60)},
+FUSED = f"""{search_sql(60)}, {dense_sql(60)},
 al as (select query_id, chunk_id, rank, score as d, null::double as b, 0.6 as w from de union all select query_id, chunk_id, rank, null, score, 0.4 from bm),
 fu as (select query_id, chunk_id, sum(w::double / (60 + rank)) as score, coalesce(max(d), 0) as dense_score, coalesce(max(b), 0) as bm25_score, max(d) is not null as has_dense from al group by 1, 2),
 fr as materialized (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from fu)"""
-RERANKED = """rr as (select fr.query_id, fr.chunk_id, greatest(0, list_cosine_similarity(q.embedding::double[], v.embedding::double[])) as score from fr join embeddings q on q.vec_id = fr.query_id join embeddings v on v.vec_id = fr.chunk_id where fr.rank <= 20),
+RERANKED = """rr as (select fr.query_id, fr.chunk_id, greatest(0, list_cosine_similarity(q.embedding::double[], v.embedding::double[])) as score from fr join embeddings q on q.vec_id = 100 * fr.query_id join embeddings v on v.vec_id = fr.chunk_id where fr.rank <= 20),
 r2 as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from rr qualify rank <= 10)"""
+def answers_sql(hits: str) -> str:
+    """an: the hits by the places that the responses list; places that a query's hits lack are left out."""
+    said = ", ".join(f"({kind}, {place}, {i})" for kind, places in enumerate(ANSWERS) for i, place in enumerate(places))
+    return f"""cn as (select query_id, count(*) as c from {hits} group by 1),
+ap as (select query_id, place, row_number() over (partition by query_id order by i) - 1 as i, count(*) over (partition by query_id) as m from cn join (values {said}) v(kind, place, i) on v.kind = query_id % 3 where place between 0 and c - 1),
+ax as (select h.query_id, chunk_id, 1 - ap.i / m as score from {hits} h join ap on ap.query_id = h.query_id and place = h.rank - 1),
+an as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from ax)"""
+
+
 SHOWN = "select query_id, chunk_id, round(score, 6) as score, rank from"
 
 SQL = {
     "d1_index": f"with {index_sql()} select term, df, round(idf, 6) as idf from te",
-    "d2_merge": "select doc_id % 3 = 0 as third, count(*) as chunks from documents where doc_id % 3 <> 0 or doc_id % 2 = 0 group by 1",
-    "d3_remove": f"with {index_sql('where doc_id not in (select doc_id from labels where quality = 0)')} select count(*) as terms, sum(df)::bigint as postings from te",
+    "d2_merge": f"with {index_sql('where doc_id % 3 <> 0 or doc_id % 2 = 0')} select term, df, round(idf, 6) as idf from te",
+    "d3_remove": f"with {index_sql('where doc_id not in (select doc_id from labels where quality = 0)')} select term, df, round(idf, 6) as idf from te",
     "d4_search": f"with {search_sql(20)} {SHOWN} bm",
     "d4_filtered": f"with {search_sql(5, 'doc_id in (select doc_id from labels where quality = 1)')} {SHOWN} bm",
     "d5_normalised": f"with {search_sql(10)} select query_id, chunk_id, round(score / max(score) over (partition by query_id), 6) as score, rank from bm",
     "d6_whitespace": "with " + search_sql(5, words=r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')") + f" {SHOWN} bm",
-    "e1_encode": "select sha256(concat_ws(chr(31), 'hashed-64', '8192', left(text, 8192))) as key, count(*) as texts, 64 as dim from documents group by 1",
+    "e1_encode": r"select doc_id as id, sha256(concat_ws(chr(31), 'hashed-64', '', text)) as key, 64 as dim, case when regexp_matches(text, '\S') then 1.0 else 0.0 end::double as norm from documents",
     "e2_search": f"with {dense_sql(20)} {SHOWN} de",
     "e2_filtered": f"with {dense_sql(5, 'v.label in (1, 2)')} {SHOWN} de",
     "e4_threshold": f"with {dense_sql(50)} {SHOWN} de where score >= 0.3",
     "e5_scope": f"""with {dense_sql(5, "v.vec_id in (select doc_id from documents where lang = 'en')")} {SHOWN} de""",
-    "e6_delete": "select label, count(*) as vectors from embeddings where vec_id not in (select doc_id from documents where lang = 'en') group by 1",
+    "e3_inverted_file": f"with {dense_sql(10)} {SHOWN} de",
+    "e6_delete": "select vec_id as id, label from embeddings where vec_id not in (select doc_id from documents where lang = 'en')",
     "f2_fusion": f"with {FUSED} select query_id, chunk_id, round(score, 6) as score, rank, round(dense_score, 6) as dense_score, round(bm25_score, 6) as bm25_score from fr where rank <= 20",
-    "f3_multi_query": f"""with {search_sql(20, queries='query_id < 5')}, {dense_sql(20)},
+    "f3_multi_query": f"""with {search_sql(20)}, {dense_sql(20)},
 al as (select query_id // 2 as query_id, chunk_id, rank, query_id % 2 as rw, 0.6 as w from de union all select query_id, chunk_id, rank, null, 0.4 from bm),
 fu as (select query_id, chunk_id, sum(w::double / (60 + rank)) as score, coalesce(string_agg(distinct rw::varchar, ',' order by rw::varchar), '') as sources from al group by 1, 2)
 select query_id, chunk_id, round(score, 6) as score, sources from (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from fu) where rank <= 20""",
@@ -253,8 +268,14 @@ uu as materialized (select *, w / sqrt(sum(w * w) over (partition by query_id, c
 ss as (select c.query_id, c.chunk_id, sum(c.u * q.u) as score from uu c join uu q on q.query_id = c.query_id and q.term = c.term and q.chunk_id is null where c.chunk_id is not null group by 1, 2),
 rr as (select bm.query_id, bm.chunk_id, coalesce(ss.score, 0) as score from bm left join ss on ss.query_id = bm.query_id and ss.chunk_id = bm.chunk_id)
 select query_id, chunk_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from rr qualify rank <= 5""",
-    "f7_answer_rerank": f"with {dense_sql(6)} select query_id, chunk_id, round(1 - i / 4, 6) as score, (i + 1)::bigint as rank from de join (values (3, 0), (0, 1), (5, 2), (2, 3)) p(place, i) on place = rank - 1 where i < 3",
-    "f8_two_stage": f"with {dense_sql(6, 'v.vec_id % 2 = 1')} select query_id, chunk_id, round(1 - i / 3, 6) as score, (i + 1)::bigint as rank from de join (values (1, 0), (0, 1), (4, 2)) p(place, i) on place = rank - 1 where i < 2",
+    "f4_rewrites": """with t as (select conv_id, turn, text as o, list_filter(list_distinct(list_filter(string_split(text, '. '), lambda x: length(x) > 12)), lambda x: x <> text and trim(x, ' ') <> '') as g from conversations where role = 'user'),
+g as (select conv_id, turn, o, list_filter(string_split(o, '. '), lambda x: length(x) > 12) as every from t),
+u as (select g.conv_id, g.turn, o, coalesce((select list(x order by i) from (select x, min(i) as i from (select unnest(every) as x, generate_subscripts(every, 1) as i) where x <> o and trim(x, ' ') <> '' group by x)), []) as others from g),
+w as (select conv_id, turn, o, list_concat([o], others)[1:4] as w from u),
+f as (select conv_id, turn, case when len(w) < 2 then list_concat(w, [o]) else w end as w from w)
+select conv_id, turn, (i - 1)::int as place, md5(q) as query_md5 from (select conv_id, turn, unnest(w) as q, generate_subscripts(w, 1) as i from f)""",
+    "f7_answer_rerank": f"with {dense_sql(6)}, {answers_sql('de')} {SHOWN} an where rank <= 3",
+    "f8_two_stage": f"with {FUSED}, {RERANKED}, {answers_sql('r2')} {SHOWN} an where rank <= 2",
     "f9_cut": f"with {FUSED}, {RERANKED} {SHOWN} r2 where score >= 0.3",
     "f10_trace": f"""with {FUSED} select query_id, rank, chunk_id, case when chunk_id % 2 = 0 then 'doc-' || chunk_id || '.md' else chunk_id::varchar end as file, round(score / max(score) over (partition by query_id), 4) as normalised,
 round(dense_score, 4) as dense_score, dense_score >= 0.6 as above_threshold, case when has_dense then '0' else '' end as source_queries from fr qualify rank <= 20""",

@@ -1,13 +1,5 @@
-"""Folders for what streams write, in the place that all executors share."""
+"""Folders for what the registered queries write."""
 
-from __future__ import annotations
+from millrace.sources.scratch import kept_folder, new_folder, spread, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-")
-    return f"{shared.rstrip('/')}/millrace-streams/{name}-{uuid.uuid4().hex}"
+__all__ = ["kept_folder", "new_folder", "spread", "stored"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from millrace.operators import text as T
 from millrace.operators.evidence import apply_counts
+from millrace.sources.scratch import children
 
 
 def usage(events: DataFrame) -> DataFrame:
@@ -33,16 +34,15 @@ def support(changes: DataFrame) -> DataFrame:
 
 
 def sync_batches(path: str):
-    """For foreachBatch over ``support``: replaces the keys of a batch in the stored counts. Versions are by batch id, so a batch
-    that is run again writes the same version anew."""
+    """For foreachBatch over ``support``: replaces the keys of a batch in the stored counts. Versions are by batch id, and a batch
+    starts from the newest version below its own, so one that is run again writes the same version anew. A store that can't be
+    read is an error, not an empty table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v={batch_id - 1}"
-        try:
-            stored = spark.read.parquet(before)
-        except Exception:  # the first batch has nothing before it
-            stored = spark.createDataFrame([], "affected_type string, affected_key string, support_count bigint")
+        before = [v for v in (int(x.removeprefix("v=")) for x in children(spark, path) if x.startswith("v=")) if v < batch_id]
+        counts = "affected_type string, affected_key string, support_count bigint"
+        stored = spark.read.schema(counts).parquet(f"{path}/v={max(before)}") if before else spark.createDataFrame([], counts)
         keys = batch.select("affected_type", "affected_key")
         apply_counts(stored, batch.filter("support_count > 0").drop("operation"), keys).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
@@ -50,9 +50,15 @@ def sync_batches(path: str):
 
 
 def ingest_batches(path: str):
-    """For foreachBatch over (doc_id, markdown) of new files: their chunks, appended by batch, each hash once in a batch."""
+    """For foreachBatch over (doc_id, markdown) of new files: their chunks, each hash once whatever batches it comes in. Folders
+    are by batch id, so a batch that is run again replaces its own."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        T.chunks(batch).dropDuplicates(["chunk_hash"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        new = T.chunks(batch).dropDuplicates(["chunk_hash"])
+        others = [f"{path}/{x}" for x in children(spark, path) if x.startswith("batch=") and x != f"batch={batch_id}"]
+        if others:
+            new = new.join(spark.read.parquet(*others).select("chunk_hash"), "chunk_hash", "left_anti").select(*new.columns)
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write

@@ -51,3 +51,56 @@ def test_mentions(spark):
     names = spark.createDataFrame([("beta",), ("Alpha",), (None,), ("gamma",)], "name string")
     for most in (100, 1):
         assert {tuple(r) for r in N.mentions(chunks, names, most).collect()} == {(1, "Alpha"), (1, "beta"), (3, "beta")}
+
+
+def all_paths(edges, seed, hops):
+    """Every undirected path by recursion: (target, distance, path)."""
+    links = [(f, a, p, b) for f, s, p, o in edges for a, b in ((s, o), (o, s))]
+    found, front = [], [(seed, (), seed)]
+    for k in range(hops):
+        front = [(b, (*used, f), f"{path} -[{p}]-> {b}") for at, used, path in front for f, a, p, b in links if a == at and f not in used]
+        found += [(at, k + 1, path) for at, _, path in front if at != seed]
+    return sorted(found, key=lambda x: (x[1], x[0], x[2]))
+
+
+def test_hops_and_shortest_paths_against_recursion(spark):
+    import random
+
+    rnd = random.Random(5)
+    edges = [(f"f{i}", f"n{rnd.randrange(12)}", rnd.choice(["P", "PA", "Q"]), f"n{rnd.randrange(12)}") for i in range(45)]
+    df = spark.createDataFrame(edges, "fact_key string, subject string, predicate string, object string")
+    starts = spark.createDataFrame([(i, f"n{i}") for i in range(12)], "query_id long, seed string")
+    for most in (50, 3):
+        got = [(r.query_id, r.target, r.distance, r.path) for r in N.k_hops(df, starts, 2, most).collect()]
+        assert sorted(got) == sorted((i, *x) for i in range(12) for x in all_paths(edges, f"n{i}", 2)[:most])
+    pairs = [(100 * i + j, f"n{i}", f"n{j}") for i in range(12) for j in range(12) if i != j]
+    got = {}
+    for r in N.shortest_paths(df, spark.createDataFrame(pairs, "query_id long, source string, goal string"), most=4).orderBy("path", "relations").collect():
+        got.setdefault(r.query_id, []).append((r.path, r.distance))
+    for key, a, b in pairs:
+        to = [(d, p) for t, d, p in all_paths(edges, a, 3) if t == b]
+        least = min((d for d, _ in to), default=None)
+        nodes = [" > ".join(x.split("]-> ")[-1] if i else x for i, x in enumerate(p.split(" -["))) for d, p in to if d == least]
+        assert got.get(key, []) == [(p, least) for p in sorted(nodes)[:4]], key
+
+
+def test_a_hub_is_not_expanded(spark):
+    hub = spark.range(100_000).selectExpr("concat('f', id) as fact_key", "'hub' as subject", "'P' as predicate", "concat('x', lpad(id, 6, '0')) as object")
+    edges = hub.unionByName(spark.createDataFrame([("s1", "seed", "P", "hub"), ("s2", "seed", "P", "mid")], "fact_key string, subject string, predicate string, object string"))
+    assert N.first_links(N.both_ways(edges), 50).filter("a = 'hub'").count() == 51
+    rows = N.k_hops(edges, spark.createDataFrame([(1, "seed")], "query_id long, seed string")).orderBy("distance", "target").collect()
+    assert len(rows) == 50 and [r.target for r in rows[:4]] == ["hub", "mid", "x000000", "x000001"]
+    short = N.shortest_paths(edges, spark.createDataFrame([(1, "mid", "x000007")], "query_id long, source string, goal string")).collect()
+    assert [r.path for r in short] == ["mid > seed > hub > x000007"]
+
+
+def test_seeds_and_fallback(spark):
+    names = spark.createDataFrame([("Alpha Beta",), ("beta",), (None,)], "name string")
+    terms = spark.createDataFrame([(1, "BETA"), (2, "alpha"), (3, ""), (4, None)], "query_id long, term string")
+    assert {tuple(r) for r in N.seeds(names, terms).collect()} == {(1, "Alpha Beta"), (1, "beta"), (2, "Alpha Beta")}
+    edges = spark.createDataFrame([("f", "a", "PART_OF", "b"), ("g", "a", "KNOWS", "c")], "fact_key string, subject string, predicate string, object string")
+    queries = spark.createDataFrame([(1, "what of a"), (2, "plain")], "query_id long, query string")
+    starts = spark.createDataFrame([(1, "a")], "query_id long, seed string")
+    none = spark.createDataFrame([], "id long")
+    assert {tuple(r) for r in N.with_fallback(none, queries, edges, starts).collect()} == {(1, "what of a a b", "fallback_graph"), (2, "plain", "fallback_plain")}
+    assert {r.path for r in N.with_fallback(spark.range(1), queries, edges, starts).collect()} == {"entity_index"}

@@ -25,9 +25,16 @@ def test_sources(spark, tmp_path):
     (tmp_path / "r" / "b.json").write_text(json.dumps({"summary": {"total": 3}}))
     row = A.read_reports(spark, str(tmp_path / "r")).first()
     assert (row.total, row.mrr, row.ndcg_at_5) == (3, 0.0, None)
-    posts = lexical.postings(spark.createDataFrame([(1, 1, "alpha beta")], "chunk_id long, doc_id long, text string"))
-    A.save_index(posts, str(tmp_path / "i"), 4)
-    assert A.load_index(spark, str(tmp_path / "i")).count() == 2 and lexical.index_errors(posts, 1).count() == 0
+    A.write_samples(old.unionByName(old), str(tmp_path / "w"), 1)
+    assert [r.id for r in A.read_samples(spark, str(tmp_path / "w")).collect()] == ["007", "007"]
+    many = spark.createDataFrame([("", f"q{i:03d}") for i in range(300)], "id string, query string").repartition(7)
+    numbered = A.import_samples(spark.createDataFrame([("900", "z")], "id string, query string"), many).filter("query <> 'z'").collect()
+    assert {r.query: r.id for r in numbered} == {f"q{i:03d}": f"{901 + i}" for i in range(300)}
+    for where in ("x/deep", "b", "a"):
+        spark.range(len(where)).write.parquet(str(tmp_path / "tables" / where / "t.parquet"))
+    assert A.load_tables(spark, str(tmp_path / "tables"), ["t"])["t"].count() == 1
+    with pytest.raises(FileNotFoundError):
+        A.load_tables(spark, str(tmp_path / "tables"), ["u"])
 
 
 def test_guarded_sql(spark):
@@ -78,16 +85,67 @@ def test_streams(spark, tmp_path):
     q = jobs.support(stream).writeStream.outputMode("update").foreachBatch(jobs.sync_batches(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v=0")).collect()] == [("ENTITY", "a", 2)]
+    write = jobs.sync_batches(str(tmp_path / "out"))
+    counts = lambda *rows: spark.createDataFrame(rows, "affected_type string, affected_key string, support_count long, operation string")
+    write(counts(("FACT", "g", 3, "UPSERT")), 5)  # after batches that wrote nothing
+    write(counts(("FACT", "g", 4, "UPSERT"), ("ENTITY", "a", 0, "DELETE")), 7)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v=5")).collect()} == {("ENTITY", "a", 2), ("FACT", "g", 3)}
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v=7")).collect()] == [("FACT", "g", 4)]
+    (tmp_path / "out/v=8").mkdir()
+    (tmp_path / "out/v=8/part-0.parquet").write_bytes(b"broken")
+    with pytest.raises(Exception):  # noqa: B017  an unreadable version is no empty one
+        write(counts(("FACT", "g", 5, "UPSERT")), 9)
+
+
+def test_a_chunk_is_ingested_once(spark, tmp_path):
     docs = spark.createDataFrame([("d", "# A\nx"), ("e", "# A\nx")], "doc_id string, markdown string")
-    jobs.ingest_batches(str(tmp_path / "chunks"))(docs, 0)
-    assert spark.read.parquet(str(tmp_path / "chunks/batch=0")).count() == 2
+    write = jobs.ingest_batches(str(tmp_path / "chunks"))
+    write(docs, 0)
+    write(docs.unionByName(docs.withColumn("markdown", F.lit("# B\ny"))), 1)
+    write(docs, 0)  # run again
+    rows = spark.read.parquet(str(tmp_path / "chunks"))
+    assert rows.count() == rows.select("chunk_hash").distinct().count() == 4 and rows.filter("batch = 0").count() == 2
+
+
+def test_sheets(spark):
+    cells = spark.createDataFrame([(1, i, [None, None] if i % 2 else [str(i), None]) for i in range(20)] + [(2, 0, [None])], "sheet_id int, row_no int, cells array<string>")
+    assert [(r.sheet_id, [list(c) for c in r.sample]) for r in K.sample_rows(cells, 3).collect()] == [(1, [["0", None], ["2", None], ["4", None]])]
+    sheets = spark.createDataFrame([("a", 2, 1), ("a", 1, 3), ("b", 1, 2)], "doc_id string, sheet_index int, created_at int")
+    ids = spark.createDataFrame([("a",), ("a",)], "doc_id string")
+    assert [(r.sheet_index, r.place) for r in K.list_sheets(sheets, ids).orderBy("place").collect()] == [(1, 1), (2, 2)]
+    assert [r.created_at for r in K.list_sheets(sheets).collect()] == [3, 2, 1]
+    left, gone = K.delete_sheets(sheets, ids)
+    assert [r.doc_id for r in left.collect()] == ["b"] and [tuple(r) for r in gone.collect()] == [("a", 2)]
+
+
+def test_evidence_batches(spark):
+    schema = "evidence_id string, entity_key string, evidence_text string, confidence double, extractor_version string, active boolean, created_at timestamp, updated_at timestamp"
+    old = spark.createDataFrame([("1", "k", "t", 0.9, "v", False, None, None), ("2", "k", "t", 0.9, "v", False, None, None)], schema)
+    new = spark.createDataFrame([("2", "n", None), ("3", None, 0.7), ("3", None, 0.7)], "evidence_id string, entity_key string, confidence double")
+    got = {r.evidence_id: tuple(r)[1:6] for r in A.upsert_evidence(old, new, F.current_timestamp()).collect()}
+    assert got == {"1": ("k", "t", 0.9, "v", False), "2": ("n", "", 0.5, "", True), "3": (None, "", 0.7, "", True)}
+
+
+def test_sql_report_without_samples(spark):
+    kind = "query_type string, recalled_sheet_ids array<string>, true_sheet_ids array<string>, selected_sheet_id string, true_sheet_id string, predicted_sql string, true_sql string, predicted_result struct<columns:array<string>,rows:array<array<string>>>, true_result struct<columns:array<string>,rows:array<array<string>>>, processing_time_ms double, sql_error boolean"
+    row = ("sql_query", ["a", "b"], ["b"], "b", "b", "select 1", "SELECT  1", None, (["x"], [["1"]]), 4.0, True)
+    out = L.sql_report(spark.createDataFrame([row, ("other", *row[1:])], kind)).first()
+    assert (out.sql_num_samples, out.sql_error_count, out.sheet_recall_at_1, out.sheet_recall_at_3, out.table_selection_accuracy, out.sql_correctness, out.execution_accuracy, out.sql_timing_p95_ms) == (1, 1, 0.0, 1.0, 1.0, 1.0, 0.0, 4.0)
+    assert L.sql_report(spark.createDataFrame([], kind)).count() == 0
 
 
 def test_snapshot_is_written_and_read_back(spark, tmp_path, monkeypatch):
     from millrace.plans.library import a8_snapshot
 
     spark.createDataFrame([(1, "some words"), (2, "more words")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert [r.reason for r in a8_snapshot(spark, str(tmp_path)).collect()] == ["chunks differ"]
-    load, read = A.load_index, []
-    monkeypatch.setattr(A, "load_index", lambda spark, path: read.append(path) or load(spark, path).limit(0))
-    assert [r.reason for r in a8_snapshot(spark, str(tmp_path)).collect()] == ["empty", "chunks differ"] and len(read) == 1
+    assert [tuple(r) for r in a8_snapshot(spark, str(tmp_path)).collect()] == [("one more", "chunks differ")]
+    load, read = lexical.load_index, []
+
+    def emptied(spark, path):
+        index = load(spark, path)
+        read.append(path)
+        index.postings = index.postings.limit(0)
+        return index
+
+    monkeypatch.setattr(lexical, "load_index", emptied)
+    assert sorted(r.reason for r in a8_snapshot(spark, str(tmp_path)).collect()) == ["chunks differ", "empty", "empty"] and read

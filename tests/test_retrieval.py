@@ -16,8 +16,24 @@ def corpus(spark):
 
 
 def find(spark, query, **more):
-    posts, stats = L.postings(corpus(spark)), L.corpus_stats(corpus(spark))
-    return L.search(posts, L.term_stats(posts, stats), stats, spark.createDataFrame([(1, query)], "query_id long, query string"), 5, **more).orderBy("rank").collect()
+    rows = L.counted(corpus(spark))
+    return L.search(L.index_of(L.posts_of(rows), L.lengths_of(rows)), spark.createDataFrame([(1, query)], "query_id long, query string"), 5, **more).orderBy("rank").collect()
+
+
+def contents(index):
+    return {name: sorted((tuple(r) for r in getattr(index, name).collect()), key=str) for name in ("postings", "chunks", "terms", "stats")}
+
+
+def test_a_stored_index_grows_and_shrinks_like_one_built_anew(spark, tmp_path):
+    rows = spark.createDataFrame([*CORPUS, (7, 5, ""), (8, 5, "the of and")], "chunk_id long, doc_id long, text string")
+    whole = L.save_index(rows, str(tmp_path / "whole"))
+    part = L.save_index(rows.filter("chunk_id in (1, 2, 7)"), str(tmp_path / "part"))
+    assert whole.chunks.count() == 8 and L.index_errors(whole, 8).count() == 0 and [r.reason for r in L.index_errors(whole, 9).collect()] == ["chunks differ"]
+    assert [r.reason for r in L.index_errors(L.save_index(rows.limit(0), str(tmp_path / "none")), 0).collect()] == ["empty"]
+    changed = rows.filter("chunk_id > 1").union(spark.createDataFrame([(1, 1, "other words that are not read")], rows.schema))
+    assert contents(L.added(part, changed)) == contents(whole)
+    left = L.removed(whole, spark.createDataFrame([(1,), (4,)], "doc_id long"))
+    assert contents(left) == contents(L.save_index(rows.filter("doc_id not in (1, 4)"), str(tmp_path / "left")))
 
 
 def test_bm25_against_plain_python(spark):
@@ -82,9 +98,18 @@ def test_inverted_file_loses_no_hit(spark, tmp_path):
     from millrace.plans.retrieval import e3_inverted_file
 
     rnd = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(rnd.normal(size=(700, 24)))]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(rnd.normal(size=(900, 24)))]
+    vectors = spark.createDataFrame([*rows, (2000, None, 0)], "vec_id long, embedding array<float>, label int")
     vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
     v = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    want = {(r.query_id, r.rank, r.id) for r in V.top_k(v, v.filter("id < 10").select(F.col("id").alias("query_id"), "vector"), 10).collect()}
-    assert {(r.query_id, r.rank, r.chunk_id) for r in e3_inverted_file(spark, str(tmp_path)).collect()} == want and len(want) == 100
+    own = v.filter("id % 100 = 0").select((F.col("id") / 100).cast("long").alias("query_id"), "vector")
+    want = {(r.query_id, r.rank, r.id) for r in V.top_k(v, own, 10).collect()}
+    assert {(r.query_id, r.rank, r.chunk_id) for r in e3_inverted_file(spark, str(tmp_path)).collect()} == want and len(want) == 90
+
+
+def test_ties_go_to_smaller_ids_however_rows_are_batched(spark):
+    rows = [(i, [1.0, float(i % 2)]) for i in range(60)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(parts)
+        got = V.top_k(df, spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0, 0.0])], "query_id long, vector array<double>"), 5).orderBy("query_id", "rank").collect()
+        assert [r.id for r in got] == [1, 3, 5, 7, 9, 0, 2, 4, 6, 8]

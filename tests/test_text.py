@@ -5,13 +5,13 @@ import pyspark.sql.functions as F
 from millrace.functions.splitter import split_text
 from millrace.operators import text as T
 
-MARKDOWN = "# Title\nContent here.\n\n## Section 1\nMore content.\n\n### Detail\nDeep content here."
+MARKDOWN = "# Harbour\nBoats lie here.\n\n## Crane\nIt lifts crates.\n\n### Winch\nIts rope is new."
 
 
 def test_sections_and_chunks(spark):
     rows = T.chunks(spark.createDataFrame([("d", MARKDOWN), ("e", "no heading"), ("n", None)], "doc_id string, markdown string")).orderBy("doc_id", "chunk_index").collect()
-    assert [r.heading for r in rows] == ["Title", "Title > Section 1", "Title > Section 1 > Detail", ""]
-    assert rows[1].text.startswith("Title > Section 1\nMore content.") and rows[1].chunk_id == "d_chunk_0001" and rows[1].chapter == "Title"
+    assert [r.heading for r in rows] == ["Harbour", "Harbour > Crane", "Harbour > Crane > Winch", ""]
+    assert rows[1].text.startswith("Harbour > Crane\nIt lifts crates.") and rows[1].chunk_id == "d_chunk_0001" and rows[1].chapter == "Harbour"
     assert rows[3].text == "no heading" and len(rows[3].chunk_hash) == 32
 
 
@@ -31,23 +31,23 @@ def test_splitter_bounds_and_coverage():
 
 
 def test_tables(spark):
-    md = spark.createDataFrame([("d", "text\n| A | B | C |\n|---|---|---|\n| 1 | 2 | 3 |\n| 4 |  | 6 |\nafter")], "doc_id string, markdown string")
+    md = spark.createDataFrame([("d", "fares\n| line | zone | price |\n|---|---|---|\n| U7 | b | 2.9 |\n| S1 |  | 3.5 |\nsee above")], "doc_id string, markdown string")
     [t] = T.markdown_tables(md).collect()
-    assert (list(t.headers), [list(r) for r in t.rows], t.num_rows, t.num_cols) == (["A", "B", "C"], [["1", "2", "3"], ["4", "6"]], 2, 3)
-    assert [list(r) for r in T.markdown_tables(md, keep_empty=True).first().rows][1] == ["4", "", "6"]
-    html = "<table><caption>Test</caption><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>"
+    assert (list(t.headers), [list(r) for r in t.rows], t.num_rows, t.num_cols) == (["line", "zone", "price"], [["U7", "b", "2.9"], ["S1", "3.5"]], 2, 3)
+    assert [list(r) for r in T.markdown_tables(md, keep_empty=True).first().rows][1] == ["S1", "", "3.5"]
+    html = "<table class=x><caption>Tides <i>today</i></caption><tr><th>hour</th><th>height</th></tr><tr><td>04:10</td><td>1.2 m</td></tr><tr></tr></table>"
     x = spark.range(1).select(T.html_table(F.lit(html)).alias("t")).first().t
-    assert x.caption == "Test" and list(x.headers) == ["A", "B"] and [list(r) for r in x.rows] == [["1", "2"]]
-    two = spark.createDataFrame([("d", i, "T1", ["A", "B"], [[str(i), "x"]], 2) for i in range(2)], "doc_id string, ord int, caption string, headers array<string>, rows array<array<string>>, num_cols int")
-    assert [r.num_rows for r in T.merge_tables(two).collect()] == [2]
-    five = spark.createDataFrame([("d", 0, "Test Table", ["A", "B"], [["x", "y"]] * 5, 2)], "doc_id string, ord int, caption string, headers array<string>, rows array<array<string>>, num_cols int")
-    assert [r.num_rows for r in T.table_chunks(five, 3).orderBy("part_index").collect()] == [3, 2]
+    assert x.caption == "Tides today" and list(x.headers) == ["hour", "height"] and [list(r) for r in x.rows] == [["04:10", "1.2 m"]]
+    two = spark.createDataFrame([("d", i, "rates" if i < 3 else None, ["from", "rate"], [[str(i), "7"]] * (i + 1), 2) for i in range(4)], "doc_id string, ord int, caption string, headers array<string>, rows array<array<string>>, num_cols int")
+    assert [r.num_rows for r in T.merge_tables(two).orderBy("ord").collect()] == [6, 4]
+    five = spark.createDataFrame([("d", 0, "stock", ["shelf", "pieces"], [["k", "9"]] * 7, 2)], "doc_id string, ord int, caption string, headers array<string>, rows array<array<string>>, num_cols int")
+    assert [r.num_rows for r in T.table_chunks(five, 4).orderBy("part_index").collect()] == [4, 3]
 
 
 def test_merge_neighbours_and_dedup(spark):
-    rows = spark.createDataFrame([("d1", 0, "c1", "H1", "text1", "text"), ("d1", 1, "c2", "H1", "text2", "text"), ("d1", 2, "c3", "H2", "t" * 600, "text"), ("d1", 3, "c4", None, "z", "table")], "doc_id string, ord int, chunk_id string, heading string, text string, type string")
+    rows = spark.createDataFrame([("p", 0, "a", "Oak", "hard wood", "text"), ("p", 1, "b", "Oak", "old trees", "text"), ("p", 2, "c", "Elm", "e" * 600, "text"), ("p", 3, "d", None, "z", "table")], "doc_id string, ord int, chunk_id string, heading string, text string, type string")
     out = T.merge_neighbours(rows, 500).orderBy("ord").collect()
-    assert [(r.chunk_id, r.text[:12]) for r in out] == [("c1+", "text1\n\ntext2"), ("c3", "t" * 12), ("c4", "z")]
+    assert [(r.chunk_id, r.text[:12]) for r in out] == [("a+", "hard wood\n\no"), ("c", "e" * 12), ("d", "z")]
     assert T.first_by_prefix(rows.withColumn("text", F.lit("same")), ["ord"]).count() == 1
 
 
