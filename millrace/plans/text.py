@@ -5,15 +5,20 @@ import pyspark.sql.functions as F
 from millrace.functions.splitter import splitter
 from millrace.operators import text as T
 from millrace.params import DEFAULT
+from millrace.sources.scratch import spread
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def markdown(spark, sf_dir):
     made = F.transform(F.split("text", "\n"), lambda line, i: F.when(i % 5 == 2, F.concat(F.repeat(F.lit("#"), (F.floor(i / 5) % 3 + 1).cast("int")), F.lit(" "), F.substring(line, 1, 20))).otherwise(line))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(made, "\n").alias("markdown"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(made, "\n").alias("markdown"))
 
 
 LINES = r"""
@@ -57,12 +62,16 @@ def b5_chunk_ids(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", "chunk_id", F.concat_ws("_", F.col("doc_id"), F.format_string("%04d", "chunk_index"), F.substring("chunk_hash", 1, 8)).alias("api_id"))
 
 
+def thousand(name, key):
+    return F.concat_ws("-", name, F.floor(F.col(key) / 1000))
+
+
 def part_tables(spark, sf_dir):
-    """Markdown with one table of parts for each brand."""
+    """Markdown with one table for each brand and thousand of part keys, so that tables stay small however many parts there are."""
     row = F.concat(F.lit("| "), F.col("p_partkey"), F.lit(" | "), F.col("p_name"), F.lit(" |  | "), F.col("p_size"), F.lit(" |"))
     rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n")
     head = F.lit("intro\n| key | name | none | size |\n| --- | --- | --- | --- |\n")
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(F.concat(head, rows, F.lit("\nafter it")).alias("markdown"))
+    return table(spark, sf_dir, "part").groupBy(thousand("p_brand", "p_partkey").alias("doc_id")).agg(F.concat(head, rows, F.lit("\nafter it")).alias("markdown"))
 
 
 def b6_markdown_tables(spark, sf_dir):
@@ -74,9 +83,9 @@ def b6_markdown_tables(spark, sf_dir):
 def b7_html_tables(spark, sf_dir):
     row = F.concat(F.lit("<tr><td>"), F.col("s_suppkey"), F.lit("</td><td> <b>"), F.col("s_name"), F.lit("</b> &amp; co</td></tr>"))
     rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", row.alias("r")))), lambda x: x["r"]), "")
-    made = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("<table><caption>Nation</caption><tr><th>Key</th><th>Name</th></tr>"), rows, F.lit("</table>")).alias("html"))
-    t = made.select("s_nationkey", T.html_table(F.col("html")).alias("t"))
-    return t.select("s_nationkey", F.col("t.caption").alias("caption"), F.array_join("t.headers", "|").alias("headers"), F.size("t.rows").alias("num_rows"), T.unescape(F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), ";")).alias("cells"))
+    made = table(spark, sf_dir, "supplier").groupBy(thousand("s_nationkey", "s_suppkey").alias("doc_id")).agg(F.concat(F.lit("<table><caption>Nation</caption><tr><th>Key</th><th>Name</th></tr>"), rows, F.lit("</table>")).alias("html"))
+    t = made.select("doc_id", T.html_table(F.col("html")).alias("t"))
+    return t.select("doc_id", F.col("t.caption").alias("caption"), F.array_join("t.headers", "|").alias("headers"), F.size("t.rows").alias("num_rows"), T.unescape(F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), ";")).alias("cells"))
 
 
 def order_tables(spark, sf_dir):
@@ -97,7 +106,7 @@ def b8_merged_tables(spark, sf_dir):
 
 def b9_table_chunks(spark, sf_dir):
     rows = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: F.array(x["p_partkey"].cast("string"), x["p_name"]))
-    made = table(spark, sf_dir, "part").groupBy("p_brand").agg(rows.alias("rows")).select(F.col("p_brand").alias("doc_id"), F.lit(0).alias("ord"), F.col("p_brand").alias("caption"), F.array(F.lit("key"), F.lit("name")).alias("headers"), "rows", F.lit(2).alias("num_cols"))
+    made = table(spark, sf_dir, "part").groupBy(thousand("p_brand", "p_partkey").alias("doc_id")).agg(rows.alias("rows")).select("doc_id", F.lit(0).alias("ord"), F.col("doc_id").alias("caption"), F.array(F.lit("key"), F.lit("name")).alias("headers"), "rows", F.lit(2).alias("num_cols"))
     return T.table_chunks(made).select("doc_id", "part_index", "row_start", "num_rows", F.md5("text").alias("text_md5"))
 
 
@@ -129,12 +138,12 @@ def b14_dedup(spark, sf_dir):
 
 
 def b15_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("t", T.tokens(F.col("text")))
+    docs = documents(spark, sf_dir).withColumn("t", T.tokens(F.col("text")))
     return docs.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"), F.size(T.bigrams(F.col("text"))).alias("n_bigrams"))
 
 
 def b16_tags(spark, sf_dir):
-    return T.keywords(table(spark, sf_dir, "documents")).select("doc_id", F.array_join("tags", ",").alias("tags"))
+    return T.keywords(documents(spark, sf_dir)).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
 QUERIES = {f.__name__: f for f in (b1_sections, b2_split, b3_prefixed, b4_chapters, b5_chunk_ids, b6_markdown_tables, b7_html_tables, b8_merged_tables, b9_table_chunks, b10_filled, b11_clean, b12_hashes, b13_merge, b14_dedup, b15_tokens, b16_tags)}
@@ -144,10 +153,10 @@ SQL = {
     "b3_prefixed": f"with {LINES} select doc_id, sec_no, md5(case when len(heading_path) > 0 then array_to_string(heading_path, ' > ') || chr(10) || text else text end) as text_md5 from secs",
     "b4_chapters": "select doc_id, 1 as sec_no, 'Part ' || source as heading, null::varchar as chapter, null::varchar as article_num from documents union all select doc_id, 2, 'Part ' || source || ' > 第' || doc_id || '条', 'Part ' || source, '第' || doc_id || '条' from documents union all select doc_id, 3, 'End', null, '第七条' from documents",
     "b5_chunk_ids": f"with {LINES}, p as (select *, case when len(heading_path) > 0 then array_to_string(heading_path, ' > ') || chr(10) || text else text end as t from secs), q as (select *, row_number() over (partition by doc_id order by sec_no) - 1 as i from p where trim(t, ' ') <> '') select doc_id, i::int as chunk_index, doc_id || '_chunk_' || printf('%04d', i) as chunk_id, doc_id || '_' || printf('%04d', i) || '_' || left(sha256(doc_id || chr(31) || t), 8) as api_id from q",
-    "b6_markdown_tables": "select p_brand as doc_id, 1 as ord, 'key|name|none|size' as headers, count(*)::int as num_rows, 4 as num_cols, md5(string_agg(p_partkey || '|' || p_name || '|' || p_size, ';' order by p_partkey)) as cells_md5 from part group by 1",
-    "b7_html_tables": "select s_nationkey, 'Nation' as caption, 'Key|Name' as headers, count(*)::int as num_rows, string_agg(s_suppkey || '|' || s_name || ' & co', ';' order by s_suppkey) as cells from supplier group by 1",
+    "b6_markdown_tables": "select p_brand || '-' || p_partkey // 1000 as doc_id, 1 as ord, 'key|name|none|size' as headers, count(*)::int as num_rows, 4 as num_cols, md5(string_agg(p_partkey || '|' || p_name || '|' || p_size, ';' order by p_partkey)) as cells_md5 from part group by 1",
+    "b7_html_tables": "select s_nationkey || '-' || s_suppkey // 1000 as doc_id, 'Nation' as caption, 'Key|Name' as headers, count(*)::int as num_rows, string_agg(s_suppkey || '|' || s_name || ' & co', ';' order by s_suppkey) as cells from supplier group by 1",
     "b8_merged_tables": "select l_orderkey as doc_id, min(l_linestatus || l_returnflag) as ord, l_linestatus as caption, count(*)::int as num_rows, string_agg(l_linenumber || ',' || l_partkey, ';' order by l_returnflag, l_linenumber, l_partkey) as cells from lineitem group by l_orderkey, l_linestatus",
-    "b9_table_chunks": "with r as (select p_brand, p_partkey, p_name, row_number() over (partition by p_brand order by p_partkey) - 1 as i from part) select p_brand as doc_id, (i // 30)::int as part_index, ((i // 30) * 30)::int as row_start, count(*)::int as num_rows, md5('[Table] ' || p_brand || chr(10) || 'key | name' || chr(10) || '--- | ---' || chr(10) || string_agg(p_partkey || ' | ' || p_name, chr(10) order by i)) as text_md5 from r group by p_brand, i // 30",
+    "b9_table_chunks": "with r as (select p_brand || '-' || p_partkey // 1000 as d, p_partkey, p_name, row_number() over (partition by p_brand, p_partkey // 1000 order by p_partkey) - 1 as i from part) select d as doc_id, (i // 30)::int as part_index, ((i // 30) * 30)::int as row_start, count(*)::int as num_rows, md5('[Table] ' || d || chr(10) || 'key | name' || chr(10) || '--- | ---' || chr(10) || string_agg(p_partkey || ' | ' || p_name, chr(10) order by i)) as text_md5 from r group by d, i // 30",
     "b10_filled": "select doc_id, '/' || lang || '/' || source as folder, count(*) as chunks from (select doc_id, lang, source, unnest(string_split(text, chr(10))) as line from documents) where length(trim(line, ' ')) > 0 group by all",
     "b11_clean": r"with c as (select doc_id, trim(lower(regexp_replace(regexp_replace(regexp_replace('  ' || chr(8203) || 'X' || chr(9) || ' y' || chr(10) || chr(10) || chr(10) || nfc_normalize(text) || chr(65279) || ' ' || chr(10), '[\x{2000}-\x{200d}\x{feff}]', '', 'g'), '[ \t\r\f\v]+', ' ', 'g'), '\n{2,}', chr(10), 'g')), ' ') as c from documents) select doc_id, md5(c) as clean_md5, length(c)::int as chars from c",
     "b12_hashes": "select doc_id, left(sha256(doc_id || chr(31) || text), 32) as chunk_hash, left(sha256(text), 32) as doc_hash from documents",
