@@ -104,3 +104,27 @@ def test_seeds_and_fallback(spark):
     none = spark.createDataFrame([], "id long")
     assert {tuple(r) for r in N.with_fallback(none, queries, edges, starts).collect()} == {(1, "what of a a b", "fallback_graph"), (2, "plain", "fallback_plain")}
     assert {r.path for r in N.with_fallback(spark.range(1), queries, edges, starts).collect()} == {"entity_index"}
+
+
+def test_index_search_against_plain_python(spark):
+    from zlib import crc32
+
+    import numpy as np
+
+    from millrace.plans import graph as G
+
+    def vector(text):
+        v = np.zeros(64)
+        for word in text.lower().split():
+            v[crc32(word.encode()) % 64] += 1 if crc32(word.encode()) & 0x8000_0000 else -1
+        return v.astype(np.float32).astype(float)
+
+    small = "/root/testdata/sf0.01"
+    records = [(2 * int(r.entity_key.split(":")[1][1:]) + r.entity_key.startswith("part"), vector(r.text)) for r in E.entity_records(G.evidence(spark, small)).collect()]
+    asked = [r.s_suppkey for r in spark.read.parquet(f"{small}/supplier.parquet").collect() if r.s_suppkey % 100 == 0]
+    want = []
+    for key in asked:
+        q = vector(f"S{key}: Supplier")
+        score = [(-round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 6), i) for i, v in records if v.any()]
+        want += [(key, i, place + 1, -s) for place, (s, i) in enumerate(sorted(score)[:10])]
+    assert sorted((r.query_id, r.record, r.rank, r.score) for r in G.i1_index_search(spark, small).collect()) == sorted(want) and want

@@ -149,3 +149,21 @@ def test_snapshot_is_written_and_read_back(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(lexical, "load_index", emptied)
     assert sorted(r.reason for r in a8_snapshot(spark, str(tmp_path)).collect()) == ["chunks differ", "empty", "empty"] and read
+
+
+def test_kept_folders_follow_their_table(spark, tmp_path):
+    from millrace.sources.scratch import children, kept_folder, spread
+
+    made, path = [], str(tmp_path / "t.parquet")
+
+    def make(folder):
+        made.append(folder)
+
+    spark.range(3).write.parquet(path)
+    first = kept_folder(spark.read.parquet(path), "kept", make)
+    assert kept_folder(spark.read.parquet(path), "kept", make) == first and len(made) == 1
+    spark.range(4).write.mode("overwrite").parquet(path)
+    assert kept_folder(spark.read.parquet(path), "kept", make) != first and len(made) == 2
+    assert children(spark, str(tmp_path / "no such folder")) == [] and "_SUCCESS" in children(spark, path)
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == 8 and spread(spark.range(100).repartition(40)).rdd.getNumPartitions() == 40
