@@ -38,7 +38,7 @@ MARK = "#page-id="
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 BUNDLE = 1 << 20
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
-RECORDS = "record_id string, page_id bigint, url string, date string, ip string, content_type string, http binary, payload binary, payload_sha256 string, source string, error string"
+RECORDS = "record_id string, page_id bigint, url string, date string, ip string, content_type string, http binary, packed binary, payload_sha256 string, source string, error string"
 READ = "record_id string, record_type string, page_id bigint, url string, date string, ip string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
 
@@ -122,14 +122,18 @@ def write_arc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     write_rows(rows.mapInArrow(arc_rows(per_file, bundle, version), "value binary"), path, per_file)
 
 
-def unzipped(data: bytes) -> Iterator[bytes]:
+def unzipped(data: bytes, window: int = 1 << 14) -> Iterator[bytes]:
     """Contents of the members of a gzip file one after another, or a plain file as it is."""
     if data[:2] != b"\x1f\x8b":
         yield data
-    while data[:2] == b"\x1f\x8b":
-        part = zlib.decompressobj(31)
-        yield part.decompress(data)
-        data = part.unused_data
+    view, at = memoryview(data), 0
+    while view[at : at + 2] == b"\x1f\x8b":
+        part, out = zlib.decompressobj(31), []
+        while not part.eof and at < len(view):
+            own = view[at : at + window]
+            out.append(part.decompress(own))
+            at += len(own) - len(part.unused_data)
+        yield b"".join(out)
 
 
 class Reader:
@@ -215,29 +219,38 @@ def parse_arc(data: bytes, name: str = "") -> Iterator[dict]:
                 yield {"source": source, "error": f"no date: {fields['Archive-date']}"}
 
 
-@tidied
-def arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def http_parts(body: bytes) -> tuple[bytes, bytes]:
+    """The header with the empty line behind it, and the payload; line ends may be of either kind."""
+    ends = [at + len(mark) for mark in (b"\r\n\r\n", b"\n\n") if (at := body.find(mark)) >= 0]
+    end = min(ends, default=len(body))
+    return body[:end], body[end:]
+
+
+def arc_records(with_payload: bool):
+    """Rows of RECORDS; the payload is packed by zlib, or left out where only its digest is asked for."""
     names = [x.split() for x in RECORDS.split(", ")]
     kinds = pa.schema([(name, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in names])
 
-    def rows() -> Iterator[dict]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for x in parse_arc(content.as_py(), path.rsplit("/", 1)[-1]):
-                    if "error" in x:
-                        yield x
-                        continue
-                    http, mark, payload = b"", b"", x["body"]
-                    if payload.startswith(b"HTTP/"):
-                        http, mark, payload = min((x["body"].partition(end) for end in (b"\r\n\r\n", b"\n\n")), key=lambda parts: len(parts[0]))
-                    url, _, key = x["URL"].rpartition(MARK)
-                    digest = hashlib.sha256(payload).hexdigest()
-                    yield {
-                        "record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((x['source'], x['URL'], x['date'], digest)))}", "page_id": int(key) if url and key.lstrip("-").isdigit() else None, "url": url or x["URL"],
-                        "date": x["date"], "ip": x.get("IP-address"), "content_type": x.get("Content-type"), "http": http + mark, "payload": payload, "payload_sha256": digest, "source": x["source"],
-                    }
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    for x in parse_arc(content.as_py(), path.rsplit("/", 1)[-1]):
+                        if "error" in x:
+                            yield x
+                            continue
+                        http, payload = http_parts(x["body"]) if x["body"].startswith(b"HTTP/") else (b"", x["body"])
+                        url, _, key = x["URL"].rpartition(MARK)
+                        digest = hashlib.sha256(payload).hexdigest()
+                        row = {"record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((x['source'], x['URL'], x['date'], digest)))}", "page_id": int(key) if url and key.lstrip("-").isdigit() else None, "payload_sha256": digest}
+                        if with_payload:
+                            row |= {"url": url or x["URL"], "date": x["date"], "ip": x.get("IP-address"), "content_type": x.get("Content-type"), "http": http, "packed": zlib.compress(payload, 1)}
+                        yield row
+
+        yield from _batches(rows(), kinds)
 
-    yield from _batches(rows(), kinds)
+    return run
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -249,7 +262,7 @@ def warc_rows(per_file: int, bundle: int):
     """Rows of WARC files from records with record_type and refers_to_record."""
 
     def record(kind: str, name: str, date: str, more: list[str], block: bytes) -> bytes:
-        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", *more, f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"Content-Length: {len(block)}"]
+        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", *more, f"Content-Length: {len(block)}"]
         return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
     @tidied
@@ -263,13 +276,14 @@ def warc_rows(per_file: int, bundle: int):
         def records() -> Iterator[bytes]:
             for batch in batches:
                 for x in batch.to_pylist():
-                    more = [f"WARC-Target-URI: {x['url']}", f"WARC-Payload-Digest: sha1:{sha1_base32(x['payload'])}", f"X-Payload-Length: {len(x['payload'])}", f"X-Page-ID: {'' if x['page_id'] is None else x['page_id']}"]
+                    payload = zlib.decompress(x["packed"])
+                    more = [f"WARC-Target-URI: {x['url']}", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"X-Page-ID: {'' if x['page_id'] is None else x['page_id']}"]
                     if x["ip"] not in (None, "-", "0.0.0.0"):
                         more.append(f"WARC-IP-Address: {x['ip']}")
                     more.append("Content-Type: application/http;msgtype=response" if x["http"] else f"Content-Type: {x['content_type']}")
                     if x["record_type"] == "revisit":
-                        more += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{x['refers_to_record']}>", f"X-Refers-To-Page-ID: {'' if x['refers_to'] is None else x['refers_to']}"]
-                    yield record(x["record_type"], x["record_id"], x["date"], more, x["http"] + (b"" if x["record_type"] == "revisit" else x["payload"]))
+                        more += [f"X-Payload-Length: {len(payload)}", f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{x['refers_to_record']}>", f"X-Refers-To-Page-ID: {'' if x['refers_to'] is None else x['refers_to']}"]
+                    yield record(x["record_type"], x["record_id"], x["date"], more, x["http"] + (b"" if x["record_type"] == "revisit" else payload))
 
         yield from _batches(bundles(records(), head, per_file, bundle), _LINE)
 
@@ -283,14 +297,15 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, per_file: in
     unique id, so no payload shared by many pages gathers their bytes in one task. Record ids come from the archive's own name,
     the record's place in it and its content, and so are the same in every run and folder. An archive is read as one row, so
     it must be smaller than 2 GB."""
-    found = files(spark, arc_path).mapInArrow(arc_records, RECORDS)
-    digests = materialize(found.select("record_id", "page_id", "payload_sha256", "source", "error"), "arc-digests")
+    archives = files(spark, arc_path)
+    digests = archives.mapInArrow(arc_records(False), RECORDS).select("record_id", "page_id", "payload_sha256", "source", "error")
+    digests = materialize(digests, "arc-digests")
     errors, digests = digests.filter("error is not null").select("source", "error"), digests.filter("error is null")
     best = F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 62))).alias("order"), "record_id", "page_id"))
     shared = materialize(digests.groupBy("payload_sha256").agg(best.alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n"), "arc-owners")
     revisits = digests.join(shared, "payload_sha256").filter("record_id != best.record_id").select("record_id", F.col("best.record_id").alias("refers_to_record"), F.col("best.page_id").alias("refers_to"))
     kind = F.when(F.col("refers_to_record").isNull(), "response").otherwise("revisit")
-    records = found.filter("error is null").drop("source", "error").join(revisits, "record_id", "left").withColumn("record_type", kind)
+    records = archives.mapInArrow(arc_records(True), RECORDS).filter("error is null").drop("source", "error", "payload_sha256").join(revisits, "record_id", "left").withColumn("record_type", kind)
     write_rows(records.mapInArrow(warc_rows(per_file, bundle), "value binary"), warc_path, per_file)
     return errors
 
@@ -324,9 +339,7 @@ def warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for fields, block in parse_warc(content.as_py()):
                     if fields["warc-type"] == "warcinfo":
                         continue
-                    payload = block
-                    if fields["content-type"].startswith("application/http"):
-                        payload = min((block.partition(end) for end in (b"\r\n\r\n", b"\n\n")), key=lambda parts: len(parts[0]))[2]
+                    payload = http_parts(block)[1] if fields["content-type"].startswith("application/http") else block
                     revisit = fields["warc-type"] == "revisit"
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     if not revisit and sha1_base32(payload) != digest:
