@@ -10,6 +10,8 @@ directory by joining its ancestor paths, then joined to files by directory.
 
 from __future__ import annotations
 
+import math
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,9 +84,10 @@ def pieces_of(text):
 
 
 def able_to_reach(weights: DataFrame, threshold: float):
-    """A test of texts: can a piece of it have the cosine? By Cauchy and Schwarz a piece's cosine is at most the root of the
-    shared terms' squared weights. A template's lightest terms don't reach it all together, so one of its others must be there,
-    which is tested first. The terms are found once a text, so they are bound by a lambda."""
+    """Tests of texts and of pieces: can a piece (of the text) have the cosine? By Cauchy and Schwarz a piece's cosine is at most
+    the root of the shared terms' squared weights. A template's lightest terms don't reach it all together, so one of its others
+    must be there. A piece's own vector has a part outside the templates' words, which have the largest weight there, and only
+    the rest of its length counts; that is tested first. Terms are found once a text, so they are bound by lambdas."""
     held: dict[int, dict[str, float]] = {}
     for r in weights.collect():  # the templates' terms
         held.setdefault(r.template, {})[r.term] = r.weight**2
@@ -97,23 +100,40 @@ def able_to_reach(weights: DataFrame, threshold: float):
                 heavy.add(term)
     heavy = F.array(*map(F.lit, sorted(heavy)))
     every = F.array(*map(F.lit, sorted({t for own in held.values() for t in own})))
-    shares = F.array(*(F.create_map(*(F.lit(x) for pair in own.items() for x in pair)) for own in held.values()))
+    by_term = lambda values: F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    shares = F.array(*map(by_term, held.values()))
     mass = lambda own, known: F.aggregate(known, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(own, t), F.lit(0.0)))
-    enough = lambda known: (F.size(known) > 1) & F.arrays_overlap(known, heavy) & F.exists(shares, lambda own: mass(own, known) >= threshold**2 - 1e-6)
-    return lambda text: F.exists(F.array(F.array_intersect(terms(text), every)), enough)
+
+    def inside(words, known):
+        """The share of a piece's squared length that lies in the templates' words, at most: were all of these of the largest
+        weight, and all repeats those of one word."""
+        others = F.size(F.array_distinct(words)) - F.size(known)
+        repeats = (F.size(words) - others - F.size(known) + 1).cast("double")
+        squares = repeats * repeats + F.size(known) - 1
+        return squares / (squares + others)
+
+    def test(share):
+        def able(text):
+            reached = lambda known, part: (part >= threshold**2 - 1e-6) & F.arrays_overlap(known, heavy) & F.exists(shares, lambda own: mass(own, known) * part >= threshold**2 - 1e-6)
+            enough = lambda words, known: (F.size(known) > 1) & F.exists(F.array(share(words, known)), lambda part: reached(known, part))
+            return F.exists(F.array(terms(text)), lambda words: F.exists(F.array(F.array_intersect(words, every)), lambda known: enough(words, known)))
+
+        return able
+
+    return test(lambda words, known: F.lit(1.0)), test(inside)
 
 
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files: (path, text). (path, license, score) of files with a notice; the best score wins, then the first name. A
     single shared word (German Mit) is no notice. A path may have several texts, whose pieces are told apart."""
     idf, weights = template_weights(files.sparkSession, templates)
-    able = able_to_reach(weights, threshold)
-    pieces = F.filter(F.array_distinct(pieces_of(F.col("text"))), able)
-    found = files.filter(able(F.col("text"))).select("path", F.explode(pieces).alias("piece")).select("path", F.xxhash64("piece").alias("s1"), F.crc32(F.col("piece").cast("binary")).alias("s2"), "piece")
+    most = math.log(1.0 + len(templates)) + 1
+    text_able, piece_able = able_to_reach(weights, threshold)
+    pieces = F.filter(F.array_distinct(pieces_of(F.col("text"))), piece_able)
+    found = files.filter(text_able(F.col("text"))).select("path", F.explode(pieces).alias("piece")).select("path", F.xxhash64("piece").alias("s1"), F.crc32(F.col("piece").cast("binary")).alias("s2"), "piece")
     # equal pieces of a path are one here: their counts grow alike, which leaves the cosine as it is
     counts = found.select("path", F.struct("s1", "s2").alias("seg"), F.explode(terms(F.col("piece"))).alias("term")).groupBy("path", "seg", "term").agg(F.count("*").alias("tf"))
-    most = F.log(F.lit(1.0 + len(templates))) + 1
-    weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", most))
+    weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(most)))
     weighed = weighed.select("path", "seg", "term", "w", F.sqrt(F.sum(F.col("w") * F.col("w")).over(_segment())).alias("norm"))
     cosine = weighed.join(F.broadcast(weights), "term").groupBy("path", "seg", "template", "license").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("score"), F.count("*").alias("shared"))
     best = cosine.filter((F.round("score", 9) >= threshold) & (F.col("shared") > 1)).groupBy("path").agg(F.min(F.struct(-F.round("score", 9), "license")).alias("b"))
