@@ -1,6 +1,6 @@
 """Queries and SQL of the subpackage, by name."""
 
-from millrace.llm import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, packing, token_counts, toxicity, warc
+from millrace.llm import bpe_automaton, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, packing, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_decontaminate": decontaminate.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_bpe_automaton": bpe_automaton.query,
 }
 
 SQL = {

@@ -7,8 +7,13 @@ import json
 import os
 from collections.abc import Callable
 
+import regex
+
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
+#: Runs that are encoded apart once a text is too much for the engine.
+LONG_RUN = regex.compile(r"\s{1000,}+")
+
 
 def public_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -16,6 +21,13 @@ def public_file(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@functools.cache
+def byte_of() -> dict[str, int]:
+    """The byte that each character stands for in the vocabulary of a byte-level BPE."""
+    printed = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printed)}
+
+
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Encodes one text as tokenizers does with add_special_tokens=False: an added token's string inside a text is that token.
     ``path`` is a tokenizers file of a byte-level BPE without normaliser and prefix space. Its vocabulary and merges are the same
@@ -27,8 +39,33 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         added = {x["content"]: x["id"] for x in file["added_tokens"]}
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(byte[c] for c in token): k for token, k in file["model"]["vocab"].items() if token not in added}
+        ranks = {bytes(map(byte_of().__getitem__, token)): k for token, k in file["model"]["vocab"].items() if token not in added}
         kept[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return functools.partial(kept[path].encode, allowed_special="all")
+    return functools.partial(_encode, kept[path])
+
+
+def _encode(encoding, text: str) -> list[int]:
+    try:
+        return encoding.encode(text, allowed_special="all")
+    except ValueError:  # white space before a word, too long a run for the engine that tries the pattern
+        return _in_parts(encoding, text)
+
+
+def _in_parts(encoding, text: str) -> list[int]:
+    """Encodes each long run of white space apart. The pattern takes such a run as one word, but for its last character if more
+    text follows; the words before and behind are those that they are in the whole text."""
+    added = {x: encoding.encode_single_token(x) for x in encoding.special_tokens_set}
+    cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
+    out = []
+    for k, part in enumerate(cut.split(text) if cut else [text]):
+        if k % 2:
+            out.append(added[part])
+            continue
+        at = 0
+        for run in LONG_RUN.finditer(part):
+            stop = run.end() if run.end() == len(part) else run.end() - 1
+            out += encoding.encode_ordinary(part[at : run.start()])
+            out += encoding.encode_ordinary(part[run.start() : stop])
+            at = stop
+        out += encoding.encode_ordinary(part[at:])
+    return out
