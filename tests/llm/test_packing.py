@@ -35,7 +35,7 @@ def test_plan_is_best_fit_decreasing():
 
 def test_pieces_and_places(spark):
     rnd = random.Random(9)
-    texts = [None, "", " ", "x", "<|endoftext|>"] + [" ".join(rnd.choice(["alpha", "beta", "ñu", "42"]) for _ in range(rnd.randrange(1, 1500))) for _ in range(120)] + ["word " * 5000]
+    texts = [None, "", " ", "x", "<|endoftext|>"] + [" ".join(rnd.choice(["alpha", "beta", "ñu", "42"]) for _ in range(rnd.randrange(1, 1500))) for _ in range(120)] + ["word " * 5000, "a" + " " * 1_500_000 + "b"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "x"), (None, "no id")]
     out = pack(spark.createDataFrame([(k, t, 5) for k, t in rows], "doc_id long, text string, length int").repartition(7)).collect()
     t = Tokenizer.from_file(public_file())

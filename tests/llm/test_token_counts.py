@@ -24,6 +24,11 @@ def test_encoder_gives_the_tokenizers_ids():
         assert own(text) == other(text)
 
 
+@pytest.mark.parametrize("text", [c * 5_000_000 + end for c in (" ", "\t", "\n", "a") for end in ("", "x")] + ["one" + " " * 1_000_000 + "<|endoftext|>" + "\n" * 1_000_000 + " two " + " \t" * 900_000 + "three  four"], ids=str.__len__)
+def test_long_runs_are_encoded_as_the_library_does(text):
+    assert encoder(public_file())(text) == reference()(text)
+
+
 def deepest(node):
     return 0 if node.text is not None else 1 + max(deepest(node.left), deepest(node.right))
 
@@ -73,6 +78,8 @@ def test_operator(spark):
     again = edited_trees(with_edits(out.drop("tokens_before", "encoded_again"), edits.filter("doc_id = 1 and seq = 2")))
     assert {r.doc_id: (r.tokens_before, r.text) for r in again.collect()}[1] == (len(ids("oh goodbye world")), "oh oh goodbye world")
     assert token_trees(docs.limit(0)).count() == 0
+    spaces = spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b"), (2, "c")], "doc_id long, text string")
+    assert {r.doc_id: r.tokens for r in token_trees(spaces).collect()} == {1: len(ids("a" + " " * 2_000_000 + "b")), 2: 1}
     with pytest.raises(ValueError):
         with_edits(docs.withColumn("edits", F.lit(1)), edits)
 
