@@ -226,10 +226,14 @@ class Coder:
         return b"".join(self._plain(x) if k % 2 == 0 else self.added[x].to_bytes(4, "little") for k, x in enumerate(self.cut(text)))
 
     def decode(self, ids: bytes) -> str:
-        """The labels of the arcs, as UTF-8 with replacement characters for what is none. Unknown ids have no label."""
-        labels, most = self.labels, len(self.labels)
-        codes = np.frombuffer(ids, "<u4")
-        return b"".join(map(labels.__getitem__, (codes if not len(codes) or codes.max() < most else codes[codes < most]).tolist())).decode("utf-8", "replace")
+        return spelt(self.labels, ids)
+
+
+def spelt(labels: list[bytes], ids: bytes) -> str:
+    """The labels of the arcs, as UTF-8 with replacement characters for what is none. Unknown ids have no label."""
+    codes = np.frombuffer(ids, "<u4")
+    known = codes if not len(codes) or codes.max() < len(labels) else codes[codes < len(labels)]
+    return b"".join(map(labels.__getitem__, known.tolist())).decode("utf-8", "replace")
 
 
 def _coder(shared) -> Coder:
@@ -270,10 +274,10 @@ def decoded(df: DataFrame, automaton, id_col: str = "doc_id", ids_col: str = "id
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(automaton)
+        labels = automaton.value["tables"]["labels"]
         for batch in batches:
             for piece in slices(batch, "ids"):
-                texts = [coder.decode(x or b"") for x in piece.column(1).to_pylist()]
+                texts = [spelt(labels, x or b"") for x in piece.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, DECODED)

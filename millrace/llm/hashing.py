@@ -61,9 +61,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _bounds(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bounds(data: np.ndarray, breaks: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words; breaks are positions at which a word ends whatever stands there."""
-    word = ~SPACE[data]
+    word = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[1:-1] = word[1:] != word[:-1]
     if len(data):
@@ -76,8 +76,9 @@ def _bounds(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[0::2], at[1::2]
 
 
-def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a string column in order, and where each row's words begin (one more than rows). Null is empty."""
+def word_hashes(text: pa.Array, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a string column in order, and where each row's words begin (one more than rows). Null is empty.
+    ``space`` marks the bytes between words; ASCII space must be one."""
     text = pc.fill_null(text.cast(pa.large_binary()), b"")
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
@@ -89,17 +90,17 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     while at < len(data):
         end = min(len(data), at + PIECE)
         if end < len(data):  # cut at a space, or at the start of a row
-            gap = np.flatnonzero(SPACE[data[at:end]])
+            gap = np.flatnonzero(space[data[at:end]])
             row = offsets[np.searchsorted(offsets, end, "right") - 1]
             cut = max(at + int(gap[-1]) + 1 if len(gap) else at, int(row))
             if cut <= at:  # one word longer than a piece
-                rest = np.flatnonzero(SPACE[data[end:]])
+                rest = np.flatnonzero(space[data[end:]])
                 nxt = np.searchsorted(offsets, end, "right")
                 cut = min(end + int(rest[0]) if len(rest) else len(data), int(offsets[nxt]) if nxt < len(offsets) else len(data))
             end = cut
         piece = data[at:end]
         lo, hi = np.searchsorted(offsets, [at, end])
-        s, e = _bounds(piece, offsets[lo : hi + 1] - at)
+        s, e = _bounds(piece, offsets[lo : hi + 1] - at, space)
         up, down = _POWERS.upto(len(piece))
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(TABLE[piece] * up[: len(piece)], out=sums[1:])

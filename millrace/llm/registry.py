@@ -1,6 +1,6 @@
 """Queries and SQL of the subpackage, by name."""
 
-from millrace.llm import bpe_automaton, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, packing, prefix_trie, token_counts, toxicity, warc
+from millrace.llm import bpe_automaton, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, packing, prefix_trie, signature_search, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
     "op10_line_dedup": line_dedup.query,
     "op11_bpe_automaton": bpe_automaton.query,
+    "op12_signature_search": signature_search.query,
     "op13_prefix_trie": prefix_trie.query,
 }
 
@@ -23,5 +24,6 @@ SQL = {
     "op4_arc_to_warc": warc.SQL,
     "op6_license_scan": license_scan.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op12_signature_search": signature_search.SQL,
     "op13_prefix_trie": prefix_trie.SQL,
 }
