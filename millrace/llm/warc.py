@@ -21,7 +21,7 @@ from datetime import datetime, timedelta, timezone
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from millrace.llm.scratch import materialize, new_path, tidied
 
@@ -38,7 +38,7 @@ MARK = "#page-id="
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 BUNDLE = 1 << 20
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
-RECORDS = "record_id string, page_id bigint, url string, date string, ip string, content_type string, http binary, packed binary, payload_sha256 string, source string, error string"
+RECORDS = "record_id string, page_id bigint, url string, date string, ip string, content_type string, http binary, packed binary, payload_sha256 string, row string, source string, error string"
 READ = "record_id string, record_type string, page_id bigint, url string, date string, ip string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
 
@@ -122,18 +122,55 @@ def write_arc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     write_rows(rows.mapInArrow(arc_rows(per_file, bundle, version), "value binary"), path, per_file)
 
 
+MAGIC = b"\x1f\x8b\x08"
+
+
 def unzipped(data: bytes, window: int = 1 << 14) -> Iterator[bytes]:
-    """Contents of the members of a gzip file one after another, or a plain file as it is."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
+    """Contents of the members of a gzip file one after another, or a plain file as it is. A damaged member raises zlib.error."""
+    for chunks, damage in streams(data, window):
+        yield from chunks
+        if damage:
+            raise zlib.error(f"damaged member at byte {damage[0]}")
+
+
+def streams(data: bytes, window: int = 1 << 14) -> Iterator[tuple[Iterator[bytes], list[int]]]:
+    """Stretches of a file between damaged gzip members: contents, as in ``unzipped``, and a list that holds the byte of the
+    damaged member behind them once they have been read. What such a member gave before its damage is the last of a stretch;
+    the next begins at the first place from which a member can be unpacked again."""
+    if data[:2] != MAGIC[:2]:
+        yield iter([data]), []
+        return
     view, at = memoryview(data), 0
-    while view[at : at + 2] == b"\x1f\x8b":
-        part, out = zlib.decompressobj(31), []
-        while not part.eof and at < len(view):
-            own = view[at : at + window]
-            out.append(part.decompress(own))
-            at += len(own) - len(part.unused_data)
-        yield b"".join(out)
+
+    def members(damage: list[int]) -> Iterator[bytes]:
+        nonlocal at
+        while view[at : at + 2] == MAGIC[:2]:
+            begin, part, out = at, zlib.decompressobj(31), []
+            try:
+                while not part.eof and at < len(view):
+                    own = view[at : at + window]
+                    out.append(part.decompress(own))
+                    at += len(own) - len(part.unused_data)
+            except zlib.error:
+                damage.append(begin)
+                yield b"".join(out)
+                at = data.find(MAGIC, begin + 1)
+                while at >= 0 and not sound(at):
+                    at = data.find(MAGIC, at + 1)
+                return
+            yield b"".join(out)
+
+    def sound(place: int) -> bool:
+        try:
+            return bool(zlib.decompressobj(31).decompress(view[place : place + window])) or place + window < len(view)
+        except zlib.error:
+            return False
+
+    damage: list[int] = []
+    yield members(damage), damage
+    while damage and 0 <= at < len(view):
+        damage = []
+        yield members(damage), damage
 
 
 class Reader:
@@ -183,8 +220,17 @@ def full_date(digits: str) -> str:
 
 def parse_arc(data: bytes, name: str = "") -> Iterator[dict]:
     """Records of one ARC file: header lines by the fields that the latest version block declared, bodies by declared length.
-    A record that can't be read gives a dictionary of source and error."""
-    reader, names, origin = Reader(unzipped(data)), FIELDS[1].split(), name
+    A record that can't be read gives a dictionary of source and error, and so does a damaged gzip member."""
+    declared = [name, FIELDS[1].split()]
+    for k, (chunks, damage) in enumerate(streams(data)):
+        yield from (x | {"stretch": k} for x in parse_stretch(Reader(chunks), declared))
+        if damage:
+            yield {"source": f"{declared[0]}:{damage[0]}", "error": "damaged gzip member"}
+
+
+def parse_stretch(reader: Reader, latest: list) -> Iterator[dict]:
+    """Records of a stretch. latest: the archive's name and the fields that were declared last, which are set anew."""
+    origin, names = latest
     pattern, lost = header_pattern(names), False
     while True:
         at = reader.place()
@@ -211,10 +257,11 @@ def parse_arc(data: bytes, name: str = "") -> Iterator[dict]:
             first, *rest = body.decode("utf-8", "replace").split("\n")
             declared = rest[0].split() if rest and "URL" in rest[0] else FIELDS.get(int(first[:1]) if first[:1].isdigit() else 1, FIELDS[1]).split()
             names, pattern = declared, header_pattern(declared)
+            latest[:] = origin, names
         else:
             fields = dict(zip(names, found.groups(), strict=True))
             try:
-                yield fields | {"date": full_date(fields["Archive-date"]), "source": source, "body": body}
+                yield fields | {"date": full_date(fields["Archive-date"]), "source": source, "place": at, "body": body}
             except ValueError:
                 yield {"source": source, "error": f"no date: {fields['Archive-date']}"}
 
@@ -227,7 +274,8 @@ def http_parts(body: bytes) -> tuple[bytes, bytes]:
 
 
 def arc_records(with_payload: bool):
-    """Rows of RECORDS; the payload is packed by zlib, or left out where only its digest is asked for."""
+    """Rows of RECORDS; the payload is packed by zlib, or left out where only its digest is asked for. row is the place that no
+    other record has, of file, stretch and byte."""
     names = [x.split() for x in RECORDS.split(", ")]
     kinds = pa.schema([(name, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in names])
 
@@ -243,7 +291,7 @@ def arc_records(with_payload: bool):
                         http, payload = http_parts(x["body"]) if x["body"].startswith(b"HTTP/") else (b"", x["body"])
                         url, _, key = x["URL"].rpartition(MARK)
                         digest = hashlib.sha256(payload).hexdigest()
-                        row = {"record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((x['source'], x['URL'], x['date'], digest)))}", "page_id": int(key) if url and key.lstrip("-").isdigit() else None, "payload_sha256": digest}
+                        row = {"record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((x['source'], x['URL'], x['date'], digest)))}", "row": f"{path}:{x['stretch']}:{x['place']}", "page_id": int(key) if url and key.lstrip("-").isdigit() else None, "payload_sha256": digest}
                         if with_payload:
                             row |= {"url": url or x["URL"], "date": x["date"], "ip": x.get("IP-address"), "content_type": x.get("Content-type"), "http": http, "packed": zlib.compress(payload, 1)}
                         yield row
@@ -295,17 +343,24 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, per_file: in
     with equal payloads the one with the largest page id (then record id; null ids are smallest) becomes the response, the
     others revisit records that refer to it. The owner of a payload is found on digests alone and joined back by the record's
     unique id, so no payload shared by many pages gathers their bytes in one task. Record ids come from the archive's own name,
-    the record's place in it and its content, and so are the same in every run and folder. An archive is read as one row, so
-    it must be smaller than 2 GB."""
+    the record's place in it and its content, and so are the same in every run and folder. An archive that is there twice gives
+    records of their own; the second of equal ids is made from the first. A damaged gzip member is one error, and what follows
+    it is read on. An archive is read as one row, so it must be smaller than 2 GB."""
     archives = files(spark, arc_path)
-    digests = archives.mapInArrow(arc_records(False), RECORDS).select("record_id", "page_id", "payload_sha256", "source", "error")
+    digests = archives.mapInArrow(arc_records(False), RECORDS).select("row", "record_id", "page_id", "payload_sha256", "source", "error")
     digests = materialize(digests, "arc-digests")
     errors, digests = digests.filter("error is not null").select("source", "error"), digests.filter("error is null")
+    copy = F.row_number().over(Window.partitionBy("record_id").orderBy("row"))
+    again = F.concat(F.lit("urn:uuid:"), F.regexp_replace(F.md5(F.concat("record_id", F.lit(" "), F.col("copy").cast("string"))), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"))
+    digests = materialize(digests.withColumn("copy", copy).withColumn("record_id", F.when(F.col("copy") > 1, again).otherwise(F.col("record_id"))), "arc-records")
     best = F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 62))).alias("order"), "record_id", "page_id"))
     shared = materialize(digests.groupBy("payload_sha256").agg(best.alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n"), "arc-owners")
-    revisits = digests.join(shared, "payload_sha256").filter("record_id != best.record_id").select("record_id", F.col("best.record_id").alias("refers_to_record"), F.col("best.page_id").alias("refers_to"))
+    revisits = digests.join(shared, "payload_sha256").filter("record_id != best.record_id").select("row", F.col("best.record_id").alias("refers_to_record"), F.col("best.page_id").alias("refers_to"))
+    copies = digests.filter("copy > 1").select("row", F.col("record_id").alias("copy_id"))
     kind = F.when(F.col("refers_to_record").isNull(), "response").otherwise("revisit")
-    records = archives.mapInArrow(arc_records(True), RECORDS).filter("error is null").drop("source", "error", "payload_sha256").join(revisits, "record_id", "left").withColumn("record_type", kind)
+    records = archives.mapInArrow(arc_records(True), RECORDS).filter("error is null").drop("source", "error", "payload_sha256").join(revisits, "row", "left").withColumn("record_type", kind)
+    if not copies.isEmpty():
+        records = records.join(copies, "row", "left").withColumn("record_id", F.coalesce("copy_id", "record_id"))
     write_rows(records.mapInArrow(warc_rows(per_file, bundle), "value binary"), warc_path, per_file)
     return errors
 

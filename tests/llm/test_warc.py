@@ -92,3 +92,31 @@ def test_foreign_archives(spark, tmp_path):
     rows = {r.url: r for r in W.read_warc(spark, str(tmp_path / "warc")).collect()}
     assert bytes(rows["http://a/"].payload) == b"body" and rows["http://a/"].ip == "1.2.3.4" and rows["http://b/"].ip is None
     assert sorted(rows[u].record_type for u in ("http://b/", "http://c/")) == ["response", "revisit"] and {r.page_id for r in rows.values()} == {None}
+
+
+def test_copies_of_an_archive_are_records_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i // 2}</p>") for i in range(4)], "page_id long, url string, html string").coalesce(1)
+    for copy in ("a", "b"):
+        (tmp_path / "arc" / copy).mkdir(parents=True)
+    W.write_arc(pages, str(tmp_path / "made"), version=1)
+    [made] = [x for x in (tmp_path / "made").iterdir() if x.name.startswith("part")]
+    for copy in ("a", "b"):
+        (tmp_path / "arc" / copy / "same.arc.gz").write_bytes(made.read_bytes())
+    assert W.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc")).count() == 0
+    rows = W.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert len(rows) == len({r.record_id for r in rows}) == 8
+    assert sorted(bytes(r.payload) for r in rows if r.record_type == "response") == [b"<p>0</p>", b"<p>1</p>"]
+    assert sorted((r.page_id, r.refers_to) for r in rows if r.record_type == "revisit") == [(0, 1), (0, 1), (1, 1), (2, 3), (2, 3), (3, 3)]
+
+
+def test_a_damaged_member_is_one_error(spark, tmp_path):
+    head = b"filedesc://a.arc 0.0.0.0 20040101000000 text/plain %d\n%s\n" % (len(V1), V1)
+    member = lambda i: gzip.compress(b"http://h/%d 1.2.3.4 20040102030405 text/plain 400\n%s\n" % (i, bytes(97 + (i * k) % 26 for k in range(400))))
+    broken = bytearray(member(2))
+    broken[20:40] = b"\xff" * 20
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc.gz").write_bytes(gzip.compress(head) + member(0) + member(1) + bytes(broken) + member(3) + member(4)[:-30])
+    errors = W.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc")).collect()
+    at = len(gzip.compress(head) + member(0) + member(1))
+    assert ("a.arc:%d" % at, "damaged gzip member") in [tuple(e) for e in errors]
+    assert sorted(r.url for r in W.read_warc(spark, str(tmp_path / "warc")).collect()) == ["http://h/0", "http://h/1", "http://h/3"]
