@@ -431,22 +431,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of df with exactly one of each component of near_duplicates: that of the smallest id, nulls last, then of the
     smallest hash of id and text. Of rows that repeat id and text, that of the smallest columns stays. A row goes by its own
-    id and text, so others of its id are judged apart. Texts without shingles are in no component and all stay."""
+    id and text, so others of its id are judged apart; rows are told apart by their id and 64 bits of both. Texts without
+    shingles are in no component and all stay. Other columns may have any names."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     found, known, _ = node_links(df.select(key.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
     nodes = materialize(found.filter("n > 0").groupBy("node").agg(first).join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
-    kept = materialize(nodes.groupBy("component").agg(F.min("first").alias("first")).select("component", F.col("first.row_key").alias("kept")), "components")
-    of_node = materialize(nodes.select("node", "component").join(kept, "component").select("node", "kept"), "component-of-node")
-    linked = found.filter("n > 0").join(of_node, "node").groupBy("row_key").agg(F.count("*").alias("rows"), F.bool_or(F.col("row_key") == F.col("kept")).alias("stays"))
-    marked = materialize(linked.filter("not stays or rows > 1").select("row_key", "stays"), "copies")
-    rows = df.withColumn("row_key", key)
-    alone = rows.join(marked.hint("merge"), "row_key", "left_anti").select(*df.columns)
+    kept = materialize(nodes.groupBy("component").agg(F.min("first").alias("first")).select("component", F.col("first.row_key").alias("kept"), F.coalesce("first.doc_id", F.lit(0)).alias("kept_id")), "components")
+    of_node = materialize(nodes.select("node", "component").join(kept, "component").select("node", "kept", "kept_id"), "component-of-node")
+    found = found.withColumn("row_id", F.coalesce("doc_id", F.lit(0)))
+    stays = (F.col("row_key") == F.col("kept")) & (F.col("row_id") == F.col("kept_id"))
+    linked = found.filter("n > 0").join(of_node, "node").groupBy("row_key", "row_id").agg(F.count("*").alias("rows"), F.bool_or(stays).alias("stays"))
+    marked = materialize(linked.filter("not stays or rows > 1").select("row_key", "row_id", "stays"), "copies")
+    places = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*places).withColumns({"row_key": F.xxhash64(*(F.col(places[df.columns.index(c)]) for c in (id_col, text_col))), "row_id": F.coalesce(F.col(places[df.columns.index(id_col)]).cast("long"), F.lit(0))})
+    alone = rows.join(marked.hint("merge"), ["row_key", "row_id"], "left_anti").select(*places)
     again = marked.filter("stays")
-    if again.isEmpty():
-        return alone
-    repeated = rows.join(again.hint("merge"), "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*df.columns)).alias("row"))
-    return alone.unionByName(repeated.select("row.*"))
+    if not again.isEmpty():
+        repeated = rows.join(again.hint("merge"), ["row_key", "row_id"], "left_semi").groupBy("row_key", "row_id").agg(F.min(F.struct(*places)).alias("row"))
+        alone = alone.unionByName(repeated.select("row.*"))
+    return alone.toDF(*df.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

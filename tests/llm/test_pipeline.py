@@ -1,5 +1,7 @@
 import random
 
+import pyspark.sql.functions as F
+
 import corpus_pipeline
 from millrace.llm import jaccard_join
 
@@ -84,3 +86,18 @@ def test_one_row_of_each_group_of_near_duplicates_stays(spark):
     assert len([r for r in got if r[0] is None and r[1] in (d, near(d))]) == 1
     rest = [r for r in got if not (r[0] is None and r[1])]
     assert sorted(rest, key=str) == sorted([(1, a, "x"), (2, b, "x"), (3, c, "y"), (9, near(e), "x"), (5, "", "x"), (5, "", "x"), (None, None, "x")], key=str)
+
+
+def test_columns_of_callers_come_through(spark, tmp_path):
+    text = "\n".join(" ".join(f"the{a}{b} and" for b in "klmnop") for a in "abcd")
+    extra = ["score", "supported", "row_key", "row_id", "lines", "removed_chunks", "lang_pred", "spans", "repeats", "k1", "c0", "node", "column_9"]
+    rows = [(i, text.replace("thea", f"the{'xyz'[i]}a{i}"), "en", *(f"{c}{i}" for c in extra)) for i in range(3)]
+    spark.createDataFrame([(1, "not in any of these documents")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", *extra]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", *extra], name
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    left = docs.drop("text").collect()
+    assert left and all(tuple(r) == (r.doc_id, "en", *(f"{c}{r.doc_id}" for c in extra)) for r in left)
