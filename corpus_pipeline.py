@@ -11,29 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
 from millrace.llm.scratch import materialize
 
+#: Columns of documents that stages read or set; all others may have any names and come through as they are.
+OWN = ("doc_id", "text", "lang", "n_chars")
+
 #: A text in which no language holds this share of the letters has no language to train on.
 LEAST_SCORE = 0.2
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with the columns that no stage knows under names by their places, which no operator uses."""
+    return docs.toDF(*(c if c in OWN else f"column_{i}" for i, c in enumerate(docs.columns)))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: those without letters go, those in which none stands out, and those that no learned
     language explains (most letters in another script, or n-grams nearer to chance than to labelled text). The model learns
     from the labelled documents themselves; lang stays as it was."""
-    found = language_id.annotate(docs.drop("lang_pred", "score", "spans"), language_id.fit(docs), evidence=True)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & F.col("supported")).select(*docs.columns)
+    rows = apart(docs)
+    found = language_id.annotate(rows, language_id.fit(rows), evidence=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & F.col("supported")).select(*rows.columns).toDF(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the repeated chunks of lines; a document of which nothing is left goes. n_chars is that of the new text."""
-    cleaned = line_dedup.line_dedup(docs)
-    kept = cleaned.filter((F.col("removed_chunks") == 0) | (F.length(F.trim("text")) > 0))
-    return kept.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Texts without the repeated chunks of lines; a document of which nothing is left goes. n_chars, if there is such a column, is
+    that of the new text."""
+    rows = apart(docs)
+    kept = line_dedup.line_dedup(rows).filter((F.col("removed_chunks") == 0) | (F.length(F.trim("text")) > 0))
+    if "n_chars" in rows.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest id. Documents without words are in no group. Rows
     of one id and different texts are judged apart; of rows that repeat id and text one stays, as of copies with a null id."""
-    return jaccard_join.one_of_each(docs).select(*docs.columns)
+    return jaccard_join.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
