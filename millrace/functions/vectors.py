@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 40
     return ranked(functools.reduce(DataFrame.unionByName, out), k)
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """(id, key): the distinct values of a column, numbered from 0 without gaps in their order. They are sorted by ranges, and
+    a range begins where the rows before it end; what the driver adds up is one count per partition."""
+    spark = rows.sparkSession
+    values = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+    made = stored(values.repartitionByRange(key).sortWithinPartitions(key).select(F.monotonically_increasing_id().alias("at"), key), "numbered")
+    part = F.shiftright("at", 33).cast("int")
+    counts = sorted((r.part, r.n) for r in made.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = list(itertools.accumulate((n for _, n in counts), initial=0))
+    starts = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "part int, before bigint")
+    return made.withColumn("part", part).join(F.broadcast(starts), "part").select((F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("id"), key)
+
+
+def top_k_keyed(records: DataFrame, queries: DataFrame, k: int, key: str, most_queries: int = 4096) -> DataFrame:
+    """``top_k`` over records (key, vector) whose keys are of any kind that sorts: (query_id, key, score, rank), ties by key.
+    Records without a key are left out."""
+    ids = stored(numbered(records, key), "ids")
+    found = top_k(records.join(ids, key).select("id", "vector"), queries, k, most_queries)
+    return found.join(ids, "id").select("query_id", key, "score", "rank")
+
+
 def widths(celled: DataFrame, centres: np.ndarray) -> dict[int, float]:
     """By cell, the largest angle of its vectors with its centre."""
     unit = _unit(centres)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from millrace.functions.vectors import cosine
+from millrace.functions.vectors import cosine, top_k
+from millrace.operators import lexical
 from millrace.operators.text import tokens
 from millrace.params import DEFAULT, Params
 from millrace.sources.scratch import stored
@@ -84,6 +85,18 @@ def cut(fused: DataFrame, top: int, threshold: float, score: str = "rerank_score
     return rows.filter(F.coalesce(F.col(score), F.lit(0.0)) >= threshold) if threshold else rows
 
 
+def hybrid(index: lexical.Index, vectors: DataFrame, queries: DataFrame, k: int, params: Params = DEFAULT) -> DataFrame:
+    """vectors: (chunk_id, vector); queries: (query_id, lexical, vector), so that the two sides may ask differently: words by
+    the one column, meaning by the other. Over-fetched from both, fused, the first ``k`` reranked by vectors, cut at the
+    threshold: (query_id, chunk_id, rerank_score, rank)."""
+    fetch = fetch_size(k, params)
+    words = stored(lexical.search(index, queries.select("query_id", F.col("lexical").alias("query")), fetch, params), "lexical-hits")
+    dense = stored(top_k(vectors.withColumnRenamed("chunk_id", "id"), queries.select("query_id", "vector"), fetch).withColumnRenamed("id", "chunk_id"), "dense-hits")
+    fused = fuse(dense, words, params).filter(F.col("rank") <= k).select("query_id", "chunk_id")
+    pairs = fused.join(vectors.select("chunk_id", "vector"), "chunk_id").join(queries.select("query_id", F.col("vector").alias("query_vector")), "query_id")
+    return cut(rerank_by_vector(pairs, params.rerank_k), params.rerank_k, params.rerank_threshold)
+
+
 def trace(fused: DataFrame, catalog: DataFrame, threshold: float, most: int) -> DataFrame:
     """The fused list with scores over the query's best, a flag for the dense threshold, and file names (document id if unknown)."""
     best = F.max("score").over(Window.partitionBy("query_id"))

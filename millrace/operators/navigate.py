@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,11 +23,14 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def seeds(names: DataFrame, terms: DataFrame) -> DataFrame:
-    """names: (name); terms: (query_id, term). (query_id, seed): names that contain the term, in any case. Null and empty terms
-    find nothing."""
+    """names: (name) or (name, entity_key); terms: (query_id, term). (query_id, seed): names that contain the term, or whose key
+    does, in any case. Null and empty terms find nothing."""
     lower = terms.select("query_id", F.lower("term").alias("needle"))
-    found = contained(names.select(F.col("name").alias("key"), F.lower("name").alias("text")), lower.select("needle"))
-    return found.join(lower, "needle").select("query_id", F.col("key").alias("seed"))
+    texts = names.select(F.col("name").alias("key"), F.lower("name").alias("text"))
+    if "entity_key" in names.columns:
+        texts = texts.unionByName(names.select(F.col("name").alias("key"), F.lower("entity_key").alias("text")))
+    found = contained(texts, lower.select("needle"))
+    return found.join(lower, "needle").select("query_id", F.col("key").alias("seed")).distinct()
 
 
 def first_links(links: DataFrame, most: int) -> DataFrame:
@@ -88,38 +92,87 @@ def relevant(paths: DataFrame, whitelist: list[str] = WHITELIST) -> DataFrame:
     return flagged.withColumn("some", F.max("listed").over(Window.partitionBy("query_id"))).filter("listed or not some").drop("listed", "some")
 
 
-def contained(texts: DataFrame, needles: DataFrame, most: int = 100_000) -> DataFrame:
-    """texts: (key, text); needles: (needle). (key, needle) where the text holds the needle, once per row of texts. Null and
-    empty needles are nowhere. Needles go to the tasks in blocks of about ``most``, each compiled to one automaton and written
-    before the next is sent."""
-    spark, kind = texts.sparkSession, texts.schema["key"].dataType.simpleString()
+def needle_blocks(needles: DataFrame, most: int, most_bytes: int) -> Iterator[tuple[list[str], bool]]:
+    """Distinct needles in blocks of about so many of them and so many bytes, and whether there are several blocks."""
     wanted = stored(needles.filter("needle <> ''").select("needle").distinct(), "needles")
-    blocks, out = max(1, -(-wanted.count() // most)), []
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("needle")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size.n // most), -(-size.bytes // most_bytes))
     for b in range(blocks):
         own = [r.needle for r in wanted.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).collect()]
-        if not own:
-            continue
+        if own:
+            yield own, blocks > 1
+
+
+def automaton_of(needles: list[str]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for needle in needles:
+        automaton.add_word(needle, needle)
+    automaton.make_automaton()
+    return automaton
+
+
+def contained(texts: DataFrame, needles: DataFrame, most: int = 100_000, most_bytes: int = 8 << 20) -> DataFrame:
+    """texts: (key, text); needles: (needle). (key, needle) where the text holds the needle, once per row of texts. Null and
+    empty needles are nowhere. Needles go to the tasks in blocks of about ``most`` and ``most_bytes``, each compiled to one
+    automaton and written before the next is sent."""
+    spark, kind, out = texts.sparkSession, texts.schema["key"].dataType.simpleString(), []
+    for own, several in needle_blocks(needles, most, most_bytes):
         shared = spark.sparkContext.broadcast(own)
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for needle in shared.value:
-                automaton.add_word(needle, needle)
-            automaton.make_automaton()
+            automaton = automaton_of(shared.value)
             for batch in batches:
                 rows = [(key, needle) for key, text in zip(batch["key"], batch["text"], strict=True) if text for needle in {hit for _, hit in automaton.iter(text)}]
                 yield pd.DataFrame(rows, columns=["key", "needle"])
 
         part = texts.select("key", "text").mapInPandas(scan, f"key {kind}, needle string")
-        if blocks > 1:
+        if several:
             part = stored(part, "contained")
             shared.unpersist()
         out.append(part)
     return functools.reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"key {kind}, needle string")
 
 
+def first_mentions(hits: DataFrame, names: DataFrame, most: int = 10, most_names: int = 100_000, most_bytes: int = 8 << 20, most_queries: int = 10_000) -> DataFrame:
+    """hits: (query_id, text); names: (name). (query_id, name): the first ``most`` names in order that any text of the query
+    holds. A task keeps so many names for each query while it reads texts, and passes them on when it has ``most_queries``
+    queries, so neither a query of many hits nor a text of many names grows what is shuffled."""
+    spark, kind = hits.sparkSession, hits.schema["query_id"].dataType.simpleString()
+    found = spark.createDataFrame([], f"query_id {kind}, name string")
+    for own, several in needle_blocks(names.select(F.col("name").alias("needle")), most_names, most_bytes):
+        shared = spark.sparkContext.broadcast(own)
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            automaton, first = automaton_of(shared.value), {}
+            flat = lambda: pd.DataFrame([(q, name) for q, held in first.items() for name in held], columns=["query_id", "name"])
+            for batch in batches:
+                for query, text in zip(batch["query_id"], batch["text"], strict=True):
+                    if text and (said := {hit for _, hit in automaton.iter(text)}):
+                        first[query] = heapq.nsmallest(most, said.union(first.get(query, ())))
+                if len(first) > most_queries:
+                    yield flat()
+                    first.clear()
+            yield flat()
+
+        part = hits.select("query_id", "text").mapInPandas(scan, f"query_id {kind}, name string")
+        found = found.unionByName(stored(part, "first-names") if several else part)
+    order = Window.partitionBy("query_id").orderBy("name")
+    return found.distinct().withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).drop("rn")
+
+
+def enriched_hits(hits: DataFrame, names: DataFrame, edges: DataFrame, most_names: int = 10, hops: int = DEFAULT.hops) -> DataFrame:
+    """hits: (query_id, text, ...) with graph_context added: the entities that the texts of a query's hits name, the first
+    ``most_names`` of them, are expanded together for all queries, and the lines of their paths, each once, by entity and then
+    in the order of ``k_hops``, go to every hit of the query. Empty if there are none; null texts name nothing."""
+    starts = stored(first_mentions(hits, names, most_names).withColumnRenamed("name", "seed"), "starts")
+    once = k_hops(edges, starts, hops).groupBy("query_id", "seed", "path").agg(F.min("place").alias("place"))
+    lines = once.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("seed", "place", "path"))).alias("lines"))  # at most most_names times paths_per_seed
+    context = lines.select("query_id", F.array_join(F.transform("lines", lambda x: F.concat(F.lit("[Graph] "), x["path"])), "\n").alias("graph_context"))
+    return hits.join(context, "query_id", "left").fillna("", ["graph_context"])
+
+
 def mentions(chunks: DataFrame, names: DataFrame, most_names: int = 100_000) -> DataFrame:
     """chunks: (chunk_id, text); names: (name). (chunk_id, name) where the text holds the name."""
     found = contained(chunks.select(F.col("chunk_id").alias("key"), "text"), names.select(F.col("name").alias("needle")), most_names)
@@ -139,22 +192,31 @@ def graph_context(paths: DataFrame, most: int = 40) -> DataFrame:
 
 
 def detail(edges: DataFrame, chunks: DataFrame, entities: DataFrame, most: int = 10) -> DataFrame:
-    """entities: (name). Per entity: its neighbours, and the first chunks that mention it; ``most`` bounds what a page shows."""
+    """chunks: (chunk_id, doc_id, text); entities: (name). Per entity: its neighbours, the first chunks that mention it, and
+    their documents, each once; ``most`` bounds the chunks that a page shows."""
     links = both_ways(edges).select(F.col("a").alias("name"), F.col("b").alias("neighbour")).distinct()
     around = links.join(entities, "name", "left_semi").groupBy("name").agg(F.sort_array(F.collect_set("neighbour")).alias("neighbours"))
     said = mentions(chunks, entities).withColumn("rn", F.row_number().over(Window.partitionBy("name").orderBy("chunk_id"))).filter(F.col("rn") <= most)
-    found = said.groupBy("name").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunks"))
+    of = said.join(chunks.select("chunk_id", "doc_id").distinct(), "chunk_id")
+    found = of.groupBy("name").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunks"), F.sort_array(F.collect_set("doc_id")).alias("documents"))
     return entities.distinct().join(around, "name", "left").join(found, "name", "left")
 
 
-def related(edges: DataFrame, found_entities: DataFrame, found_subjects: DataFrame, mode: str = "hybrid") -> DataFrame:
-    """found_entities: (query_id, name, rank); found_subjects: the same of relations. The first five entities widen by two hops
-    unless the mode is global, the first five subjects by one; gives (query_id, name) of all that are reached or were found."""
-    head = lambda df: df.filter("rank <= 5").select("query_id", F.col("name").alias("seed"))
-    reached = k_hops(edges, head(found_subjects), 1).select("query_id", F.col("target").alias("name"))
+def navigate(edges: DataFrame, entities: DataFrame, relations: DataFrame, mode: str = "hybrid", first: int = 5) -> tuple[DataFrame, DataFrame]:
+    """entities: (query_id, name, rank), relations: (query_id, subject, object, rank), as two index searches found them. Gives
+    the paths (query_id, seed, target, path, place) and the related names (query_id, name).
+
+    The first entities are expanded by two hops unless the mode is global, the first relations' subjects by one. Related are
+    all entities that were found, the ends of the entities' paths, and both ends of the first relations."""
+    columns = ["query_id", "seed", "target", "path", "place"]
+    head = relations.filter(F.col("rank") <= first)
+    paths = k_hops(edges, head.select("query_id", F.col("subject").alias("seed")), 1).select(*columns)
+    named = [entities.select("query_id", "name"), head.select("query_id", F.col("subject").alias("name")), head.select("query_id", F.col("object").alias("name"))]
     if mode in ("local", "hybrid"):
-        reached = reached.unionByName(k_hops(edges, head(found_entities), 2).select("query_id", F.col("target").alias("name")))
-    return reached.unionByName(found_entities.select("query_id", "name")).unionByName(found_subjects.select("query_id", "name")).distinct()
+        near = stored(k_hops(edges, entities.filter(F.col("rank") <= first).select("query_id", F.col("name").alias("seed"))).select(*columns), "paths")
+        paths = near.unionByName(paths)
+        named += [near.select("query_id", F.col("seed").alias("name")), near.select("query_id", F.col("target").alias("name"))]
+    return paths, functools.reduce(DataFrame.unionByName, named).filter("name <> ''").distinct()
 
 
 def with_fallback(records: DataFrame, queries: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:

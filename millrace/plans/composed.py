@@ -42,26 +42,10 @@ def g21_extraction(spark, sf_dir):
 
 
 def h6_detail(spark, sf_dir):
-    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chunk_id"), F.concat(F.lit("lives in NATION_"), "s_nationkey", F.lit(".")).alias("text"))
+    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chunk_id"), (F.col("s_suppkey") % 7).alias("doc_id"), F.concat(F.lit("lives in NATION_"), "s_nationkey", F.lit(".")).alias("text"))
     names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
     out = N.detail(G.edges(spark, sf_dir), docs, names)
-    return out.select("name", F.array_join("neighbours", ",").alias("neighbours"), F.array_join(F.transform("chunks", lambda x: x.cast("string")), ",").alias("chunks"))
-
-
-def i2_related(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    one = n.select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("name"), F.lit(1).alias("rank"))
-    r = n.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("r_name").alias("name"), F.lit(1).alias("rank"))
-    return N.related(G.edges(spark, sf_dir), one, r)
-
-
-def i4_navigated(spark, sf_dir):
-    """Related names are added to the lexical query, then searched over suppliers' notes; counts of each step."""
-    queries = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("query"))
-    related = R.stored(i2_related(spark, sf_dir), "related")
-    asked = N.enriched_query(queries, related)
-    hits = X.search(notes_index(spark, sf_dir), asked, 20)
-    return related.groupBy("query_id").agg(F.count("*").alias("entities")).join(hits.groupBy("query_id").agg(F.count("*").alias("chunks"), F.max("chunk_id").alias("last_chunk")), "query_id", "left")
+    return out.select("name", F.array_join("neighbours", ",").alias("neighbours"), *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("chunks", "documents")))
 
 
 def notes_index(spark, sf_dir):
@@ -137,15 +121,9 @@ def l18_seeds(spark, sf_dir):
     return out.select("doc_id", F.array_join("ground_truth_ids", ",").alias("ids"), F.md5("prompt").alias("prompt_md5"))
 
 
-QUERIES = {f.__name__: f for f in (f11_hybrid, g13_records, g15_overview, g21_extraction, h6_detail, i2_related, i4_navigated, i6_fallback, k7_recall, k8_choice, k12_columns, l12_hallucination, l13_sheets, l16_sql_report, l18_seeds)}
+QUERIES = {f.__name__: f for f in (f11_hybrid, g13_records, g15_overview, g21_extraction, h6_detail, i6_fallback, k7_recall, k8_choice, k12_columns, l12_hallucination, l13_sheets, l16_sql_report, l18_seeds)}
 
 RECALLED = R.dense_sql(5, name="re").replace(" as chunk_id,", " as sheet_id,").replace(" as score,", " as s,")
-RELATED = G.EDGES + """,
-sd as (select n_nationkey::bigint as query_id, n_name as seed, 2 as h from nation union all select n_nationkey, r_name, 1 from nation join region on n_regionkey = r_regionkey),
-s1 as (select query_id, seed, h, b as t, f from sd join bi on a = seed), s2 as (select query_id, seed, b as t from s1 join bi on a = t where h = 2 and s1.f <> bi.f),
-rp as (select query_id, seed, t, 1 as d from s1 union all select query_id, seed, t, 2 from s2),
-rk as (select * from rp where seed <> t qualify row_number() over (partition by query_id, seed order by d, t) <= 50),
-rl as materialized (select distinct query_id, t as name from rk union select query_id, seed from sd)"""
 
 SQL = {
     "f11_hybrid": f"""with {R.FUSED}, {R.RERANKED}, k as (select query_id, rank, chunk_id, text from r2 join documents on doc_id = chunk_id where score >= 0.3 qualify row_number() over (partition by query_id, trim(text, ' ') order by rank) = 1),
@@ -155,13 +133,9 @@ select query_id, blocks, context_md5, (select string_agg('[' || n || '] ' || chu
     "g13_records": f"with {G.ENTITIES} select entity_key, name || ': ' || type as text from en where not (type = 'Part' and substr(name, 2)::int % 2 = 0) and not (type = 'Supplier' and substr(name, 2)::int % 10 = 0) union all select 'supplier:S' || s_suppkey, 'renamed' from supplier where s_suppkey % 10 = 0",
     "g15_overview": "select 'supplier:S' || l_suppkey || '|SUPPLIES_PART|part:P' || l_partkey as fact_key, 'S' || l_suppkey as subject, 'P' || l_partkey as object, count(*) as support_count from lineitem where l_returnflag <> 'R' group by 1, 2, 3 order by 1 limit 500",
     "g21_extraction": "select count(*) as chunks, sum(case when s_suppkey % 6 in (0, 3) then 2 when s_suppkey % 6 < 4 then 1 else 0 end)::bigint as evidence, sum(case when s_suppkey % 6 in (0, 3) then 2 when s_suppkey % 6 < 4 then 1 else 0 end)::bigint as keys, count(*) filter (s_suppkey % 6 >= 4) as without from supplier",
-    "h6_detail": f"with {G.EDGES}, n as (select n_name as name, n_nationkey as k from nation), a as (select a as name, string_agg(b, ',' order by b) as neighbours from (select distinct a, b from bi) group by 1), m as (select name, s_suppkey from n join supplier on contains('lives in NATION_' || s_nationkey || '.', name) qualify row_number() over (partition by name order by s_suppkey) <= 10), c as (select name, string_agg(s_suppkey, ',' order by s_suppkey) as chunks from m group by 1) select n.name, neighbours, chunks from n left join a on a.name = n.name left join c on c.name = n.name",
-    "i2_related": f"with {RELATED} select query_id, name from rl",
+    "h6_detail": f"with {G.EDGES}, n as (select n_name as name, n_nationkey as k from nation), a as (select a as name, string_agg(b, ',' order by b) as neighbours from (select distinct a, b from bi) group by 1), m as (select name, s_suppkey from n join supplier on contains('lives in NATION_' || s_nationkey || '.', name) qualify row_number() over (partition by name order by s_suppkey) <= 10), c as (select name, string_agg(s_suppkey, ',' order by s_suppkey) as chunks, array_to_string(list_sort(list(distinct s_suppkey % 7)), ',') as documents from m group by 1) select n.name, neighbours, chunks, documents from n left join a on a.name = n.name left join c on c.name = n.name",
     "k7_recall": f"with {RECALLED} select query_id, sheet_id, round(s, 6) as score, rank from re",
     "k8_choice": f"with {RECALLED} select query_id, case when query_id % 2 = 0 then max(sheet_id) else min_by(sheet_id, rank) end as sheet_id, query_id % 2 = 0 as asked from re group by 1",
-    "i4_navigated": f"""with {RELATED}, en as (select n_nationkey::bigint as item_id, n_name || ' ' || coalesce(array_to_string((select list(distinct name order by name) from rl where rl.query_id = n_nationkey)[1:15], ' '), '') as text from nation),
-nt as (select s_suppkey as doc_id, 'NATION_' || s_nationkey || ' supplier s' || s_suppkey as text from supplier), {R.search_sql(20, source='nt', asked='en')},
-c as (select query_id, count(*) as chunks, max(chunk_id) as last_chunk from bm group by 1) select rl.query_id, count(*) as entities, any_value(chunks) as chunks, any_value(last_chunk) as last_chunk from rl left join c on c.query_id = rl.query_id group by 1""",
     "l16_sql_report": """with s as (select s_suppkey as k from supplier where s_suppkey % 3 <> 0) select count(*) as sql_num_samples, count(*) filter (k % 10 = 0) as sql_error_count, avg(case when k % 5 > 0 then (k % 4 < 1)::int / 2 end) as sheet_recall_at_1, avg(case when k % 5 > 0 then (k % 4 < 3)::int / 2 end) as sheet_recall_at_3, avg(case when k % 5 > 0 then 0.5 end)::double as sheet_recall_at_5,
 avg(case when k % 4 > 0 then (k % 7 > 0 and k % 2 = 0)::int end) as table_selection_accuracy, max(case when k % 6 > 0 and k % 2 = 1 then 1.0 end)::double as sql_correctness, avg(case when k % 9 > 0 then (k % 8 > 0)::int end) as execution_accuracy,
 avg(k - 5) filter (k > 5) as sql_timing_mean_ms, quantile_cont((k - 5)::double, 0.5) filter (k > 5) as sql_timing_p50_ms, quantile_cont((k - 5)::double, 0.95) filter (k > 5) as sql_timing_p95_ms from s""",

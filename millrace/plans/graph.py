@@ -3,7 +3,6 @@ its part and the fact that one supplies the other, inactive when returned; order
 
 import pyspark.sql.functions as F
 
-from millrace.functions import vectors as V
 from millrace.operators import evidence as E
 from millrace.operators import navigate as N
 from millrace.plans.text import table
@@ -148,7 +147,7 @@ bi as materialized (select s || '|' || p || '|' || o as f, s as a, p, o as b fro
 
 
 def starts(spark, sf_dir):
-    names = edges(spark, sf_dir).select(F.col("subject").alias("name")).distinct()
+    names = edges(spark, sf_dir).select(F.col("subject").alias("name"), F.when(F.col("subject").startswith("S"), F.concat(F.lit("Supplier:Nation_"), F.substring("subject", -2, 2))).otherwise(F.concat(F.lit("nation:"), "subject")).alias("entity_key")).distinct()
     terms = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("ation_"), "n_nationkey").alias("term"))
     return N.seeds(names, terms)
 
@@ -187,25 +186,6 @@ def h7_mentions(spark, sf_dir):
     return N.mentions(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), names(spark, sf_dir))
 
 
-def h8_enriched_hits(spark, sf_dir):
-    hits = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"))
-    context = N.graph_context(hops(spark, sf_dir))
-    return hits.join(context, "query_id", "left").select("query_id", F.md5(F.coalesce("context", F.lit(""))).alias("context_md5"))
-
-
-def record_vectors(spark, sf_dir):
-    """Entity records with their vectors; ids are the keys' numbers, those of parts behind those of suppliers."""
-    records = E.entity_records(evidence(spark, sf_dir))
-    number = F.regexp_extract("entity_key", r"(\d+)$", 1).cast("long")
-    return records.select((number * 2 + F.col("entity_key").startswith("part").cast("long")).alias("id"), V.hashed_encoder()(F.col("text")).alias("vector"))
-
-
-def i1_index_search(spark, sf_dir):
-    """Suppliers whose number is divisible by 100 ask for their own record and what is like it."""
-    asked = table(spark, sf_dir, "supplier").filter("s_suppkey % 100 = 0").select(F.col("s_suppkey").cast("long").alias("query_id"), V.hashed_encoder()(F.concat(F.lit("S"), "s_suppkey", F.lit(": Supplier"))).alias("vector"))
-    return V.top_k(record_vectors(spark, sf_dir), asked, 10).select("query_id", F.col("id").alias("record"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
-
-
 def i3_enriched_query(spark, sf_dir):
     asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("query"))
     return N.enriched_query(asked, hops(spark, sf_dir).select("query_id", F.col("target").alias("name")))
@@ -215,10 +195,10 @@ def i5_graph_context(spark, sf_dir):
     return N.graph_context(hops(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (g1_parsed, g2_typed, g3_keys, g4_affected, g5_deactivated, g6_support, g7_applied, g8_tasks, g9_primary, g10_candidates, g11_entity_index, g12_relation_index, g14_stats, g16_entities, g17_purge, g18_by_type, g19_migrated, g20_consistency, h1_seeds, h2_hops, h3_shortest, h4_expanded, h5_relevant, h7_mentions, h8_enriched_hits, i1_index_search, i3_enriched_query, i5_graph_context)}
+QUERIES = {f.__name__: f for f in (g1_parsed, g2_typed, g3_keys, g4_affected, g5_deactivated, g6_support, g7_applied, g8_tasks, g9_primary, g10_candidates, g11_entity_index, g12_relation_index, g14_stats, g16_entities, g17_purge, g18_by_type, g19_migrated, g20_consistency, h1_seeds, h2_hops, h3_shortest, h4_expanded, h5_relevant, h7_mentions, i3_enriched_query, i5_graph_context)}
 
 HOPS = EDGES + """,
-st as (select n_nationkey::bigint as query_id, s as seed from nation, (select distinct s from ed) where contains(lower(s), 'ation_' || n_nationkey)),
+st as (select n_nationkey::bigint as query_id, s as seed from nation, (select distinct s from ed) where contains(lower(s), 'ation_' || n_nationkey) or contains(lower(case when s like 'S%' then 'Supplier:Nation_' || right(s, 2) else 'nation:' || s end), 'ation_' || n_nationkey)),
 h1 as (select query_id, seed, b as target, 1 as distance, p as relations, f as used, seed || ' -[' || p || ']-> ' || b as path from st join bi on a = seed),
 h2 as (select query_id, seed, b, 2, relations || ',' || p, used, path || ' -[' || p || ']-> ' || b from h1 join bi on a = target where f <> used),
 hp as materialized (select * exclude (used) from (select * from h1 union all select * from h2) where seed <> target qualify row_number() over (partition by query_id, seed order by distance, target, path) <= 50)"""
@@ -255,7 +235,6 @@ ok as (select *, min(d) over (partition by query_id) as m from al where b = (sel
     "h4_expanded": f"with {HOPS} select query_id, count(distinct path) as paths, count(distinct target) as targets from hp group by 1",
     "h5_relevant": f"with {HOPS}, f as (select *, contains(relations, 'PART_OF') as l from hp) select query_id, path from (select *, bool_or(l) over (partition by query_id) as s from f) where l or not s",
     "h7_mentions": "with n as (select distinct name from (select unnest(string_split(text, ' ')) as name from benchmark) where length(name) >= 12) select doc_id as chunk_id, name from documents join n on contains(text, name)",
-    "h8_enriched_hits": f"with {HOPS}, c as (select query_id, string_agg('[Graph] ' || path, chr(10) order by path) as c from (select distinct query_id, path from hp qualify row_number() over (partition by query_id order by path) <= 40) group by 1) select n_nationkey::bigint as query_id, md5(coalesce(c, '')) as context_md5 from nation left join c on c.query_id = n_nationkey",
     "i3_enriched_query": f"with {HOPS}, c as (select query_id, string_agg(target, ' ' order by target) as c from (select distinct query_id, target from hp) where true group by 1), t as (select query_id, list(distinct target order by target)[1:15] as l from hp group by 1) select n_nationkey::bigint as query_id, n_name || ' ' || coalesce(array_to_string(l, ' '), '') as query from nation left join t on t.query_id = n_nationkey",
     "i5_graph_context": f"with {HOPS}, d as (select query_id, path from (select distinct query_id, path from hp) qualify row_number() over (partition by query_id order by path) <= 40) select query_id, string_agg('[Graph] ' || path, chr(10) order by path) as context from d group by 1",
 }

@@ -1,8 +1,8 @@
 """Every registered query of the library, with the SQL that gives the same rows."""
 
-from millrace.plans import composed, graph, library, measures, retrieval, text
+from millrace.plans import composed, graph, library, measures, navigated, retrieval, text
 
-MODULES = (text, retrieval, graph, library, measures, composed)
+MODULES = (text, retrieval, graph, library, measures, composed, navigated)
 FLAGSHIP = "d4_search"
 QUERIES: dict = {}
 SQL: dict = {}

@@ -1,3 +1,8 @@
+from zlib import crc32
+
+import numpy as np
+
+from millrace.functions import vectors as V
 from millrace.operators import evidence as E
 from millrace.operators import navigate as N
 
@@ -98,6 +103,8 @@ def test_seeds_and_fallback(spark):
     names = spark.createDataFrame([("Alpha Beta",), ("beta",), (None,)], "name string")
     terms = spark.createDataFrame([(1, "BETA"), (2, "alpha"), (3, ""), (4, None)], "query_id long, term string")
     assert {tuple(r) for r in N.seeds(names, terms).collect()} == {(1, "Alpha Beta"), (1, "beta"), (2, "Alpha Beta")}
+    keyed = spark.createDataFrame([("Alpha Beta", "beta:Alpha Beta"), ("gamma", "Person:gamma")], "name string, entity_key string")
+    assert sorted(tuple(r) for r in N.seeds(keyed, spark.createDataFrame([(1, "beta"), (2, "PERSON")], "query_id long, term string")).collect()) == [(1, "Alpha Beta"), (2, "gamma")]
     edges = spark.createDataFrame([("f", "a", "PART_OF", "b"), ("g", "a", "KNOWS", "c")], "fact_key string, subject string, predicate string, object string")
     queries = spark.createDataFrame([(1, "what of a"), (2, "plain")], "query_id long, query string")
     starts = spark.createDataFrame([(1, "a")], "query_id long, seed string")
@@ -106,25 +113,78 @@ def test_seeds_and_fallback(spark):
     assert {r.path for r in N.with_fallback(spark.range(1), queries, edges, starts).collect()} == {"entity_index"}
 
 
-def test_index_search_against_plain_python(spark):
-    from zlib import crc32
+def word_vector(text):
+    v = np.zeros(64)
+    for word in text.lower().split():
+        v[crc32(word.encode()) % 64] += 1 if crc32(word.encode()) & 0x8000_0000 else -1
+    return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32).astype(float)
 
-    import numpy as np
 
+def test_index_searches_against_plain_python(spark):
     from millrace.plans import graph as G
+    from millrace.plans import navigated as P
 
-    def vector(text):
-        v = np.zeros(64)
-        for word in text.lower().split():
-            v[crc32(word.encode()) % 64] += 1 if crc32(word.encode()) & 0x8000_0000 else -1
-        return v.astype(np.float32).astype(float)
-
-    small = "/root/testdata/sf0.01"
-    records = [(2 * int(r.entity_key.split(":")[1][1:]) + r.entity_key.startswith("part"), vector(r.text)) for r in E.entity_records(G.evidence(spark, small)).collect()]
-    asked = [r.s_suppkey for r in spark.read.parquet(f"{small}/supplier.parquet").collect() if r.s_suppkey % 100 == 0]
+    small = "/root/testdata/sf0.001"
+    evidence = G.evidence(spark, small)
+    records = {"entity": [(r.entity_key, r.text) for r in E.entity_records(evidence).collect()], "relation": [(r.text, r.text) for r in E.relation_records(evidence).collect()]}
     want = []
-    for key in asked:
-        q = vector(f"S{key}: Supplier")
-        score = [(-round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 6), i) for i, v in records if v.any()]
-        want += [(key, i, place + 1, -s) for place, (s, i) in enumerate(sorted(score)[:10])]
-    assert sorted((r.query_id, r.record, r.rank, r.score) for r in G.i1_index_search(spark, small).collect()) == sorted(want) and want
+    for key in [r.p_partkey for r in spark.read.parquet(f"{small}/part.parquet").collect() if r.p_partkey % 100 == 0]:
+        q = word_vector(f"P{key}: Part P{key}")
+        for kind, rows in records.items():
+            scores = [(-round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 9), name) for name, text in rows if (v := word_vector(text)).any()]
+            want += [(key, kind, name, place + 1, -round(s, 6)) for place, (s, name) in enumerate(sorted(scores)[:10])]
+    assert sorted((r.query_id, r.kind, r.record, r.rank, r.score) for r in P.i1_index_search(spark, small).collect()) == sorted(want) and len({w[1] for w in want}) == 2
+
+
+def test_numbers_of_keys_are_dense_and_in_order(spark):
+    keys = [f"k{i * 7919 % 1000}" for i in range(1000)] + ["é", "", "Z"]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate([*keys, *keys[:50], None])], "name string, id long").repartition(5)
+    got = {r.id: r.name for r in V.numbered(df, "name").collect()}
+    assert [got[i] for i in range(len(got))] == sorted(set(keys), key=str.encode)
+
+
+def test_walk_from_both_indexes(spark):
+    rows = [("a", "OF", "b"), ("b", "OF", "c"), ("c", "OF", "d"), ("x", "OF", "y"), ("y", "OF", "z")]
+    edges = spark.createDataFrame([("|".join(r), *r) for r in rows], "fact_key string, subject string, predicate string, object string")
+    near = spark.createDataFrame([(1, "a", 1), (1, "far", 6), (1, "d", 7)], "query_id long, name string, rank int")
+    links = spark.createDataFrame([(1, "x", "y", 1), (1, "y", "z", 6)], "query_id long, subject string, object string, rank int")
+    paths, names = N.navigate(edges, near, links)
+    assert sorted((r.seed, r.target) for r in paths.collect()) == [("a", "b"), ("a", "c"), ("x", "y")]
+    assert {r.name for r in names.collect()} == {"a", "b", "c", "far", "d", "x", "y"}
+    paths, names = N.navigate(edges, near, links, "global")
+    assert [r.path for r in paths.collect()] == ["x -[OF]-> y"] and {r.name for r in names.collect()} == {"a", "far", "d", "x", "y"}
+
+
+def test_hits_get_the_context_of_their_own_entities(spark):
+    import random
+
+    rnd = random.Random(3)
+    names = [f"N{i:02d}x" for i in range(40)]
+    facts = sorted({(rnd.choice(names), rnd.choice(["P", "Q"]), rnd.choice(names)) for _ in range(60)})
+    edges = [("|".join(f), *f) for f in facts]
+    hits = [(q, 100 * q + i, " and ".join(rnd.choices(names, k=rnd.randrange(0, 6))) or None) for q in range(10) for i in range(4)]
+    df = spark.createDataFrame(edges, "fact_key string, subject string, predicate string, object string")
+    asked = spark.createDataFrame(hits, "query_id long, chunk_id long, text string").repartition(3)
+    named = spark.createDataFrame([(n,) for n in [*names, None, "", "nowhere"]], "name string")
+    want = {}
+    for q in range(10):
+        own = sorted({n for n in names for k, _, t in hits if k == q and t and n in t})[:10]
+        want[q] = "\n".join(dict.fromkeys(f"[Graph] {p}" for n in own for _, _, p in all_paths(edges, n, 2)[:50]))
+    for most_names in (100_000, 7):
+        first = N.first_mentions(asked, named, 10, most_names, most_queries=2)
+        assert {(r.query_id, r["name"]) for r in first.collect()} == {(q, n) for q in range(10) for n in sorted({n for n in names for k, _, t in hits if k == q and t and n in t})[:10]}
+    got = N.enriched_hits(asked, named, df).collect()
+    assert len(got) == len(hits) and all(r.graph_context == want[r.query_id] for r in got) and any(want.values())
+
+
+def test_hits_that_name_a_hub(spark):
+    hub = spark.range(100_000).selectExpr("concat('f', id) as fact_key", "'hub' as subject", "'P' as predicate", "concat('x', lpad(id, 6, '0')) as object")
+    hits = spark.createDataFrame([(1, "the hub"), (1, None), (2, "nothing")], "query_id long, text string")
+    rows = {(r.query_id, r.text): r.graph_context for r in N.enriched_hits(hits, spark.createDataFrame([("hub",)], "name string"), hub).collect()}
+    assert rows[1, "the hub"] == rows[1, None] == "\n".join(f"[Graph] hub -[P]-> x{i:06d}" for i in range(50)) and rows[2, "nothing"] == ""
+
+
+def test_long_needles_go_in_blocks_of_bytes(spark):
+    texts = spark.createDataFrame([(i, f"{'ab' * 500}{i} tail") for i in range(20)], "key long, text string")
+    needles = spark.createDataFrame([(f"{'ab' * 500}{i}",) for i in range(20)], "needle string")
+    assert N.contained(texts, needles, most_bytes=3000).count() == N.contained(texts, needles).count() == 20 + 10  # 1 is in 1 and 10 to 19
