@@ -33,26 +33,23 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(scores, keep, 1), np.take_along_axis(ids, keep, 1)
 
 
-def _unit(vectors) -> np.ndarray:
+def unit(vectors) -> np.ndarray:
     v = np.array(list(vectors), float)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
 def block_search(shared, k: int, step: int = 1024):
-    """shared: (query ids, unit query vectors, and None or for each cell the places of the queries that probe it)."""
+    """shared: (query ids, unit query vectors)."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q, probed = shared.value
+        ids, q = shared.value
         best, found = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
             batch = batch[batch["vector"].notna()]
-            for _, part in batch.groupby("cell") if probed is not None else [(0, batch)]:
-                own = slice(None) if probed is None else probed.get(int(part["cell"].iloc[0]), np.zeros(0, int))
-                for at in range(0, len(part), step):
-                    rows = part.iloc[at : at + step]
-                    scores = np.full((len(ids), len(rows)), -np.inf)
-                    scores[own] = np.round(q[own] @ _unit(rows["vector"]).T, 9) + 0.0
-                    best, found = best_of(np.hstack([best, scores]), np.hstack([found, np.broadcast_to(rows["id"].to_numpy(), scores.shape)]), k)
+            for at in range(0, len(batch), step):
+                rows = batch.iloc[at : at + step]
+                scores = np.round(q @ unit(rows["vector"]).T, 9) + 0.0
+                best, found = best_of(np.hstack([best, scores]), np.hstack([found, np.broadcast_to(rows["id"].to_numpy(), scores.shape)]), k)
         hit = np.isfinite(best)
         if hit.any():
             yield pd.DataFrame({"query_id": np.repeat(ids, hit.sum(1)), "id": found[hit], "score": best[hit]})
@@ -84,7 +81,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 40
     rows, out = vectors.select("id", "vector"), []
     n = queries.count()
     for own in query_blocks(queries.select("query_id", "vector"), most_queries):
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in own]), _unit(r.vector for r in own), None))
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in own]), unit(r.vector for r in own)))
         found = rows.mapInPandas(block_search(shared, k), "query_id bigint, id bigint, score double")
         if n > most_queries:
             found = stored(ranked(found, k), "hits")
@@ -116,49 +113,6 @@ def top_k_keyed(records: DataFrame, queries: DataFrame, k: int, key: str, most_q
     return found.join(ids, "id").select("query_id", key, "score", "rank")
 
 
-def widths(celled: DataFrame, centres: np.ndarray) -> dict[int, float]:
-    """By cell, the largest angle of its vectors with its centre."""
-    unit = _unit(centres)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                angles = np.arccos(np.clip((_unit(batch["vector"]) * unit[batch["cell"].to_numpy()]).sum(1), -1, 1))
-                yield pd.DataFrame({"cell": batch["cell"], "width": angles}).groupby("cell", as_index=False).max()
-
-    return {r.cell: r.width for r in celled.select("cell", "vector").mapInPandas(run, "cell int, width double").groupBy("cell").agg(F.max("width").alias("width")).collect()}  # a row per cell
-
-
-def search_cells(celled: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, most_queries: int = 4096) -> DataFrame:
-    """The hits of ``top_k`` by an inverted file. celled: (id, vector, cell), without null vectors; centres: a row per cell;
-    queries: (query_id, vector). Gives (query_id, id, score, rank).
-
-    The nearest ``probes`` cells give a query its k-th score so far. By the triangle inequality of angles no vector of a cell is
-    nearer than the centre's angle less the cell's widest; cells that could still reach that score are probed too."""
-    spark, width, out = celled.sparkSession, widths(celled, centres), []
-    wide = np.array([width.get(c, -np.inf) for c in range(len(centres))])
-    schema = "query_id bigint, id bigint, score double"
-    for own in query_blocks(queries.select("query_id", "vector"), most_queries):
-        ids, q = np.array([r.query_id for r in own]), _unit(r.vector for r in own)
-        away = np.arccos(np.clip(q @ _unit(centres).T, -1, 1))
-        near = np.zeros(away.shape, bool)
-        np.put_along_axis(near, np.argsort(away, axis=1, kind="stable")[:, :probes], True, 1)
-
-        def probe(mask: np.ndarray, ids=ids, q=q) -> DataFrame:
-            shared = spark.sparkContext.broadcast((ids, q, {c: np.flatnonzero(mask[:, c]) for c in range(mask.shape[1]) if mask[:, c].any()}))
-            cells = np.flatnonzero(mask.any(0)).tolist()
-            return stored(ranked(celled.filter(F.col("cell").isin(cells)).select("id", "vector", "cell").mapInPandas(block_search(shared, k), schema), k), "probed")
-
-        first = probe(near)
-        least = {r.query_id: r.score for r in first.filter(F.col("rank") == k).select("query_id", "score").collect()}  # a row per query of the block
-        reach = np.array([least.get(x, -2.0) for x in ids.tolist()])[:, None]
-        # angles near 0 are exact to about 1e-8, and scores tie when equal to nine places
-        more = ~near & (np.cos(np.maximum(away - wide - 1e-6, 0.0)) + 1e-8 >= reach) & np.isfinite(wide)
-        found = first.drop("rank")
-        out.append(found.unionByName(probe(more).drop("rank")) if more.any() else found)
-    return ranked(functools.reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema), k)
-
-
 def hashed_encoder(dim: int = 64):
     """The default encoder: signed hashed counts of words, of length one."""
 

@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 import pyspark.sql.functions as F
+import pytest
 
+from millrace.functions import cells as C
 from millrace.functions import vectors as V
 from millrace.operators import fusion as R
 from millrace.operators import lexical as L
@@ -107,6 +109,33 @@ def test_inverted_file_loses_no_hit(spark, tmp_path):
     assert {(r.query_id, r.rank, r.chunk_id) for r in e3_inverted_file(spark, str(tmp_path)).collect()} == want and len(want) == 90
 
 
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_of_probed_cells(spark, sf_dir, tmp_path):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    own = rows.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    cells = C.build(rows, str(tmp_path / "cells"))
+    hits = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    want = hits(V.top_k(rows, own, 10))
+    assert hits(C.search(cells, own, 10)) == want and cells.seen["vectors"] < 0.1 * cells.seen["queries"] * rows.count()
+    cells.seen.clear()
+    got = hits(C.search(cells, own, 10, C.probes_for(cells, 10)))
+    read = {x: cells.seen[x] / cells.seen["queries"] / rows.count() for x in ("codes", "vectors")}
+    print(sf_dir, len(got & want) / len(want), read)
+    assert len(got & want) >= 0.9 * len(want) and read["vectors"] < 1 / 3
+
+
+def test_cells_of_odd_vectors(spark, tmp_path):
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(50, [0.0, 0.0]), (51, [0.0, 2.0]), (52, None), (53, [-1.0, 1e-9])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    own = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "query_id long, vector array<double>")
+    cells = C.build(df, str(tmp_path / "cells"), 3)
+    for k in (3, 100):
+        assert sorted(map(tuple, C.search(cells, own, k).select("query_id", "id", "score", "rank").collect())) == sorted(map(tuple, V.top_k(df, own, k).select("query_id", "id", "score", "rank").collect()))
+    assert C.search(cells, own, 3, 1).filter("query_id = 1").orderBy("rank").first().id == 0 and C.probes_for(cells, 5) >= 1
+    none = C.build(df.limit(0), str(tmp_path / "none"))
+    assert C.search(none, own, 3).count() == 0 and C.search(cells, own.limit(0), 3).count() == 0
+
+
 def test_ties_go_to_smaller_ids_however_rows_are_batched(spark):
     rows = [(i, [1.0, float(i % 2)]) for i in range(60)]
     for parts in (1, 7):
