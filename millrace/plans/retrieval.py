@@ -7,6 +7,7 @@ from millrace.functions import cells as C
 from millrace.functions import vectors as V
 from millrace.operators import fusion as R
 from millrace.operators import lexical as L
+from millrace.operators import segments as S
 from millrace.params import DEFAULT
 from millrace.plans.scratch import kept_folder, new_folder, spread, stored
 from millrace.plans.text import STOP, TOKENS, table
@@ -23,11 +24,11 @@ def asked(spark, sf_dir):
 def index(spark, sf_dir):
     """The stored index of all documents; it is built once per session and state of the table."""
     docs = table(spark, sf_dir, "documents")
-    return L.load_index(spark, kept_folder(docs, "index", lambda path: L.save_index(spread(chunks(spark, sf_dir)), path)))
+    return S.open_store(spark, kept_folder(docs, "index", lambda path: S.create(spread(chunks(spark, sf_dir)), path)))
 
 
 def bm25(spark, sf_dir, k, doc_ids=None, rewritten=False):
-    return stored(L.search(index(spark, sf_dir), asked(spark, sf_dir), k, doc_ids=doc_ids, rewritten=rewritten), "bm25")
+    return stored(S.search(index(spark, sf_dir), asked(spark, sf_dir), k, doc_ids=doc_ids, rewritten=rewritten), "bm25")
 
 
 def shown(hits):
@@ -35,7 +36,7 @@ def shown(hits):
 
 
 def terms_of(index):
-    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def d1_index(spark, sf_dir):
@@ -43,14 +44,21 @@ def d1_index(spark, sf_dir):
 
 
 def d2_merge(spark, sf_dir):
-    """Odd thirds are stored, even chunks are added; those stored already are not read again."""
+    """Odd thirds are stored, even chunks are added in three parts; those stored already are not read again."""
     rows = chunks(spark, sf_dir)
-    old = L.save_index(spread(rows.filter("chunk_id % 3 <> 0")), new_folder(spark, "index"))
-    return terms_of(L.added(old, spread(rows.filter("chunk_id % 2 = 0"))))
+    made = S.create(spread(rows.filter("chunk_id % 3 <> 0")), new_folder(spark, "index"))
+    for part in range(3):
+        made = S.add(made, spread(rows.filter(f"chunk_id % 2 = 0 and chunk_id % 5 in ({part}, {part + 2})")))
+    return terms_of(made)
 
 
 def d3_remove(spark, sf_dir):
-    return terms_of(L.removed(index(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 0")))
+    """Documents of low quality go in two steps, after the others with a label were added again, which changes nothing."""
+    gone = table(spark, sf_dir, "labels").filter("quality = 0")
+    made = S.create(spread(chunks(spark, sf_dir)), new_folder(spark, "index"))
+    made = S.remove(made, gone.filter("doc_id % 2 = 0"))
+    made = S.add(made, chunks(spark, sf_dir).join(gone, "doc_id", "left_anti"))
+    return terms_of(S.remove(made, gone))
 
 
 def d4_search(spark, sf_dir):
