@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+import threading
+import uuid
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from millrace.params import DEFAULT
+from millrace.sources.scratch import stored
 
 #: Words that a read-only query may not hold.
 FORBIDDEN = "INSERT UPDATE DELETE DROP ALTER CREATE ATTACH DETACH PRAGMA REPLACE MERGE TRUNCATE VACUUM REINDEX".split()
@@ -109,16 +113,58 @@ def checked(sql: str) -> str:
     return text
 
 
-def run_guarded(spark: SparkSession, sql: str, most: int = DEFAULT.sql_rows) -> DataFrame:
-    return spark.sql(checked(sql)).limit(most)
-
-
-def run_first(spark: SparkSession, candidates: list[str], most: int = DEFAULT.sql_rows) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """The result of the first candidate that is safe and can be analysed, and the log of attempts."""
+class DeadlineExceeded(RuntimeError):
+    """The query ran longer than it may."""
+
+
+@contextlib.contextmanager
+def deadline(spark: SparkSession, seconds: float):
+    """Spark jobs that the caller's thread starts inside are cancelled after so many seconds, their tasks
+    interrupted, and DeadlineExceeded is raised."""
+    context, tag, done, late = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.set()
+            while not done.is_set():  # a query may go on with another job
+                context.cancelJobsWithTag(tag)
+                done.wait(0.2)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    interrupts = context.getLocalProperty("spark.job.interruptOnCancel")
+    context.addJobTag(tag)
+    context.setInterruptOnCancel(True)
+    watcher.start()
+    try:
+        yield
+    except Exception as e:
+        if late.is_set():
+            raise DeadlineExceeded(f"stopped after {seconds:g} seconds") from e
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        context.removeJobTag(tag)
+        context.setLocalProperty("spark.job.interruptOnCancel", interrupts)
+    if late.is_set():
+        raise DeadlineExceeded(f"took more than {seconds:g} seconds")
+
+
+def run_guarded(spark: SparkSession, sql: str, most: int = DEFAULT.sql_rows, seconds: float = DEFAULT.sql_seconds) -> DataFrame:
+    """The first ``most`` rows of a read-only query, which has run when this returns: they are written, and read back. A query
+    that isn't done after ``seconds`` is cancelled, which raises DeadlineExceeded."""
+    text = checked(sql)
+    with deadline(spark, seconds):
+        return stored(spark.sql(text).limit(most), "sql-rows")
+
+
+def run_first(spark: SparkSession, candidates: list[str], most: int = DEFAULT.sql_rows, seconds: float = DEFAULT.sql_seconds) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """The rows of the first candidate that is safe and runs to its end in time, and the log of attempts: (sql, ok or the kind
+    of error). An error while rows are made leads to the next candidate like one of analysis."""
     log = []
     for sql in candidates:
         try:
-            out = run_guarded(spark, sql, most)
+            out = run_guarded(spark, sql, most, seconds)
             return out, [*log, (sql, "ok")]
         except Exception as e:  # a bad candidate of any kind leads to the next
             log.append((sql, type(e).__name__))

@@ -25,6 +25,7 @@ class Params:
     hops: int = 2
     paths_per_seed: int = 50
     sql_rows: int = 500
+    sql_seconds: float = 5.0
     #: Common words that carry no topic, in the four languages of the test corpus.
     stop_words: tuple = field(default=tuple("the of and to in is on that it was with as for at by this an be are from und der die das den ist de la le les et en el los las que y un une".split()))
 

@@ -257,13 +257,15 @@ def k6_described(spark, sf_dir):
 
 def k9_guarded(spark, sf_dir):
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("millrace_lineitem")
-    return K.run_guarded(spark, "```sql\nSELECT l_returnflag, count(*) AS n FROM millrace_lineitem GROUP BY l_returnflag;\n```")
+    return K.run_guarded(spark, "```sql\nSELECT l_returnflag, count(*) AS n FROM millrace_lineitem GROUP BY l_returnflag;\n```", seconds=600)
 
 
 def k10_retries(spark, sf_dir):
+    """An unsafe candidate, one that can't be analysed, two that fail when they run, then a good one; with the log."""
     table(spark, sf_dir, "orders").createOrReplaceTempView("millrace_orders")
-    out, _ = K.run_first(spark, ["DROP TABLE x", "SELECT nothing FROM millrace_orders", "SELECT o_orderstatus, count(*) AS n FROM millrace_orders GROUP BY o_orderstatus"])
-    return out
+    bad = ["DROP TABLE x", "SELECT nothing FROM millrace_orders", "SELECT o_orderkey / (o_orderkey - o_orderkey) FROM millrace_orders", "SELECT CAST(o_orderstatus AS INT) FROM millrace_orders"]
+    out, log = K.run_first(spark, [*bad, "SELECT o_orderstatus, count(*) AS n FROM millrace_orders GROUP BY o_orderstatus"], seconds=600)
+    return out.withColumn("log", F.lit(", ".join(outcome for _, outcome in log)))
 
 
 def k11_document(spark, sf_dir):
@@ -324,6 +326,6 @@ SQL = {
     "k5_typed": "select count(*) as keys, count(*) filter (p_size <= 40) as sizes, count(*) filter (p_partkey % 2 = 1) as prices from part",
     "k6_described": "select '- n_name (TEXT)' || chr(10) || '- n_nationkey (INTEGER)' || chr(10) || '- n_regionkey (INTEGER): 0, 1, 2, 3, 4' as columns",
     "k9_guarded": "select l_returnflag, count(*) as n from lineitem group by 1",
-    "k10_retries": "select o_orderstatus, count(*) as n from orders group by 1",
+    "k10_retries": "select o_orderstatus, count(*) as n, 'UnsafeQuery, AnalysisException, ArithmeticException, NumberFormatException, ok' as log from orders group by 1",
     "k11_document": "with s as (select s_nationkey as k, count(*) as n, row_number() over (order by s_nationkey) as i from supplier group by 1) select string_agg(i || '. s_nationkey=' || k || ', n=' || n, chr(10) order by i) as document, count(*) as shown from s where i <= 10",
 }

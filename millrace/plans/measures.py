@@ -196,17 +196,36 @@ def m11_support_stream(spark, sf_dir):
     return last.select("affected_type", F.col("affected_key").cast("string").alias("affected_key"), "support_count", "operation")
 
 
+def m11_key_table(spark, sf_dir):
+    """The changes in five batches, the third of them written twice, kept as a table of keys."""
+    folder = R.new_folder(spark, "support")
+    parts = table(spark, sf_dir, "events").withColumn("part", F.pmod("event_id", F.lit(5)).cast("int"))
+    parts.repartition(5, "part").write.partitionBy("part").parquet(f"{folder}/events")
+    write = jobs.sync_keys(f"{folder}/store")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    counts = None
+
+    def once_or_twice(batch, batch_id):
+        for _ in range(2 if batch_id == 2 else 1):
+            write(batch, batch_id)
+
+    for part in range(5):  # a folder of events comes in at a time
+        changes = spark.read.schema(parts.drop("part").schema).parquet(f"{folder}/events/part={part}").select(F.col("event_type").alias("affected_type"), F.col("user_id").cast("string").alias("affected_key"), F.when(k % 2 == 0, 1).otherwise(-1).alias("delta"))
+        changes.write.parquet(f"{folder}/changes/part={part}")
+        stream = spark.readStream.schema("affected_type string, affected_key string, delta int").option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
+        counts = jobs.support(stream).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(once_or_twice).trigger(availableNow=True)
+        jobs.with_rocks(spark, counts.start).awaitTermination()
+    return jobs.support_table(spark, f"{folder}/store").read()
+
+
 def m13_ingest(spark, sf_dir):
-    """The documents as a stream of files, taken in twice: the second time adds nothing."""
-    docs = table(spark, sf_dir, "documents")
+    """The documents as a stream of files that comes in two parts, the second with all documents of the first again."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("markdown"))
     folder = R.new_folder(spark, "ingest")
-    for _ in range(2):
-        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/documents.parque[t]")
-        stream = stream.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("markdown"))
-        first = 1 + max((int(x.removeprefix("batch=")) for x in children(spark, folder)), default=-1)
-        write = jobs.ingest_batches(folder)
-        run_stream(spark, stream, "append", batch=lambda batch, k, first=first: write(batch, first + k))
-    return spark.read.parquet(folder).select("doc_id", "chunk_hash", F.length("text").alias("chars"))
+    for part, rows in enumerate((docs.filter("doc_id % 2 = 0"), docs)):
+        rows.write.parquet(f"{folder}/in/part={part}")
+        chunks = jobs.ingest(spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in"), folder)
+    return spark.read.parquet(chunks).select("doc_id", "chunk_hash", F.length("text").alias("chars"))
 
 
 def m12_cleanup(spark, sf_dir):
@@ -214,7 +233,7 @@ def m12_cleanup(spark, sf_dir):
     return left.select("task_id", "status")
 
 
-QUERIES = {f.__name__: f for f in (l1_scores, l5_citations, l6_delta, l7_drop_rate, l8_redundancy, l9_refusals, l10_timing, l11_report, l14_sql, l15_execution, l17_by_type, m1_usage, m2_usage_stream, m3_tokens, m4_quota, m5_daily_stream, m6_live, m7_namespaces, m8_keys, m9_latest, m10_drain, m11_support_stream, m12_cleanup, m13_ingest)}
+QUERIES = {f.__name__: f for f in (l1_scores, l5_citations, l6_delta, l7_drop_rate, l8_redundancy, l9_refusals, l10_timing, l11_report, l14_sql, l15_execution, l17_by_type, m1_usage, m2_usage_stream, m3_tokens, m4_quota, m5_daily_stream, m6_live, m7_namespaces, m8_keys, m9_latest, m10_drain, m11_support_stream, m11_key_table, m12_cleanup, m13_ingest)}
 
 SCORED = f"""{R.search_sql(10)},
 sa as (select item_id as sample_id, case when item_id % 2 = 0 then 'simple_fact' else 'multi_hop' end as query_type, coalesce((select list(chunk_id order by rank) from bm where query_id = item_id), []) as retrieved,
@@ -265,5 +284,6 @@ SQL = {
     "m9_latest": f"with {ENTRIES}, s as (select *, case when ttl < 20 then 86400 else ttl * 3600 end as t from n where ttl <> 0), l as (select * from s qualify row_number() over (partition by key order by created_at desc, value desc) = 1) select key, value from l where created_at + t > 1704844800 + 86400 * 20",
     "m10_drain": "with p as (select event_id from events where event_id % 3 <> 0 order by ts, event_id limit 50), t as (select e.event_id, case when e.event_id % 3 = 0 then 'SUCCESS' else 'PENDING' end as s, (e.event_id % 4)::int as r, p.event_id is not null as ran, e.event_id % 5 = 0 as bad from events e left join p on p.event_id = e.event_id), u as (select event_id, case when not ran then s when not bad then 'SUCCESS' when r + 1 < 3 then 'PENDING' else 'FAILED' end as status, r + (ran and bad)::int as retry_count from t) select event_id as task_id, status, retry_count from u",
     "m11_support_stream": f"with {EVENTS}, c as (select event_type as affected_type, user_id::varchar as affected_key, sum(case when k % 2 = 0 then 1 else -1 end)::bigint as support_count from e group by 1, 2) select *, case when support_count > 0 then 'UPSERT' else 'DELETE' end as operation from c",
+    "m11_key_table": f"with {EVENTS}, c as (select event_type as affected_type, user_id::varchar as affected_key, sum(case when k % 2 = 0 then 1 else -1 end)::bigint as support_count from e group by 1, 2) select * from c where support_count > 0",
     "m12_cleanup": "select event_id as task_id, case when event_id % 3 = 0 then 'SUCCESS' else 'PENDING' end as status from events where not (event_id % 3 = 0 and ts < timestamp '2024-01-13')",
 }

@@ -50,3 +50,18 @@ def children(spark: SparkSession, path: str) -> list[str]:
     folder = jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(conf)
     return sorted(x.getPath().getName() for x in store.listStatus(folder)) if store.exists(folder) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every table that ``stored`` and ``new_folder`` made in the shared folder; call it once the results have been
+    written."""
+    _KEPT.clear()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        delete_folder(spark, f"{shared.rstrip('/')}/millrace-tables")

@@ -4,10 +4,11 @@ ever is bounded by a watermark."""
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import text as T
 from millrace.operators.evidence import apply_counts
+from millrace.sources.keytable import KeyTable
 from millrace.sources.scratch import children
 
 
@@ -49,9 +50,62 @@ def sync_batches(path: str):
     return write
 
 
+SUPPORT = "affected_type string, affected_key string, support_count bigint"
+
+
+def support_table(spark: SparkSession, path: str, buckets: int = 64) -> KeyTable:
+    return KeyTable(spark, path, SUPPORT, ["affected_type", "affected_key"], buckets)
+
+
+def sync_keys(path: str, buckets: int = 64):
+    """For foreachBatch over ``support``: the stored counts as a table of keys, of which a batch rewrites the buckets of its keys
+    and nothing else. Read it by ``support_table(spark, path).read()``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("affected_type", "affected_key", "support_count", (F.col("support_count") <= 0).alias("deleted"))
+        support_table(batch.sparkSession, path, buckets).replace(batch_id, rows)
+
+    return write
+
+
+def with_rocks(spark: SparkSession, start):
+    """What ``start()`` gives, a streaming query whose state is in RocksDB: a batch writes its changes to the state, not all of it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return start()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def ingest(docs: DataFrame, path: str) -> str:
+    """docs: a stream of (doc_id, markdown). Cuts what has come into chunks and takes in those whose hash is new; gives the
+    folder of chunks, by batch. Call it again with the same path, and a stream of the same source, to go on.
+
+    Two streams with checkpoints of their own: the first writes the chunks of each batch of documents to a log; the second reads
+    the log and passes each hash once, by keyed state. So a batch costs what it brings, however much came before. A batch of
+    either that is run again replaces its own folder, and hashes that the log then holds twice pass once."""
+    spark = docs.sparkSession
+
+    def log(batch: DataFrame, batch_id: int) -> None:
+        T.chunks(batch).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
+
+    docs.writeStream.option("checkpointLocation", f"{path}/log-state").foreachBatch(log).trigger(availableNow=True).start().awaitTermination()
+    schema = T.chunks(spark.createDataFrame([], docs.schema)).schema
+    new = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/log").dropDuplicates(["chunk_hash"])
+    sink = new.writeStream.option("checkpointLocation", f"{path}/chunk-state").foreachBatch(keep).trigger(availableNow=True)
+    with_rocks(spark, sink.start).awaitTermination()
+    return f"{path}/chunks"
+
+
 def ingest_batches(path: str):
     """For foreachBatch over (doc_id, markdown) of new files: their chunks, each hash once whatever batches it comes in. Folders
-    are by batch id, so a batch that is run again replaces its own."""
+    are by batch id, so a batch that is run again replaces its own. It looks through the hashes of all batches; ``ingest`` keeps
+    them as state instead."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

@@ -48,6 +48,20 @@ def test_guarded_sql(spark):
     assert K.clean_headers(["", "a b", "3x", "nan", "a b"]) == ["列0", "a_b", "col_2", "列3", "a_b_4"]
 
 
+def test_candidates_that_fail_while_they_run_or_never_end(spark):
+    import time
+
+    spark.range(1000).createOrReplaceTempView("t1000")
+    endless = "select count(*) from range(2000000000) a, t1000 b where a.id * b.id = -1"
+    began = time.time()
+    with pytest.raises(K.DeadlineExceeded):
+        K.run_guarded(spark, endless, seconds=2)
+    assert time.time() - began < 20
+    out, log = K.run_first(spark, ["select id / (id - id) as x from t1000", endless, "select cast('x' as int) from t1000", "select max(id) as m from t1000"], seconds=2)
+    assert [x[1] for x in log][1::2] == ["DeadlineExceeded", "ok"] and log[0][1] != "ok" and log[2][1] != "ok" and out.first().m == 999
+    assert K.run_first(spark, ["select nothing"])[0] is None and spark.range(10).count() == 10
+
+
 def test_profile_types(spark):
     df = spark.createDataFrame([("1", "x", None, "1.5"), ("2", "y", None, "2"), (None, "x", None, "3")], "a string, b string, c string, d string")
     got = {r.column: (r.data_type, r.mean, r.enum and list(r.enum)) for r in K.profile(df).collect()}
@@ -107,6 +121,39 @@ def test_a_chunk_is_ingested_once(spark, tmp_path):
     assert rows.count() == rows.select("chunk_hash").distinct().count() == 4 and rows.filter("batch = 0").count() == 2
 
 
+def test_a_batch_touches_its_own_buckets(spark, tmp_path):
+    write, table = jobs.sync_keys(str(tmp_path), 16), jobs.support_table(spark, str(tmp_path), 16)
+    counts = lambda rows: spark.createDataFrame(rows, "affected_type string, affected_key string, support_count long, operation string")
+    write(counts([("E", f"k{i}", i, "UPSERT") for i in range(200)]), 0)
+    before = table.state()
+    for k in range(1, 6):
+        write(counts([("E", f"k{k}", 1000 + k, "UPSERT"), ("F", "new", k, "UPSERT"), ("E", "k100", 0, "DELETE")]), k)
+        if k == 3:
+            write(counts([("E", "k3", 1003, "UPSERT"), ("F", "new", 3, "UPSERT"), ("E", "k100", 0, "DELETE")]), 3)  # run again
+    got = {(r.affected_type, r.affected_key): r.support_count for r in table.read().collect()}
+    want = {("E", f"k{i}"): i for i in range(1, 200) if i != 100} | {("E", f"k{k}"): 1000 + k for k in range(1, 6)} | {("F", "new"): 5}
+    assert got == want
+    assert all(sum(1 for b in (tmp_path / f"data/v={k}").iterdir() if b.name.startswith("bucket=")) <= 3 for k in range(1, 6)) and len(before) == 16
+    (tmp_path / "manifests/v=5/_SUCCESS").unlink()  # that batch's job ended before its manifest was whole
+    assert {(r.affected_type, r.affected_key): r.support_count for r in table.read().collect()} == want | {("F", "new"): 4, ("E", "k5"): 5}
+    write(counts([("E", "k5", 1005, "UPSERT"), ("F", "new", 5, "UPSERT")]), 5)
+    table.vacuum()
+    assert {(r.affected_type, r.affected_key): r.support_count for r in table.read().collect()} == want and table.versions() == [4, 5]
+
+
+def test_stream_takes_a_chunk_in_once(spark, tmp_path):
+    rows = [("d", "# A\nx"), ("e", "# A\nx"), ("f", "# A\nx\n# B\ny")]
+    want, seen = set(), 0
+    for k in range(5):
+        part = [rows[k % 3], rows[(k + 1) % 3], (f"g{k}", "# Z\nz"), (None, None)]
+        spark.createDataFrame(part, "doc_id string, markdown string").write.parquet(str(tmp_path / f"in/part={k}"))
+        chunks = jobs.ingest(spark.readStream.schema("doc_id string, markdown string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), str(tmp_path / "out"))
+        want |= {r.chunk_hash for r in jobs.T.chunks(spark.createDataFrame(part, "doc_id string, markdown string")).collect()}
+        got = [r.chunk_hash for r in spark.read.parquet(chunks).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(got) > seen
+        seen = len(got)
+
+
 def test_sheets(spark):
     cells = spark.createDataFrame([(1, i, [None, None] if i % 2 else [str(i), None]) for i in range(20)] + [(2, 0, [None])], "sheet_id int, row_no int, cells array<string>")
     assert [(r.sheet_id, [list(c) for c in r.sample]) for r in K.sample_rows(cells, 3).collect()] == [(1, [["0", None], ["2", None], ["4", None]])]
