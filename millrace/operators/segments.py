@@ -100,9 +100,9 @@ def level_of(tf):
     return F.size(F.filter(F.array(*map(F.lit, LEVELS)), lambda x: x <= tf)) - 1
 
 
-def _commit(old: Store | None, spark: SparkSession, path: str, segments: dict, removals: list[str], frequencies: dict[int, int], kinds: dict[str, str], gone: tuple[int, int]) -> Store:
+def _commit(spark: SparkSession, path: str, segments: dict, removals: list[str], frequencies: dict[int, int], kinds: dict[str, str], gone: tuple[int, int]) -> Store:
     n, length = sum(s[0] for s in segments.values()) - gone[0], sum(s[1] for s in segments.values()) - gone[1]
-    version = 1 + (old.version if old else 0)
+    version = 1 + max(map(int, children(spark, f"{path}/manifests")), default=0)  # also beyond one that a dead job left
     rows = [("segment", name, *sizes) for name, sizes in segments.items()] + [("removal", x, 0, 0, 0) for x in removals] + [("df", str(df), c, 0, 0) for df, c in frequencies.items() if c]
     rows += [("kind", f"{k} {v}", 0, 0, 0) for k, v in kinds.items()] + [("total", "", n, length, 0)]
     spark.createDataFrame(rows, "what string, name string, a bigint, b bigint, c bigint").coalesce(1).write.parquet(f"{path}/manifests/{version:09d}")
@@ -153,7 +153,7 @@ def create(chunks: DataFrame, path: str, params: Params = DEFAULT, buckets: int
     name, sizes, buckets = _write_segment(spark, path, posts, lengths, buckets)
     kinds = {"buckets": str(buckets), "chunk": chunks.schema["chunk_id"].dataType.simpleString(), "doc": chunks.schema["doc_id"].dataType.simpleString()}
     dfs = {r.df: r.n for r in spark.read.schema(TERMS).parquet(f"{path}/terms/segment={name}").groupBy("bucket", "term").agg(F.sum("df").alias("df")).groupBy("df").agg(F.count("*").alias("n")).collect()}  # a row per frequency
-    return _commit(None, spark, path, {name: sizes}, [], dfs, kinds, (0, 0))
+    return _commit(spark, path, {name: sizes}, [], dfs, kinds, (0, 0))
 
 
 def _moved(store: Store, change: DataFrame) -> dict[int, int]:
@@ -181,7 +181,7 @@ def add(store: Store, new: DataFrame, params: Params = DEFAULT, merging: bool =
     name, sizes, _ = _write_segment(spark, path, posts, lengths, store.buckets)
     change = spark.read.schema(TERMS).option("basePath", f"{path}/terms").parquet(f"{path}/terms/segment={name}").groupBy("bucket", "term").agg(F.sum("df").alias("df"))
     gone = _gone(store)
-    made = _commit(store, spark, path, store.segments | {name: sizes}, store.removals, _moved(store, change), store.kinds, gone)
+    made = _commit(spark, path, store.segments | {name: sizes}, store.removals, _moved(store, change), store.kinds, gone)
     return merged(made) if merging else made
 
 
@@ -204,7 +204,7 @@ def remove(store: Store, doc_ids: DataFrame) -> Store:
     chunks.write.parquet(f"{store.path}/removed-chunks/removal={name}")
     dfs = _moved(store, terms.groupBy("bucket", "term").agg((-F.sum("df")).alias("df")))
     was = _gone(store)
-    return _commit(store, store.spark, store.path, store.segments, [*store.removals, name], dfs, store.kinds, (was[0] + sums.n, was[1] + sums.length))
+    return _commit(store.spark, store.path, store.segments, [*store.removals, name], dfs, store.kinds, (was[0] + sums.n, was[1] + sums.length))
 
 
 def merged(store: Store) -> Store:
@@ -221,7 +221,7 @@ def merged(store: Store) -> Store:
     name, sizes, _ = _write_segment(store.spark, store.path, stored(part.postings().select("term", "chunk_id", "doc_id", "length", "tf"), "merged"), chunks, store.buckets)
     segments = rest | {name: sizes}
     gone = sum(s[0] for s in segments.values()) - store.n, sum(s[1] for s in segments.values()) - store.length
-    made = _commit(store, store.spark, store.path, segments, store.removals if gone[0] else [], store.frequencies, store.kinds, gone)
+    made = _commit(store.spark, store.path, segments, store.removals if gone[0] else [], store.frequencies, store.kinds, gone)
     return merged(made)
 
 

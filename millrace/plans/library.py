@@ -1,14 +1,18 @@
 """Queries of sources, catalog, hits and tables."""
 
+import functools
+
 import pyspark.sql.functions as F
+from pyspark.sql import DataFrame
 
 from millrace.operators import catalog as C
 from millrace.operators import lexical as L
 from millrace.operators import post as P
 from millrace.operators import tabular as K
-from millrace.plans.scratch import new_folder, spread
 from millrace.plans.text import table
+from millrace.sources import collection as O
 from millrace.sources import io as A
+from millrace.sources.scratch import new_folder, spread
 
 
 def catalog(spark, sf_dir):
@@ -142,11 +146,29 @@ def c9_tags(spark, sf_dir):
     return rows.select("doc_id", F.array_join(C.remove_tag(C.add_tag(F.col("tags"), "src0"), "en"), ",").alias("tags"))
 
 
+def collection(spark, sf_dir, documents):
+    """Every document is one chunk, whose language and source are entities; vectors are those of the embeddings table."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.concat(F.lit("c"), "doc_id").alias("chunk_hash"), F.substring("text", 1, 60).alias("text"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("subject_key", "predicate", "object_key", "attr_key", "attr_value")]
+    keys = F.explode(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("size:"), F.length("text") % 50)))
+    evidence = docs.select(F.concat(F.lit("c"), "doc_id").alias("chunk_hash"), F.lit("ENTITY").alias("evidence_type"), keys.alias("entity_key"), (F.col("doc_id") % 7 > 0).alias("active"), *none).filter("entity_key is not null")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return O.create(new_folder(spark, "collection"), documents, spread(chunks), vectors, evidence, buckets=8)
+
+
+def shown_collection(at, keys):
+    row = lambda df, name, key, n: df.select(F.lit(name).alias("name"), F.col(key).cast("string").alias("key"), n.alias("n"))
+    one = F.lit(1).cast("bigint")
+    rows = [row(at.read(name), name, "doc_id", one) for name in ("documents", "chunks", "vectors")] + [row(at.read("support"), "support", "affected_key", F.col("support_count")), row(keys, "affected", "affected_key", one)]
+    rows.append(row(at.index().chunks(), "index", "chunk_id", F.col("length").cast("bigint")))
+    rows.append(row(at.read("evidence").filter("active").groupBy("chunk_hash").agg(F.count("*").alias("n")), "evidence", "chunk_hash", F.col("n")))
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 def c10_cascade(spark, sf_dir):
-    gone = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
-    left = C.cascade({"documents": catalog(spark, sf_dir).select("doc_id"), "labels": table(spark, sf_dir, "labels").select("doc_id")}, gone)
-    rows = [df.select(F.lit(name).alias("name"), "doc_id") for name, df in left.items()]
-    return rows[0].unionByName(rows[1])
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return shown_collection(*O.delete_documents(collection(spark, sf_dir, docs), table(spark, sf_dir, "labels").filter("quality = 0")))
 
 
 def c11_reindex(spark, sf_dir):
@@ -157,7 +179,9 @@ def c11_reindex(spark, sf_dir):
 
 
 def c12_orphans(spark, sf_dir):
-    return C.orphans(table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 3).alias("doc_id")), table(spark, sf_dir, "documents"))
+    """Every third document is missing from the catalog."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 3 > 0").select("doc_id")
+    return shown_collection(*O.delete_orphans(collection(spark, sf_dir, docs)))
 
 
 def c13_stats(spark, sf_dir):
@@ -248,7 +272,7 @@ def k13_sheets(spark, sf_dir):
 def k5_typed(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("Part Key"), F.when(F.col("p_size") > 40, "nan").otherwise(F.col("p_size").cast("string")).alias("Größe"), F.when(F.col("p_partkey") % 2 == 0, "12x").otherwise(F.col("p_retailprice").cast("string")).alias("3 price"))
     loaded = K.load_typed(p, dict(zip(p.columns, K.clean_headers(p.columns), strict=True)), {"Part Key": "INTEGER", "Größe": "INTEGER", "3 price": "REAL"})
-    return loaded.agg(F.count("Part_Key").alias("keys"), F.count("Größe").alias("sizes"), F.count("col_2").alias("prices"))
+    return loaded.select(F.col("Part_Key").alias("part_key"), F.col("Größe").alias("size"), F.round("col_2", 4).alias("price"))
 
 
 def k6_described(spark, sf_dir):
@@ -287,6 +311,18 @@ def profile_sql(columns: list[tuple[str, str]], name: str) -> str:
     return " union all ".join(parts)
 
 
+
+def collection_sql(gone: str, orphans: str | None = None) -> str:
+    """gone: of documents; orphans: of vectors, if they may lack a document."""
+    from millrace.plans.text import TOKENS
+
+    return f"""with e as (select doc_id, unnest(['lang:' || lang, 'size:' || length(text) % 50]) as k, {gone} as gone from documents where doc_id % 7 > 0), k as (select doc_id, k, gone from e where k is not null)
+select 'documents' as name, doc_id::varchar as key, 1::bigint as n from documents where not ({gone}) union all select 'chunks', doc_id::varchar, 1 from documents where not ({gone})
+union all select 'vectors', doc_id::varchar, 1 from (select vec_id as doc_id from embeddings) where not ({orphans or gone})
+union all select 'support', k, count(*) from k where not gone group by k union all select distinct 'affected', k, 1 from k where gone
+union all select 'index', doc_id::varchar, len({TOKENS}) from (select doc_id, left(text, 60) as text from documents) where not ({gone}) union all select 'evidence', 'c' || doc_id, count(*) from k where not gone group by doc_id"""
+
+
 SQL = {
     "a1_corpus": "select md5(line) as line_md5, count(*) as lines from (select unnest(string_split(text, chr(10))) as line from documents) where line <> '' group by 1",
     "a4_evidence": "with o as (select 'e' || s_suppkey as evidence_id, 'c' as chunk_hash, 'supplier:' || s_name as entity_key, 'said' as evidence_text, 0.9::double as confidence, 'v1' as extractor_version, s_suppkey % 2 = 0 as active, '2024-01-01' as created from supplier), n as (select 'e' || (s_suppkey + case when s_suppkey % 2 = 0 then 0 else 1000000 end) as evidence_id, 'd' as chunk_hash, null::varchar as entity_key, '' as evidence_text, case when s_suppkey % 4 = 0 then 0.7 else 0.5 end::double as confidence, '' as extractor_version, true as active, '2024-01-02' as created from supplier where s_suppkey % 3 = 0) select * from n union all select * from o where evidence_id not in (select evidence_id from n)",
@@ -309,9 +345,9 @@ SQL = {
     "c7_move": f"with {CAT} select case when folder like '/en/%' then '/old' || folder else folder end as folder, doc_id from ca",
     "c8_delete": "select doc_id from documents where not (lang = 'en' and source = 'src1')",
     "c9_tags": "select doc_id, array_to_string(list_filter(case when source = 'src0' then [lang, source] else [lang, source, 'src0'] end, lambda x: x <> 'en'), ',') as tags from documents",
-    "c10_cascade": "select 'documents' as name, doc_id from documents where doc_id not in (select doc_id from labels where quality = 0) union all select 'labels', doc_id from labels where doc_id not in (select doc_id from labels where quality = 0)",
+    "c10_cascade": collection_sql("doc_id in (select doc_id from labels where quality = 0)"),
     "c11_reindex": "select case when doc_id % 4 = 0 then 'new' else 'old' end as state, case when doc_id % 4 = 0 then 2 else 1 end as doc_version, doc_id from documents",
-    "c12_orphans": "select vec_id * 3 as doc_id from embeddings where vec_id * 3 not in (select doc_id from documents)",
+    "c12_orphans": collection_sql("doc_id % 3 = 0", "doc_id not in (select doc_id from documents where doc_id % 3 > 0)"),
     "c13_stats": "select (select count(*) from documents) as documents, (select sum(n_chars)::bigint from documents) as chars, (select count(*) from embeddings) as vectors, (select count(*) from nation) as entities",
     "j1_dedup": f"with {HITS}, a as (select query_id, rank, chunk_id, text from hi union all select query_id, rank + 200, '', text from hi) select query_id, rank, chunk_id from a qualify row_number() over (partition by query_id, trim(text, ' ') order by rank) = 1",
     "j2_adjacent": f"with {HITS} select query_id, doc_id, string_agg(chunk_id, '+' order by turn) as chunk_id, (sum(length(text)) + 2 * (count(*) - 1))::int as chars, round(max(score), 6) as score from (select *, turn - row_number() over (partition by query_id, doc_id order by turn) as island from hi) group by query_id, doc_id, island",
@@ -323,7 +359,7 @@ SQL = {
     "j9_query_routes": "select conv_id, turn, case when turn % 4 = 0 then 'chitchat' when turn % 4 = 2 or (turn % 4 = 1 and conv_id % 2 = 0) then 'graph' else 'plain' end as route from conversations",
     "j10_parsed": "select c_custkey, case when c_custkey % 4 = 0 then 'multi_hop' else 'simple_fact' end as query_type, case c_custkey % 4 when 0 then 0.9 when 1 then 0.5 else 0.3 end::double as confidence, c_custkey % 4 = 0 as graph_eligible, true as is_valid, case when c_custkey % 4 < 2 then 0 else 1 end::double as citation_accuracy from customer",
     "k1_profile": profile_sql([("p_partkey", "INTEGER"), ("p_name", "TEXT"), ("p_brand", "TEXT"), ("p_type", "TEXT"), ("p_size", "INTEGER"), ("p_retailprice", "REAL")], "part"),
-    "k5_typed": "select count(*) as keys, count(*) filter (p_size <= 40) as sizes, count(*) filter (p_partkey % 2 = 1) as prices from part",
+    "k5_typed": "select p_partkey as part_key, case when p_size <= 40 then p_size end::bigint as size, case when p_partkey % 2 = 1 then round(p_retailprice, 4) end::double as price from part",
     "k6_described": "select '- n_name (TEXT)' || chr(10) || '- n_nationkey (INTEGER)' || chr(10) || '- n_regionkey (INTEGER): 0, 1, 2, 3, 4' as columns",
     "k9_guarded": "select l_returnflag, count(*) as n from lineitem group by 1",
     "k10_retries": "select o_orderstatus, count(*) as n, 'UnsafeQuery, AnalysisException, ArithmeticException, NumberFormatException, ok' as log from orders group by 1",
