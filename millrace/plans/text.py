@@ -2,6 +2,7 @@
 
 import pyspark.sql.functions as F
 
+from millrace.functions.encoding import repair
 from millrace.functions.splitter import splitter
 from millrace.operators import text as T
 from millrace.params import DEFAULT
@@ -117,7 +118,10 @@ def b10_filled(spark, sf_dir):
 
 
 def b11_clean(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    """Every third text was read as Latin-1 before, every ninth twice, and comes back as it was."""
+    misread = lambda text: F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    damaged = F.when(F.col("doc_id") % 9 == 0, misread(misread(F.col("text")))).when(F.col("doc_id") % 3 == 0, misread(F.col("text"))).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", repair(damaged).alias("text"))
     cleaned = T.clean(F.concat(F.lit("  ​X\t y\n\n\n"), T.nfc(F.col("text")), F.lit("﻿ \n")))
     return docs.select("doc_id", F.md5(cleaned).alias("clean_md5"), F.length(cleaned).alias("chars"))
 

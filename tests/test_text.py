@@ -54,3 +54,27 @@ def test_merge_neighbours_and_dedup(spark):
 def test_clean_tokens_and_bigrams(spark):
     row = spark.range(1).select(T.clean(F.lit(" A​  b\t c\n\n\nD ")).alias("c"), T.tokens(F.lit("The Cat, the DOG 42")).alias("t"), T.bigrams(F.lit("abc")).alias("b"), T.bigrams(F.lit("X")).alias("one")).first()
     assert row.c == "a b c\nd" and list(row.t) == ["cat", "dog", "42"] and list(row.b) == ["ab", "bc"] and list(row.one) == ["x"]
+
+
+SOUND = [
+    "plain", "", "café", "naïve “quote” – it’s", "Привет, мир", "日本語テキスト", "Ünïcödé ñ", "€ 5", "👍🏽 ok", "ελληνικά", "Straße", "déjà vu — “café”—", "«CAFÉ»", "NÃO", "São Paulo", "«МИР»", "Ёлка ёж", "Â", "Ã", "â", "x ± y ≤ z",
+    "Õ×", "ÉÈÊ ÇA", "É»", "café”—", "à «»", "l’été…", "à­b", "Ñandú™", "√2 ≈ 1.41", "¬p ∨ q", "ĀāĂă", "ﾊﾛｰ", "‘Äpfel’ ‚Öl‘", "\x00\x7f", "a\u0085b", "ÿ¿",
+]
+
+
+def test_sound_texts_stay_and_misread_ones_come_back(spark):
+    from millrace.functions.encoding import badness, repair, repaired
+
+    assert [repaired(t) for t in SOUND] == SOUND and repaired(None) is None and not any(map(badness, SOUND))
+    for text in ("café", "Ünïcödé ñ", "Straße", "€ 5", "naïve “quote”", "Привет, мир", "日本語テキスト", "ελληνικά"):
+        read = text
+        for _ in range(3):
+            read = read.encode().decode("latin-1")
+            assert repaired(read) == text and repaired(f"vor – {read} – und «nach»") == f"vor – {text} – und «nach»"
+    for text, page in (("it’s “so”", "cp1251"), ("Привет, мир", "cp1251"), ("Straße", "mac_roman"), ("café", "mac_roman"), ("l’été", "cp1252"), ("l’été", "mac_roman")):
+        assert repaired(text.encode().decode(page)) == text, (text, page)
+    assert repaired("â€™\ud7ff cafÃ©".replace("\ud7ff", "")) == "’ café" and repaired("Ã") == "Ã"
+    long = "cafÃ© " * 20_000 + "ÃƒÂ©"
+    assert repaired(long) == "café " * 20_000 + "é"
+    df = spark.createDataFrame([(t.encode().decode("latin-1"),) for t in SOUND[2:6]] + [(None,)], "t string")
+    assert {r[0] for r in df.select(repair("t")).collect()} == {*SOUND[2:6], None}
