@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.scratch import materialize
 
-#: Licence names and the wording of their usual notices.
+#: Licence names and the wording of their notices, titles and clauses. A wording of several licences names them all.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -37,7 +37,7 @@ TEMPLATES = [
     ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Proprietary", "All rights reserved."),
     ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause|BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
@@ -49,7 +49,26 @@ TEMPLATES = [
     ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
     ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
     ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the License."),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
+    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause|BSD-3-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
 ]
+#: Words that make another licence, or none, of a wording that lacks them.
+MODIFIERS = ["affero", "lesser", "library", "not", "software"]
+#: Numbers of versions, which a piece must share with a template that has them.
+VERSION = r"v?[0-9]+([.][0-9]+)*"
+STATED = r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)"
+OTHER = r"(?i)\b(licen[sc]ed under|released under|distributed under|under the terms of) [^.\n]{0,80}\blicen[sc]e\b"
+UNKNOWN = "unknown"
 TERM = "[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 THRESHOLD = 0.6
 LICENCE_FILES = ["license", "licence", "copying", "license.txt", "licence.txt", "license.md", "copying.txt"]
@@ -60,13 +79,19 @@ def terms(text):
 
 
 def template_weights(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """(term, idf) and (term, template, license, weight), the weights divided by their template's norm."""
+    """(term, idf) and (term, template, license, weight, must, bars, needed): the weights are divided by their template's norm;
+    must marks versions, of which the template has ``needed``; modifiers that it lacks are there with weight 0 and bar it. A
+    template of several licences has its terms for each."""
     base = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, text string")
-    counts = base.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+    counts = base.select("template", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
     idf = counts.groupBy("term").agg((F.log(F.lit(1 + len(templates)) / (1 + F.count("*"))) + 1).alias("idf"))
     weights = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return idf, weights.join(norms, "template").select("term", "template", "license", (F.col("w") / F.col("norm")).alias("weight"))
+    norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count_if(F.regexp_like("term", F.lit(f"^{VERSION}$"))).alias("needed"))
+    rows = weights.join(norms, "template").select("term", "template", (F.col("w") / F.col("norm")).alias("weight"), F.regexp_like("term", F.lit(f"^{VERSION}$")).cast("int").alias("must"), F.lit(0).alias("bars"), "needed")
+    lacked = base.select("template", F.explode(F.array(*map(F.lit, MODIFIERS))).alias("term")).join(counts.select("template", "term"), ["template", "term"], "left_anti")
+    barred = lacked.join(norms, "template").select("term", "template", F.lit(0.0).alias("weight"), F.lit(0).alias("must"), F.lit(1).alias("bars"), "needed")
+    names = base.select("template", F.explode(F.split("license", r"\|")).alias("license"))
+    return idf, rows.unionByName(barred).join(F.broadcast(names), "template")
 
 
 def sentences(text):
@@ -89,7 +114,7 @@ def able_to_reach(weights: DataFrame, threshold: float):
     must be there. A piece's own vector has a part outside the templates' words, which have the largest weight there, and only
     the rest of its length counts; that is tested first. Terms are found once a text, so they are bound by lambdas."""
     held: dict[int, dict[str, float]] = {}
-    for r in weights.collect():  # the templates' terms
+    for r in weights.filter("weight > 0").collect():  # the templates' terms
         held.setdefault(r.template, {})[r.term] = r.weight**2
     heavy = set()
     for own in held.values():
@@ -124,8 +149,13 @@ def able_to_reach(weights: DataFrame, threshold: float):
 
 
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files: (path, text). (path, license, score) of files with a notice; the best score wins, then the first name. A
-    single shared word (German Mit) is no notice. A path may have several texts, whose pieces are told apart."""
+    """files: (path, text). (path, license, score) of files with a notice.
+
+    A piece matches a template by cosine if it has the template's versions and no modifier that the template lacks; a single
+    shared word (German Mit) is no notice. A file's licence is that of which most wordings match, by the sum of their scores,
+    then the first name; the score is that of its best piece. A stated identifier is
+    the licence with score 1; one that no template has, or a file that names a licence and matches none, is unknown with score
+    0. A path may have several texts, whose pieces are told apart."""
     idf, weights = template_weights(files.sparkSession, templates)
     most = math.log(1.0 + len(templates)) + 1
     text_able, piece_able = able_to_reach(weights, threshold)
@@ -135,9 +165,21 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     counts = found.select("path", F.struct("s1", "s2").alias("seg"), F.explode(terms(F.col("piece"))).alias("term")).groupBy("path", "seg", "term").agg(F.count("*").alias("tf"))
     weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(most)))
     weighed = weighed.select("path", "seg", "term", "w", F.sqrt(F.sum(F.col("w") * F.col("w")).over(_segment())).alias("norm"))
-    cosine = weighed.join(F.broadcast(weights), "term").groupBy("path", "seg", "template", "license").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("score"), F.count("*").alias("shared"))
-    best = cosine.filter((F.round("score", 9) >= threshold) & (F.col("shared") > 1)).groupBy("path").agg(F.min(F.struct(-F.round("score", 9), "license")).alias("b"))
-    return best.select("path", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"))
+    sums = [(F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("score"), F.count_if(F.col("bars") == 0).alias("shared"), F.sum("must").alias("musts"), F.sum("bars").alias("barred"), F.first("needed").alias("needed")]
+    cosine = weighed.join(F.broadcast(weights), "term").groupBy("path", "seg", "template", "license").agg(*sums)
+    matched = cosine.filter((F.round("score", 9) >= threshold) & (F.col("shared") > 1) & (F.col("musts") >= F.col("needed")) & (F.col("barred") == 0))
+    named = sorted({name for names, _ in templates for name in names.split("|")})
+    by_template = matched.groupBy("path", "template", "license").agg(F.max(F.round("score", 9)).alias("score"))
+    by_license = by_template.groupBy("path", "license").agg(F.round(F.sum("score"), 9).alias("total"), F.max("score").alias("score"))
+    best = by_license.groupBy("path").agg(F.min(F.struct(-F.col("total"), "license", "score")).alias("b")).select("path", F.col("b.license").alias("license"), F.col("b.score").alias("score"))
+    stated = F.regexp_replace(F.regexp_extract("text", STATED, 1), "-(only|or-later)$", "")
+    told = files.filter(F.contains(F.col("text"), F.lit("SPDX-License-Identifier:"))).select("path", F.when(stated.isin(named), stated).otherwise(UNKNOWN).alias("license")).filter(F.col("license").isNotNull())
+    told = told.groupBy("path").agg(F.min("license").alias("license"))  # capitals come before unknown
+    other = files.filter(F.regexp_like("text", F.lit(OTHER))).select("path").distinct()
+    rows = told.select("path", F.lit(0).alias("place"), "license", F.when(F.col("license") == UNKNOWN, 0.0).otherwise(1.0).alias("score"))
+    rows = rows.unionByName(best.select("path", F.lit(1).alias("place"), "license", "score")).unionByName(other.select("path", F.lit(2).alias("place"), F.lit(UNKNOWN).alias("license"), F.lit(0.0).alias("score")))
+    first = rows.groupBy("path").agg(F.min(F.struct("place", "license", "score")).alias("f"))
+    return first.select("path", F.col("f.license").alias("license"), F.col("f.score").alias("score"))
 
 
 def _segment():
@@ -161,7 +203,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     paths = rows.select("path").distinct().join(own, "path", "left").withColumn("dir", parent(F.col("path")))
     paths = materialize(paths, "licensed-paths")
     name = F.lower(F.regexp_extract("path", "[^/]*$", 0))
-    given = paths.filter(F.col("license").isNotNull() & name.isin(LICENCE_FILES)).groupBy("dir").agg(F.min(F.struct("path", "license")).alias("g")).select(F.col("dir").alias("ancestor"), F.col("g.license").alias("given"))
+    given = paths.filter(F.col("license").isNotNull() & (F.col("license") != UNKNOWN) & name.isin(LICENCE_FILES)).groupBy("dir").agg(F.min(F.struct("path", "license")).alias("g")).select(F.col("dir").alias("ancestor"), F.col("g.license").alias("given"))
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws("/", F.slice(parts, 1, k)))
     dirs = paths.select("dir").distinct().select("dir", F.posexplode(above).alias("depth", "ancestor"))
@@ -198,10 +240,12 @@ def _quoted(text: str) -> str:
 
 SQL = rf"""
 with t as (select * from (values {", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))}) t(template, license, text)),
-tc as (select template, license, term, count(*) as tf from (select template, license, unnest(regexp_extract_all(lower(text), '{TERM}')) as term from t) group by all),
+tc as (select template, term, count(*) as tf from (select template, unnest(regexp_extract_all(lower(text), '{TERM}')) as term from t) group by all),
+tl as (select template, unnest(string_split(license, '|')) as license from t),
 idf as (select term, ln({1 + len(TEMPLATES)}.0 / (1 + count(*))) + 1 as idf from tc group by term),
-tw as (select template, license, term, tf * idf as w from tc join idf using (term)),
-tn as (select template, license, term, w / sqrt(sum(w * w) over (partition by template)) as weight from tw),
+tw as (select template, term, tf * idf as w, regexp_full_match(term, '{VERSION}') as must from tc join idf using (term)),
+tn as (select template, term, w / sqrt(sum(w * w) over (partition by template)) as weight, must, sum(must::int) over (partition by template) as needed from tw),
+ba as (select template, term from t, (select unnest([{", ".join(map(_quoted, MODIFIERS))}]) as term) where (template, term) not in (select (template, term) from tc)),
 f as (select doc_id, text, case when doc_id % 100 = 0 then '/' || doc_id // 100 || '/LICENSE'
                                 when doc_id % 10 = 0 then '/' || doc_id // 100 || '/' || doc_id // 10 || '/LICENSE'
                                 else '/' || doc_id // 100 || '/' || doc_id // 10 || '/' || coalesce(source, 'none') || '/' || doc_id || '.txt' end as path from documents),
@@ -213,10 +257,16 @@ p as (select *, row_number() over () as seg from p1),
 c as (select path, seg, term, count(*) as tf from (select path, seg, unnest(regexp_extract_all(lower(piece), '{TERM}')) as term from p) group by all),
 w as (select path, seg, term, tf * coalesce(idf, ln({1 + len(TEMPLATES)}.0) + 1) as w from c left join idf using (term)),
 n as (select *, sqrt(sum(w * w) over (partition by path, seg)) as norm from w),
-s as (select path, license, round(sum(w * weight) / min(norm), 9) as score from n join tn using (term) group by path, seg, template, license having count(*) > 1),
-own as (select path, license, score from s where score >= {THRESHOLD} qualify row_number() over (partition by path order by score desc, license) = 1),
+s as (select path, seg, template, round(sum(w * weight) / min(norm), 9) as score from n join tn using (term) group by path, seg, template having count(*) > 1 and sum(must::int) >= any_value(needed)),
+sm as (select path, template, max(score) as score from s where score >= {THRESHOLD} and not exists (select 1 from n join ba using (term) where n.path = s.path and n.seg = s.seg and ba.template = s.template) group by 1, 2),
+sl as (select path, license, round(sum(score), 9) as total, max(score) as score from sm join tl using (template) group by 1, 2),
+sp as (select path, min(case when y in (select license from tl) then y else '{UNKNOWN}' end) as license from (select path, regexp_replace(regexp_extract(text, '{STATED}', 1), '-(only|or-later)$', '') as y from f where contains(text, 'SPDX-License-Identifier:')) group by 1),
+ow as (select path, 0 as place, license, case when license = '{UNKNOWN}' then 0 else 1 end::double as score from sp
+  union all select * from (select path, 1, license, score from sl qualify row_number() over (partition by path order by total desc, license) = 1)
+  union all select distinct path, 2, '{UNKNOWN}', 0 from f where regexp_matches(text, '{OTHER}')),
+own as (select path, license, score from ow qualify row_number() over (partition by path order by place, license) = 1),
 l as (select f.doc_id, f.path, regexp_replace(f.path, '/[^/]*$', '') as dir, own.license, own.score from f left join own on own.path = f.path),
-g as (select dir, min_by(license, path) as given from l where license is not null and lower(regexp_extract(path, '[^/]*$')) in ({", ".join(map(_quoted, LICENCE_FILES))}) group by dir),
+g as (select dir, min_by(license, path) as given from l where license is not null and license <> '{UNKNOWN}' and lower(regexp_extract(path, '[^/]*$')) in ({", ".join(map(_quoted, LICENCE_FILES))}) group by dir),
 a as (select l.path, max_by(g.dir, length(g.dir)) as ancestor, max_by(g.given, length(g.dir)) as given from l join g on g.dir = l.dir or starts_with(l.dir, g.dir || '/') group by l.path)
 select l.doc_id, l.path, l.license as own_license, round(l.score, 6) as score, coalesce(l.license, a.given) as license,
        case when l.license is null then a.ancestor end as inherited_from
