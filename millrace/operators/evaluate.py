@@ -80,6 +80,29 @@ def report(scores: DataFrame, by: str | None = None) -> DataFrame:
     return grouped.agg(F.count("*").alias("samples"), *(F.avg(c).alias(c) for c in metrics))
 
 
+def evaluation_report(rows: DataFrame) -> DataFrame:
+    """rows: scored samples with recall_5, recall_10, precision_5, precision_10, ndcg_5 and mrr (null without a truth), and
+    predicted, has_texts, delta_ndcg, pre_count, post_count, redundancy, citation, claims, intrinsic, extrinsic and
+    processing_time_ms, each null or -1 where it wasn't measured.
+
+    One row: means that leave those out, 0 or null where nothing is left; hallucination over answers that are no errors and
+    have texts, rates over all samples and scores over all claims; times above 0."""
+    valid = lambda c: F.avg(F.when(F.col(c) >= 0, F.col(c)))
+    judged = (F.coalesce("predicted", F.lit("")) != "") & F.col("has_texts") & ~F.contains(F.lower("predicted"), F.lit("error"))
+    claims = F.coalesce(F.sum(F.when(judged, F.col("claims"))), F.lit(0))
+    share = lambda part, whole: F.when(claims > 0, part / whole).otherwise(0.0)
+    timed = F.when(F.col("processing_time_ms") > 0, F.col("processing_time_ms").cast("double"))
+    zero, null = ["recall_5", "recall_10", "citation", "redundancy"], ["precision_5", "precision_10", "ndcg_5", "mrr", "delta_ndcg"]
+    # a change for the worse counts like what wasn't measured
+    return rows.agg(
+        F.count("*").alias("samples"), *(F.coalesce(valid(c), F.lit(0.0)).alias(c) for c in zero), *(valid(c).alias(c) for c in null),
+        F.coalesce(F.avg(F.when(F.col("pre_count") > 0, 1 - F.col("post_count") / F.col("pre_count"))), F.lit(0.0)).alias("filter_drop_rate"),
+        *(share(F.count_if(judged & (F.col(c) > 0)), F.count("*")).alias(f"{c}_rate") for c in ("intrinsic", "extrinsic")),
+        *(share(F.sum(F.when(judged, F.col(c))), claims).alias(f"{c}_score") for c in ("intrinsic", "extrinsic")),
+        F.coalesce(F.avg(timed), F.lit(0.0)).alias("timing_mean"), *(F.coalesce(F.percentile(timed, F.lit(q)), F.lit(0.0)).alias(f"timing_p{round(100 * q)}") for q in (0.5, 0.95, 0.99)),
+    )
+
+
 def sql_equal(predicted: Column, truth: Column) -> Column:
     """1.0 for the same text but for case and white space; null leaves the case to a judge."""
     fold = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
@@ -127,12 +150,15 @@ def sql_report(rows: DataFrame) -> DataFrame:
     ).filter("sql_num_samples > 0")
 
 
-def seeds_of_samples(chunks: DataFrame, docs: int = 10) -> DataFrame:
-    """chunks: (doc_id, idx, chunk_id, text). Material for new samples of the first documents: the first five chunk ids, and the
-    first 20 texts that are not blank among the first 50, joined and cut at 6000 characters."""
+def seeds_of_samples(chunks: DataFrame, docs: int = 10, catalog: DataFrame | None = None) -> DataFrame:
+    """chunks: (doc_id, idx, chunk_id, text); catalog: (doc_id, status). Material for new samples of the first documents, of the
+    first that are completed if there is a catalog: the first five chunk ids, and the first 20 texts that are not blank among
+    the first 50, joined and cut at 6000 characters."""
     from pyspark.sql import Window
 
-    chosen = chunks.select("doc_id").distinct().orderBy("doc_id").limit(docs)
+    known = chunks.select("doc_id").distinct()
+    known = known if catalog is None else known.join(catalog.filter("status = 'completed'").select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = known.orderBy("doc_id").limit(docs)
     rows = chunks.join(F.broadcast(chosen), "doc_id").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))).filter("rn <= 50")
     ids = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("rn", "chunk_id"))), 1, 5), lambda x: x["chunk_id"])
     texts = F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.trim("text") != "", F.struct("rn", "text")))), 1, 20), lambda x: x["text"])

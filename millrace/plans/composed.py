@@ -117,7 +117,7 @@ def l16_sql_report(spark, sf_dir):
 
 def l18_seeds(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
-    out = L.seeds_of_samples(t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text"))
+    out = L.seeds_of_samples(t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text"), catalog=t.select(F.col("conv_id").alias("doc_id"), F.when(F.col("conv_id") % 3 > 0, "completed").otherwise("failed").alias("status")))
     return out.select("doc_id", F.array_join("ground_truth_ids", ",").alias("ids"), F.md5("prompt").alias("prompt_md5"))
 
 
@@ -142,5 +142,5 @@ avg(k - 5) filter (k > 5) as sql_timing_mean_ms, quantile_cont((k - 5)::double,
     "k12_columns": "select p_partkey, case when p_partkey % 2 = 0 then p_type else p_name end as display_name, p_brand as column_name, 'TEXT' as data_type from part",
     "l12_hallucination": "with e as (select (props->>'$.k')::bigint as k from events where event_id % 5 <> 0) select count(*) as judged, round(avg((k % 3 > 0)::int), 6) as hallucination_rate, round(sum(k % 3) / (10 * count(*)), 6) as hallucination_score, round(sum(k % 2) / (10 * count(*)), 6) as unverifiable_score from e",
     "l13_sheets": f"with {RECALLED}, r as (select query_id, list(sheet_id order by rank) as r, [100 * query_id, (37 * query_id + 5) % 500] as t from re group by 1) select query_id, {', '.join(f'len(list_filter(t, lambda x: list_contains(r[1:{k}], x))) / 2 as recall_{k}' for k in (1, 3, 5))} from r",
-    "l18_seeds": "with d as (select distinct conv_id from conversations order by 1 limit 10), r as (select *, row_number() over (partition by conv_id order by turn) as n from conversations where conv_id in (select conv_id from d)) select conv_id as doc_id, string_agg(case when n <= 5 then conv_id || '_' || turn end, ',' order by n) as ids, md5(left(string_agg(case when n <= 20 then text end, chr(10) order by n), 6000)) as prompt_md5 from r where n <= 50 group by 1",
+    "l18_seeds": "with d as (select distinct conv_id from conversations where conv_id % 3 > 0 order by 1 limit 10), r as (select *, row_number() over (partition by conv_id order by turn) as n from conversations where conv_id in (select conv_id from d)) select conv_id as doc_id, string_agg(case when n <= 5 then conv_id || '_' || turn end, ',' order by n) as ids, md5(left(string_agg(case when n <= 20 then text end, chr(10) order by n), 6000)) as prompt_md5 from r where n <= 50 group by 1",
 }

@@ -203,7 +203,7 @@ def j1_dedup(spark, sf_dir):
 
 def j2_adjacent(spark, sf_dir):
     h = hits(spark, sf_dir)
-    merged = P.merge_adjacent(h.withColumn("idx", P.chunk_index(F.lit(None), F.col("chunk_id"))), 1_000_000)
+    merged = P.merge_adjacent(h.withColumn("idx", P.chunk_index(F.lit(None), F.col("chunk_id"))))
     return merged.select("query_id", "doc_id", "chunk_id", F.length("text").alias("chars"), F.round("score", 6).alias("score"))
 
 
@@ -231,6 +231,13 @@ def j8_routes(spark, sf_dir):
     return P.route_hits(h.select("query_id", P.is_data_table(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("chunk_id")).alias("is_table"), F.when(F.col("query_id") % 2 == 0, F.lit(1)).otherwise(F.col("rank")).alias("sheet_id")))
 
 
+def j8_reroutes(spark, sf_dir):
+    """After an answer: what lacks something goes to the sheets once, while there are rounds left."""
+    t = table(spark, sf_dir, "conversations")
+    lacking = P.insufficient(F.when(F.col("turn") % 3 == 1, F.lit("There is insufficient information.")).otherwise(F.lit("Yes.")))
+    return t.select("conv_id", "turn", P.route_answer(F.col("turn") % 5 == 0, F.col("conv_id") % 2 == 0, lacking, F.col("turn"), 6).alias("route"))
+
+
 def j9_query_routes(spark, sf_dir):
     kinds = F.array(*map(F.lit, ["chitchat", "simple_fact", "multi_hop", "holistic"]))
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(kinds, (F.col("turn") % 4 + 1).cast("int")).alias("t"))
@@ -297,7 +304,7 @@ def k11_document(spark, sf_dir):
     return K.as_document(top, ["s_nationkey"], 10)
 
 
-QUERIES = {f.__name__: f for f in (a1_corpus, a2_accepted, a3_upsert, a4_evidence, a5_samples, a6_import, a7_reports, a8_snapshot, a9_scan, a10_tables, c1_listing, c2_tagged, c3_folders, c4_tags, c5_scope, c6_normal, c7_move, c8_delete, c9_tags, c10_cascade, c11_reindex, c12_orphans, c13_stats, j1_dedup, j2_adjacent, j3_index, j4_context, j5_citations, j6_insufficient, j8_routes, j9_query_routes, j10_parsed, k1_profile, k4_samples, k5_typed, k6_described, k9_guarded, k10_retries, k11_document, k13_sheets)}
+QUERIES = {f.__name__: f for f in (a1_corpus, a2_accepted, a3_upsert, a4_evidence, a5_samples, a6_import, a7_reports, a8_snapshot, a9_scan, a10_tables, c1_listing, c2_tagged, c3_folders, c4_tags, c5_scope, c6_normal, c7_move, c8_delete, c9_tags, c10_cascade, c11_reindex, c12_orphans, c13_stats, j1_dedup, j2_adjacent, j3_index, j4_context, j5_citations, j6_insufficient, j8_routes, j8_reroutes, j9_query_routes, j10_parsed, k1_profile, k4_samples, k5_typed, k6_described, k9_guarded, k10_retries, k11_document, k13_sheets)}
 
 HITS = "hi as (select conv_id as query_id, turn + 1 as rank, turn // 3 as doc_id, 'd_chunk_' || printf('%04d', turn) as chunk_id, text, turn, 1 / (turn + 1) as score from conversations)"
 
@@ -350,12 +357,16 @@ SQL = {
     "c12_orphans": collection_sql("doc_id % 3 = 0", "doc_id not in (select doc_id from documents where doc_id % 3 > 0)"),
     "c13_stats": "select (select count(*) from documents) as documents, (select sum(n_chars)::bigint from documents) as chars, (select count(*) from embeddings) as vectors, (select count(*) from nation) as entities",
     "j1_dedup": f"with {HITS}, a as (select query_id, rank, chunk_id, text from hi union all select query_id, rank + 200, '', text from hi) select query_id, rank, chunk_id from a qualify row_number() over (partition by query_id, trim(text, ' ') order by rank) = 1",
-    "j2_adjacent": f"with {HITS} select query_id, doc_id, string_agg(chunk_id, '+' order by turn) as chunk_id, (sum(length(text)) + 2 * (count(*) - 1))::int as chars, round(max(score), 6) as score from (select *, turn - row_number() over (partition by query_id, doc_id order by turn) as island from hi) group by query_id, doc_id, island",
+    "j2_adjacent": f"""with recursive {HITS}, r as (select *, turn - row_number() over (partition by query_id, doc_id order by turn) as island from hi), o as (select *, row_number() over (partition by query_id, doc_id, island order by turn) as n from r),
+g as (select query_id, doc_id, island, n, 1 as part, length(text) as chars from o where n = 1 union all
+  select o.query_id, o.doc_id, o.island, o.n, case when g.chars + 2 + length(o.text) <= 2000 then g.part else g.part + 1 end, case when g.chars + 2 + length(o.text) <= 2000 then g.chars + 2 + length(o.text) else length(o.text) end from g join o on o.query_id = g.query_id and o.doc_id = g.doc_id and o.island = g.island and o.n = g.n + 1)
+select query_id, doc_id, string_agg(chunk_id, '+' order by turn) as chunk_id, (sum(length(text)) + 2 * (count(*) - 1))::int as chars, round(max(score), 6) as score from o join g using (query_id, doc_id, island, n) group by query_id, doc_id, island, part""",
     "j3_index": f"with {HITS} select query_id, chunk_id, case when rank % 2 = 0 then rank else turn end::int as idx from hi",
     "j4_context": f"with {HITS}, b as (select query_id, row_number() over (partition by query_id order by rank) as n, text from hi), c as (select query_id, n, '[' || n || ']' || chr(10) || text as block from b), d as (select *, sum(length(block) + 7) over (partition by query_id order by n) as e, sum(length(block) + 7) over (partition by query_id) - 7 as t from c) select query_id, md5(left(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by n), 900)) as context_md5, count(*) as blocks from d where t <= 900 or e <= 900 or n = 1 group by 1",
     "j5_citations": f"with {HITS}, b as (select *, row_number() over (partition by query_id order by rank) as n from hi) select query_id, string_agg('[' || n || '] ' || doc_id || '/' || chunk_id, '; ' order by n) as citations from b where n <= 2 group by 1",
     "j6_insufficient": "select conv_id, turn, turn % 3 = 1 as insufficient from conversations",
     "j8_routes": f"with {HITS} select query_id, case when query_id % 3 = 0 and (query_id % 2 = 0 or count(*) = 1) then 'sql_agent' else 'answer_generator' end as route from hi group by 1",
+    "j8_reroutes": "select conv_id, turn, case when turn % 5 > 0 and conv_id % 2 = 0 and turn % 3 = 1 and turn < 6 then 'sql_agent' else 'end' end as route from conversations",
     "j9_query_routes": "select conv_id, turn, case when turn % 4 = 0 then 'chitchat' when turn % 4 = 2 or (turn % 4 = 1 and conv_id % 2 = 0) then 'graph' else 'plain' end as route from conversations",
     "j10_parsed": "select c_custkey, case when c_custkey % 4 = 0 then 'multi_hop' else 'simple_fact' end as query_type, case c_custkey % 4 when 0 then 0.9 when 1 then 0.5 else 0.3 end::double as confidence, c_custkey % 4 = 0 as graph_eligible, true as is_valid, case when c_custkey % 4 < 2 then 0 else 1 end::double as citation_accuracy from customer",
     "k1_profile": profile_sql([("p_partkey", "INTEGER"), ("p_name", "TEXT"), ("p_brand", "TEXT"), ("p_type", "TEXT"), ("p_size", "INTEGER"), ("p_retailprice", "REAL")], "part"),

@@ -72,6 +72,19 @@ def l11_report(spark, sf_dir):
     return rounded(L.report(L.scored(samples(spark, sf_dir), (5,))).drop("query_type"), "samples")
 
 
+def l11_totals(spark, sf_dir):
+    """The whole report; what models and clocks would say is made from the items' numbers, a fifth of the answers are errors."""
+    i = F.col("sample_id")
+    rows = samples(spark, sf_dir).withColumn("before", F.when(i % 2 == 0, F.reverse("retrieved")))
+    made = L.scored(rows, (5, 10)).join(rows.select("sample_id", F.size("retrieved").alias("post_count"), L.ndcg(F.col("before"), F.col("truth"), 5).alias("first_ndcg")), "sample_id")
+    made = made.select(
+        *(c for c in made.columns if c != "first_ndcg"), (F.col("ndcg_5") - F.col("first_ndcg")).alias("delta_ndcg"), F.when(i % 5 == 0, "ERROR: no answer").otherwise("an answer").alias("predicted"), (i % 11 > 0).alias("has_texts"),
+        F.lit(10).alias("pre_count"), F.when(i % 4 > 0, (i % 4) / 8).alias("redundancy"), F.when(i % 7 == 0, -1.0).otherwise((i % 3) / 2).alias("citation"), (i % 4 + 1).alias("claims"), (i % 3).alias("intrinsic"), (i % 2).alias("extrinsic"), (i - 3).alias("processing_time_ms"),
+    )
+    out = L.evaluation_report(made)
+    return out.select("samples", *(F.round(c, 6).alias(c) for c in out.columns if c != "samples"))
+
+
 def l14_sql(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     a = F.concat(F.lit("SELECT  *\n FROM "), "p_brand")
@@ -233,7 +246,7 @@ def m12_cleanup(spark, sf_dir):
     return left.select("task_id", "status")
 
 
-QUERIES = {f.__name__: f for f in (l1_scores, l5_citations, l6_delta, l7_drop_rate, l8_redundancy, l9_refusals, l10_timing, l11_report, l14_sql, l15_execution, l17_by_type, m1_usage, m2_usage_stream, m3_tokens, m4_quota, m5_daily_stream, m6_live, m7_namespaces, m8_keys, m9_latest, m10_drain, m11_support_stream, m11_key_table, m12_cleanup, m13_ingest)}
+QUERIES = {f.__name__: f for f in (l1_scores, l5_citations, l6_delta, l7_drop_rate, l8_redundancy, l9_refusals, l10_timing, l11_report, l11_totals, l14_sql, l15_execution, l17_by_type, m1_usage, m2_usage_stream, m3_tokens, m4_quota, m5_daily_stream, m6_live, m7_namespaces, m8_keys, m9_latest, m10_drain, m11_support_stream, m11_key_table, m12_cleanup, m13_ingest)}
 
 SCORED = f"""{R.search_sql(10)},
 sa as (select item_id as sample_id, case when item_id % 2 = 0 then 'simple_fact' else 'multi_hop' end as query_type, coalesce((select list(chunk_id order by rank) from bm where query_id = item_id), []) as retrieved,
@@ -270,6 +283,13 @@ SQL = {
     "l9_refusals": "select role, round(avg(case when turn % 2 = 0 then (turn % 4 = 0)::int end), 6) as rate from conversations group by 1",
     "l10_timing": "select event_type, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1",
     "l11_report": f"with {SCORED} select {report_sql('')}",
+    "l11_totals": f"""with {SCORED}, b as (select *, case when sample_id % 2 = 0 then list_reverse(retrieved) end as before from sa),
+m as (select sample_id as i, {metrics_sql([5, 10])}, {ndcg_sql('retrieved', 5)} - case when before is not null then {ndcg_sql('before', 5)} end as delta, len(retrieved) as post, sample_id % 5 > 0 and sample_id % 11 > 0 as judged from b),
+c as (select coalesce(sum(i % 4 + 1) filter (judged), 0) as claims from m)
+select count(*) as samples, round(coalesce(avg(recall_5), 0), 6) as recall_5, round(coalesce(avg(recall_10), 0), 6) as recall_10, round(avg(case when i % 7 > 0 then (i % 3) / 2 end), 6) as citation, round(avg(case when i % 4 > 0 then (i % 4) / 8 end), 6) as redundancy,
+  round(avg(precision_5), 6) as precision_5, round(avg(precision_10), 6) as precision_10, round(avg(ndcg_5), 6) as ndcg_5, round(avg(mrr), 6) as mrr, round(avg(delta) filter (delta >= 0), 6) as delta_ndcg, round(avg(1 - post / 10), 6) as filter_drop_rate,
+  round(count(*) filter (judged and i % 3 > 0) / count(*), 6) as intrinsic_rate, round(count(*) filter (judged and i % 2 > 0) / count(*), 6) as extrinsic_rate, round(sum(i % 3) filter (judged) / any_value(claims), 6) as intrinsic_score, round(sum(i % 2) filter (judged) / any_value(claims), 6) as extrinsic_score,
+  round(avg(i - 3) filter (i > 3), 6) as timing_mean, {', '.join(f'round(quantile_cont((i - 3)::double, {q / 100}) filter (i > 3), 6) as timing_p{q}' for q in (50, 95, 99))} from m, c""",
     "l14_sql": "select p_partkey, case when p_partkey % 2 = 0 then 1.0::double end as score from part",
     "l15_execution": "select p_partkey, round(0.3::double + case when p_partkey % 2 = 0 then 0.2 else 0 end + 0.5 / 3, 6) as score from part",
     "l17_by_type": f"with {SCORED} select coalesce(query_type, 'all') as query_type, {report_sql('group by rollup (query_type)')}",
