@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql.types import StringType
 
 from millrace.functions.splitter import splitter
+from millrace.functions.words import parts
 from millrace.params import DEFAULT, Params
 from millrace.sources.scratch import stored
 
@@ -89,8 +90,9 @@ def unescape(texts: pd.Series) -> pd.Series:
 
 
 def tokens(text: Column, params: Params = DEFAULT) -> Column:
-    """Lower-case words without stop words; repeats stay."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))
+    """Lower-case words without stop words; repeats stay. With ``params.segment``, runs of letters of scripts without spaces are
+    cut into words; else they are words themselves."""
+    words = params.segment(parts(text)) if params.segment else F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))
     return F.filter(words, lambda w: ~w.isin(list(params.stop_words)))
 
 

@@ -1,5 +1,6 @@
 """Defaults of the retrieval jobs; pass another Params to change them."""
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
@@ -26,6 +27,8 @@ class Params:
     paths_per_seed: int = 50
     sql_rows: int = 500
     sql_seconds: float = 5.0
+    #: Cuts runs of letters into words, as ``functions.words.segmenter`` makes it.
+    segment: Callable | None = None
     #: Common words that carry no topic, in the four languages of the test corpus.
     stop_words: tuple = field(default=tuple("the of and to in is on that it was with as for at by this an be are from und der die das den ist de la le les et en el los las que y un une".split()))
 

@@ -1,7 +1,10 @@
 """Queries of the text operators. Documents have no headings, so every fifth line is made one, alike in Spark and SQL."""
 
+from dataclasses import replace
+
 import pyspark.sql.functions as F
 
+from millrace.functions import words as W
 from millrace.functions.encoding import repair
 from millrace.functions.splitter import splitter
 from millrace.operators import text as T
@@ -146,11 +149,22 @@ def b15_tokens(spark, sf_dir):
     return docs.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"), F.size(T.bigrams(F.col("text"))).alias("n_bigrams"))
 
 
+def b15_segmented(spark, sf_dir):
+    """The documents in a script without spaces: a letter of theirs is a sign, and what stands between words is left out. The
+    dictionary is learned from all of them."""
+    signs = "".join(chr(0x4E00 + 37 * i) for i in range(26))
+    text = F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", signs), r"[^\p{L}\p{N}\n]+", "")
+    docs = documents(spark, sf_dir).select("doc_id", text.alias("text"))
+    params = replace(DEFAULT, segment=W.segmenter(W.learned(docs, 20)))
+    words = docs.select("doc_id", T.tokens(F.col("text"), params).alias("t"))
+    return words.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
 def b16_tags(spark, sf_dir):
     return T.keywords(documents(spark, sf_dir)).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (b1_sections, b2_split, b3_prefixed, b4_chapters, b5_chunk_ids, b6_markdown_tables, b7_html_tables, b8_merged_tables, b9_table_chunks, b10_filled, b11_clean, b12_hashes, b13_merge, b14_dedup, b15_tokens, b16_tags)}
+QUERIES = {f.__name__: f for f in (b1_sections, b2_split, b3_prefixed, b4_chapters, b5_chunk_ids, b6_markdown_tables, b7_html_tables, b8_merged_tables, b9_table_chunks, b10_filled, b11_clean, b12_hashes, b13_merge, b14_dedup, b15_tokens, b15_segmented, b16_tags)}
 
 SQL = {
     "b1_sections": f"with {LINES} select doc_id, sec_no, level, heading, array_to_string(heading_path, ' > ') as path, md5(text) as text_md5 from secs",

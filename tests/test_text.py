@@ -78,3 +78,50 @@ def test_sound_texts_stay_and_misread_ones_come_back(spark):
     assert repaired(long) == "café " * 20_000 + "é"
     df = spark.createDataFrame([(t.encode().decode("latin-1"),) for t in SOUND[2:6]] + [(None,)], "t string")
     assert {r[0] for r in df.select(repair("t")).collect()} == {*SOUND[2:6], None}
+
+
+def every_path(run, longest):
+    if not run:
+        return [[]]
+    return [[run[:k], *rest] for k in range(1, min(longest, len(run)) + 1) for rest in every_path(run[k:], longest)]
+
+
+def test_words_are_the_best_path_of_all(spark):
+    import random
+
+    from millrace.functions import words as W
+
+    rnd = random.Random(6)
+    letters = "日月山川水火"
+    for _ in range(60):
+        counts = {c: rnd.randrange(1, 50) for c in letters[:5]} | {"".join(rnd.choices(letters, k=rnd.randrange(2, 5))): rnd.randrange(1, 30) for _ in range(12)}
+        weights = W.weights_of(counts)
+        unknown = min(weights.values()) - W.SCALE
+        for _ in range(10):
+            run = "".join(rnd.choices(letters, k=rnd.randrange(1, 11)))
+            paths = [p for p in every_path(run, W.LONGEST) if all(w in weights or len(w) == 1 for w in p)]
+            score = lambda p: sum(weights.get(w, unknown) for w in p)  # noqa: E731, B023
+            most = max(map(score, paths))
+            assert W.best_path(run, weights, unknown) == max((p for p in paths if score(p) == most), key=lambda p: [len(w) for w in p])
+
+
+def test_a_learned_dictionary_cuts_and_finds(spark, tmp_path):
+    import random
+    from dataclasses import replace
+
+    from millrace.functions import words as W
+    from millrace.operators import segments as S
+    from millrace.params import DEFAULT
+
+    rnd = random.Random(1)
+    words = ["机器", "学习", "数据库", "模型", "图书馆", "ภาษา", "ไทย", "ひらがな", "語"]
+    rows = [(i, i, "".join(rnd.choices(words, k=12)) + (" Spark 4 の" if i % 2 else "。")) for i in range(300)] + [(900, 900, "plain words"), (901, 901, None), (902, 902, "")]
+    texts = spark.createDataFrame(rows, "chunk_id long, doc_id long, text string")
+    params = replace(DEFAULT, segment=W.segmenter(W.learned(texts)))
+    cut = {r.chunk_id: r.t for r in texts.select("chunk_id", T.tokens(F.col("text"), params).alias("t")).collect()}
+    right = sum(len(set(cut[i]) & set(words)) for i in range(300)) / sum(len(set(cut[i])) for i in range(300))
+    assert right > 0.9 and cut[1][-3:] == ["spark", "4", "の"] and cut[900] == ["plain", "words"] and cut[901] is None and cut[902] == []
+    store = S.create(texts.filter("chunk_id < 20 or chunk_id >= 900").unionByName(spark.createDataFrame([(50, 50, "我的图书馆很大")], texts.schema)), str(tmp_path / "s"), params, buckets=1)
+    asked = spark.createDataFrame([(1, "图书馆很大"), (2, "words")], "query_id long, query string")
+    best = {r.query_id: r.chunk_id for r in S.search(store, asked, 1, params).collect()}
+    assert best == {1: 50, 2: 900}
