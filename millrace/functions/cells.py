@@ -67,11 +67,11 @@ def coded(shared):
 
 def build(vectors: DataFrame, path: str, cells: int | None = None) -> Cells:
     """vectors: (id, vector). Every vector that isn't null is indexed; cells and their centres come from a sample, by default a
-    cell for eight vectors and MOST_CELLS at most. A cell is dealt out to as many files as its size asks for."""
+    cell for four of its vectors and MOST_CELLS at most. A cell is dealt out to as many files as its size asks for."""
     spark = vectors.sparkSession
     rows = vectors.filter("vector is not null").select(F.col("id").cast("long").alias("id"), "vector")
     n = rows.count()
-    centres = centres_of(rows, n, cells or int(np.clip(min(n, SAMPLE) // 8, 1, MOST_CELLS)))
+    centres = centres_of(rows, n, cells or int(np.clip(min(n, SAMPLE) // 4, 1, MOST_CELLS)))
     kind = rows.schema["vector"].dataType.simpleString()
     made = stored(rows.mapInPandas(coded(spark.sparkContext.broadcast(centres)), f"cell int, id bigint, vector {kind}, code binary, scale double, error double"), "coded")
     sizes = np.zeros(len(centres), np.int64)
@@ -165,7 +165,7 @@ def search(cells: Cells, queries: DataFrame, k: int, probes: int | None = None,
     return functools.reduce(DataFrame.unionByName, out) if out else ranked(spark.createDataFrame([], schema), k)
 
 
-def probes_for(cells: Cells, k: int, recall: float = 0.95, sample: int = 256) -> int:
+def probes_for(cells: Cells, k: int, recall: float = 0.93, sample: int = 256) -> int:
     """The least number of probes with which sampled vectors find that share of their k nearest others."""
     n, seen = int(cells.sizes.sum()), dict(cells.seen)
     rows = cells.vectors.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1, sample / max(n, 1))))

@@ -118,7 +118,7 @@ def e3_inverted_file(spark, sf_dir):
 
 
 def e3_probed(spark, sf_dir):
-    """As many cells probed as sampled vectors need for a recall of 0.95."""
+    """As many cells probed as sampled vectors need for a recall of 0.93."""
     own = cells(spark, sf_dir)
     return shown(C.search(own, dense_queries(spark, sf_dir), 10, C.probes_for(own, 10)).withColumnRenamed("id", "chunk_id"))
 
