@@ -117,7 +117,7 @@ def m1_usage(spark, sf_dir):
 
 def run_stream(spark, stream, mode="update", name="out", batch=None):
     """Run a stream to the end of its input and give its output table."""
-    from millrace.plans.scratch import new_folder
+    from millrace.sources.scratch import new_folder
 
     folder = new_folder(spark, name)
 
