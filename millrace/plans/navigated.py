@@ -136,8 +136,16 @@ r2 as (select fr.query_id, fr.chunk_id, greatest(0, nq.score) as s, row_number()
 ch as (select query_id, count(*) as chunks, string_agg(chunk_id::varchar, ',' order by rk) as chunk_ids from r2 where s >= 0.3 group by 1)
 select qs.query_id, (select count(*) from ix where kind = 'entity' and ix.query_id = qs.query_id) as entities, (select count(*) from ix where kind = 'relation' and ix.query_id = qs.query_id) as relations,
   (select count(*) from pe where pe.query_id = qs.query_id) + (select count(*) from pr where pr.query_id = qs.query_id) as paths, coalesce(chunks, 0) as chunks, coalesce(chunk_ids, '') as chunk_ids from qs left join ch on ch.query_id = qs.query_id"""
+#: Of the query in ``composed``: even nations are seeds; their relevant paths' targets go behind the query.
+I6 = f"""with {G.EDGES}, qs as (select n_nationkey::bigint as query_id, n_name as query from nation), hs as (select query_id, query as seed from qs where query_id % 2 = 0),
+{hops_sql("hs", "hp", 2)}, fl as (select *, bool_or(contains(path, '-[PART_OF]->')) over (partition by query_id) as anyone from hp),
+nm as (select query_id, target as name from fl where contains(path, '-[PART_OF]->') or not anyone union select query_id, seed from hs),
+en as (select query_id as item_id, trim(query || ' ' || coalesce(array_to_string((select list(name order by name) from nm where nm.query_id = qs.query_id)[1:15], ' '), '')) as text from qs),
+nt as (select s_suppkey as doc_id, 'NATION_' || s_nationkey || ' supplier s' || s_suppkey as text from supplier), {R.search_sql(20, source='nt', asked='en')}
+select item_id as query_id, case when item_id % 2 = 0 then 'fallback_graph' else 'fallback_plain' end as path, md5(text) as query_md5, (select count(*) from bm where query_id = item_id) as chunks from en"""
 
 SQL = {
+    "i6_fallback": I6,
     "h8_enriched_hits": H8,
     "i1_index_search": f"with {SEARCHED} select query_id, kind, key as record, rank, round(score, 6) as score from ix",
     "i2_related": f"with {WALKED} select query_id, name from rl",

@@ -178,6 +178,11 @@ SQL = {
     "b10_filled": "select doc_id, '/' || lang || '/' || source as folder, count(*) as chunks from (select doc_id, lang, source, unnest(string_split(text, chr(10))) as line from documents) where length(trim(line, ' ')) > 0 group by all",
     "b11_clean": r"with c as (select doc_id, trim(lower(regexp_replace(regexp_replace(regexp_replace('  ' || chr(8203) || 'X' || chr(9) || ' y' || chr(10) || chr(10) || chr(10) || nfc_normalize(text) || chr(65279) || ' ' || chr(10), '[\x{2000}-\x{200d}\x{feff}]', '', 'g'), '[ \t\r\f\v]+', ' ', 'g'), '\n{2,}', chr(10), 'g')), ' ') as c from documents) select doc_id, md5(c) as clean_md5, length(c)::int as chars from c",
     "b12_hashes": "select doc_id, left(sha256(doc_id || chr(31) || text), 32) as chunk_hash, left(sha256(text), 32) as doc_hash from documents",
+    "b13_merge": """with recursive r as (select conv_id as doc_id, row_number() over (partition by conv_id order by turn) as n, conv_id || '_' || turn as chunk_id, case when turn % 3 = 0 then role end as heading, length(text) as len, case when role = 'user' then 'text' else 'table' end as type from conversations),
+g as (select doc_id, n, 0 as ord, chunk_id, heading, len, type, chunk_id as merged from r where n = 1 union all
+  select doc_id, n, case when j then o else o + 1 end, case when j then c || '+' else chunk_id end, case when j then h else heading end, case when j then l + 2 + len else len end, case when j then t else type end, case when j then m || ',' || chunk_id else chunk_id end
+  from (select r.*, g.ord as o, g.chunk_id as c, g.heading as h, g.len as l, g.type as t, g.merged as m, coalesce((g.type <> r.type or coalesce(r.heading, '') = '' or g.heading = r.heading) and g.len + r.len <= 512, false) as j from g join r on r.doc_id = g.doc_id and r.n = g.n + 1))
+select doc_id, ord::int as ord, chunk_id, merged, len::int as chars from g qualify row_number() over (partition by doc_id, ord order by n desc) = 1""",
     "b14_dedup": "select min(doc_id) as doc_id from documents group by left(text, 500)",
     "b15_tokens": f"with t as (select doc_id, text, {TOKENS} as t from documents) select doc_id, len(t)::int as n_tokens, md5(array_to_string(t, ' ')) as tokens_md5, greatest(length(text) - 1, 1)::int as n_bigrams from t",
     "b16_tags": f"with d as (select doc_id, text from documents where length(trim(text, ' ')) >= 20), t as (select doc_id, term, count(*) as tf from (select doc_id, unnest({TOKENS}) as term from d) group by all), i as (select term, count(*) as df from t group by 1), s as (select doc_id, term, round(tf * ln((select count(*) from d) / df), 6) as score from t join i using (term)), r as (select *, row_number() over (partition by doc_id order by score desc, term) as rn from s) select doc_id, string_agg(term, ',' order by rn) as tags from r where rn <= 5 group by 1",
