@@ -111,7 +111,7 @@ def pieces_of(text):
 def able_to_reach(weights: DataFrame, threshold: float):
     """Tests of texts and of pieces: can a piece (of the text) have the cosine? By Cauchy and Schwarz a piece's cosine is at most
     the root of the shared terms' squared weights. A template's lightest terms don't reach it all together, so one of its others
-    must be there, or its version if it has one; that is tested for each template before the sum. A piece's own vector has a part outside the templates' words, which have the largest weight there, and only
+    must be there, or its version if it has one; that is tested first, and only templates of such terms are summed. A piece's own vector has a part outside the templates' words, which have the largest weight there, and only
     the rest of its length counts; that is tested first. Terms are found once a text, so they are bound by lambdas."""
     held: dict[int, dict[str, float]] = {}
     versions: dict[int, set[str]] = {}
@@ -133,8 +133,12 @@ def able_to_reach(weights: DataFrame, threshold: float):
 
     every = F.array(*map(F.lit, sorted({t for own in held.values() for t in own})))
     by_term = lambda values: F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
-    heavy = F.array(*map(F.lit, sorted({t for k in held for t in heavy_of(k)})))
-    shares = F.array(*(F.struct(F.array(*map(F.lit, heavy_of(k))).alias("heavy"), by_term(own).alias("squares")) for k, own in held.items()))
+    by_heavy: dict[str, list[dict[str, float]]] = {}
+    for k, own in held.items():
+        for term in heavy_of(k):
+            by_heavy.setdefault(term, []).append(own)
+    heavy = F.array(*map(F.lit, sorted(by_heavy)))
+    squares_of = F.create_map(*(x for term, owns in sorted(by_heavy.items()) for x in (F.lit(term), F.array(*map(by_term, owns)))))
     mass = lambda own, known: F.aggregate(known, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(own, t), F.lit(0.0)))
 
     def inside(words, known):
@@ -147,9 +151,10 @@ def able_to_reach(weights: DataFrame, threshold: float):
 
     def test(share):
         def able(text):
-            reached = lambda known, part: (part >= threshold**2 - 1e-6) & F.arrays_overlap(known, heavy) & F.exists(shares, lambda own: F.arrays_overlap(known, own["heavy"]) & (mass(own["squares"], known) * part >= threshold**2 - 1e-6))
-            enough = lambda words, known: (F.size(known) > 1) & F.exists(F.array(share(words, known)), lambda part: reached(known, part))
-            return F.exists(F.array(terms(text)), lambda words: F.exists(F.array(F.array_intersect(words, every)), lambda known: enough(words, known)))
+            reached = lambda known, part: F.exists(F.array_intersect(known, heavy), lambda t: F.exists(F.try_element_at(squares_of, t), lambda own: mass(own, known) * part >= threshold**2 - 1e-6))
+            enough = lambda words, known: (F.size(known) > 1) & F.exists(F.array(share(words, known)), lambda part: (part >= threshold**2 - 1e-6) & reached(known, part))
+            known_enough = lambda words: F.exists(F.array(F.array_intersect(words, every)), lambda known: enough(words, known))
+            return F.exists(F.array(terms(text)), lambda words: F.arrays_overlap(words, heavy) & known_enough(words))
 
         return able
 
