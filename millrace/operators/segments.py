@@ -30,6 +30,8 @@ BUCKET_ROWS, MOST_BUCKETS = 1 << 20, 1024
 MERGED, TIMES, FILE_ROWS = 4, 8, 2_000_000
 #: Candidates that are sent to the tasks at most; more are joined by shuffle.
 SENT = 1 << 18
+#: Postings of a block of queries that are read at once, for finding out what to leave would cost more.
+AT_ONCE = 4_000_000
 POSTINGS = "term string, chunk_id {chunk}, doc_id {doc}, length int, tf bigint, level int, segment string, bucket int"
 TERMS = "term string, level int, df bigint, max_tf bigint, min_length int, segment string, bucket int"
 GONE = "chunk_id {chunk}, doc_id {doc}, length int, segment string"
@@ -306,7 +308,7 @@ def search(store: Store, queries: DataFrame, k: int, params: Params = DEFAULT, d
         where = {r.term: r.bucket for r in words}
         summed = lambda rows: rows.groupBy("query_id", "chunk_id", "doc_id").agg(F.sum("part").alias("score"))
         theta: dict = {}
-        if all(w >= 0 for terms in asked.values() for w in terms.values()):
+        if sum(n for t in weight for _, n in bounds[t].values()) > AT_ONCE and all(w >= 0 for terms in asked.values() for w in terms.values()):
             order = Window.partitionBy("query_id").orderBy(F.desc("score"))
             sure = summed(scored(_plan(asked, bounds, None, k).first)).withColumn("n", F.row_number().over(order)).filter(F.col("n") == k)
             theta = {r.query_id: r.score - 1e-6 for r in sure.collect()}  # a row per query of the block

@@ -56,8 +56,9 @@ def test_adding_writes_what_is_new(spark, tmp_path):
     assert contents(store) == contents(S.create(whole, str(tmp_path / "anew"), buckets=1))
 
 
-@pytest.mark.parametrize("k", [1, 500])
-def test_search_equals_a_full_sum(spark, tmp_path, k):
+@pytest.mark.parametrize(("k", "at_once"), [(1, 0), (500, 0), (5, S.AT_ONCE)])
+def test_search_equals_a_full_sum(spark, tmp_path, monkeypatch, k, at_once):
+    monkeypatch.setattr(S, "AT_ONCE", at_once)
     chunks = texts(spark, 4, range(1500), 60)
     store = S.create(chunks.filter("chunk_id < 900"), str(tmp_path / "s"), buckets=2)
     store = S.add(S.remove(store, spark.createDataFrame([(7,), (8,)], "doc_id long")), chunks.filter("chunk_id >= 900"))
