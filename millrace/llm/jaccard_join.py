@@ -14,7 +14,9 @@
    that could join two components is left out.
 5. Pairs pass length, positional and suffix filters and are verified once.
 
-What a task holds at once is bounded by the number of parts, which grows with the shingles counted in the first pass.
+What a task holds at once is a cell of about PART shingles, whatever the size of the input: cells grow in number with the
+shingles counted in the first pass. Up to WIDTH cells are shuffle partitions of their own. Beyond, a partition has several
+cells, which it brings together by a local sort (that can spill) and handles one after the other.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ COMMON = 50_000
 SLOTS = 8
 DEAL = 500_000
 PART = 2_000_000
+WIDTH = 20_000
 ROUNDS = 12
 CENTRES = 8
 FIRST = "row_key bigint, doc_id bigint, node bigint, twin bigint, n bigint, shingle bigint, held bigint"
@@ -133,6 +136,85 @@ def deal(parts: int, shared):
     return run
 
 
+def by_cell(cell: np.ndarray, nodes: np.ndarray, values: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+    """(cell, nodes, values, places among these nodes) of each cell; at are places among all nodes."""
+    order = np.argsort(cell, kind="stable")
+    cell, values, at = cell[order], values[order], at[order]
+    cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        used, local = np.unique(at[lo:hi], return_inverse=True)
+        yield int(cell[lo]), nodes[used], values[lo:hi], local
+
+
+def batched(rows: Iterator[tuple], most: int) -> Iterator[tuple]:
+    """(nodes, values, places) of rows of arrays (nodes, values, places), some of them together, of about ``most`` nodes or values."""
+    held, size = [], 0
+    for row in rows:
+        grows = max(len(row[0]), len(row[1]))
+        if held and size + grows > most:
+            yield joined(held)
+            held, size = [], 0
+        held.append(row)
+        size += grows
+    if held:
+        yield joined(held)
+
+
+def joined(rows: list[tuple]) -> tuple:
+    shift = np.cumsum([0, *(len(nodes) for nodes, _, _ in rows)])
+    nodes, same = np.unique(np.concatenate([nodes for nodes, _, _ in rows]), return_inverse=True)
+    return nodes, np.concatenate([v for _, v, _ in rows]), np.concatenate([same[at.astype(np.int64) + base] for (_, _, at), base in zip(rows, shift, strict=False)])
+
+
+def cells_of_parts(width: int, cells: int):
+    """Rows of a part as rows of its cells, under their numbers: cell c of part p is c + p * cells. Common rows have no cell."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "common", "nodes", "packed"])
+
+        for batch in batches:
+            rows, plain = [], []
+            for part, common, nodes, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if common:
+                    rows.append((part * cells, True, nodes, packed))
+                else:
+                    v = unpack(packed)
+                    plain.append((part, unpack(nodes, _NODE), v >> np.uint64(16), v & np.uint64(LAST)))
+            for part in sorted({row[0] for row in plain}):
+                for nodes, value, at in batched((row[1:] for row in plain if row[0] == part), 60_000):
+                    for cell, own, v, local in by_cell((value.view(np.int64) // width) % cells, nodes, value, at):
+                        rows.append((part * cells + cell, False, planes(own), planes((v << np.uint64(16)) | local.astype(np.uint64))))
+            if rows:
+                yield out(rows)
+
+    return run
+
+
+def cells_of_buckets(width: int, cells: int):
+    """The same for the way back, where cells are ranges of nodes."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, plain = [], []
+            for bucket, nodes, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                entries = unpack(packed, _BACK)
+                plain.append((bucket, unpack(nodes, _NODE), entries, entries["at"]))
+            for bucket in sorted({row[0] for row in plain}):
+                for nodes, entries, at in batched((row[1:] for row in plain if row[0] == bucket), DEAL):
+                    for cell, own, some, local in by_cell(((nodes["node"][at] >> 7) // width) % cells, nodes, entries, at):
+                        some["at"] = local
+                        rows.append((bucket * cells + cell, planes(own), planes(some)))
+            if rows:
+                kinds = [pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "nodes", "packed"])
+
+    return run
+
+
 def planes(values: np.ndarray) -> bytes:
     """First bytes of all values, then second bytes and so on, which compresses where high bytes agree."""
     return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
@@ -375,12 +457,19 @@ def node_links(df: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
     twins = rows.groupBy("node").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).filter("a != b").select("node")
     twins = frozenset(r.node for r in twins.collect())  # chance alone makes them: some tens among 10**11 sets
     rows = rows.select("row_key", "doc_id", F.when(F.col("node").isin(*twins), F.col("twin")).otherwise(F.col("node")).alias("node") if twins else "node", "n")
-    width = max(shuffle_width(spark), -(-(rows.agg(F.sum("n")).first()[0] or 0) // PART))
+    least = shuffle_width(spark)
+    total = max(least, -(-(rows.agg(F.sum("n")).first()[0] or 0) // PART))
+    width = min(total, max(least, WIDTH))
+    cells = -(-total // width)
     common = first.filter("n is null").groupBy("shingle").agg(F.sum("held").alias("held")).orderBy(F.desc("held"), "shingle").limit(COMMON)
     common = np.sort(np.array([r.shingle for r in common.collect()], np.int64).view(np.uint64))  # at most COMMON
-    dealt = df.mapInArrow(deal(width, spark.sparkContext.broadcast((common, twins))), DEALT).repartitionById(width, "part").sortWithinPartitions("part")
-    back = dealt.mapInArrow(count_parts(width), BACK).repartitionById(width, "bucket").sortWithinPartitions("bucket")
-    sets = materialize(back.mapInArrow(gather_nodes(percent), SETS), "sets")
+    dealt = df.mapInArrow(deal(width, spark.sparkContext.broadcast((common, twins))), DEALT).repartitionById(width, "part")
+    if cells > 1:
+        dealt = dealt.sortWithinPartitions("part").mapInArrow(cells_of_parts(width, cells), DEALT)
+    back = dealt.sortWithinPartitions("part").mapInArrow(count_parts(width), BACK).repartitionById(width, "bucket")
+    if cells > 1:
+        back = back.sortWithinPartitions("bucket").mapInArrow(cells_of_buckets(width, cells), BACK)
+    sets = materialize(back.sortWithinPartitions("bucket").mapInArrow(gather_nodes(percent), SETS), "sets")
     prefix = sets.mapInArrow(prefixes(percent), "shingle bigint, node bigint, n bigint, pos bigint, own bigint")
     prefix = materialize(prefix, "prefixes")
 

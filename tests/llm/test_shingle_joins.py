@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from millrace.llm import hashing as H
+from millrace.llm import jaccard_join as J
 from millrace.llm.decontaminate import contaminated, without_items
 from millrace.llm.jaccard_join import near_duplicates, node_links
 
@@ -75,6 +76,47 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cells_within_a_partition_change_nothing(spark, monkeypatch):
+    rnd = random.Random(18)
+    base = [[f"c{rnd.randrange(900)}" for _ in range(n)] for n in (12, 60, 300)]
+    rows = []
+    for i in range(200):
+        text = list(rnd.choice(base))
+        for _ in range(rnd.randrange(0, 1 + len(text) // 20)):
+            text[rnd.randrange(len(text))] = f"c{rnd.randrange(900)}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(J, "PART", 300)
+    monkeypatch.setattr(J, "WIDTH", 3)
+    monkeypatch.setattr(J, "shuffle_width", lambda spark: 3)
+    assert sorted(tuple(r) for r in near_duplicates(df).collect()) == sorted(components(rows))
+
+
+def test_cells_hold_as_much_at_ten_times_the_shingles():
+    rnd = np.random.default_rng(6)
+    largest = {}
+    for times in (1, 10):
+        nodes = np.array([(int(k), 100) for k in rnd.integers(-(2**62), 2**62, 400 * times)], J._NODE)
+        value = np.unique(rnd.integers(0, 2**J.BITS, 40_000 * times, dtype=np.uint64))
+        at, cells, width = rnd.integers(0, len(nodes), len(value)), 4 * times, 7
+        whole = {}
+        for part in range(width):
+            batches = []
+            mine = np.flatnonzero(value.view(np.int64) % width == part)
+            for some in np.array_split(mine, 5 * times):
+                used, local = np.unique(at[some], return_inverse=True)
+                packed = J.planes((value[some] << np.uint64(16)) | local.astype(np.uint64))
+                batches.append(pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([False]), pa.array([J.planes(nodes[used])], pa.binary()), pa.array([packed], pa.binary())], ["part", "common", "nodes", "packed"]))
+            for batch in J.cells_of_parts(width, cells)(iter(batches)):
+                for cell, _, own, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own, packed = J.unpack(own, J._NODE), J.unpack(packed)
+                    assert cell // cells == part
+                    whole.setdefault(cell, []).extend(zip((packed >> np.uint64(16)).tolist(), own["node"][(packed & np.uint64(J.LAST)).astype(int)].tolist(), strict=True))
+        largest[times] = max(map(len, whole.values()))
+        assert sorted(x for rows in whole.values() for x in rows) == sorted(zip(value.tolist(), nodes["node"][at].tolist(), strict=True))
+    assert largest[10] < 1.2 * largest[1]
+
+
 def test_a_large_group_costs_one_pair_per_member(spark):
     rnd = random.Random(2)
     base = [f"b{i}" for i in range(120)]
