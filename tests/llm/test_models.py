@@ -64,6 +64,46 @@ def test_words_match_the_pattern(monkeypatch):
         assert "".join(found) == "".join(want) and len(found) >= len(want)
 
 
+def bucket(gram):
+    """The hash bucket of one n-gram of 1 to 3 letters or word ends, in plain integers."""
+    x = ord(gram[0]) * 0x9E3779B1 % 2**32
+    for c, times, plus in zip(gram[1:], (0x85EBCA77, 0xC2B2AE3D), (0x27D4EB2F, 0x165667B1)):
+        x ^= (ord(c) * times + plus) % 2**32
+    return ((x ^ x >> 15) * 0x2C1B3C6D % 2**32) >> (32 - L.BITS)
+
+
+def grams_of(word):
+    ends = "<" + word.lower() + ">"
+    return [bucket(ends[i : i + n]) for n in (1, 2, 3) for i in range(len(ends) - n + 1)]
+
+
+def script_of(word):
+    return [name for first, name in L.SCRIPTS if first <= ord(word[0])][-1]
+
+
+def test_word_scores_against_plain_python(spark):
+    rows = [(r.text, r.lang) for r in labelled(spark).collect() if r.text and r.lang]
+    langs = sorted({lang for _, lang in rows})
+    seen, written = {k: defaultdict(int) for k in langs}, {k: defaultdict(int) for k in langs}
+    for text, lang in rows:
+        for word in L.WORD.findall(text):
+            written[lang][script_of(word)] += 1
+            for g in grams_of(word):
+                seen[lang][g] += 1
+    total = {k: sum(seen[k].values()) for k in langs}
+    texts = ["the Hund und KATZE, собака дома", "", "x 12 中文 house_of Ελλάδα", "supercalifragilistic " * 3]
+    want = []
+    for word in L.WORD.findall("\n".join(texts)):
+        able = [k for k in langs if written[k][script_of(word)] >= max(0.01 * sum(written[k].values()), 1)]
+        logp = {k: sum(np.log((seen[k][g] + 0.2) / (total[k] + 0.2 * L.BUCKETS)) for g in grams_of(word)) for k in able}
+        want.append([max(logp[k] - max(logp.values()), -L.MOST) if k in able else -L.MOST if able else 0 for k in langs])
+    model = L.fit(labelled(spark))
+    got, places, sizes = model.scores(texts)
+    assert model.langs == langs and got.shape == (len(want), len(langs))
+    assert np.allclose(got, want, atol=1e-3)
+    assert ["".join(texts)[a : a + n] for a, n in zip(places, sizes)] == L.WORD.findall("\n".join(texts))
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = L.query(spark, SMALL).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
