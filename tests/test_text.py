@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pyspark.sql.functions as F
 
 from millrace.functions.splitter import split_text
@@ -126,3 +127,30 @@ def test_a_learned_dictionary_cuts_and_finds(spark, tmp_path):
     asked = spark.createDataFrame([(1, "图书馆很大"), (2, "words")], "query_id long, query string")
     best = {r.query_id: r.chunk_id for r in S.search(store, asked, 1, params).collect()}
     assert best == {1: 50, 2: 900}
+
+
+def test_many_runs_are_cut_as_one_by_one_and_counted_once(spark, monkeypatch):
+    from collections import Counter
+
+    from millrace.functions import words as W
+
+    rnd = random.Random(3)
+    letters = [chr(0x4E00 + 37 * i) for i in range(6)] + ["ก", "ぁ"]
+    runs = ["".join(rnd.choices(letters, k=rnd.choice([1, 2, 3, 4, 5, 30, 700]))) for _ in range(60)] + ["龟", letters[0] * 3000]
+    counts = Counter(run[i : i + k] for run in runs for k in range(1, 5) for i in range(len(run) - k + 1))
+    kept = {w: n for w, n in counts.items() if len(w) == 1 or rnd.random() < 0.3}
+    del kept["龟"]
+    weights = W.weights_of(kept)
+    unknown = min(weights.values()) - W.SCALE
+    for few in (0, 8, 100):
+        monkeypatch.setattr(W, "FEW", few)
+        assert W.best_paths(runs, W.hashed(weights), unknown) == [W.best_path(run, weights, unknown) for run in runs]
+    monkeypatch.setattr(W, "AT_ONCE", 100)
+    monkeypatch.setattr(W, "COUNTED", 50)
+    found = Counter()
+    for rows in W.counted(iter([pd.DataFrame({"run": runs[:30]}), pd.DataFrame({"run": runs[30:]})])):
+        found.update(dict(zip(W.word_of.func(rows["key"]), rows["n"], strict=True)))
+    assert set(W.word_of.func(pd.Series([k for k in [int.from_bytes("机器".encode("utf-16-be"), "big")]]))) == {"机器"} and found == counts
+    made = W.learned(spark.createDataFrame([(x,) for x in runs], "text string"), 1)
+    assert {r.word: r.n for r in made.collect() if len(r.word) == 1} == {w: n for w, n in counts.items() if len(w) == 1}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 0  # texts are read once
