@@ -36,6 +36,16 @@ def counted(chunks: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return exploded.groupBy("chunk_id", "doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
+def counted_words(chunks: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """chunks: (chunk_id, doc_id, text). (chunk_id, doc_id, length, words): each row's words and their counts, from the places
+    where a word begins in the sorted list. Nothing is shuffled or held but a row."""
+    rows = chunks.select("chunk_id", "doc_id", F.sort_array(tokens(F.col("text"), params)).alias("t")).withColumn("n", F.coalesce(F.size("t"), F.lit(0)))
+    starts = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) | (F.get("t", i - 1) != F.get("t", i - 2)))
+    rows = rows.select("chunk_id", "doc_id", F.greatest(F.col("n"), F.lit(0)).alias("length"), "t", F.when(F.col("n") > 0, starts).alias("s"))
+    ends = F.concat(F.slice("s", 2, F.size("s")), F.array(F.col("length") + 1))
+    return rows.select("chunk_id", "doc_id", "length", F.zip_with("s", ends, lambda a, b: F.struct(F.get("t", a - 1).alias("term"), (b - a).cast("bigint").alias("tf"))).alias("words"))
+
+
 def postings(chunks: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return posts_of(counted(chunks, params))
 

@@ -99,3 +99,38 @@ def test_what_no_manifest_names_does_not_count(spark, tmp_path):
         S.open_store(spark, str(tmp_path / "nothing"))
     none = S.create(texts(spark, 9, []), str(tmp_path / "none"))
     assert S.search(none, spark.createDataFrame([(1, "w1")], "query_id long, query string"), 3).count() == 0 and contents(S.add(none, texts(spark, 7, range(30)))) == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_common_terms_score_whole_chunks(spark, tmp_path, monkeypatch, kind):
+    """Ties, copies, ids of both kinds and null texts."""
+    monkeypatch.setattr(S, "AT_ONCE", 10)
+    monkeypatch.setattr(S, "JOINED", 0.0)
+    chunks = texts(spark, 11, range(600), 40).unionByName(spark.createDataFrame([(i, i, "w0 w1 w2") for i in range(700, 760)] + [(800, 800, None)], "chunk_id long, doc_id long, text string")).withColumn("chunk_id", F.col("chunk_id").cast(kind))
+    store = S.remove(S.add(S.create(chunks.filter("doc_id < 150"), str(tmp_path / "s"), buckets=2), chunks.filter("doc_id >= 150")), spark.createDataFrame([(7,), (703,)], "doc_id long"))
+    rows = L.counted(chunks.filter("doc_id not in (7, 703)"))
+    plain = L.index_of(L.posts_of(rows), L.lengths_of(rows))
+    queries = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=4))) for i in range(40)] + [(90, "w0 w1 w2")], "query_id long, query string")
+    scope = spark.range(0, 900, 2).withColumnRenamed("id", "doc_id")
+    shown = lambda df: [(r.query_id, r.chunk_id, r.doc_id, r.rank, round(r.score, 9)) for r in df.orderBy("query_id", "rank").collect()]
+    want = {more: shown(L.search(plain, queries, 7, doc_ids=more and scope)) for more in (None, True)}
+    whole, runs = S._scored_whole, []
+    monkeypatch.setattr(S, "_scored_whole", lambda *x: runs.append(1) or whole(*x))
+    for more in (None, True):
+        assert shown(S.search(store, queries, 7, doc_ids=more and scope)) == want[more]
+    assert shown(S.search(store, queries, 7, most_queries=10)) == want[None] and len(runs) > 3
+
+
+def test_levels(spark):
+    rows = spark.range(1, 5000).select("id", S.level_of(F.col("id")).alias("level")).collect() + spark.createDataFrame([(x + d,) for x in S.LEVELS[20:] for d in (-1, 0, 1)], "id long").select("id", S.level_of(F.col("id")).alias("level")).collect()
+    assert all(r.level == sum(x <= r.id for x in S.LEVELS) - 1 for r in rows)
+
+
+def test_words_are_counted_in_their_row(spark, tmp_path):
+    chunks = texts(spark, 12, range(50)).unionByName(spark.createDataFrame([(90, 90, None), (91, 91, "  "), (92, 92, "B a b")], "chunk_id long, doc_id long, text string"))
+    want = sorted((r.chunk_id, max(r.length, 0), r.term, r.tf) for r in L.counted(chunks).collect())
+    rows = L.counted_words(chunks)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.chunk_id, r.length, r.term, r.tf) for r in rows.select("chunk_id", "length", F.explode_outer("words").alias("w")).select("chunk_id", "length", "w.*").collect()) == want
+    twice = S.create(chunks.unionByName(chunks), str(tmp_path / "twice"))
+    assert twice.n == 53 and {r.tf for r in twice.postings().filter("chunk_id = 92 and term = 'b'").collect()} == {4}
