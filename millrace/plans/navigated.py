@@ -41,25 +41,26 @@ def questions(spark, sf_dir):
 
 
 def found(spark, sf_dir, asked, evidence):
-    """The ten best entities (query_id, entity_key, name, score, rank) and relations (query_id, text, subject, object, score, rank)."""
+    """The ten best entities (query_id, entity_key, name, score, rank) and relations (query_id, text, subject, object, score, rank),
+    and all relations."""
     encode = V.hashed_encoder()
     entities = E.entity_records(evidence).select("entity_key", encode(F.col("text")).alias("vector"))
-    relations = R.stored(E.relation_records(evidence).select("subject", "object", "text"), "relations")
+    relations = R.stored(E.relation_records(evidence), "relations")
     near = V.top_k_keyed(entities, asked, 10, "entity_key").withColumn("name", F.substring_index("entity_key", ":", -1))
-    links = V.top_k_keyed(relations.select("text", encode(F.col("text")).alias("vector")), asked, 10, "text").join(relations, "text")
-    return R.stored(near, "found-entities"), R.stored(links, "found-relations")
+    links = V.top_k_keyed(relations.select("text", encode(F.col("text")).alias("vector")), asked, 10, "text").join(relations.select("text", "subject", "object"), "text")
+    return R.stored(near, "found-entities"), R.stored(links, "found-relations"), relations
 
 
 def i1_index_search(spark, sf_dir):
-    near, links = found(spark, sf_dir, questions(spark, sf_dir), G.evidence(spark, sf_dir))
+    near, links, _ = found(spark, sf_dir, questions(spark, sf_dir), G.evidence(spark, sf_dir))
     shown = lambda df, kind, key: df.select("query_id", F.lit(kind).alias("kind"), F.col(key).alias("record"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
     return shown(near, "entity", "entity_key").unionByName(shown(links, "relation", "text"))
 
 
 def walked(spark, sf_dir, asked, mode="hybrid"):
     evidence = G.evidence(spark, sf_dir)
-    near, links = found(spark, sf_dir, asked, evidence)
-    edges = E.relation_records(evidence).select(F.concat_ws("|", "subject", "predicate", "object").alias("fact_key"), "subject", "predicate", "object")
+    near, links, relations = found(spark, sf_dir, asked, evidence)
+    edges = relations.select(F.concat_ws("|", "subject", "predicate", "object").alias("fact_key"), "subject", "predicate", "object")
     paths, names = N.navigate(R.stored(edges, "edges"), near, links, mode)
     return near, links, R.stored(paths, "paths"), R.stored(names, "related")
 

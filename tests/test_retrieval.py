@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pyspark.sql.functions as F
 import pytest
 
@@ -142,3 +143,21 @@ def test_ties_go_to_smaller_ids_however_rows_are_batched(spark):
         df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(parts)
         got = V.top_k(df, spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0, 0.0])], "query_id long, vector array<double>"), 5).orderBy("query_id", "rank").collect()
         assert [r.id for r in got] == [1, 3, 5, 7, 9, 0, 2, 4, 6, 8]
+
+
+def test_equal_vectors_are_compared_once(spark):
+    """Of each distinct vector the k first keys are enough, and queries of one vector are asked once."""
+    rows = [(f"k{i:04d}", [float(i % 3), 1.0]) for i in range(3000)] + [(None, [1.0, 1.0]), ("null", None)]
+    records = spark.createDataFrame(rows, "name string, vector array<float>").repartition(5)
+    kept = V.distinct_vectors(records, 4, "name")
+    assert sorted(r.name for r in kept.collect()) == [f"k{i:04d}" for i in range(12)]
+    queries = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(40)], "query_id long, vector array<float>")
+    found = {}
+    for r in V.top_k_keyed(records, queries, 6, "name").orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.name, round(r.score, 9)))
+    for i in range(40):
+        q = np.array([i % 2, 1.0])
+        cosine = lambda v: round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 9)  # noqa: B023, E731
+        assert found[i] == [(n, s) for s, n in sorted((-cosine(np.array(v)), n) for n, v in rows if n and v)[:6] for s in [-s]]
+    small = [*V.first_of_equals(2, "name", 3)(iter([pd.DataFrame({"name": ["b", "c"], "vector": [np.ones(2)] * 2}), pd.DataFrame({"name": ["a"], "vector": [np.ones(2)]})]))]
+    assert [n for part in small for n in part["name"]] == ["a", "b"]
