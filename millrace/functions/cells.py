@@ -21,6 +21,8 @@ from millrace.sources.scratch import stored
 
 #: Vectors that k-means learns from, at most about; vectors of a file; cells at most.
 SAMPLE, FILE_ROWS, MOST_CELLS = 20_000, 1 << 18, 4096
+#: Scores that a task computes at once, and candidates that it holds before it drops those that have been outdone.
+SCORES, HELD = 1 << 20, 1 << 20
 #: What single precision and sums in another order may add to an error.
 SLACK = 2e-6
 
@@ -99,12 +101,13 @@ def scan(shared, k: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q, centres, probed = shared.value
-        near, best, held = q @ centres.T, np.full((len(ids), 0), -np.inf), []
+        near, best, held, n, most = q @ centres.T, np.full((len(ids), 0), -np.inf), [], 0, HELD
+        step = min(4096, max(1, SCORES // max(len(ids), 1)))
         for batch in batches:
             for cell, part in batch.groupby("cell"):
                 own = probed[cell]
-                for at in range(0, len(part), 4096):
-                    rows = part.iloc[at : at + 4096]
+                for at in range(0, len(part), step):
+                    rows = part.iloc[at : at + step]
                     code = np.frombuffer(b"".join(rows["code"]), np.int8).reshape(len(rows), -1).astype(np.float32)
                     score = near[own, cell][:, None] + (q[own].astype(np.float32) @ code.T).astype(float) * rows["scale"].to_numpy()
                     error, key = rows["error"].to_numpy(), rows["id"].to_numpy()
@@ -114,6 +117,12 @@ def scan(shared, k: int):
                     least = best.min(1) if best.shape[1] == k else np.full(len(ids), -np.inf)
                     i, j = np.nonzero(score + error >= least[own][:, None])
                     held.append((own[i], key[j], np.full(len(i), cell), low[own[i], j], (score + error)[i, j]))
+                    n += len(i)
+                    if n > most:  # what is left may be as many again
+                        held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+                        left = held[0][4] >= least[held[0][0]]
+                        held = [tuple(x[left] for x in held[0])]
+                        n, most = int(left.sum()), max(HELD, 2 * int(left.sum()))
         if held:
             least = best.min(1) if best.shape[1] == k else np.full(len(ids), -np.inf)
             i, key, cell, low, high = (np.concatenate(x) for x in zip(*held, strict=True))

@@ -161,3 +161,23 @@ def test_equal_vectors_are_compared_once(spark):
         assert found[i] == [(n, s) for s, n in sorted((-cosine(np.array(v)), n) for n, v in rows if n and v)[:6] for s in [-s]]
     small = [*V.first_of_equals(2, "name", 3)(iter([pd.DataFrame({"name": ["b", "c"], "vector": [np.ones(2)] * 2}), pd.DataFrame({"name": ["a"], "vector": [np.ones(2)]})]))]
     assert [n for part in small for n in part["name"]] == ["a", "b"]
+
+
+def test_a_scan_holds_few_scores_at_once(monkeypatch):
+    """Blocks get smaller as queries get more, and outdone candidates go on the way; the short list stays whole."""
+    from types import SimpleNamespace
+
+    rnd = np.random.default_rng(1)
+    q, rows, centres = C.unit(rnd.normal(size=(50, 8))), rnd.normal(size=(3000, 8)), C.unit(rnd.normal(size=(2, 8)))
+    [coded] = C.coded(SimpleNamespace(value=centres))(iter([pd.DataFrame({"id": np.arange(3000), "vector": list(rows)})]))
+    shared = SimpleNamespace(value=(np.arange(50), q, centres, {c: np.arange(50) for c in (0, 1)}))
+    batches = [coded.iloc[i : i + 1000][["id", "code", "scale", "error", "cell"]] for i in range(0, 3000, 1000)]
+    sizes, own = [], C.best_of
+    monkeypatch.setattr(C, "best_of", lambda scores, ids, k: sizes.append(scores.size) or own(scores, ids, k))
+    monkeypatch.setattr(C, "SCORES", 5000)
+    monkeypatch.setattr(C, "HELD", 2000)
+    [found] = C.scan(shared, 5)(iter(batches))
+    assert max(sizes) <= 5000 + 50 * 5
+    exact = q @ C.unit(rows).T
+    have = set(zip(found["query_id"], found["id"], strict=True))
+    assert all((i, j) in have for i in range(50) for j in np.argsort(-exact[i])[:5]) and len(have) == len(found) < 20 * 50
