@@ -434,17 +434,26 @@ def star(rows: DataFrame, orders: list, percent: int) -> DataFrame:
     return found.select(F.least("node", "cx").alias("x"), F.greatest("node", "cx").alias("y")).distinct()
 
 
-def open_rows(rows: DataFrame) -> DataFrame:
-    """Those of shingles whose nodes are in several components."""
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("shingle")
-    return materialize(rows.join(mixed, "shingle").select("shingle", "node", "n", "pos", "own", "component"), "open-prefixes")
+def able(percent: int):
+    """Whether a row can be the smaller side of a pair, or one of two equal sides: what follows must reach 2 * percent / (100 +
+    percent) of its own set, the least that a set as large asks for. Of each pair that ``enough`` passes the smaller side is."""
+    return F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent)
+
+
+def open_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """Those of shingles whose nodes are in several components that a pair could be made of: rows that are ``able``, and others
+    that are at least as large as one of these in another component. No pair that ``enough`` passes is lost."""
+    own = F.when(able(percent), F.col("component"))
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.when(able(percent), F.col("n"))).alias("least"), F.min(own).alias("c"), F.max(own).alias("d"))
+    mixed = mixed.filter("a != b and least is not null").select("shingle", "least", "c", "d")
+    used = able(percent) | ((F.col("n") >= F.col("least")) & ((F.col("component") != F.col("c")) | (F.col("component") != F.col("d"))))
+    return materialize(rows.join(mixed, "shingle").filter(used).select("shingle", "node", "n", "pos", "own", "component"), "open-prefixes")
 
 
 def pairs_across(rows: DataFrame, percent: int) -> tuple[int, int]:
     """About how many pairs of one shingle and different components would pass the positional filter, were all sets equally
     large, and of how many rows. This decides only how the pairs are looked for."""
-    able = rows.filter(F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent))
-    each = able.groupBy("shingle", "component").agg(F.count("*").cast("double").alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    each = rows.filter(able(percent)).groupBy("shingle", "component").agg(F.count("*").cast("double").alias("k")).groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
     found = each.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
     return int(found[1] or 0), int(found[0] or 0)
 
@@ -486,7 +495,7 @@ def node_links(df: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
         if known is None or n_found:
             known = components(links)
             placed = prefix.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            left = open_rows(placed)
+            left = open_rows(placed, percent)
         across, held = pairs_across(left, percent)
         if 10 * n_found <= n_pairs or across <= 2 * held:
             break

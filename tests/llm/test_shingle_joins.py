@@ -135,6 +135,26 @@ def test_a_large_group_costs_one_pair_per_member(spark):
     assert sorted(tuple(r) for r in near_duplicates(df).collect()) == sorted(want)
 
 
+def test_open_rows_are_those_that_pairs_need(spark):
+    """k texts that share shingles late in their prefixes can't link by these, so no such row is open; every pair that passes
+    the positional filter keeps both of its rows."""
+    late = spark.createDataFrame([(s, node, 100, 15 + s, 15, node) for s in range(5) for node in range(40)], "shingle long, node long, n long, pos long, own long, component long")
+    assert J.open_rows(late, 75).count() == 0
+    rnd, rows, fewer = random.Random(3), [], 0
+    for s in range(300):
+        for node in rnd.sample(range(60), rnd.randrange(1, 6)):
+            n = 8 + node % 17
+            rows.append((s, node, n, rnd.randrange(J.prefix_length(n, 75)), 0, node % 7))
+    kept = {tuple(r) for r in J.open_rows(spark.createDataFrame(rows, late.schema), 75).collect()}
+    need = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[5] != b[5] and 100 * a[2] >= 75 * b[2] and 100 * b[2] >= 75 * a[2] and min(a[2] - a[3], b[2] - b[3]) >= J.least_overlap(a[2], b[2], 75):
+                need.add((*a[:5], a[5]))
+    mixed = {r for r in rows if len({x[5] for x in rows if x[0] == r[0]}) > 1}
+    assert need <= kept < mixed and len(need) > 50
+
+
 def test_containment_against_brute_force(spark):
     rnd = random.Random(4)
     vocabulary = [f"v{i}" for i in range(500)]
