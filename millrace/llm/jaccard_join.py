@@ -450,6 +450,12 @@ def open_rows(rows: DataFrame, percent: int) -> DataFrame:
     return materialize(rows.join(mixed, "shingle").filter(used).select("shingle", "node", "n", "pos", "own", "component"), "open-prefixes")
 
 
+def placed(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows under the components of known, (node, component); written once, for they are read twice."""
+    found = rows.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return materialize(found.select("shingle", "node", "n", "pos", "own", "component"), "placed-prefixes")
+
+
 def pairs_across(rows: DataFrame, percent: int) -> tuple[int, int]:
     """About how many pairs of one shingle and different components would pass the positional filter, were all sets equally
     large, and of how many rows. This decides only how the pairs are looked for."""
@@ -482,7 +488,8 @@ def node_links(df: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
     prefix = sets.mapInArrow(prefixes(percent), "shingle bigint, node bigint, n bigint, pos bigint, own bigint")
     prefix = materialize(prefix, "prefixes")
 
-    left, known, links, tried = prefix.withColumn("component", F.col("node")), None, None, None
+    left = open_rows(prefix.withColumn("component", F.col("node")), percent)
+    known, links, tried = None, None, None
     for k in range(ROUNDS):
         alone = F.col("own") / F.col("n")
         chance = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(1 << 20)) / float(1 << 20)
@@ -494,8 +501,7 @@ def node_links(df: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
         n_found, n_pairs = found.count(), pairs.count()
         if known is None or n_found:
             known = components(links)
-            placed = prefix.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            left = open_rows(placed, percent)
+            left = open_rows(placed(left, known), percent)  # components only join, so what is not open never will be
         across, held = pairs_across(left, percent)
         if 10 * n_found <= n_pairs or across <= 2 * held:
             break

@@ -155,6 +155,34 @@ def test_open_rows_are_those_that_pairs_need(spark):
     assert need <= kept < mixed and len(need) > 50
 
 
+def test_rounds_go_on_with_open_rows_only(spark, monkeypatch):
+    """After the first look at all prefixes a round handles only what the one before left open, and loses nothing by that."""
+    rnd = random.Random(9)
+    long = [f"s{rnd.randrange(10**6)}" for _ in range(600)]
+    rows = [(i, " ".join(long[4 * i : 4 * i + 90])) for i in range(120)]  # windows link with the next few, so a group is a chain
+    rows += [(1000 + i, " ".join(f"p{i}x{j}" if j < 60 else f"t{j}" for j in range(80))) for i in range(60)]  # a shared end that links none
+    rows += [(2000 + i, " ".join(rnd.choice("abc") + str(rnd.randrange(50)) for _ in range(40))) for i in range(60)]
+    judged, opened, whole, known, plain, joined = [], [], [], [], J.open_rows, J.components
+
+    def watched(df, percent):
+        found = plain(df, percent)
+        judged.append(df.count())
+        opened.append(found.count())
+        if len(judged) > 1:
+            again = whole[0].drop("component").join(known[-1], "node", "left").selectExpr("shingle", "node", "n", "pos", "own", "coalesce(component, node) as component")
+            assert {r[:2] for r in plain(again, percent).collect()} == {r[:2] for r in found.collect()}
+        else:
+            whole.append(df)
+        return found
+
+    monkeypatch.setattr(J, "components", lambda links: known.append(joined(links)) or known[-1])
+    monkeypatch.setattr(J, "open_rows", watched)
+    monkeypatch.setattr(J, "pairs_across", lambda rows, percent: (1 << 40, 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_duplicates(df).collect()) == sorted(components(rows))
+    assert len(judged) > 2 and judged[1:] == opened[:-1] and judged[-1] < judged[0] / 2, (judged, opened)
+
+
 def test_containment_against_brute_force(spark):
     rnd = random.Random(4)
     vocabulary = [f"v{i}" for i in range(500)]
