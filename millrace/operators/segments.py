@@ -143,9 +143,10 @@ def _posts(chunks: DataFrame, *more: str) -> DataFrame:
 
 def _write_segment(spark: SparkSession, path: str, chunks: DataFrame, buckets: int | None) -> tuple[str, tuple[int, int, int], int]:
     """chunks: (chunk_id, doc_id, length, words). Gives the segment's name, sizes and number of buckets. However many buckets
-    there are, a task sorts about the rows of a few."""
+    there are, a task sorts about the rows of a few, by bucket alone: a scan reads all of a bucket and joins, so an order of terms
+    would not save it anything, and a chunk's postings that lie together compress better than those of a term."""
     name = uuid.uuid4().hex[:12]
-    chunks.write.parquet(f"{path}/chunks/segment={name}")
+    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks/segment={name}")
     chunks = spark.read.schema(chunks.schema).parquet(f"{path}/chunks/segment={name}")
     sums = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.coalesce(F.sum(F.coalesce(F.size("words"), F.lit(0))), F.lit(0)).alias("size")).first()
     size = sums["size"]
@@ -153,9 +154,10 @@ def _write_segment(spark: SparkSession, path: str, chunks: DataFrame, buckets: i
     files = max(1, -(-size // FILE_ROWS))
     rows = _posts(chunks).select(bucket("term", buckets).alias("bucket"), "term", "chunk_id", "doc_id", "length", "tf", "level")
     parts = 2 * buckets * -(-files // buckets)
-    dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(-(-files // buckets)))).sortWithinPartitions("bucket", "term", "level")
+    dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(-(-files // buckets)))).sortWithinPartitions("bucket")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings/segment={name}")
-    blocks = rows.groupBy("bucket", "term", "level").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
+    blocks = _posts(chunks).groupBy("term", "level").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
+    blocks = blocks.select(bucket("term", buckets).alias("bucket"), "term", "level", "df", "max_tf", "min_length")  # once a block, not once a posting
     blocks.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(-(-files // buckets)))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms/segment={name}")
     return name, (sums.n, sums.length, size), buckets
 

@@ -2,6 +2,7 @@ import os
 import random
 import shutil
 
+import pyarrow.parquet as pq
 import pyspark.sql.functions as F
 import pytest
 
@@ -88,6 +89,14 @@ def test_scans_name_their_buckets(spark, tmp_path, capsys):
     assert "bucket" in (plan := capsys.readouterr().out) and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket ").replace("(bucket", "bucket") or "IN (3,5)" in plan
 
 
+def test_a_chunks_postings_lie_together(spark, tmp_path):
+    """Postings are dealt by bucket and not sorted by term, which takes time and more disk and saves no reader anything."""
+    store = S.create(texts(spark, 7, range(300)).repartition(4), str(tmp_path / "s"), buckets=1)
+    [file] = [f"{d}/{f}" for d, _, names in os.walk(tmp_path / "s/postings") for f in names if f.endswith(".parquet")]
+    ids = pq.ParquetFile(file).read(["chunk_id"]).column(0).to_pylist()
+    assert len(ids) == store.segments[[*store.segments][0]][2] and 1 + sum(a != b for a, b in zip(ids, ids[1:])) == len(set(ids)) > 200
+
+
 def test_what_no_manifest_names_does_not_count(spark, tmp_path):
     path = str(tmp_path / "s")
     store = S.create(texts(spark, 7, range(30)), path, buckets=1)
