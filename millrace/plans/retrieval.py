@@ -93,8 +93,9 @@ def dense(spark, sf_dir, k, rows=None):
 def e1_encode(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     empty = spark.createDataFrame([], "key string, vector array<float>")
-    _, cache = V.encode_with_cache(docs.filter("id % 2 = 0"), empty, V.hashed_encoder())
-    found, _ = V.encode_with_cache(docs, cache, V.hashed_encoder())
+    encoder = V.hashed_encoder(whole=True)
+    _, cache = V.encode_with_cache(docs.filter("id % 2 = 0"), empty, encoder)
+    found, _ = V.encode_with_cache(docs, cache, encoder)
     return found.select("id", "key", F.size("vector").alias("dim"), F.round(F.expr("aggregate(vector, 0D, (s, x) -> s + x * x)"), 4).alias("norm"))
 
 

@@ -1,4 +1,5 @@
 import math
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -91,6 +92,28 @@ def test_rerank_and_encoder_cache(spark):
     assert first.count() == 3 and V.encode_with_cache(texts.select(F.col("chunk_id").alias("id"), "text"), cache, V.hashed_encoder(16))[1].count() == 3
 
 
+def test_words_whose_signs_cancel_out_are_encoded(spark, tmp_path):
+    """e1_encode gives every text with words length one, as its SQL does."""
+    import duckdb
+
+    from millrace.plans import retrieval as Q
+
+    words = {}
+    for i in range(2000):
+        h = crc32(f"w{i}".encode())
+        words.setdefault((h % 64, h >> 31), f"w{i}")
+    pairs = [f"{words[d, 0]} {words[d, 1]}" for d in range(64)]
+    rows = [*enumerate([*pairs, " ".join(pairs), None, "", " \n", "\u00a0", "\x0b", "a b"])]
+    made = V.hashed_encoder()(F.col("text"))
+    assert {tuple(r[0]) for r in spark.createDataFrame(rows[:64], "doc_id long, text string").select(made).collect()} == {(0.0,) * 64}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.e1_encode(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(Q.SQL["e1_encode"]).fetchall())
+    assert sum(r.norm for r in got) == 64 + 1 + 3
+
+
 def test_rewrites_are_bounded_and_start_with_the_original(spark):
     rows = [("q", ["a", "q", "b", "c", "d"]), ("q", []), ("q", ["a", "a", " "])]
     got = [list(r.x) for r in spark.createDataFrame(rows, "o string, g array<string>").coalesce(1).select(R.rewrites(F.col("o"), F.col("g"), 3).alias("x")).collect()]
