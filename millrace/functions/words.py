@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import ArrayType, StringType
@@ -26,8 +28,9 @@ RUN = f"[{LETTERS}]+"
 #: its two parts, at least.
 LONGEST, COHESION = 4, 10.0
 SCALE = 1_000_000
-#: Letters that a task cuts at once, distinct strings that it counts before it passes them on, and runs that go on one by one.
-AT_ONCE, COUNTED, FEW = 1 << 20, 1 << 21, 8
+#: Letters that a task cuts at once and that it counts at once, distinct strings that it counts before it passes them on, and
+#: runs that go on one by one.
+CUT_AT_ONCE, AT_ONCE, COUNTED, FEW = 1 << 18, 1 << 20, 1 << 21, 8
 #: The weight of a string that is no word.
 NONE = -(1 << 50)
 
@@ -153,8 +156,9 @@ def looked_up(key: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return out
 
 
-def best_paths(runs: list[str], table: tuple[np.ndarray, np.ndarray], unknown: int) -> list[list[str]]:
-    """``best_path`` of many runs: one place of each at a time, all from their ends; the last FEW, if longer, one by one."""
+def best_steps(runs: list[str], table: tuple[np.ndarray, np.ndarray], unknown: int) -> list[int]:
+    """``best_path`` of many runs: one place of each at a time, all from their ends; the last FEW, if longer, one by one. Of each
+    place, and of the one behind each run, how many letters the first word from there has."""
     codes = codes_of(runs)
     weights = [looked_up(key, table) for key in keys_of(codes)]
     weights[0][(weights[0] == NONE) & (codes > 0)] = unknown
@@ -183,7 +187,12 @@ def best_paths(runs: list[str], table: tuple[np.ndarray, np.ndarray], unknown: i
                     found, word = own[k - 1][at] + after[k - 1], k
             after = [found, *after[: LONGEST - 1]]
             size[end - length + at] = word
-    out, start, steps = [], 0, size.tolist()
+    return size.tolist()
+
+
+def best_paths(runs: list[str], table: tuple[np.ndarray, np.ndarray], unknown: int) -> list[list[str]]:
+    """``best_path`` of many runs."""
+    out, start, steps = [], 0, best_steps(runs, table, unknown)
     for run in runs:
         words, at = [], 0
         while at < len(run):
@@ -194,18 +203,48 @@ def best_paths(runs: list[str], table: tuple[np.ndarray, np.ndarray], unknown: i
     return out
 
 
+def begins_of(runs: list[str], table: tuple[np.ndarray, np.ndarray], unknown: int) -> Iterator[np.ndarray]:
+    """Of each run the places where its words begin."""
+    start, steps = 0, best_steps(runs, table, unknown) if runs else []
+    for run in runs:
+        begins, at, end = [], start, start + len(run)
+        while at < end:
+            begins.append(at)
+            at += steps[at]
+        yield np.array(begins, np.int64) - start
+        start = end + 1
+
+
+def cut_strings(column: pa.Array, table: tuple[np.ndarray, np.ndarray], unknown: int) -> pa.Array:
+    """Lists of strings, as ``parts`` gives them, to lists of words. The words share the bytes of the strings, only where they
+    begin is new; besides that CUT_AT_ONCE letters are held as strings, or one longer string."""
+    own, flat = re.compile(f"[{LETTERS}]").match, column.flatten()
+    offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+    n, whole, begins = np.zeros(len(flat), np.int64), np.zeros(1, np.int64), [np.zeros(0, np.int32)]
+    ends = np.cumsum(np.diff(offsets), dtype=np.int64) // (3 * CUT_AT_ONCE)  # these letters have three bytes each
+    cuts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1], [True]])).tolist() if len(flat) else []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        strings = flat.slice(lo, hi - lo).to_pylist()
+        runs = [*dict.fromkeys(x for x in strings if own(x))]
+        known = dict(zip(runs, begins_of(runs, table, unknown), strict=True))
+        found = [known.get(x, whole) for x in strings]
+        n[lo:hi] = [len(x) for x in found]
+        begins.append((np.concatenate(found) * 3 + np.repeat(offsets[lo:hi], n[lo:hi])).astype(np.int32))
+    last = np.concatenate([*begins, offsets[-1:]])
+    values = pa.StringArray.from_buffers(len(last) - 1, pa.py_buffer(last), flat.buffers()[2] or pa.py_buffer(b"")) if len(flat) else flat
+    lists = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = np.concatenate([[0], np.cumsum(n)])[lists]  # where each list begins
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values, mask=pc.is_null(column))
+
+
 def segmenter(words: DataFrame) -> Callable[[Column], Column]:
     """words: (word, n), as ``learned`` gives it. A function for Params.segment: from ``parts`` to words."""
     counts = {r.word: r.n for r in words.collect()}  # at most most_words
     weights = weights_of(counts)
     shared = words.sparkSession.sparkContext.broadcast((hashed(weights), min(weights.values(), default=0) - SCALE))
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(column: pd.Series) -> pd.Series:
-        table, unknown = shared.value
-        own = re.compile(f"[{LETTERS}]").match
-        runs = [*dict.fromkeys(x for found in column if found is not None for x in found if own(x))]
-        known = {run: words for some in portions(runs) for run, words in zip(some, best_paths(some, table, unknown), strict=True)}
-        return column.map(lambda found: None if found is None else [w for x in found for w in known.get(x, (x,))])
+    @F.arrow_udf(ArrayType(StringType()))
+    def cut(column: pa.Array) -> pa.Array:
+        return cut_strings(column, *shared.value)
 
     return lambda found: cut(found)

@@ -154,3 +154,29 @@ def test_many_runs_are_cut_as_one_by_one_and_counted_once(spark, monkeypatch):
     made = W.learned(spark.createDataFrame([(x,) for x in runs], "text string"), 1)
     assert {r.word: r.n for r in made.collect() if len(r.word) == 1} == {w: n for w, n in counts.items() if len(w) == 1}
     assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 0  # texts are read once
+
+
+def test_a_batch_of_long_texts_is_cut_a_portion_at_a_time(monkeypatch):
+    """The words of a whole batch are held as Arrow's arrays only: as Python's strings these would take over 100 MB."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from millrace.functions import words as W
+
+    rnd = random.Random(5)
+    letters = "\u4e00\u4e25\u4e4a\u4e6f\u4e94"
+    weights = W.weights_of({w: rnd.randrange(5, 50) for w in [*letters, *(a + b for a in letters for b in letters[:2])]})
+    table, unknown = W.hashed(weights), min(weights.values()) - W.SCALE
+    few = [["".join(rnd.choices(letters, k=n)), "abc", "", "x1"] for n in (1, 5, 40)] + [None, []]
+    monkeypatch.setattr(W, "CUT_AT_ONCE", 30)
+    want = [None if x is None else [w for s in x for w in (W.best_path(s, weights, unknown) if s and s[0] in letters else [s])] for x in few]
+    assert W.cut_strings(pa.array(few), table, unknown).to_pylist() == want and W.cut_strings(pa.array(few).slice(1, 3), table, unknown).to_pylist() == want[1:4]
+    monkeypatch.setattr(W, "CUT_AT_ONCE", 1 << 16)
+    long = pa.array([["".join(rnd.choices(letters, k=400)) for _ in range(50)] for _ in range(150)])  # 3 million letters
+    tracemalloc.start()
+    got = W.cut_strings(long, table, unknown)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and "".join(got.flatten().to_pylist()) == "".join(long.flatten().to_pylist())
