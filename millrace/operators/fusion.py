@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from millrace.functions.vectors import cosine, top_k
+from millrace.functions.vectors import cosine, top_k_keyed
 from millrace.operators import lexical
 from millrace.operators.text import tokens
 from millrace.params import DEFAULT, Params
@@ -91,7 +91,7 @@ def hybrid(index: lexical.Index, vectors: DataFrame, queries: DataFrame, k: int,
     threshold: (query_id, chunk_id, rerank_score, rank)."""
     fetch = fetch_size(k, params)
     words = stored(lexical.search(index, queries.select("query_id", F.col("lexical").alias("query")), fetch, params), "lexical-hits")
-    dense = stored(top_k(vectors.withColumnRenamed("chunk_id", "id"), queries.select("query_id", "vector"), fetch).withColumnRenamed("id", "chunk_id"), "dense-hits")
+    dense = stored(top_k_keyed(vectors.select("chunk_id", "vector"), queries.select("query_id", "vector"), fetch, "chunk_id"), "dense-hits")
     fused = fuse(dense, words, params).filter(F.col("rank") <= k).select("query_id", "chunk_id")
     pairs = fused.join(vectors.select("chunk_id", "vector"), "chunk_id").join(queries.select("query_id", F.col("vector").alias("query_vector")), "query_id")
     return cut(rerank_by_vector(pairs, params.rerank_k), params.rerank_k, params.rerank_threshold)

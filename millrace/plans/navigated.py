@@ -15,6 +15,7 @@ from millrace.params import DEFAULT
 from millrace.plans import graph as G
 from millrace.plans import retrieval as R
 from millrace.plans.text import table
+from millrace.sources.scratch import spread
 
 
 def item_words(spark, sf_dir):
@@ -79,7 +80,7 @@ def i4_navigated(spark, sf_dir):
     asked = questions(spark, sf_dir)
     near, links, paths, names = walked(spark, sf_dir, asked)
     queries = N.enriched_query(asked, names).withColumnRenamed("query", "lexical").join(asked.select("query_id", "vector"), "query_id")
-    texts = R.stored(notes(spark, sf_dir), "notes")
+    texts = R.stored(spread(notes(spark, sf_dir)), "notes")
     vectors = R.stored(texts.select("chunk_id", V.hashed_encoder()(F.col("text")).alias("vector")), "note-vectors")
     hits = U.hybrid(X.save_index(texts, R.new_folder(spark, "notes")), vectors, R.stored(queries, "queries"), DEFAULT.top_k)
     counted = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))

@@ -186,6 +186,22 @@ def test_equal_vectors_are_compared_once(spark):
     assert [n for part in small for n in part["name"]] == ["a", "b"]
 
 
+def test_a_search_compares_each_vector_once(spark, monkeypatch):
+    """By vectors or by texts, and in a hybrid search; the hits are those of comparing every record."""
+    rows = [(i, i % 5, f"part p{i % 7} w{i % 11}") for i in range(2000)]
+    texts = spark.createDataFrame(rows, "chunk_id long, doc_id long, text string").repartition(4)
+    vectors = texts.select("chunk_id", V.hashed_encoder()(F.col("text")).alias("vector"))
+    queries = spark.createDataFrame([(i, f"part p{i % 9} w{i % 4}") for i in range(30)], "query_id long, lexical string").withColumn("vector", V.hashed_encoder()(F.col("lexical")))
+    shown = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    want = shown(V.top_k(vectors.withColumnRenamed("chunk_id", "id"), queries, 40).withColumnRenamed("id", "chunk_id"))
+    compared, own = [], V.top_k
+    monkeypatch.setattr(V, "top_k", lambda v, q, *more: compared.append((v.count(), q.count())) or own(v, q, *more))
+    assert shown(V.top_k_keyed(vectors, queries, 40, "chunk_id")) == want and shown(V.top_k_keyed(texts.select("chunk_id", "text"), queries, 40, "chunk_id")) == want
+    rows = L.counted(texts)
+    assert R.hybrid(L.index_of(L.posts_of(rows), L.lengths_of(rows)), vectors, queries, 20).count() > 0
+    assert len(compared) == 3 and all(v <= 77 and q <= 30 for v, q in compared)
+
+
 def test_a_scan_holds_few_scores_at_once(monkeypatch):
     """Blocks get smaller as queries get more, and outdone candidates go on the way; the short list stays whole."""
     from types import SimpleNamespace
