@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from millrace.sources.scratch import sendable, stored
+
 KINDS = ("ENTITY", "FACT", "ENTITY_ATTRIBUTE", "FACT_ATTRIBUTE")
 ITEM = "struct<evidence_type:string,entity_type:string,entity_name:string,subject_type:string,subject_name:string,predicate:string,object_type:string,object_name:string,entity_key:string,attr_key:string,attr_value:string,evidence_text:string,confidence:double>"
 KEY_COLUMNS = ["entity_key", "subject_key", "predicate", "object_key", "attr_key", "attr_value"]
@@ -93,27 +95,46 @@ def attribute_values(evidence: DataFrame, owner: str = "entity_key") -> DataFram
     return grouped.withColumn("place", F.row_number().over(order)).withColumn("is_primary", F.col("place") == 1)
 
 
-def entities(evidence: DataFrame) -> DataFrame:
-    """Entities with their own support; those known only as ends of facts or owners of attributes have 0."""
+def spelled(evidence: DataFrame) -> DataFrame:
+    """(entity_key, entity_name, entity_type, n) of active evidence, each combination once: n counts the entity's own rows, not
+    those where it is an end of a fact. Sums are kept in hash tables, which the least of texts can't be."""
     live = evidence.filter("active")
     own = live.filter("evidence_type = 'ENTITY'").select("entity_key", "entity_name", "entity_type", F.lit(1).alias("one"))
     end = lambda side: live.filter("evidence_type = 'FACT'").select(F.col(f"{side}_key").alias("entity_key"), F.col(f"{side}_name").alias("entity_name"), F.col(f"{side}_type").alias("entity_type"), F.lit(0).alias("one"))
-    return own.unionByName(end("subject")).unionByName(end("object")).groupBy("entity_key").agg(F.min("entity_name").alias("name"), F.min("entity_type").alias("type"), F.sum("one").alias("support_count"))
+    return own.unionByName(end("subject")).unionByName(end("object")).groupBy("entity_key", "entity_name", "entity_type").agg(F.sum("one").alias("n"))
+
+
+def entities(evidence: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Entities with their own support; those known only as ends of facts or owners of attributes have 0. names: what
+    ``spelled`` gave, if it is stored."""
+    names = spelled(evidence) if names is None else names
+    return names.groupBy("entity_key").agg(F.min("entity_name").alias("name"), F.min("entity_type").alias("type"), F.sum("n").alias("support_count"))
 
 
 def facts(evidence: DataFrame) -> DataFrame:
     return evidence.filter("active and evidence_type = 'FACT'").groupBy("subject_key", "predicate", "object_key").agg(F.count("*").alias("support_count")).withColumn("fact_key", F.concat_ws("|", "subject_key", "predicate", "object_key"))
 
 
-def entity_records(evidence: DataFrame) -> DataFrame:
+def entity_records(evidence: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(entity_key, text) of the entity index: name and type."""
-    return entities(evidence).select("entity_key", F.concat_ws(": ", "name", "type").alias("text"))
-
-
-def relation_records(evidence: DataFrame) -> DataFrame:
-    names = entities(evidence).select("entity_key", "name")
-    named = facts(evidence).join(names.toDF("subject_key", "s"), "subject_key", "left").join(names.toDF("object_key", "o"), "object_key", "left")
-    return named.select(F.coalesce("s", "subject_key").alias("subject"), "predicate", F.coalesce("o", "object_key").alias("object")).distinct().withColumn("text", F.concat_ws(" ", "subject", "predicate", "object"))
+    return entities(evidence, names).select("entity_key", F.concat_ws(": ", "name", "type").alias("text"))
+
+
+def relation_records(evidence: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(subject, predicate, object, text) of the relation index, by the entities' names. An entity of one name has it in its
+    facts, so only those of several are joined."""
+    names = spelled(evidence) if names is None else names
+    name = F.col("entity_name")
+    several = names.groupBy("entity_key").agg(F.min(name).alias("name"), F.max(name).alias("last"), F.count(name).alias("named"), F.count("*").alias("all"))
+    several = stored(several.filter("entity_key is not null and name is not null and (name <> last or named < all)").select("entity_key", "name"), "several-names")
+    rows = evidence.filter("active and evidence_type = 'FACT'").select("subject_key", "subject_name", "predicate", "object_key", "object_name")
+    if not several.isEmpty():
+        sent = F.broadcast if sendable(several.select(F.concat_ws("", "entity_key", "name").alias("x"))) else lambda x: x
+        for side in ("subject", "object"):
+            rows = rows.join(sent(several.select(F.col("entity_key").alias(f"{side}_key"), F.col("name").alias(f"{side}_chosen"))), f"{side}_key", "left")
+            rows = rows.withColumn(f"{side}_name", F.coalesce(f"{side}_chosen", f"{side}_name"))
+    shown = lambda side: F.when(F.col(f"{side}_key").isNotNull(), F.coalesce(f"{side}_name", f"{side}_key")).alias(side)
+    return rows.select(shown("subject"), "predicate", shown("object")).distinct().withColumn("text", F.concat_ws(" ", "subject", "predicate", "object"))
 
 
 def graph_stats(evidence: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
 from millrace.params import DEFAULT
-from millrace.sources.scratch import stored
+from millrace.sources.scratch import among, stored
 
 #: Relations worth following to widen a search.
 WHITELIST = ["ACQUIRED", "RELATED_TO_TECH", "USED_IN", "AFFECTS", "PART_OF", "DEPENDS_ON", "DEVELOPS", "PROVIDES_TECHNOLOGY_FOR", "COMPETES_WITH", "INTEGRATED_INTO", "POWERS", "SUPPORTS"]
@@ -47,21 +47,25 @@ def k_hops(edges: DataFrame, starts: DataFrame, hops: int = DEFAULT.hops, most:
     query_id, seed, target, distance, relations, path; at most ``most`` for each seed by distance, target and path.
 
     Shorter paths come first, so a seed that has ``most`` of them goes no further, and a hop follows only those links of a node
-    that can be among the first ``most``: what is joined is bounded for each seed, however large the hubs."""
-    links = stored(first_links(both_ways(edges), most), "links")
-    front = starts.distinct().select("query_id", "seed", F.col("seed").alias("target"), F.lit(0).alias("distance"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<string>").alias("used"), F.col("seed").alias("path"), F.lit(0).cast("long").alias("seen"))
+    that can be among the first ``most``: what is joined is bounded for each seed, however large the hubs. A seed is walked once,
+    for however many queries, and only links of nodes that a hop comes from are sorted."""
+    asked = stored(starts.select("query_id", "seed").distinct(), "starts")
+    front = asked.select("seed").distinct().select("seed", F.col("seed").alias("target"), F.lit(0).alias("distance"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<string>").alias("used"), F.col("seed").alias("path"), F.lit(0).cast("long").alias("seen"))
     found = None
-    ours = Window.partitionBy("query_id", "seed")
+    ours = Window.partitionBy("seed")
     for _ in range(hops):
-        grown = front.filter(F.col("seen") < most).join(links, front["target"] == links["a"]).filter(~F.array_contains("used", F.col("fact_key")))
+        front = front.filter(F.col("seen") < most)
+        links = first_links(among(both_ways(edges), front.select(F.col("target").alias("a")), "a"), most)
+        grown = front.join(links, front["target"] == links["a"]).filter(~F.array_contains("used", F.col("fact_key")))
         front = grown.select(
-            "query_id", "seed", F.col("b").alias("target"), (F.col("distance") + 1).alias("distance"), F.concat("relations", F.array("predicate")).alias("relations"),
+            "seed", F.col("b").alias("target"), (F.col("distance") + 1).alias("distance"), F.concat("relations", F.array("predicate")).alias("relations"),
             F.concat("used", F.array("fact_key")).alias("used"), F.concat("path", F.lit(" -["), "predicate", F.lit("]-> "), "b").alias("path"), "seen",
         ).withColumn("seen", F.col("seen") + F.count(F.when(F.col("seed") != F.col("target"), 1)).over(ours))
+        front = stored(front, "front")
         found = front if found is None else found.unionByName(front)
-    order = Window.partitionBy("query_id", "seed").orderBy("distance", "target", "path")
+    order = Window.partitionBy("seed").orderBy("distance", "target", "path")
     ranked = found.filter(F.col("seed") != F.col("target")).withColumn("place", F.row_number().over(order))
-    return ranked.filter(F.col("place") <= most).drop("used", "seen")
+    return asked.join(ranked.filter(F.col("place") <= most).drop("used", "seen"), "seed").select("query_id", "seed", "target", "distance", "relations", "path", "place")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 3, most: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from millrace.plans.text import table
 
 
 def evidence(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    items = table(spark, sf_dir, "lineitem").filter("l_partkey is not null")
     supplier, part = F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey")
     base = [F.concat(F.lit("o"), "l_orderkey").alias("chunk_hash"), (F.col("l_returnflag") != "R").alias("active"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_linenumber").alias("ordinal")]
     ends = [supplier.alias("subject_name"), F.lit("Supplier").alias("subject_type"), E.entity_key(F.lit("Supplier"), supplier).alias("subject_key"), part.alias("object_name"), F.lit("Part").alias("object_type"), E.entity_key(F.lit("Part"), part).alias("object_key")]

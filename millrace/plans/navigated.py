@@ -15,7 +15,7 @@ from millrace.params import DEFAULT
 from millrace.plans import graph as G
 from millrace.plans import retrieval as R
 from millrace.plans.text import table
-from millrace.sources.scratch import spread
+from millrace.sources.scratch import among, spread
 
 
 def item_words(spark, sf_dir):
@@ -44,12 +44,12 @@ def questions(spark, sf_dir):
 def found(spark, sf_dir, asked, evidence):
     """The ten best entities (query_id, entity_key, name, score, rank) and relations (query_id, text, subject, object, score, rank),
     and all relations."""
-    encode = V.hashed_encoder()
-    entities = E.entity_records(evidence).select("entity_key", encode(F.col("text")).alias("vector"))
-    relations = R.stored(E.relation_records(evidence), "relations")
-    near = V.top_k_keyed(entities, asked, 10, "entity_key").withColumn("name", F.substring_index("entity_key", ":", -1))
-    links = V.top_k_keyed(relations.select("text", encode(F.col("text")).alias("vector")), asked, 10, "text").join(relations.select("text", "subject", "object"), "text")
-    return R.stored(near, "found-entities"), R.stored(links, "found-relations"), relations
+    names = R.stored(E.spelled(evidence), "spelled")
+    relations = R.stored(E.relation_records(evidence, names), "relations")
+    near = V.top_k_keyed(E.entity_records(evidence, names), asked, 10, "entity_key").withColumn("name", F.substring_index("entity_key", ":", -1))
+    links = R.stored(V.top_k_keyed(relations.select("text"), asked, 10, "text"), "found-texts")
+    ends = among(relations.select("text", "subject", "object"), links, "text")
+    return R.stored(near, "found-entities"), R.stored(links.join(ends, "text"), "found-relations"), relations
 
 
 def i1_index_search(spark, sf_dir):
@@ -62,7 +62,7 @@ def walked(spark, sf_dir, asked, mode="hybrid"):
     evidence = G.evidence(spark, sf_dir)
     near, links, relations = found(spark, sf_dir, asked, evidence)
     edges = relations.select(F.concat_ws("|", "subject", "predicate", "object").alias("fact_key"), "subject", "predicate", "object")
-    paths, names = N.navigate(R.stored(edges, "edges"), near, links, mode)
+    paths, names = N.navigate(edges, near, links, mode)
     return near, links, R.stored(paths, "paths"), R.stored(names, "related")
 
 

@@ -26,6 +26,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sendable(df: DataFrame, most: int = 500_000, most_bytes: int = 16 << 20) -> bool:
+    """Whether a stored table of one column of text or numbers is small enough to be sent to every task."""
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(df.columns[0]).cast("string"))), F.lit(0)).alias("bytes")).first()
+    return size.n <= most and size.bytes <= most_bytes
+
+
+def among(rows: DataFrame, keys: DataFrame, on: str, most: int = 500_000) -> DataFrame:
+    """The rows whose ``on`` is one of the keys (on): few keys go to the tasks, so that only the rows found are ever shuffled."""
+    own = stored(keys.select(on).distinct(), "among")
+    return rows.join(F.broadcast(own) if sendable(own, most) else own, on, "left_semi")
+
+
 def kept_folder(table: DataFrame, name: str, make) -> str:
     """The folder that ``make(path)`` filled from a table of files, made anew when these files are others or have changed."""
     spark = table.sparkSession

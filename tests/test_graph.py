@@ -188,3 +188,55 @@ def test_long_needles_go_in_blocks_of_bytes(spark):
     texts = spark.createDataFrame([(i, f"{'ab' * 500}{i} tail") for i in range(20)], "key long, text string")
     needles = spark.createDataFrame([(f"{'ab' * 500}{i}",) for i in range(20)], "needle string")
     assert N.contained(texts, needles, most_bytes=3000).count() == N.contained(texts, needles).count() == 20 + 10  # 1 is in 1 and 10 to 19
+
+
+def test_a_seed_of_many_queries_is_walked_once(spark, monkeypatch):
+    """Only links of nodes that a hop comes from are sorted, and what a hop makes doesn't grow with the queries of a seed."""
+    rows = [("a", "OF", "b"), ("b", "OF", "c"), ("b", "IN", "d"), *((f"far{i}", "OF", f"off{i}") for i in range(500))]
+    edges = spark.createDataFrame([("|".join(r), *r) for r in rows], "fact_key string, subject string, predicate string, object string")
+    links, fronts, first, stored = [], [], N.first_links, N.stored
+    monkeypatch.setattr(N, "first_links", lambda df, most: links.append(df.count()) or first(df, most))
+
+    def counted(df, name):
+        made = stored(df, name)
+        fronts.extend([made.count()] * (name == "front"))
+        return made
+
+    monkeypatch.setattr(N, "stored", counted)
+    starts = spark.createDataFrame([(i, "a") for i in range(200)] + [(3, None), (4, "a"), (5, "nowhere")], "query_id long, seed string")
+    got = sorted((r.query_id, r.place, r.path) for r in N.k_hops(edges, starts).collect())
+    want = ["a -[OF]-> b", "a -[OF]-> b -[OF]-> c", "a -[OF]-> b -[IN]-> d"]
+    assert got == [(i, n + 1, path) for i in range(200) for n, path in enumerate(want)]
+    assert links == [1, 3] and fronts == [1, 2]
+
+
+def test_names_of_a_fact_are_those_of_its_entities(spark):
+    """An entity of one name is not looked up; of several the least is shown, of none the key."""
+    def made(rows):
+        columns = "active boolean, evidence_type string, entity_key string, entity_name string, entity_type string, subject_key string, subject_name string, subject_type string, predicate string, object_key string, object_name string, object_type string"
+        return spark.createDataFrame([(x[0], "FACT", None, None, None, x[1], x[2], "T", "P", x[3], x[4], "T") if len(x) == 5 else (x[0], "ENTITY", x[1], x[2], "T", *[None] * 7) for x in rows], columns)
+
+    once = made([(True, "t:a", "a", "t:b", "b"), (True, "t:a", "a", "t:b", "b"), (True, "t:b", "b", "t:c", None), (False, "t:z", "z", "t:b", "b")])
+    got = E.relation_records(once)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.text for r in got.collect()) == ["a P b", "b P t:c"]
+    several = made([(True, "t:a", "a", "t:b", "b"), (True, "t:a", "A", "t:b", None), (True, "t:c", None, "t:a", "a"), (True, "t:c", "c"), (True, None, "x", "t:b", "b")])
+    rows = [(r.subject, r.object, r.text) for r in E.relation_records(several).collect()]
+    assert sorted(rows, key=str) == [("A", "b", "A P b"), ("c", "A", "c P A"), (None, "b", "P b")]
+
+
+def test_evidence_of_parts_that_are_not_listed(spark, tmp_path):
+    """Every lineitem is evidence, as in the SQL, whether or not the table of parts has its part."""
+    import os
+
+    import duckdb
+
+    from millrace.plans import graph as G
+
+    con = duckdb.connect()
+    for name in ("lineitem", "orders", "part"):
+        con.execute(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+        if name != "part":
+            os.symlink(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").filter("p_partkey % 2 = 0").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(map(tuple, G.g6_support(spark, str(tmp_path)).collect())) == sorted(con.execute(G.SQL["g6_support"]).fetchall())
